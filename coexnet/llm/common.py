@@ -79,12 +79,13 @@ _LOWER[65:91] += 32
 
 
 def ascii_lower(texts: pa.LargeStringArray) -> pa.LargeStringArray:
-    """Lower-case A-Z and nothing else, on the UTF-8 bytes of the whole batch."""
-    valid, offsets, data = texts.buffers()
+    """Lower-case A-Z and nothing else, on the UTF-8 bytes of the whole batch (no nulls)."""
+    _, offsets, data = texts.buffers()
     if data is None or data.size == 0:
         return texts
-    low = _LOWER[np.frombuffer(data, np.uint8)]
-    return pa.Array.from_buffers(pa.large_string(), len(texts), [valid, offsets, pa.py_buffer(low)], offset=texts.offset)
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    low = _LOWER[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at - at[0]), pa.py_buffer(low)])
 
 
 def chunks_of(rows: int, weights: np.ndarray, most: int) -> list[tuple[int, int]]:

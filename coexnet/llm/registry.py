@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coexnet.llm import mix, topk, warc
+from coexnet.llm import html_text, mix, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": warc.op1_warc, "op2_mix": mix.op2_mix, "op3_topk": topk.op3_topk}
+    return {
+        "op1_warc": warc.op1_warc,
+        "op2_mix": mix.op2_mix,
+        "op3_topk": topk.op3_topk,
+        "op7_quality": quality.op7_quality,
+        "op9_html": html_text.op9_html,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
