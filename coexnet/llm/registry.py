@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coexnet.llm import decontaminate, html_text, mix, quality, topk, warc
+from coexnet.llm import decontaminate, html_text, jaccard, mix, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +17,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op7_quality": quality.op7_quality,
         "op9_html": html_text.op9_html,
+        "op10_jaccard": jaccard.op10_jaccard,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**warc.SQL, **mix.SQL, **topk.SQL}
+    return {**warc.SQL, **mix.SQL, **topk.SQL, **jaccard.SQL}
