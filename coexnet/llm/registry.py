@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coexnet.llm import decontaminate, html_text, jaccard, mix, quality, topk, warc
+from coexnet.llm import decontaminate, html_text, jaccard, lm_score, mix, quality, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1_warc,
         "op2_mix": mix.op2_mix,
         "op3_topk": topk.op3_topk,
+        "op4_lm_score": lm_score.op4_lm_score,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op7_quality": quality.op7_quality,
         "op9_html": html_text.op9_html,
