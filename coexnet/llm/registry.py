@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coexnet.llm import decontaminate, html_text, jaccard, lm_score, mix, quality, topk, warc
+from coexnet.llm import decontaminate, html_text, jaccard, license_scan, lm_score, mix, quality, topk, warc, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,7 +16,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_topk": topk.op3_topk,
         "op4_lm_score": lm_score.op4_lm_score,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_licenses": license_scan.op6_licenses,
         "op7_quality": quality.op7_quality,
+        "op8_token_counts": wordpiece.op8_token_counts,
         "op9_html": html_text.op9_html,
         "op10_jaccard": jaccard.op10_jaccard,
     }
