@@ -47,8 +47,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     """(source, source_size, target, epochs, rest) from (source, source_size), one row a source.
 
     The reshared targets are ``min(cap * size, level * weight)`` for one common
-    level. Sorted by ``cap * size / weight``, the capped sources are a prefix,
-    so the level follows from running sums; no loop over reshares is needed.
+    level. Sorted by ``cap * size / weight``, the capped sources are a prefix;
+    the level if the first k are capped rises up to the right k and falls
+    after it, so it is the largest of these; no loop over reshares is needed.
     """
     cycle = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
     s = sizes.withColumn("w", cycle).withColumn("most", cap * F.col("source_size").cast("double"))
@@ -57,7 +58,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     s = s.withColumn("budget", share * F.sum("source_size").over(everything).cast("double"))
     s = s.withColumn("capped_before", F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     s = s.withColumn("w_from", F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    level = F.min(F.when(F.col("most") * F.col("w_from") >= (F.col("budget") - F.col("capped_before")) * F.col("w"), (F.col("budget") - F.col("capped_before")) / F.col("w_from"))).over(everything)
+    level = F.max((F.col("budget") - F.col("capped_before")) / F.col("w_from")).over(everything)
     s = s.withColumn("target", F.when(F.col("most") == 0, 0.0).otherwise(F.coalesce(F.least("most", F.col("w") * level), F.col("most"))))
     s = s.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     return s.select("source", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
@@ -119,7 +120,7 @@ w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source ASC NUL
              2.0 * source_size AS most, 1.5 * sum(source_size) OVER () AS budget FROM s),
 c AS (SELECT *, coalesce(sum(most) OVER (ORDER BY most / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
              sum(w) OVER (ORDER BY most / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from FROM w),
-l AS (SELECT *, min(CASE WHEN most * w_from >= (budget - capped) * w THEN (budget - capped) / w_from END) OVER () AS level FROM c),
+l AS (SELECT *, max((budget - capped) / w_from) OVER () AS level FROM c),
 t AS (SELECT source, source_size, CAST(CASE WHEN most = 0 THEN 0.0 ELSE coalesce(least(most, w * level), most) END AS DOUBLE) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 r AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,

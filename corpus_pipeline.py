@@ -1,7 +1,57 @@
-"""Placeholder: stages follow."""
-STAGES = []
+"""Corpus pipeline: quality, near duplicates, decontamination, source mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's ``docs``; all but the last
+return the columns of ``documents``. Every stage works on all rows that its predecessor
+kept. The cases that each stage defines for nulls, empty and repeated
+rows are those of its operator.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from coexnet.llm.common import save, table
+from coexnet.llm.decontaminate import drop_contaminated
+from coexnet.llm.jaccard import keep_one
+from coexnet.llm.mix import mix
+from coexnet.llm.quality import fit_quality, held_out, score_quality
+
+SCORE, TEXT_SCORE = "__quality", 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts (score of at least 0.5); it learns from the training fold of ``labels``."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
+    return score_quality(docs, model, score_col=SCORE).where(F.col(SCORE) >= TEXT_SCORE).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similarity 0.8 or more on five-word shingles: that with the smallest id."""
+    return keep_one(docs, n=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: every document with the words that are taken of it, weighted by its quality score."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
+    scored = score_quality(docs.select("doc_id", "text", "source"), model, score_col=SCORE)
+    return mix(scored, F.col(SCORE)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mix", source_mix)]
+
+#: The classifier and the search for edited passages have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
