@@ -164,7 +164,7 @@ class _Archives:
             self.close()
             self.fs.create_dir(self.root, recursive=True)
             self.name = f"{self.stem}-{self.seq:04d}.warc.gz"
-            self.out, self.size, self.records, self.seq = self.fs.open_output_stream(f"{self.root}/{self.name}"), 0, 0, self.seq + 1
+            self.out, self.size, self.records, self.seq = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None), 0, 0, self.seq + 1
             info = b"format: WARC File Format 1.1\r\n"
             self._member(_header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:x-archive:{self.name}>"), ("WARC-Date", self.date), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(info)))]) + info)
         self.gz = zlib.compressobj(self.level, zlib.DEFLATED, 31)
@@ -296,7 +296,7 @@ def read_archive(path: str, chunk_bytes: int = CHUNK_BYTES, with_data: bool = Tr
 
     store, name = fs.FileSystem.from_uri(path)
     rid = lambda x: unquote(x.strip("<>").removeprefix(ID_SCHEME)) if x else None
-    with store.open_input_stream(name) as stream:
+    with store.open_input_stream(name, compression=None) as stream:
         src = _Inflated(stream)
         while (head := src.head()) is not None:
             f = _fields(head)
