@@ -79,38 +79,30 @@ def cut_static(merges: np.ndarray, n: int, height: float, min_size: int) -> np.n
     return new[inverse]
 
 
-def cut_gap(merges: np.ndarray, n: int, cut_height: float = 0.995, min_size: int = 20, min_gap: float = 0.2) -> np.ndarray:
-    """Labels by walking the tree down: a branch is split where both halves hold clusters, or where its core is far below the join.
+def cut_gap(merges: np.ndarray, n: int, cut_height: float = 0.995, min_size: int = 20, min_gap: float = 0.5) -> np.ndarray:
+    """Labels by walking the tree up: a branch ends as a cluster where it joins anything far above its core.
 
-    Branches of ``min_size`` leaves are clusters if the mean height of their core lies a share ``min_gap``
-    of the tree's height range below the height at which they join another cluster.
+    Far is a share ``min_gap`` of the range of heights, or the cut height; the core is the lower half of the branch's
+    own heights, ``min_size - 1`` at least. What joins a finished cluster later stays apart.
     """
-    lowest, highest = (float(np.quantile(merges[:, 2], 0.05)), min(cut_height, float(merges[-1, 2]))) if len(merges) else (0.0, 0.0)
+    if not len(merges):
+        return np.zeros(n, int)
+    lowest, highest = float(np.quantile(merges[:, 2], 0.05)), min(cut_height, float(merges[-1, 2]))
     gap = min_gap * (highest - lowest)
     leaves: list[list[int]] = [[i] for i in range(n)]
     heights: list[list[float]] = [[] for _ in range(n)]
     clusters: list[list[list[int]]] = [[] for _ in range(n)]  # finished clusters below each node
     for a, b, h, _ in merges:
-        a, b = int(a), int(b)
-
-        def firm(x, h=h):
-            core = sorted(heights[x])[: max(min_size - 1, len(heights[x]) // 2)]
-            return len(leaves[x]) >= min_size and (not core or h - float(np.mean(core)) >= gap)
-
-        below = [*clusters[a], *clusters[b]]
-        if h > highest:
-            for x in (a, b):
-                if not clusters[x] and len(leaves[x]) >= min_size:
-                    below.append(leaves[x])
-        elif firm(a) and firm(b) and not (clusters[a] or clusters[b]):
-            below = [leaves[a], leaves[b]]
-        elif clusters[a] and not clusters[b] and firm(b):
-            below = [*clusters[a], leaves[b]]
-        elif clusters[b] and not clusters[a] and firm(a):
-            below = [*clusters[b], leaves[a]]
-        leaves.append(leaves[a] + leaves[b])
-        heights.append(heights[a] + heights[b] + [float(h)])
-        clusters.append(below)
+        done = []
+        for x in (int(a), int(b)):
+            done += clusters[x]
+            if not clusters[x] and len(leaves[x]) >= max(2, min_size):
+                core = sorted(heights[x])[: max(min_size - 1, len(heights[x]) // 2, 1)]
+                if h > cut_height or h - float(np.mean(core)) >= gap:
+                    done.append(leaves[x])
+        leaves.append(leaves[int(a)] + leaves[int(b)])
+        heights.append(heights[int(a)] + heights[int(b)] + [float(h)])
+        clusters.append(done)
     found = clusters[-1] or ([leaves[-1]] if n >= min_size and merges[-1, 2] <= cut_height else [])
     out = np.zeros(n, int)
     for r, c in enumerate(sorted(found, key=lambda c: (-len(c), min(c))), 1):

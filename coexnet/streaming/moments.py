@@ -11,6 +11,7 @@ def windowed_moments(events: DataFrame, x: str, y: str, by: list[str], time: str
 
     Correlation is a function of these sums, and sums of windows add up.
     """
+    events = events.withColumn(time, F.col(time).cast("timestamp"))
     src = events.withWatermark(time, late) if events.isStreaming else events
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     g = src.groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
