@@ -101,7 +101,7 @@ def chunks_of(rows: int, weights: np.ndarray, most: int) -> list[tuple[int, int]
     return cuts
 
 
-def text_slices(batches, column: str = "text", most: int = 24 << 20):
+def text_slices(batches, column: str = "text", most: int = 8 << 20):
     """Record batches cut so that the texts of one slice stay near ``most`` bytes."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
