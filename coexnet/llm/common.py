@@ -10,11 +10,11 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of anything but blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
 
@@ -55,18 +55,17 @@ def save(df: DataFrame, label: str) -> DataFrame:
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(doc index of each word, code of each word, distinct words) of a batch.
 
-    Null texts count as empty. Lower-casing touches A-Z only.
+    Null texts count as empty. Lower-casing touches A-Z only. White space becomes
+    blanks byte by byte first, so the split needs no pattern.
     """
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
-        texts = ascii_lower(texts)
-    parts = pc.split_pattern_regex(texts, SPACE)
+    texts = map_bytes(pc.fill_null(texts.cast(pa.large_string()), ""), _LOWER if lower else _BLANKS)
+    parts = pc.split_pattern(texts, " ")
     words = parts.values if parts.offset == 0 else pc.list_flatten(parts)
     owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(parts.offsets.to_numpy()))
     coded = pc.dictionary_encode(words)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     names = coded.dictionary
-    if len(names):  # text that starts or ends with white space leaves an empty part
+    if len(names):  # runs of white space, and text that starts or ends with it, leave empty parts
         void = np.flatnonzero(pc.equal(pc.binary_length(names), 0).to_numpy(zero_copy_only=False))
         if len(void):
             keep = codes != void[0]
@@ -74,17 +73,25 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return owner, codes, names
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
+def word_hashes(words) -> np.ndarray:
+    """64-bit hashes of strings by their UTF-8 bytes."""
+    names = words.to_numpy(zero_copy_only=False) if len(words) else ()  # far quicker than to_pylist
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+
+
+_BLANKS = np.arange(256, dtype=np.uint8)
+_BLANKS[9:14] = 32
+_LOWER = _BLANKS.copy()
 _LOWER[65:91] += 32
 
 
-def ascii_lower(texts: pa.LargeStringArray) -> pa.LargeStringArray:
-    """Lower-case A-Z and nothing else, on the UTF-8 bytes of the whole batch (no nulls)."""
+def map_bytes(texts: pa.LargeStringArray, to: np.ndarray) -> pa.LargeStringArray:
+    """Replace ASCII bytes in the whole batch (no nulls)."""
     _, offsets, data = texts.buffers()
     if data is None or data.size == 0:
         return texts
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    low = _LOWER[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
+    low = to[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
     return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at - at[0]), pa.py_buffer(low)])
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coexnet.llm.common import save, split_words, table, text_slices
+from coexnet.llm.common import save, split_words, table, text_slices, word_hashes
 from coexnet.llm.graph import connected_components
 
 CHUNK = 4096
@@ -67,8 +67,7 @@ def ngram_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word n-grams."""
     owner, codes, names = split_words(texts)
     rows = len(texts)
-    word = np.fromiter((xxhash.xxh3_64_intdigest(x.as_buffer()) for x in names), np.uint64, len(names))
-    w = word[codes]
+    w = word_hashes(names)[codes]
     count = np.bincount(owner, minlength=rows)
     ends = np.cumsum(count)
     with np.errstate(over="ignore"):
@@ -383,7 +382,9 @@ def _block_parts(blocks: DataFrame, chunk: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, tie, n_shingles, node, component_id) for every row of ``docs``; tie is a hash of the text.
+    """(doc_id, tie, n_shingles, node, root, component_id) for every row of ``docs``.
+
+    tie is a hash of the text, root names the component (null for an empty set); component_id is its smallest id.
 
     Documents link when ``100 * overlap >= percent * union`` of their ``n``-gram sets.
     """
@@ -393,9 +394,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = save(joined.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-least")
-    named = joined.select("node", "root").join(component, "root").select("node", "component_id")
+    named = joined.select("node", "root").join(component, "root").select("node", "root", "component_id")
     out = sets.select("doc_id", "tie", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "tie", "n_shingles", "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "tie", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -404,8 +405,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     Rows with no words are no copies of each other and all stay; of rows equal in id and text one stays if they have words.
     """
     found = save(jaccard_components(docs, n, percent, id_col, text_col, chunk).where("node is not null"), "jaccard-found")
-    # components are told apart by the root they share; its id may repeat, so the least (id, text) pair decides
-    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("k"))
+    # ids may be null or repeat in other components, so the root tells components apart and the least (id, text) pair decides
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("k"))
     kept = save(kept.select(F.col("k.doc_id").alias("__id"), F.col("k.tie").alias("__tie")), "jaccard-kept")
     gone = found.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct().join(kept.select(F.col("__id").alias("__kid"), F.col("__tie").alias("__ktie")), F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__tie") == F.col("__ktie")), "left_anti")
     gone = save(gone, "jaccard-gone")

@@ -116,7 +116,7 @@ class Automaton:
         if not len(order):
             return out
         short = words.take(pa.array(order))
-        chars = np.frombuffer("".join(short.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chars = np.frombuffer("".join(short.to_numpy(zero_copy_only=False)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         length = n_chars[order]
         start = np.cumsum(length) - length
         u, n = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)

@@ -64,11 +64,12 @@ def test_components(spark, seed, n, percent, chunk):
 
 def test_keep_one(spark):
     docs = corpus(5, 80)
-    docs += [(200, None), (201, ""), (202, None), (3, docs[3][1])]
+    docs += [(200, None), (201, ""), (202, None), (3, docs[3][1]), (None, "an orphan without any id at all here"), (None, "and another orphan without any id there")]
     df = spark.createDataFrame([(d, t, "keep") for d, t in docs], "doc_id long, text string, node string")
     kept = jaccard.keep_one(df).collect()
-    want = {c for _, n, c in brute(docs, 5, 80) if n}
-    assert sorted(r["doc_id"] for r in kept if r["text"]) == sorted(want)
+    want = {c for _, n, c in brute(docs, 5, 80) if n and c is not None}
+    assert sum(r["doc_id"] is None for r in kept) == 2
+    assert sorted(r["doc_id"] for r in kept if r["text"] and r["doc_id"] is not None) == sorted(want)
     assert sorted(r["doc_id"] for r in kept if not r["text"]) == [200, 201, 202] and all(r["node"] == "keep" for r in kept)
 
 
