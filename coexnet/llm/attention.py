@@ -178,24 +178,24 @@ class Attention:
         root = np.float32(WIDTH**-0.5)
         g = {"to_class": fl(h).T @ fl(dc), "to_member": fl(u).T @ fl(dm)}
         g["bias"] = np.bincount(self.distance.ravel(), da.sum(0).ravel(), minlength=SPAN).astype(np.float32)
-        g["bigram"] = _scatter(q_ids, dc, SYMBOLS + 2)
-        g["embed"] = _scatter(q_ids, ds, SYMBOLS + 2)
-        g["query"] = _scatter(q_ids, (da @ k) * root, SYMBOLS + 2)
-        g["key"] = _scatter(ids, (da.transpose(0, 2, 1) @ q) * root, SYMBOLS + 2)
-        g["value"] = _scatter(ids, a.transpose(0, 2, 1) @ ds, SYMBOLS + 2)
-        g["member"], g["gate"] = _scatter(c, dm, SIDE), _scatter(c, du * h, SIDE)
+        g["bigram"], g["embed"], g["query"] = _scatter(q_ids, (dc, ds, (da @ k) * root), SYMBOLS + 2)
+        g["key"], g["value"] = _scatter(ids, ((da.transpose(0, 2, 1) @ q) * root, a.transpose(0, 2, 1) @ ds), SYMBOLS + 2)
+        g["member"], g["gate"] = _scatter(c, (dm, du * h), SIDE)
         return g
 
 
-def _scatter(ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of each id."""
-    ids, rows = ids.ravel(), rows.reshape(-1, rows.shape[-1])
+def _scatter(ids: np.ndarray, parts: tuple[np.ndarray, ...], n: int) -> list[np.ndarray]:
+    """Sums of the rows of each id, for each of the parts."""
+    ids = ids.ravel().astype(np.int16)  # sorted by digits, far quicker
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    out[ids[first]] = np.add.reduceat(rows[order], first)
-    return out
+    outs = []
+    for rows in parts:
+        out = np.zeros((n, rows.shape[-1]), np.float32)
+        out[ids[first]] = np.add.reduceat(rows.reshape(-1, rows.shape[-1])[order], first)
+        outs.append(out)
+    return outs
 
 
 class Adam:

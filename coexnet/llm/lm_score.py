@@ -9,11 +9,11 @@ their add-one frequency among all ids of the vocabulary that have no symbol.
 
 What is learned covers the training documents: word counts come from all
 their words, subword counts from all word counts, and the network is
-trained on a piece of ``PIECE_CHARS`` characters of every ``PIECE_EVERY``
-characters of every training document (of shorter stretches where the whole
-corpus has fewer than about ten times ``LEAST_CHARS`` characters), so it grows with them. Training runs in rounds on ``shards``
-tasks: each trains on its share of the round's pieces, and the mean of
-their parameters (a fixed number of fixed size) starts the next round.
+trained on the whole text of every training document, at every size of the
+corpus. Training runs in rounds on ``shards`` tasks or more: each trains on its
+share of the round's documents, about ``SHARD_CHARS`` characters at most, and the
+mean of their parameters starts the next round. The driver meets the parameters
+one task after another.
 
 The network's probability of a word is the product over its subwords. It is
 mixed with the word's share among the training occurrences of frequent words:
@@ -39,15 +39,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coexnet.llm.attention import BLOCK, PAD, RARE, START, SYMBOLS, Adam, Attention, balanced_classes, window_ids, windows
-from coexnet.llm.common import WORD, save, split_words, table, text_slices, word_hashes
+from coexnet.llm.attention import BLOCK, RARE, START, SYMBOLS, Adam, Attention, balanced_classes, window_ids, windows
+from coexnet.llm.common import save, split_words, table, text_slices, word_hashes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT_WORDS = 1 << 20
 HOT_BYTES = 64
 CACHED_WORDS = 200_000
 CACHE_SHARE = 0.5
-PIECE_CHARS, PIECE_EVERY, LEAST_CHARS = 160, 3200, 8_000_000
+SHARD_CHARS = 16_000_000
+SLICE_BYTES = 1 << 20
 ROUNDS, SHARDS, RATE, LEAST_STEPS = 4, 6, 4e-2, 400
 
 
@@ -107,16 +108,14 @@ class Sequences:
     distinct word; start, length: each row's run in ``flat``.
     """
 
-    def __init__(self, texts: pa.Array, cut: Subwords, symbols: Symbols, ends: np.ndarray | None = None):
-        """ends: which rows close with the end (all, if None)."""
+    def __init__(self, texts: pa.Array, cut: Subwords, symbols: Symbols):
         rows = len(texts)
         owner, codes, self.names = split_words(texts)
         ids, n_ids = cut(self.names)
-        ends = np.ones(rows, bool) if ends is None else ends
-        place = np.arange(len(codes)) + (np.cumsum(ends) - ends)[owner]
-        self.codes = np.full(len(codes) + int(ends.sum()), len(self.names), np.int64)
+        place = np.arange(len(codes)) + owner
+        self.codes = np.full(len(codes) + rows, len(self.names), np.int64)
         self.codes[place] = codes
-        self.n_words = np.bincount(owner, minlength=rows) + ends
+        self.n_words = np.bincount(owner, minlength=rows) + 1
         self.owner = np.repeat(np.arange(rows), self.n_words)
         first, n_ids = np.append(np.cumsum(n_ids) - n_ids, len(ids)), np.append(n_ids, 1)
         ids = np.append(ids, len(symbols.of) - 1)
@@ -168,58 +167,48 @@ def subword_counts(words: DataFrame, vocabulary: str, n_docs: int) -> np.ndarray
     return out
 
 
-def training_pieces(docs: DataFrame, rounds: int, shards: int, piece_chars: int = PIECE_CHARS, most_every: int = PIECE_EVERY, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(round, shard, at, piece, begins, ends): one piece of every stretch of ``every`` characters of each document.
-
-    ``every`` is ``most_every``, or less where that would give fewer than ``least_chars`` characters in all. A piece that starts or ends inside the text loses the word that it cuts there.
-    """
-    n = F.length(F.coalesce("text", F.lit("")))
-    total = docs.agg(F.coalesce(F.sum(n), F.lit(0)).alias("n")).first()["n"]
-    every = max(piece_chars, min(most_every, total * piece_chars // least_chars))
-    pieces = docs.select("text", n.alias("n"), F.xxhash64("doc_id", "text").alias("h"), F.posexplode(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / every).cast("int"))).alias("k", "stretch"))
-    at = F.xxhash64("h", "k")
-    begin = F.least(F.col("k") * every + F.pmod(at, F.lit(every + piece_chars)) - piece_chars, F.col("n") - piece_chars)
-    pieces = pieces.withColumns({"at": at, "begin": F.greatest(begin, F.lit(0)).cast("int")})
-    pieces = pieces.withColumns({"begins": F.col("begin") == 0, "ends": F.col("begin") + piece_chars >= F.col("n"), "piece": F.substring(F.coalesce("text", F.lit("")), F.col("begin") + 1, F.lit(piece_chars))})
-    whole = F.when(F.col("begins"), F.col("piece")).otherwise(F.regexp_replace("piece", f"^{WORD}", ""))
-    whole = F.when(F.col("ends"), whole).otherwise(F.regexp_replace(whole, f"{WORD}$", ""))
+def training_texts(docs: DataFrame, rounds: int, shards: int, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, int]:
+    """((round, shard, at, text) of every document, whole, and the number of shards): more than ``shards`` where one would learn from over ``shard_chars`` characters a round."""
+    total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    shards = max(shards, -(-total // (rounds * shard_chars)))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("at"), "text")
     spread = F.pmod(F.xxhash64("at", F.lit(3)), F.lit(rounds * shards))
-    return save(pieces.select((spread % rounds).cast("int").alias("round"), F.floor(spread / rounds).cast("int").alias("shard"), "at", whole.alias("piece"), "begins", "ends"), "lm-pieces")
+    return save(texts.select((spread % rounds).cast("int").alias("round"), F.floor(spread / rounds).cast("int").alias("shard"), "at", "text"), "lm-texts"), shards
 
 
-def _piece_windows(batch: pa.RecordBatch, cut: Subwords, symbols: Symbols):
-    begins, ends = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("begins", "ends"))
-    q = Sequences(batch.column("piece"), cut, symbols, ends)
-    x = shifted(q.flat, q.start, q.length, np.where(begins, START, PAD))
+def _text_windows(batch: pa.RecordBatch, cut: Subwords, symbols: Symbols, most: int):
+    """(ids, targets, real) of all windows of the texts, ``most`` windows at once."""
+    q = Sequences(batch.column("text"), cut, symbols)
+    x = shifted(q.flat, q.start, q.length, np.full(len(q.start), START))
     row, at = windows(q.length)
-    ids, target, real = window_ids(x, q.flat, q.start, q.length, row, at)
-    return ids, target, real & (ids[:, -target.shape[1] :] != PAD)  # nothing to predict from: not learned
+    for a in range(0, len(row), most):
+        yield window_ids(x, q.flat, q.start, q.length, row[a : a + most], at[a : a + most])
 
 
-def neighbour_counts(pieces: DataFrame, vocabulary: str, symbols: Symbols) -> np.ndarray:
-    """How often symbol b follows symbol a in the pieces (SYMBOLS x 2 SYMBOLS: following and preceding)."""
+def neighbour_counts(texts: DataFrame, vocabulary: str, symbols: Symbols) -> np.ndarray:
+    """How often symbol b follows symbol a in the texts (SYMBOLS x 2 SYMBOLS: following and preceding)."""
 
     def count(batches):
         cut, total = Subwords(vocabulary), np.zeros((SYMBOLS, SYMBOLS), np.int64)
-        for b in batches:
-            q = Sequences(b.column("piece"), cut, symbols, b.column("ends").to_numpy(zero_copy_only=False))
+        for b in text_slices(batches, "text", SLICE_BYTES):
+            q = Sequences(b.column("text"), cut, symbols)
             flat, start = q.flat, q.start
             pair = np.ones(max(0, len(flat) - 1), bool)
-            pair[start[(start > 0) & (start < len(flat))] - 1] = False
+            pair[start[start > 0] - 1] = False
             total += np.bincount((flat[:-1] * SYMBOLS + flat[1:])[pair], minlength=SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
         a, b = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], names=["a", "b", "n"])
 
     out = np.zeros((SYMBOLS, SYMBOLS))
-    rows = pieces.where("round = 0").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.where("round = 0").select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
     out[rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return np.concatenate([out, out.T], 1)
 
 
-def train(pieces: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROUNDS, shards: int = SHARDS, rate: float = RATE, batch: int = 128, least_steps: int = LEAST_STEPS) -> Attention:
+def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROUNDS, shards: int = SHARDS, rate: float = RATE, batch: int = 128, least_steps: int = LEAST_STEPS) -> Attention:
     """Rounds of local training with averaged parameters. Reruns agree: shards and their order are fixed by hashes."""
-    spark = pieces.sparkSession
-    model = Attention.fresh(balanced_classes(neighbour_counts(pieces, vocabulary, symbols)), symbols.counts)
+    spark = texts.sparkSession
+    model = Attention.fresh(balanced_classes(neighbour_counts(texts, vocabulary, symbols)), symbols.counts)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast((model.slot, model.to_bytes(), symbols, model))
 
@@ -239,17 +228,15 @@ def train(pieces: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = RO
                     steps += 1
 
             small = []
-            for b in batches:
-                part = _piece_windows(b, cut, sym)
-                if not len(part[0]):
-                    continue
-                weight += int(part[2].sum())
-                held.append(part)
-                if len(small) < 8:
-                    small.append(part)
-                if sum(len(x[0]) for x in held) >= 64 * batch:
-                    epoch(held)
-                    held = []
+            for b in text_slices(batches, "text", SLICE_BYTES):
+                for part in _text_windows(b, cut, sym, 64 * batch):
+                    weight += int(part[2].sum())
+                    held.append(part)
+                    if sum(len(x[0]) for x in small) < least_steps * batch:
+                        small.append(part)
+                    if sum(len(x[0]) for x in held) >= 64 * batch:
+                        epoch(held)
+                        held = []
             if held:
                 epoch(held)
             for _ in range(20):  # a little corpus is gone over again
@@ -259,12 +246,14 @@ def train(pieces: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = RO
             if weight:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([weight]), pa.array([own.to_bytes()])], names=["shard", "weight", "params"])
 
-        part = pieces.where(F.col("round") == r).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "at", "piece")
-        got = sorted(part.mapInArrow(learn, "shard long, weight long, params binary").collect(), key=lambda x: x["shard"])
-        if got:
-            total = sum(x["weight"] for x in got)
-            mean = sum(np.frombuffer(x["params"], np.float32).astype(np.float64) * (x["weight"] / total) for x in got)
-            model = model.from_bytes(mean.astype(np.float32).tobytes())
+        part = texts.where(F.col("round") == r).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "at", "text")
+        got = save(part.mapInArrow(learn, "shard long, weight long, params binary"), "lm-params")
+        total, mean = 0, 0.0
+        for x in got.orderBy("shard").toLocalIterator():  # one at a time
+            total += x["weight"]
+            mean = mean + np.frombuffer(x["params"], np.float32).astype(np.float64) * x["weight"]
+        if total:
+            model = model.from_bytes((mean / total).astype(np.float32).tobytes())
         sent.unpersist()
     return model
 
@@ -293,7 +282,8 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     n_train, n_distinct = n_words + n_docs, distinct + (n_docs > 0)
     least = float(np.log10(1.0 / (n_train + n_distinct + 1)))
     symbols = Symbols(subword_counts(words, vocabulary, n_docs))
-    model = train(training_pieces(learned, rounds, shards), vocabulary, symbols, rounds, shards)
+    texts, shards = training_texts(learned, rounds, shards)
+    model = train(texts, vocabulary, symbols, rounds, shards)
 
     hot_from = max(2, -(-n_train // HOT_WORDS))
     is_hot = (F.col("c") >= hot_from) & (F.octet_length("word") <= HOT_BYTES)

@@ -118,3 +118,17 @@ def test_subword_shares_add_up():
     assert math.isclose((10 ** sym.extra[rare]).sum(), 1, rel_tol=1e-9) and sym.of[-1] != at.RARE and (~rare).sum() == at.SYMBOLS - 1
     q = lm.Sequences(pa.array(["ab cd", None, " "]), cut, sym)
     assert q.n_words.tolist() == [3, 1, 1] and q.length.sum() == len(q.flat) == q.pieces.sum()
+
+
+def test_all_text_is_learned_at_every_size(spark):
+    rows = [(i, f"start{i} " + "some more words, " * 40 * i + f"end{i}") for i in range(12)] + [(20, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (100, 10**9):  # a large corpus and a small one for the number of shards
+        got, shards = lm.training_texts(docs, 2, 3, most)
+        assert sorted(r["text"] or "" for r in got.collect()) == sorted(t or "" for _, t in rows)
+        assert shards == max(3, -(-sum(len(t or "") for _, t in rows) // (2 * most)))
+    cut = lm.Subwords(lm.VOCABULARY)
+    sym = lm.Symbols(np.ones(cut.size + 1))
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
+    parts = list(lm._text_windows(batch, cut, sym, 7))
+    assert sum(int(real.sum()) for _, _, real in parts) == int(lm.Sequences(batch.column("text"), cut, sym).length.sum())
