@@ -200,7 +200,7 @@ def neighbour_counts(texts: DataFrame, vocabulary: str, symbols: Symbols) -> np.
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], names=["a", "b", "n"])
 
     out = np.zeros((SYMBOLS, SYMBOLS))
-    rows = texts.where("round = 0").select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
     out[rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return np.concatenate([out, out.T], 1)
 

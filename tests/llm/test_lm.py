@@ -132,3 +132,13 @@ def test_all_text_is_learned_at_every_size(spark):
     batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in rows])], names=["text"])
     parts = list(lm._text_windows(batch, cut, sym, 7))
     assert sum(int(real.sum()) for _, _, real in parts) == int(lm.Sequences(batch.column("text"), cut, sym).length.sum())
+
+
+def test_neighbours_of_all_rounds_count(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta gamma {i}") for i in range(30)], "doc_id long, text string")
+    cut = lm.Subwords(lm.VOCABULARY)
+    sym = lm.Symbols(np.ones(cut.size + 1))
+    texts, _ = lm.training_texts(docs, 4, 2)
+    assert texts.select("round").distinct().count() == 4
+    q = lm.Sequences(pa.array([r["text"] for r in texts.collect()]), cut, sym)
+    assert lm.neighbour_counts(texts, lm.VOCABULARY, sym)[:, : at.SYMBOLS].sum() == q.length.sum() - len(q.length)
