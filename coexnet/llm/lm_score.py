@@ -16,13 +16,14 @@ mean of their parameters starts the next round. The driver meets the parameters
 one task after another.
 
 The network's probability of a word is the product over its subwords. It is
-mixed with the word's share among the training occurrences of frequent words:
+mixed with the word's share among all training tokens:
 ``(1 - CACHE_SHARE) * network + CACHE_SHARE * share``, which adds up to one
 over all words again; with a share of 0 the network stands alone.
 
-The unigram base needs the count of each word. Words of at least
+The base and the share need the count of each word. Words of at least
 ``1 / HOT_WORDS`` of all training tokens are at most HOT_WORDS, so the 64-bit
-hashes and counts of these are sent to all tasks; all others meet their counts in a join.
+hashes and counts of these are sent to all tasks; all others, with the network's probability of each of their occurrences, meet
+their counts in a join.
 
 Defined cases: null text is empty and has the end as its only token; a null
 id is neither held out nor learned from; rows are scored one by one, so
@@ -291,7 +292,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     hashes = word_hashes(hot["word"])
     order = np.argsort(hashes)
     sent = spark.sparkContext.broadcast((model, symbols, hashes[order], hot["c"].to_numpy()[order]))
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, word array<string>, times array<int>"
+    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, word array<string>, logs array<array<double>>"
     schema = schema.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
 
     def score(batches):
@@ -299,9 +300,8 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         net.frozen()
         cut = Subwords(vocabulary)
         log_c = np.append(np.log10(hot_counts + 1.0), 0.0)
-        # the end counts as a hot word; mass: all occurrences of hot words
-        mass = max(1, int(hot_counts.sum()) + n_docs)
-        cache = np.append(np.log10(np.append(hot_counts, n_docs) / mass + 1e-300), -300.0)
+        # the end counts as a hot word; mass: all training tokens
+        cache = np.append(np.log10(np.append(hot_counts, n_docs) / max(1, n_train) + 1e-300), -300.0)
         row_no = TaskContext.get().partitionId() << 40
         for b in text_slices(batches, "text", 3 << 20):
             q = Sequences(b.column("text"), cut, sym)
@@ -321,21 +321,28 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
             known = np.bincount(q.owner, sure | is_end & (n_docs > 0), minlength=rows).astype(np.int64)
             base = np.bincount(q.owner, np.where(sure, log_c[np.minimum(at, len(hot_counts))], 0), minlength=rows) + np.log10(n_docs + 1.0) + q.n_words * least
             rare = ~sure & ~is_end
-            pair, times = np.unique(q.owner[rare] * width + q.codes[rare], return_counts=True)
+            pair = q.owner[rare] * width + q.codes[rare]
+            order = np.argsort(pair, kind="stable")
+            by_word = mixed[rare][order]
+            pair, first = np.unique(pair[order], return_index=True)
             offsets = np.searchsorted(pair // width, np.arange(rows + 1)).astype(np.int32)
             rare_words = q.names.take(pa.array(pair % width)).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row_no, row_no + rows)), b.column("doc_id"), pa.array(q.n_words.astype(np.int64)), pa.array(known), pa.array(base), pa.array(s)]
-                + [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (rare_words, pa.array(times.astype(np.int32)))],
-                names=["row", "doc_id", "n_tokens", "known", "base", "score", "word", "times"],
+                + [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (rare_words, pa.ListArray.from_arrays(pa.array(np.append(first, len(by_word)).astype(np.int32)), pa.array(by_word)))],
+                names=["row", "doc_id", "n_tokens", "known", "base", "score", "word", "logs"],
             )
             row_no += rows
 
     scored = save(docs.mapInArrow(score, schema), "lm-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
-    found = rare.join(words.where(~is_hot), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain"))
-    out = scored.drop("word", "times").join(found, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score")
+    rare = scored.select("row", F.explode(F.arrays_zip("word", "logs")).alias("x")).select("row", "x.word", "x.logs")
+    # logs: of each occurrence as if the word had no share; with it, log10(10^a + 10^b) = a + max(b - a, 0) + log10(1 + 10^-|b - a|)
+    share = F.log10(F.lit(float(cache_share)) * F.col("c") / F.lit(float(max(1, n_train))))
+    gain = F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.greatest(share - x, F.lit(0.0)) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(share - x)))) if cache_share else F.lit(0.0)
+    times = F.size("logs")
+    found = rare.join(words.where(~is_hot), "word").groupBy("row").agg(F.sum(times).alias("more"), F.sum(times * F.log10(F.col("c") + 1.0)).alias("gain"), F.sum(gain).alias("cached"))
+    out = scored.drop("word", "logs").join(found, "row", "left")
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("cached", F.lit(0.0))).alias("score"))
 
 
 def held_out(id_col):

@@ -142,3 +142,20 @@ def test_neighbours_of_all_rounds_count(spark):
     assert texts.select("round").distinct().count() == 4
     q = lm.Sequences(pa.array([r["text"] for r in texts.collect()]), cut, sym)
     assert lm.neighbour_counts(texts, lm.VOCABULARY, sym)[:, : at.SYMBOLS].sum() == q.length.sum() - len(q.length)
+
+
+def test_share_of_every_known_word_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_STEPS", 2)
+    long = "long" * 30
+    rows = [(1, f"once {long} twice twice the the the the"), (2, "the twice the"), (3, "the once unseen once")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda **k: {r["doc_id"]: r["score"] for r in lm.score_texts(df, lambda c: c < 3, rounds=1, shards=2, **k).collect()}
+    counts = Counter(w for _, t in rows[:2] for w in [*t.split(), None])
+    alone = run(cache_share=1.0)
+    for i, t in rows[:2]:
+        assert math.isclose(alone[i], sum(math.log10(counts[w] / counts.total()) for w in [*t.split(), None]), abs_tol=1e-6)
+    mixed, network = run(), run(cache_share=0.0)
+    monkeypatch.setattr(lm, "HOT_WORDS", 4)  # nearly all words take the join
+    for k, want in (({}, mixed), ({"cache_share": 0.0}, network), ({"cache_share": 1.0}, alone)):
+        got = run(**k)
+        assert all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in want)
