@@ -3,7 +3,12 @@
 A page becomes a tree (start tags close what HTML lets them close, end tags
 without a start are ignored). Parts that never belong to an article (scripts,
 navigation, footers, forms, adverts, notices, reader comments and the like,
-by element, role or class) are cut. Every paragraph then scores 1, plus 1 for
+by element or role) are cut. Class and id names that tell of such a part only cut
+it where it isn't the text: a name that is one (``comments``, ``cookie-notice``)
+unless the part holds an article or main element, one that mentions one
+(``related-posts``) unless it holds those or half of the page's paragraph
+points; parts that are mostly links are cut in both cases. Where nothing would
+be left, names cut nothing. Every paragraph then scores 1, plus 1 for
 each comma and for each 100 characters (3 at most), and passes that to its
 parent, half to its grandparent, a third, a fourth and a fifth further up. An
 ancestor's score is discounted by its link density; the best one, widened to
@@ -55,36 +60,57 @@ WORDS = frozenset(
 HEADER_WORDS = frozenset(("header", "siteheader", "pageheader"))
 #: Of an article or main element only these say that it isn't the text itself.
 INNER = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
+#: Names that hold these among other words are names of layouts.
+WHOLE = frozenset("hidden sidebar widget share sharing social skip".split())
+#: A name that starts or ends so says what a part has, not what it is.
+TELLS = frozenset("has no not with without show allow enabled disabled open closed".split())
+HARD, IS, MENTIONS = 3, 2, 1
+SHARE, DENSE = 0.5, 0.5
 COMMAS = re.compile("[,،、，﹐﹑]")
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _cut(tag: str, attrs: str, in_article: bool) -> bool:
+def _named(names: set[str], words: frozenset[str]) -> int:
+    """IS, MENTIONS or 0: whether one of the names says that a part is, or has to do with, one of the words."""
+    level = 0
+    for name in names:
+        pieces = [w.lower() for w in PIECES.findall(name)]
+        if words.isdisjoint(pieces) or pieces[0] in TELLS or pieces[-1] in TELLS:
+            continue
+        if all(w in words for w in pieces) or pieces[-1] in words - WHOLE:
+            return IS
+        if any(w in words and w not in WHOLE for w in pieces):
+            level = MENTIONS
+    return level
+
+
+def _cut(tag: str, attrs: str, in_article: bool) -> int:
+    """HARD, IS, MENTIONS or 0."""
     if tag in CUT:
-        return True
+        return HARD
     if tag == "header" and not in_article:
-        return True
+        return HARD
     if not attrs:
-        return False
-    words: set[str] = set()
+        return 0
+    names: set[str] = set()
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role" and value.strip().lower() in ROLES and tag not in ("html", "body", "main", "article"):
-            return True
+            return HARD
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return tag not in ("html", "body")
+            return HARD if tag not in ("html", "body") else 0
         if name in ("class", "id"):
-            words.update(w.lower() for w in PIECES.findall(value))
+            names.update(value.split())
     if tag in ("html", "body"):
-        return False
+        return 0
     if tag in ("article", "main"):
-        return bool(words & INNER)
-    return bool(words & WORDS) or not in_article and bool(words & HEADER_WORDS)
+        return _named(names, INNER)
+    return _named(names, WORDS if in_article else WORDS | HEADER_WORDS)
 
 
-def parse(page: str) -> tuple[list[str], list[int], list[bool], list[tuple[int, str | None]]]:
-    """(tags, parents, cut, events) of a page; an event is (node, text), or (node, None) at a block's edge."""
-    tags, parents, cut, inside = ["#root"], [-1], [False], [False]
+def parse(page: str) -> tuple[list[str], list[int], list[bool], list[int], list[tuple[int, str | None]]]:
+    """(tags, parents, cut, named, events) of a page; an event is (node, text), or (node, None) at a block's edge."""
+    tags, parents, cut, named, inside = ["#root"], [-1], [False], [0], [False]
     events: list[tuple[int, str | None]] = []
     stack, at, end = [0], 0, len(page)
     while at < end:
@@ -136,7 +162,9 @@ def parse(page: str) -> tuple[list[str], list[int], list[bool], list[tuple[int,
         tags.append(tag)
         parents.append(up)
         inside.append(inside[up] or tag in ("article", "main"))
-        cut.append(cut[up] or _cut(tag, attrs, inside[up]))
+        level = HARD if cut[up] else _cut(tag, attrs, inside[up])
+        cut.append(level == HARD)
+        named.append(0 if level == HARD else level)
         if tag in BLOCK:
             events.append((node, None))
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "math"):
@@ -146,21 +174,12 @@ def parse(page: str) -> tuple[list[str], list[int], list[bool], list[tuple[int,
             at = shut.end() if shut else end
             continue
         stack.append(node)
-    return tags, parents, cut, events
+    return tags, parents, cut, named, events
 
 
-def main_text(page: str | None) -> str:
-    """The blocks of the page's article joined by empty lines."""
-    if not page:
-        return ""
-    tags, parents, cut, events = parse(page)
-    n = len(tags)
-    decode = lambda s: entities.unescape(s) if "&" in s else s
-    texts = [(i, t if t is None or cut[i] else decode(t)) for i, t in events]
-    block, linked = list(range(n)), [False] * n
-    for i in range(1, n):
-        block[i] = i if tags[i] in BLOCK else block[parents[i]]
-        linked[i] = tags[i] == "a" or linked[parents[i]]
+def _measure(tags, parents, cut, block, linked, texts):
+    """(cut, own, gains, points, size, density) of the nodes; lists of links join ``cut``."""
+    n, cut = len(tags), cut[:]
     own, commas, size, links, n_links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for i, t in texts:
         if t is not None and not cut[i]:
@@ -177,10 +196,11 @@ def main_text(page: str | None) -> str:
         if not cut[i]:
             cut[i] = cut[parents[i]] or tags[i] in ("ul", "ol", "table", "div", "dl") and n_links[i] >= 3 and links[i] > 0.8 * size[i]
     density = [links[i] / size[i] if size[i] else 0.0 for i in range(n)]
-    points = [0.0] * n
+    points, gains = [0.0] * n, [0.0] * n
     for i in range(1, n):
         if own[i] >= 25 and tags[i] in PARAGRAPH and not cut[i]:
             gain, up = (1 + commas[i] + min(own[i] // 100, 3)) * (1 - density[i]), parents[i]
+            gains[i] = gain
             if tags[i] in ("div", "section", "article", "main", "body"):
                 up = i
             for share in (1, 2, 3, 4, 5):
@@ -188,6 +208,43 @@ def main_text(page: str | None) -> str:
                     break
                 points[up] += gain / share
                 up = parents[up]
+    return cut, own, gains, points, size, density
+
+
+def _cut_named(tags, parents, cut, named, gains, size, density) -> list[bool]:
+    """``cut`` with the parts that their names cut."""
+    n = len(tags)
+    total, holds = gains[:], [False] * n
+    for i in range(n - 1, 0, -1):
+        total[parents[i]] += total[i]
+        if holds[i] or tags[i] in ("article", "main") and not cut[i] and named[i] == 0:
+            holds[parents[i]] = True
+    if total[0] <= 0:
+        total = size
+    out = cut[:]
+    for i in range(1, n):
+        text = holds[i] or named[i] == MENTIONS and total[i] > 0 and total[i] >= SHARE * total[0]
+        out[i] = cut[i] or out[parents[i]] or named[i] > 0 and (not text or density[i] > DENSE)
+    return out
+
+
+def main_text(page: str | None) -> str:
+    """The blocks of the page's article joined by empty lines."""
+    if not page:
+        return ""
+    tags, parents, cut, named, events = parse(page)
+    n = len(tags)
+    decode = lambda s: entities.unescape(s) if "&" in s else s
+    texts = [(i, t if t is None or cut[i] else decode(t)) for i, t in events]
+    block, linked = list(range(n)), [False] * n
+    for i in range(1, n):
+        block[i] = i if tags[i] in BLOCK else block[parents[i]]
+        linked[i] = tags[i] == "a" or linked[parents[i]]
+    cut, own, gains, points, size, density = _measure(tags, parents, cut, block, linked, texts)
+    if any(named):
+        part = _measure(tags, parents, _cut_named(tags, parents, cut, named, gains, size, density), block, linked, texts)
+        if part[4][0]:
+            cut, own, _, points, size, density = part
     rank = [points[i] * (1 - density[i]) for i in range(n)]
     best = max(range(n), key=lambda i: (rank[i], -i))
     keep = [False] * n
@@ -203,12 +260,12 @@ def main_text(page: str | None) -> str:
             around = parents[around]
         keep[top] = True
         if tags[top] not in ("article", "main"):
-            least = max(10.0, 0.2 * rank[best])
+            least = 0.2 * rank[best]
             for i in range(1, n):
                 if parents[i] == parents[top] and i != top and not cut[i]:
                     prose = tags[i] == "p" and (own[i] > 80 and density[i] < 0.25 or 0 < own[i] and not links[i])
                     title = tags[i] in ("h1", "h2", "h3") and i < top and not links[i]
-                    keep[i] = rank[i] >= least or prose or title
+                    keep[i] = rank[i] >= least and rank[i] > 0 or prose or title
     for i in range(1, n):
         keep[i] = keep[i] or keep[parents[i]]
     blocks, part, last = [], [], -1

@@ -47,3 +47,30 @@ def test_frame(spark):
     got = [tuple(r) for r in extract_main_text(df).collect()]
     assert sorted(got, key=str) == [(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0)]
     assert extract_main_text(df.limit(0)).count() == 0
+
+
+TEXT = "<p>A paragraph, of the article, with commas, and enough words, to be one.</p>"
+MORE = "<p>One more of them, with other words, after the first, to be kept.</p>"
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['div class="content with-sidebar"', 'div class="overflow-hidden"', 'div id="main" class="no-sidebar"', 'div class="elementor-widget"', 'section class="post comments-enabled"', 'div class="has-comments"', 'div class="share-layout"', 'div class="promo-page"', 'div class="widget"', 'main class="ads-enabled"'],
+)
+def test_names_of_layouts_keep_the_article(wrapper):
+    tag = wrapper.split()[0]
+    foot = "<div class='related-posts'><p>Other things, to read, on this site.</p></div>"
+    for rest in ("", foot) if wrapper != 'div class="widget"' else ("",):
+        assert main_text(f"<body><{wrapper}>{TEXT}{MORE}</{tag}>{rest}</body>") == main_text(f"<body><div>{TEXT}{MORE}</div></body>")
+
+
+def test_names_still_cut_what_is_not_the_text():
+    long = "<p>A reader says, with many words, and commas, that it is good, or bad.</p>" * 9
+    for name in ("id=comments", "class=reader-comments", "class='cookie-notice'"):
+        assert main_text(f"<body><div>{TEXT}</div><div {name}>{long}</div></body>") == main_text(f"<body><div>{TEXT}</div></body>")
+    assert main_text(f"<div class=ad>{TEXT}</div><p>Short text.</p>") == "Short text."
+    assert "article" in main_text(f"<div class='modal'><article>{TEXT}</article></div>")
+
+
+def test_shorter_part_of_an_article_is_kept():
+    assert main_text(f"<body><div class=a>{TEXT}{TEXT}</div><div class=b>{MORE}</div></body>").endswith("to be kept.")
