@@ -2,7 +2,7 @@
 
 An item of ``m`` characters that occurs in a text with at most ``k`` edits
 (``k = floor(edit_rate * m)``) keeps at least ``m - q + 1 - k * q`` of its
-q-grams, and all of them lie on diagonals (text position minus item position)
+q-grams (``q = min(Q, m // (k + 1))``, so that this is 1 or more), and all of them lie on diagonals (text position minus item position)
 within ``k`` of the occurrence's start. So shared q-grams are counted per item
 in diagonal bands of ``2 * (2k + 1)`` that overlap by half; every occurrence
 lies wholly in one band. Bands that reach the bound are verified by a banded
@@ -19,8 +19,7 @@ tasks is bounded however many items there are; each block takes a pass over
 the documents. A document's whole text is searched; nothing is grouped, so
 there is no skew to speak of.
 
-Defined cases: null and blank items match nothing; items shorter than ``2 q``
-use q-grams of half their length; null text matches nothing; rows are treated
+Defined cases: null and blank items match nothing; null text matches nothing; rows are treated
 one by one, so repeated rows repeat; equal items each report; null item ids
 are reported as null; empty tables give no rows. Only the named columns are
 read.
@@ -117,8 +116,8 @@ class ItemIndex:
             c = c[:-1] if len(c) and c[-1] == 32 else c
             if not len(c):
                 continue
-            g = q if len(c) >= 2 * q else max(1, len(c) // 2)
-            k = min(int(edit_rate * len(c)), (len(c) - g) // g)
+            k = int(edit_rate * len(c))
+            g = max(1, min(q, len(c) // (k + 1)))
             parts.setdefault(g, []).append((grams(c, g), len(self.ids)))
             self.ids.append(item_id)
             self.chars.append(c)

@@ -69,3 +69,14 @@ def test_empty(spark):
     assert dc.find_items(docs(spark), items(spark).limit(0)).count() == 0
     assert dc.drop_contaminated(docs(spark), items(spark).limit(0)).count() == 8
     assert dc.ItemIndex([(1, "ab")]).find("xx AB yy") == [(1, 3, 5, 0)]
+
+
+def test_short_items_keep_their_edits():
+    for m in range(10, 45):
+        item = "".join(chr(ord("a") + (i * i * 7 + i * 3 + i // 5) % 26) for i in range(m))
+        k = m // 10
+        near = list(item)
+        for e in range(k):
+            near[(e + 1) * m // (k + 1)] = "#"
+        hits = dc.ItemIndex([(1, item)]).find("%% " + "".join(near) + " %%")
+        assert [h[0] for h in hits] and min(h[3] for h in hits) <= k, m
