@@ -2,7 +2,7 @@
 
 Input symbols index tables of queries, keys, values and embeddings. A position
 attends to itself and to the positions before it in its window, with a learned bias per
-distance; ``h = tanh(embedding + attention)`` predicts the next symbol in two
+distance; ``h = tanh(embedding + attention)`` alone predicts the next symbol in two
 soft-max steps of about the square root of the vocabulary each: its class,
 then the member of that class. Classes come from splitting symbols in halves along
 the main direction of their neighbour counts.
@@ -17,10 +17,9 @@ from __future__ import annotations
 
 import numpy as np
 
-SPAN, STRIDE, WIDTH, SIDE = 32, 16, 24, 32
+SPAN, STRIDE, WIDTH, SIDE = 24, 16, 32, 32
 SYMBOLS = SIDE * SIDE  # the last one stands for all rare subwords
 RARE, START, PAD = SYMBOLS - 1, SYMBOLS, SYMBOLS + 1
-TABLES = ("query", "key", "value", "embed", "bigram")
 BLOCK = 512
 
 
@@ -61,7 +60,7 @@ class Attention:
         by_slot = np.zeros(SYMBOLS)
         by_slot[slot] = counts + 0.5
         grid = by_slot.reshape(SIDE, SIDE)
-        p["bigram"] = np.tile(np.log(grid.sum(1) / grid.sum()).astype(np.float32), (SYMBOLS + 2, 1))
+        p["class"] = np.log(grid.sum(1) / grid.sum()).astype(np.float32)
         p["member"] = np.log(grid / grid.sum(1, keepdims=True)).astype(np.float32)
         p |= {"to_class": draw(WIDTH, SIDE), "to_member": draw(WIDTH, SIDE), "gate": 1 + draw(SIDE, WIDTH), "bias": np.zeros(SPAN, np.float32)}
         return cls(slot, p)
@@ -93,7 +92,7 @@ class Attention:
         slot = self.slot[target]
         c, m = slot // SIDE, slot % SIDE
         flat = h.reshape(-1, WIDTH)
-        lc = (flat @ p["to_class"]).reshape(*c.shape, SIDE) + p["bigram"][q_ids]
+        lc = (flat @ p["to_class"]).reshape(*c.shape, SIDE) + p["class"]
         u = h * p["gate"][c]
         lm = (u.reshape(-1, WIDTH) @ p["to_member"]).reshape(*c.shape, SIDE) + p["member"][c]
         return q_ids, q, k, v, a, h, c, m, lc, u, lm
@@ -103,7 +102,7 @@ class Attention:
         p = self.p
         self._near = np.where(self.seen, p["bias"][self.distance], np.float32(-1e9)).astype(np.float32)
         self._memory = np.concatenate([p["key"] * np.float32(WIDTH**-0.5), p["value"]], 1)
-        self._local = np.concatenate([p["query"], p["embed"], p["bigram"]], 1)
+        self._local = np.concatenate([p["query"], p["embed"]], 1)
         self._choice = np.concatenate([p["gate"], p["member"]], 1)
         return self
 
@@ -128,14 +127,14 @@ class Attention:
             total = a.sum(-1).ravel()[:, None]
             h = np.matmul(a, memory[..., WIDTH:]).reshape(-1, WIDTH)
             h /= total
-            h += local[:, WIDTH : 2 * WIDTH]
+            h += local[:, WIDTH:]
             np.tanh(h, out=h)
             slot = self.slot[target.ravel()]
             c, m = slot // SIDE, slot % SIDE
             at = np.arange(len(slot))
             choice = self._choice[c]
             lc = h @ p["to_class"]
-            lc += local[:, 2 * WIDTH :]
+            lc += p["class"]
             h *= choice[:, :WIDTH]
             lm = h @ p["to_member"]
             lm += choice[:, WIDTH:]
@@ -176,9 +175,9 @@ class Attention:
         da = ds @ v.transpose(0, 2, 1)
         da = a * (da - (da * a).sum(-1, keepdims=True))
         root = np.float32(WIDTH**-0.5)
-        g = {"to_class": fl(h).T @ fl(dc), "to_member": fl(u).T @ fl(dm)}
+        g = {"to_class": fl(h).T @ fl(dc), "to_member": fl(u).T @ fl(dm), "class": fl(dc).sum(0)}
         g["bias"] = np.bincount(self.distance.ravel(), da.sum(0).ravel(), minlength=SPAN).astype(np.float32)
-        g["bigram"], g["embed"], g["query"] = _scatter(q_ids, (dc, ds, (da @ k) * root), SYMBOLS + 2)
+        g["embed"], g["query"] = _scatter(q_ids, (ds, (da @ k) * root), SYMBOLS + 2)
         g["key"], g["value"] = _scatter(ids, ((da.transpose(0, 2, 1) @ q) * root, a.transpose(0, 2, 1) @ ds), SYMBOLS + 2)
         g["member"], g["gate"] = _scatter(c, (dm, du * h), SIDE)
         return g

@@ -10,20 +10,21 @@ their add-one frequency among all ids of the vocabulary that have no symbol.
 What is learned covers the training documents: word counts come from all
 their words, subword counts from all word counts, and the network is
 trained on the whole text of every training document, at every size of the
-corpus. Training runs in rounds on ``shards`` tasks or more: each trains on its
-share of the round's documents, about ``SHARD_CHARS`` characters at most, and the
-mean of their parameters starts the next round. The driver meets the parameters
-one task after another.
-
-The network's probability of a word is the product over its subwords. It is
-mixed with the word's share among all training tokens:
-``(1 - CACHE_SHARE) * network + CACHE_SHARE * share``, which adds up to one
-over all words again; with a share of 0 the network stands alone.
-
-The base and the share need the count of each word. Words of at least
+corpus; a corpus that would leave a round under ``LEAST_CHARS`` characters has its
+documents in more rounds than one, and one under ``LEAST_STEPS`` steps is gone over again. Training runs in rounds; in each, one task trains on every
+``SHARD_CHARS`` characters of the round's documents, so the tasks grow with the
+corpus, and the mean of their parameters, weighted by targets, starts the next
+round. The parameters are added up in ``PARAM_BLOCKS`` blocks by tasks of their
+own; one set of them reaches the driver, whatever the number of shards.
+
+A text's score is the network's alone: the sum over the subwords of all its
+words, and its end. A word that the vocabulary cuts into nothing counts as its
+unknown piece.
+
+The base needs the count of each word. Words of at least
 ``1 / HOT_WORDS`` of all training tokens are at most HOT_WORDS, so the 64-bit
-hashes and counts of these are sent to all tasks; all others, with the network's probability of each of their occurrences, meet
-their counts in a join.
+hashes and counts of these are sent to all tasks; all others meet their counts
+in a join, once for each text that holds them.
 
 Defined cases: null text is empty and has the end as its only token; a null
 id is neither held out nor learned from; rows are scored one by one, so
@@ -47,10 +48,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT_WORDS = 1 << 20
 HOT_BYTES = 64
 CACHED_WORDS = 200_000
-CACHE_SHARE = 0.5
-SHARD_CHARS = 16_000_000
+SHARD_CHARS, LEAST_CHARS = 8_000_000, 2_500_000
+PARAM_BLOCKS = 64
 SLICE_BYTES = 1 << 20
-ROUNDS, SHARDS, RATE, LEAST_STEPS = 4, 6, 4e-2, 400
+ROUNDS, RATE, LEAST_STEPS = 4, 3e-2, 500
 
 
 class Subwords:
@@ -64,6 +65,7 @@ class Subwords:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
+        self.unknown = [max(0, self.model.unk_id())]
         self.known: dict[str, list[int]] = {}
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +73,7 @@ class Subwords:
         names = words.to_numpy(zero_copy_only=False).tolist() if len(words) else []
         new = [w for w in names if w not in self.known]
         fresh = dict(zip(new, self.model.encode(new, num_threads=1), strict=True)) if new else {}
-        cut = [self.known.get(w) or fresh[w] for w in names]
+        cut = [self.known.get(w) or fresh[w] or self.unknown for w in names]
         if len(self.known) + len(fresh) > CACHED_WORDS:
             self.known = {}
         self.known.update((w, x) for w, x in fresh.items() if x and len(w) <= HOT_BYTES)
@@ -168,13 +170,15 @@ def subword_counts(words: DataFrame, vocabulary: str, n_docs: int) -> np.ndarray
     return out
 
 
-def training_texts(docs: DataFrame, rounds: int, shards: int, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, int]:
-    """((round, shard, at, text) of every document, whole, and the number of shards): more than ``shards`` where one would learn from over ``shard_chars`` characters a round."""
+def training_texts(docs: DataFrame, rounds: int, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, int]:
+    """((round, shard, at, text) of every document, whole, and the number of shards of about ``shard_chars`` characters a round)."""
     total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    shards = max(shards, -(-total // (rounds * shard_chars)))
+    times = max(1, min(rounds, -(-rounds * LEAST_CHARS // max(1, total))))  # rounds that a document is in
+    shards = max(1, -(-total * times // (rounds * shard_chars)))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("at"), "text")
     spread = F.pmod(F.xxhash64("at", F.lit(3)), F.lit(rounds * shards))
-    return save(texts.select((spread % rounds).cast("int").alias("round"), F.floor(spread / rounds).cast("int").alias("shard"), "at", "text"), "lm-texts"), shards
+    each = F.explode(F.array(*(((spread + k) % rounds).cast("int") for k in range(times)))).alias("round")
+    return save(texts.select(each, F.floor(spread / rounds).cast("int").alias("shard"), "at", "text"), "lm-texts"), shards
 
 
 def _text_windows(batch: pa.RecordBatch, cut: Subwords, symbols: Symbols, most: int):
@@ -206,7 +210,7 @@ def neighbour_counts(texts: DataFrame, vocabulary: str, symbols: Symbols) -> np.
     return np.concatenate([out, out.T], 1)
 
 
-def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROUNDS, shards: int = SHARDS, rate: float = RATE, batch: int = 128, least_steps: int = LEAST_STEPS) -> Attention:
+def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROUNDS, shards: int = 1, rate: float = RATE, batch: int = 128, least_steps: int = LEAST_STEPS) -> Attention:
     """Rounds of local training with averaged parameters. Reruns agree: shards and their order are fixed by hashes."""
     spark = texts.sparkSession
     model = Attention.fresh(balanced_classes(neighbour_counts(texts, vocabulary, symbols)), symbols.counts)
@@ -245,20 +249,32 @@ def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROU
                     break
                 epoch(small)
             if weight:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([weight]), pa.array([own.to_bytes()])], names=["shard", "weight", "params"])
+                flat = np.frombuffer(own.to_bytes(), np.float32)
+                parts = [x.tobytes() for x in np.array_split(flat, PARAM_BLOCKS)]
+                shard = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array(range(PARAM_BLOCKS), pa.int32()), pa.array([shard] * PARAM_BLOCKS), pa.array([weight] * PARAM_BLOCKS), pa.array(parts)], names=["block", "shard", "weight", "params"])
 
         part = texts.where(F.col("round") == r).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "at", "text")
-        got = save(part.mapInArrow(learn, "shard long, weight long, params binary"), "lm-params")
-        total, mean = 0, 0.0
-        for x in got.orderBy("shard").toLocalIterator():  # one at a time
-            total += x["weight"]
-            mean = mean + np.frombuffer(x["params"], np.float32).astype(np.float64) * x["weight"]
-        if total:
-            model = model.from_bytes((mean / total).astype(np.float32).tobytes())
+        got = save(part.mapInArrow(learn, "block int, shard long, weight long, params binary"), "lm-params")
+        rows = got.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_add_up, "block int, weight long, params binary").collect()
+        if rows:
+            mean = np.concatenate([np.frombuffer(x["params"], np.float64) / x["weight"] for x in sorted(rows, key=lambda x: x["block"])])
+            model = model.from_bytes(mean.astype(np.float32).tobytes())
         sent.unpersist()
     return model
 
 
+def _add_up(batches):
+    """(block, weight, weighted sum) of the parameters of each block, in the order of the shards; holds one sum a block."""
+    sums: dict[int, tuple[int, np.ndarray]] = {}
+    for b in batches:
+        for k, weight, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            part = np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) * weight
+            total, held = sums.get(k, (0, 0.0))
+            sums[k] = total + weight, held + part
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([w for w, _ in sums.values()], pa.int64()), pa.array([x.tobytes() for _, x in sums.values()], pa.binary())], names=["block", "weight", "params"])
+
+
 def symbol_logs(model: Attention, flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """log10 probability of every symbol given its row so far; each is scored in one window."""
     x = shifted(flat, start, length, np.full(len(start), START))
@@ -272,7 +288,7 @@ def symbol_logs(model: Attention, flat: np.ndarray, start: np.ndarray, length: n
     return out / np.log(10)
 
 
-def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rounds: int = ROUNDS, shards: int = SHARDS, cache_share: float = CACHE_SHARE) -> DataFrame:
+def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rounds: int = ROUNDS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows whose id passes ``training``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -283,7 +299,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     n_train, n_distinct = n_words + n_docs, distinct + (n_docs > 0)
     least = float(np.log10(1.0 / (n_train + n_distinct + 1)))
     symbols = Symbols(subword_counts(words, vocabulary, n_docs))
-    texts, shards = training_texts(learned, rounds, shards)
+    texts, shards = training_texts(learned, rounds, shard_chars)
     model = train(texts, vocabulary, symbols, rounds, shards)
 
     hot_from = max(2, -(-n_train // HOT_WORDS))
@@ -292,7 +308,7 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     hashes = word_hashes(hot["word"])
     order = np.argsort(hashes)
     sent = spark.sparkContext.broadcast((model, symbols, hashes[order], hot["c"].to_numpy()[order]))
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, word array<string>, logs array<array<double>>"
+    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, word array<string>, times array<int>"
     schema = schema.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
 
     def score(batches):
@@ -300,49 +316,36 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
         net.frozen()
         cut = Subwords(vocabulary)
         log_c = np.append(np.log10(hot_counts + 1.0), 0.0)
-        # the end counts as a hot word; mass: all training tokens
-        cache = np.append(np.log10(np.append(hot_counts, n_docs) / max(1, n_train) + 1e-300), -300.0)
         row_no = TaskContext.get().partitionId() << 40
         for b in text_slices(batches, "text", 3 << 20):
             q = Sequences(b.column("text"), cut, sym)
             rows, width = b.num_rows, max(1, len(q.names))
-            word = np.repeat(np.arange(len(q.codes)), q.pieces)
-            by_net = np.bincount(word, symbol_logs(net, q.flat, q.start, q.length), minlength=len(q.codes)) + q.extra[q.codes]
+            pieces = np.repeat(q.owner, q.pieces)
+            s = np.bincount(pieces, symbol_logs(net, q.flat, q.start, q.length), minlength=rows) + np.bincount(q.owner, q.extra[q.codes], minlength=rows)
             own = word_hashes(q.names)
             at = np.searchsorted(hot_words, own)
             hit = at < len(hot_words)
             hit[hit] = hot_words[at[hit]] == own[hit]
-            at = np.append(np.where(hit, at, len(hot_counts) + 1), len(hot_counts))[q.codes]
-            by_cache = cache[at] if cache_share and n_docs else np.full(len(at), -300.0)
-            top = np.maximum(by_net, by_cache)
-            mixed = top + np.log10((1 - cache_share) * 10.0 ** (by_net - top) + cache_share * 10.0 ** (by_cache - top))
-            s = np.bincount(q.owner, mixed, minlength=rows)
+            at = np.append(np.where(hit, at, len(hot_counts)), len(hot_counts))[q.codes]  # the last place: rare, or the end
             is_end, sure = q.codes == len(q.names), at < len(hot_counts)
             known = np.bincount(q.owner, sure | is_end & (n_docs > 0), minlength=rows).astype(np.int64)
-            base = np.bincount(q.owner, np.where(sure, log_c[np.minimum(at, len(hot_counts))], 0), minlength=rows) + np.log10(n_docs + 1.0) + q.n_words * least
+            base = np.bincount(q.owner, log_c[at], minlength=rows) + np.log10(n_docs + 1.0) + q.n_words * least
             rare = ~sure & ~is_end
-            pair = q.owner[rare] * width + q.codes[rare]
-            order = np.argsort(pair, kind="stable")
-            by_word = mixed[rare][order]
-            pair, first = np.unique(pair[order], return_index=True)
+            pair, times = np.unique(q.owner[rare] * width + q.codes[rare], return_counts=True)
             offsets = np.searchsorted(pair // width, np.arange(rows + 1)).astype(np.int32)
             rare_words = q.names.take(pa.array(pair % width)).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(row_no, row_no + rows)), b.column("doc_id"), pa.array(q.n_words.astype(np.int64)), pa.array(known), pa.array(base), pa.array(s)]
-                + [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (rare_words, pa.ListArray.from_arrays(pa.array(np.append(first, len(by_word)).astype(np.int32)), pa.array(by_word)))],
-                names=["row", "doc_id", "n_tokens", "known", "base", "score", "word", "logs"],
+                + [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (rare_words, pa.array(times.astype(np.int32)))],
+                names=["row", "doc_id", "n_tokens", "known", "base", "score", "word", "times"],
             )
             row_no += rows
 
     scored = save(docs.mapInArrow(score, schema), "lm-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("word", "logs")).alias("x")).select("row", "x.word", "x.logs")
-    # logs: of each occurrence as if the word had no share; with it, log10(10^a + 10^b) = a + max(b - a, 0) + log10(1 + 10^-|b - a|)
-    share = F.log10(F.lit(float(cache_share)) * F.col("c") / F.lit(float(max(1, n_train))))
-    gain = F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.greatest(share - x, F.lit(0.0)) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(share - x)))) if cache_share else F.lit(0.0)
-    times = F.size("logs")
-    found = rare.join(words.where(~is_hot), "word").groupBy("row").agg(F.sum(times).alias("more"), F.sum(times * F.log10(F.col("c") + 1.0)).alias("gain"), F.sum(gain).alias("cached"))
-    out = scored.drop("word", "logs").join(found, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("cached", F.lit(0.0))).alias("score"))
+    rare = scored.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
+    found = rare.join(words.where(~is_hot), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain"))
+    out = scored.drop("word", "times").join(found, "row", "left")
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score")
 
 
 def held_out(id_col):
