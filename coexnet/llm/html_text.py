@@ -3,11 +3,12 @@
 A page becomes a tree (start tags close what HTML lets them close, end tags
 without a start are ignored). Parts that never belong to an article (scripts,
 navigation, footers, forms, adverts, notices, reader comments and the like,
-by element or role) are cut. Class and id names that tell of such a part only cut
-it where it isn't the text: a name that is one (``comments``, ``cookie-notice``)
-unless the part holds an article or main element, one that mentions one
-(``related-posts``) unless it holds those or half of the page's paragraph
-points; parts that are mostly links are cut in both cases. Where nothing would
+by element or role) are cut. Class and id names only cut where they are names of such a
+part as a whole and it isn't the text: a name made of such words alone, or that ends in one (``comments``,
+``cookie-notice``), unless the part holds an article or main element; one of such words and
+words for a box or a list (``related-posts``), unless it holds those or half of the page's paragraph
+points; parts that are mostly links are cut in both cases, and where a name has such a word among others
+(``related-work``) only those are. Where nothing would
 be left, names cut nothing. Every paragraph then scores 1, plus 1 for
 each comma and for each 100 characters (3 at most), and passes that to its
 parent, half to its grandparent, a third, a fourth and a fifth further up. An
@@ -15,6 +16,10 @@ ancestor's score is discounted by its link density; the best one, widened to
 the article or main element around it, is the container. Its siblings are
 kept where they score at least a fifth of it or are paragraphs of prose.
 
+Parsing takes time in proportion to the page: the ends of tags are looked up
+in a list of quotes and angles made once, and the depths of open elements are kept by name, so
+neither open quotes nor deep nests are searched again and again.
+
 Blocks are the runs of text between block elements, in page order, with
 character references decoded and white space turned into single spaces.
 
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +43,9 @@ from pyspark.sql import types as T
 
 from coexnet.llm.common import table, text_slices
 
-TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^<>]*)>|[!?/][^>]*>)""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>]*)")
+COMMENT_END = re.compile("--!?>")
+SPECIAL, ANGLE = re.compile("[\"'>]"), re.compile("[<>]")
 ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|\Z)""", re.I | re.S)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,32 +68,33 @@ WORDS = frozenset(
 HEADER_WORDS = frozenset(("header", "siteheader", "pageheader"))
 #: Of an article or main element only these say that it isn't the text itself.
 INNER = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
-#: Names that hold these among other words are names of layouts.
+#: Names that end in these among other words are names of layouts.
 WHOLE = frozenset("hidden sidebar widget share sharing social skip".split())
-#: A name that starts or ends so says what a part has, not what it is.
+#: Words for boxes and lists, which add nothing to what a name says.
+BOXES = frozenset("area articles bar block body box bottom button buttons col column container content entries feed form group head heading holder icons inner items left links list main media module outer page panel post posts right row section site slot stories thread top unit wrap wrapper zone".split())
+#: A name with one of these says what a part has, not what it is.
 TELLS = frozenset("has no not with without show allow enabled disabled open closed".split())
-HARD, IS, MENTIONS = 3, 2, 1
-SHARE, DENSE = 0.5, 0.5
+HARD, IS, LIKELY, MENTIONS = 4, 3, 2, 1
+SHARE, DENSE, SIBLING = 0.5, 0.5, 0.2
 COMMAS = re.compile("[,،、，﹐﹑]")
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 def _named(names: set[str], words: frozenset[str]) -> int:
-    """IS, MENTIONS or 0: whether one of the names says that a part is, or has to do with, one of the words."""
+    """IS, LIKELY, MENTIONS or 0: whether one of the names says that a part is, may be, or has to do with, one of the words."""
     level = 0
     for name in names:
         pieces = [w.lower() for w in PIECES.findall(name)]
-        if words.isdisjoint(pieces) or pieces[0] in TELLS or pieces[-1] in TELLS:
+        if words.isdisjoint(pieces) or not TELLS.isdisjoint(pieces):
             continue
         if all(w in words for w in pieces) or pieces[-1] in words - WHOLE:
             return IS
-        if any(w in words and w not in WHOLE for w in pieces):
-            level = MENTIONS
+        level = max(level, LIKELY if all(w in words or w in BOXES for w in pieces) else MENTIONS)
     return level
 
 
 def _cut(tag: str, attrs: str, in_article: bool) -> int:
-    """HARD, IS, MENTIONS or 0."""
+    """HARD, IS, LIKELY, MENTIONS or 0."""
     if tag in CUT:
         return HARD
     if tag == "header" and not in_article:
@@ -108,77 +117,130 @@ def _cut(tag: str, attrs: str, in_article: bool) -> int:
     return _named(names, WORDS if in_article else WORDS | HEADER_WORDS)
 
 
+def tokens(page: str):
+    """(start, end, closing, name, attributes) of the page's tags and, with a name of None, of its comments and declarations."""
+    marks = [m.start() for m in SPECIAL.finditer(page)]
+    never: set[int] = set()  # quotes from which no tag's end is reached
+    last = {q: page.rfind(q) for q in "\"'>"}
+
+    def tag_end(at: int) -> int:
+        met = []
+        k = bisect_left(marks, at)
+        while k < len(marks) and marks[k] not in never:
+            at = marks[k]
+            if page[at] == ">":
+                return at
+            met.append(at)
+            if last[page[at]] <= at:
+                break
+            k = bisect_left(marks, page.find(page[at], at + 1) + 1)
+        never.update(met)
+        return -1
+
+    at = page.find("<")
+    while 0 <= at < last[">"]:
+        m = NAME.match(page, at + 1)
+        if m:
+            end = tag_end(m.end())
+            if end < 0:  # a quote that never ends is an attribute's text
+                angle = ANGLE.search(page, m.end())
+                end = angle.start() if angle and angle[0] == ">" else -1
+            if end >= 0:
+                after = yield at, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+                at = page.find("<", max(end + 1, after or 0))
+                continue
+        elif page.startswith("!--", at + 1):
+            m = COMMENT_END.search(page, at + 4)
+            end = m.end() if m else len(page)
+            yield at, end, False, None, ""
+            at = page.find("<", end)
+            continue
+        elif page[at + 1] in "!?/":
+            end = page.find(">", at) + 1
+            yield at, end, False, None, ""
+            at = page.find("<", end)
+            continue
+        at = page.find("<", at + 1)
+    if at >= 0 and (at := page.find("<!--", at)) >= 0:
+        yield at, len(page), False, None, ""
+
+
 def parse(page: str) -> tuple[list[str], list[int], list[bool], list[int], list[tuple[int, str | None]]]:
     """(tags, parents, cut, named, events) of a page; an event is (node, text), or (node, None) at a block's edge."""
     tags, parents, cut, named, inside = ["#root"], [-1], [False], [0], [False]
     events: list[tuple[int, str | None]] = []
-    stack, at, end = [0], 0, len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        start = m.start() if m else end
+    stack, at = [0], 0
+    depths: dict[str, list[int]] = {}  # where the open elements of a name are in the stack
+
+    def depth(*names: str) -> int:
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
+    def pop(to: int) -> bool:
+        """Closes the elements from depth ``to`` on; was a block among them?"""
+        block = False
+        while len(stack) > to:
+            name = tags[stack.pop()]
+            depths[name].pop()
+            block = block or name in BLOCK
+        return block
+
+    source = tokens(page)
+    token = next(source, None)
+    while token:
+        start, end, close, tag, attrs = token
         if start > at:
             events.append((stack[-1], page[at:start]))
-        if not m:
-            break
-        at = m.end()
-        close, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if name is None:
-            continue
-        tag = name.lower()
-        if close:
-            if tag == "p" and not any(tags[i] == "p" for i in stack) or tag == "br":
+        at, skip = end, None
+        if tag is None:
+            pass
+        elif close:
+            k = depth(tag)
+            if tag == "br" or tag == "p" and not k:
                 events.append((stack[-1], None if tag == "p" else " "))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == tag:
-                    if tag in BLOCK or any(tags[i] in BLOCK for i in stack[k:]):
-                        events.append((stack[k], None))
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in ("table", "body") and tag not in ("table", "body", "html"):
-                    if tag not in BLOCK:
-                        break
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in ("td", "th", "table", "button"):
-                    break
-        if tag in ENDS:
-            ends, stop = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in stop:
-                    break
-                if tags[stack[k]] in ends:
-                    del stack[k:]
+            elif k and (tag in BLOCK or k > depth("table", "body")):
+                node = stack[k]
+                if pop(k):
+                    events.append((node, None))
+        elif tag == "br":
+            events.append((stack[-1], " "))
+        else:
+            if tag in CLOSES_P and (k := depth("p")) > depth("td", "th", "table", "button"):
+                pop(k)
+            if tag in ENDS:
+                ends, stop = ENDS[tag]
+                low = depth(*stop)
+                while (k := depth(*ends)) > low:
+                    pop(k)
                     if tag not in ("tr", "tbody", "tfoot"):
                         break
-        if tag == "br":
-            events.append((stack[-1], " "))
-            continue
-        up, node = stack[-1], len(tags)
-        tags.append(tag)
-        parents.append(up)
-        inside.append(inside[up] or tag in ("article", "main"))
-        level = HARD if cut[up] else _cut(tag, attrs, inside[up])
-        cut.append(level == HARD)
-        named.append(0 if level == HARD else level)
-        if tag in BLOCK:
-            events.append((node, None))
-        if tag in VOID or attrs.endswith("/") and tag in ("svg", "math"):
-            continue
-        if tag in RAW:
-            shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = shut.end() if shut else end
-            continue
-        stack.append(node)
+            up, node = stack[-1], len(tags)
+            tags.append(tag)
+            parents.append(up)
+            inside.append(inside[up] or tag in ("article", "main"))
+            level = HARD if cut[up] else _cut(tag, attrs, inside[up])
+            cut.append(level == HARD)
+            named.append(0 if level == HARD else level)
+            if tag in BLOCK:
+                events.append((node, None))
+            if tag in VOID or attrs.endswith("/") and tag in ("svg", "math"):
+                pass
+            elif tag in RAW:
+                shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                at = skip = shut.end() if shut else len(page)
+            else:
+                depths.setdefault(tag, []).append(len(stack))
+                stack.append(node)
+        try:
+            token = source.send(skip)
+        except StopIteration:
+            token = None
+    if at < len(page):
+        events.append((stack[-1], page[at:]))
     return tags, parents, cut, named, events
 
 
 def _measure(tags, parents, cut, block, linked, texts):
-    """(cut, own, gains, points, size, density) of the nodes; lists of links join ``cut``."""
+    """(cut, own, gains, points, size, links, density) of the nodes; lists of links join ``cut``."""
     n, cut = len(tags), cut[:]
     own, commas, size, links, n_links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for i, t in texts:
@@ -208,7 +270,7 @@ def _measure(tags, parents, cut, block, linked, texts):
                     break
                 points[up] += gain / share
                 up = parents[up]
-    return cut, own, gains, points, size, density
+    return cut, own, gains, points, size, links, density
 
 
 def _cut_named(tags, parents, cut, named, gains, size, density) -> list[bool]:
@@ -223,7 +285,7 @@ def _cut_named(tags, parents, cut, named, gains, size, density) -> list[bool]:
         total = size
     out = cut[:]
     for i in range(1, n):
-        text = holds[i] or named[i] == MENTIONS and total[i] > 0 and total[i] >= SHARE * total[0]
+        text = named[i] == MENTIONS or holds[i] or named[i] == LIKELY and total[i] > 0 and total[i] >= SHARE * total[0]
         out[i] = cut[i] or out[parents[i]] or named[i] > 0 and (not text or density[i] > DENSE)
     return out
 
@@ -240,11 +302,11 @@ def main_text(page: str | None) -> str:
     for i in range(1, n):
         block[i] = i if tags[i] in BLOCK else block[parents[i]]
         linked[i] = tags[i] == "a" or linked[parents[i]]
-    cut, own, gains, points, size, density = _measure(tags, parents, cut, block, linked, texts)
+    cut, own, gains, points, size, links, density = _measure(tags, parents, cut, block, linked, texts)
     if any(named):
         part = _measure(tags, parents, _cut_named(tags, parents, cut, named, gains, size, density), block, linked, texts)
         if part[4][0]:
-            cut, own, _, points, size, density = part
+            cut, own, _, points, _, links, density = part
     rank = [points[i] * (1 - density[i]) for i in range(n)]
     best = max(range(n), key=lambda i: (rank[i], -i))
     keep = [False] * n
@@ -259,13 +321,12 @@ def main_text(page: str | None) -> str:
                     break
             around = parents[around]
         keep[top] = True
-        if tags[top] not in ("article", "main"):
-            least = 0.2 * rank[best]
-            for i in range(1, n):
-                if parents[i] == parents[top] and i != top and not cut[i]:
-                    prose = tags[i] == "p" and (own[i] > 80 and density[i] < 0.25 or 0 < own[i] and not links[i])
-                    title = tags[i] in ("h1", "h2", "h3") and i < top and not links[i]
-                    keep[i] = rank[i] >= least and rank[i] > 0 or prose or title
+        whole = tags[top] in ("article", "main")  # what stands beside one has to be prose by its length
+        for i in range(1, n):
+            if parents[i] == parents[top] and i != top and not cut[i]:
+                prose = tags[i] == "p" and (own[i] > 80 and density[i] < 0.25 or not whole and own[i] > 0 and not links[i])
+                title = tags[i] in ("h1", "h2", "h3") and i < top and not links[i]
+                keep[i] = rank[i] > 0 and rank[i] >= SIBLING * rank[best] or prose or title
     for i in range(1, n):
         keep[i] = keep[i] or keep[parents[i]]
     blocks, part, last = [], [], -1

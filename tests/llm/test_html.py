@@ -74,3 +74,78 @@ def test_names_still_cut_what_is_not_the_text():
 
 def test_shorter_part_of_an_article_is_kept():
     assert main_text(f"<body><div class=a>{TEXT}{TEXT}</div><div class=b>{MORE}</div></body>").endswith("to be kept.")
+
+
+def test_words_that_an_article_may_use_as_names():
+    for name in ("related-work", "comment-on-method", "notice-periods", "social-history", "share_prices"):
+        page = f"<body><article><h2>Before</h2>{TEXT}<section class='{name}' id='{name}'>{MORE}</section></article></body>"
+        assert main_text(page) == main_text(page.replace(f" class='{name}' id='{name}'", "")), name
+
+
+def test_several_articles_and_siblings_of_one():
+    page = f"<main><article>{TEXT}{TEXT}</article><article>{MORE}{MORE}</article></main>"
+    assert main_text(page).count("first, to be kept") == 2
+    prose = "<p>" + "A long paragraph beside the article, which goes on and on, " * 3 + "is prose.</p>"
+    assert main_text(f"<body><article>{TEXT * 9}</article>{prose}<p>Short one.</p></body>").endswith("is prose.")
+
+
+def test_titles_and_short_paragraphs_beside_the_best_part():
+    page = f"<body><h1>Title</h1><div>{TEXT}{TEXT}{MORE}</div><p>Tiny.</p><p><a href=x>link</a></p></body>"
+    assert main_text(f"<body><div class=wrap>{page}</div></body>").split("\n\n") == ["Title", *main_text(f"<div>{TEXT}{TEXT}{MORE}</div>").split("\n\n"), "Tiny."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 200_000, "<div>" * 90_000 + "</div>" * 90_000, "<a '" * 250_000, "<a <a " * 150_000 + "'", "<a<a<a " * 140_000 + "'<>", "<a x='\"" * 140_000 + ">", "<b><table>" + "<i>" * 150_000 + "</b>" * 100_000, "<p><td>" * 140_000, "<li>" * 250_000, "<tr><td>" * 120_000, "<!-- " * 200_000, "</p>" * 250_000, "<" * 1_000_000, "<span>" * 80_000 + "<p>" * 150_000],
+    ids=range(14),
+)
+def test_time_grows_with_the_page(page):
+    import time
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 6 * max(1.0, len(page) / 1e6)
+
+
+def brute(tree, html=False):
+    """The text that tree scoring keeps, from a tree of (tag, children or text), by the rules as they are written."""
+    nodes = []
+
+    def walk(node, path):
+        nodes.append((node, path))
+        if not isinstance(node[1], str):
+            for c in node[1]:
+                walk(c, [*path, node])
+
+    walk(tree, [])
+    score = {id(n): 0.0 for n, _ in nodes}
+    for n, path in nodes:
+        if n[0] == "p" and len(n[1]) >= 25:
+            gain = 1 + n[1].count(",") + min(len(n[1]) // 100, 3)
+            for share, up in enumerate(reversed(path), 1):
+                if share <= 5:
+                    score[id(up)] += gain / share
+    best = max(nodes, key=lambda x: (score[id(x[0])],))  # the first of equals
+    if score[id(best[0])] <= 0:
+        kept = [tree]
+    else:
+        parent = best[1][-1] if best[1] else (None, [best[0]])
+        kept = [c for c in parent[1] if c is best[0] or c[0] == "p" or c[0] == "div" and score[id(c)] > 0 and score[id(c)] >= 0.2 * score[id(best[0])]]
+    texts = lambda n: [n[1]] if isinstance(n[1], str) else [t for c in n[1] for t in texts(c)]
+    return "\n\n".join(t for n in kept for t in texts(n))
+
+
+def test_against_brute_force_on_random_trees():
+    import random
+
+    rng = random.Random(5)
+
+    def grow(level):
+        if level == 0 or rng.random() < 0.35:
+            return ("p", ", ".join("word" * rng.randint(1, 9) for _ in range(rng.randint(1, 12))))
+        return ("div", [grow(level - 1) for _ in range(rng.randint(1, 4))])
+
+    write = lambda n: f"<{n[0]}>{n[1] if isinstance(n[1], str) else ''.join(map(write, n[1]))}</{n[0]}>"
+    for _ in range(400):
+        tree = ("body", [("div", [grow(5), grow(4)])])
+        assert main_text(write(tree)) == brute(tree)
