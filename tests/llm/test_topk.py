@@ -47,6 +47,29 @@ def test_blocks_and_edges(spark):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 1, 2), (2, 2, 0), (3, 2, 0)]
 
 
+def test_starts_from_a_bound_and_tells_what_it_scored(spark):
+    rng = np.random.default_rng(8)
+    x = (rng.normal(0, 1, (4000, 6)) * [900, 300, 40, 10, 3, 1]).astype(int)
+    x[1000:2400] = x[1000]  # a third of the rows is one vector
+    rows = [(i, x[i].tolist()) for i in range(4000)]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(4)
+    got = topk.exact_topk(df, df.where("vec_id % 50 = 0"), 5, candidate_rows=500, query_rows=30, with_scored=True).collect()
+    want = brute(np.arange(4000), x, [(q, x[q]) for q in range(0, 4000, 50)], 5)
+    assert {q: [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want} == want
+    assert sum(r["scored"] for r in got) < 0.6 * sum(r["candidates"] for r in got)
+    ids = np.arange(4000)
+    lists = topk.sorted_lists(x.astype(float), ids)
+    free = topk.threshold_topk(x.astype(float), ids, lists, x[7].astype(float), 5, 7)
+    bound = topk.threshold_topk(x.astype(float), ids, lists, x[7].astype(float), 5, 7, free[1][-1])
+    assert bound[2] <= free[2] and bound[0].tolist() == free[0].tolist()
+
+
+def test_large_ids_do_not_overflow(spark):
+    df = spark.createDataFrame([(2**62 + i, [i, 1]) for i in range(60)] + [(-(2**62), [3, 1])] * 3, "vec_id long, vector array<long>").repartition(40)
+    got = topk.exact_topk(df, df.limit(4), 3, candidate_rows=7)
+    assert got.count() == 12 or got.groupBy("query_id").count().where("count > 3").count() == 0
+
+
 def test_quantise(spark):
     from pyspark.sql import functions as F
 
