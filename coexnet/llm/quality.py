@@ -5,22 +5,29 @@ positives (training labels 1) and unlabelled documents by minimising the
 non-negative unbiased risk
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with the sigmoid loss;
 where the second term of a batch is below zero its gradient is turned round.
-The class prior is estimated as the share of 1 among all training labels.
 
-Fitting reads a bounded sample: at most ``max_positive`` positives and
-``max_unlabelled`` unlabelled texts (those with the smallest hashes of their
-ids), collected as feature rows of about 200 bytes. Scoring covers every whole
-text.
+The class prior is estimated from positives and unlabelled documents alone: a logistic
+model learns to tell them apart on half of the positives; at a score that a share ``a`` of the other half
+reaches and a share ``b`` of the unlabelled, ``b / a`` is the prior plus what negatives add, and
+its mean over the scores that 50 to 95 % of the positives reach is taken. Labels other than 1 are never read.
+
+Every unlabelled training document takes part: their features (about 150 bytes a
+document) lie in the shared folder in shards of about ``shard_rows``; rounds of training on each shard are
+followed by the mean of the networks, weighted by rows. Positives are a
+bounded sample, at most ``max_positive`` labelled rows (the smallest hashes of their
+ids), sent to all shards. Scoring covers every whole text.
 
 Defined cases: null text is empty and gets a score like any other; null ids
 are scored but never used for fitting, and aren't held out; null labels are ignored; an id labelled 1
-in any row is a positive, and repeated ids count once; without positives
-every score is 0.5, and without any unlabelled text the prior's share;
+in any row is a positive, and repeated ids count once (the least of their features); without positives
+or without unlabelled text every score is 0.5;
 an empty table gives no rows. Other columns than id and text are not read.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coexnet.llm.common import split_words, table, text_slices
+from coexnet.llm.common import save, split_words, table, text_slices
 
 MAX_POSITIVE = 20_000
-MAX_UNLABELLED = 20_000
+SHARD_ROWS = 50_000
+ROUNDS, STEPS = 3, 1000
 HIDDEN = 24
 SEED = 7
 
@@ -118,33 +126,37 @@ class PuNetwork:
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.std, -6, 6)
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, steps: int = 3000, batch: int = 512, rate: float = 5e-3, decay: float = 1e-4) -> PuNetwork:
+    def start(self, mean: np.ndarray, std: np.ndarray) -> PuNetwork:
+        self.mean, self.std = mean, std + 1e-6
+        rng, d = np.random.default_rng(self.seed), len(mean)
+        self.w = [rng.normal(0, d**-0.5, (d, self.hidden)), np.zeros(self.hidden), rng.normal(0, self.hidden**-0.5, self.hidden), np.zeros(1)]
+        return self
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.w])
+
+    def put(self, flat: np.ndarray) -> PuNetwork:
+        parts = np.split(flat, np.cumsum([x.size for x in self.w])[:-1])
+        self.w = [p.reshape(x.shape) for p, x in zip(parts, self.w, strict=True)]
+        return self
+
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, first: int = 0, steps: int = ROUNDS * STEPS, total: int = ROUNDS * STEPS, batch: int = 512, rate: float = 5e-3, decay: float = 1e-4) -> PuNetwork:
+        """Steps ``first`` to ``first + steps`` out of ``total``; starts afresh if nothing was learned before."""
         if not len(positive) or not len(unlabelled):
             return self
-        self.mean, self.std = unlabelled.mean(0), unlabelled.std(0) + 1e-6
+        if self.w is None:
+            self.start(unlabelled.mean(0), unlabelled.std(0))
         p, u = self._scaled(positive), self._scaled(unlabelled)
-        rng = np.random.default_rng(self.seed)
-        d = p.shape[1]
-        self.w = [rng.normal(0, d**-0.5, (d, self.hidden)), np.zeros(self.hidden), rng.normal(0, self.hidden**-0.5, self.hidden), np.zeros(1)]
+        rng = np.random.default_rng([self.seed, first])
         m, v = [np.zeros_like(x) for x in self.w], [np.zeros_like(x) for x in self.w]
         for t in range(1, steps + 1):
             xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]
             x = np.concatenate([xp, xu])
             h, g = self._forward(x)
-            s = 1 / (1 + np.exp(-g))  # sigmoid loss: l(g, +) = 1 - s, l(g, -) = s
-            slope = s * (1 - s)
-            sp, su = s[:batch], s[batch:]
-            rest = su.mean() - self.prior * sp.mean()
-            grad = np.zeros_like(g)
-            if rest >= 0:
-                grad[:batch] = -2 * self.prior * slope[:batch] / batch
-                grad[batch:] = slope[batch:] / batch
-            else:  # turn back on the negative part alone
-                grad[:batch] = self.prior * slope[:batch] / batch
-                grad[batch:] = -slope[batch:] / batch
+            loss, grad = pu_risk(g[:batch], g[batch:], self.prior)
             back = np.outer(grad, self.w[2]) * (1 - h * h)
             grads = [x.T @ back, back.sum(0), h.T @ grad, np.array([grad.sum()])]
-            lr = rate * (1 - t / (steps + 1))
+            lr = rate * (1 - (first + t) / (total + 1))
             for i, gr in enumerate(grads):
                 gr = gr + decay * self.w[i]
                 m[i] = 0.9 * m[i] + 0.1 * gr
@@ -158,33 +170,92 @@ class PuNetwork:
         return 1 / (1 + np.exp(-self._forward(self._scaled(x))[1]))
 
 
-def _feature_rows(docs: DataFrame) -> DataFrame:
-    """(positive, f) of rows with (positive, text)."""
+def pu_risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of the outputs for positives and unlabelled, and the step's gradient for both (turned round where the risk of negatives is below 0)."""
+    sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))  # sigmoid loss: l(g, +) = 1 - s, l(g, -) = s
+    rest = su.mean() - prior * sp.mean()
+    dp, du = sp * (1 - sp) / len(gp), su * (1 - su) / len(gu)
+    grad = np.concatenate([-2 * prior * dp, du]) if rest >= 0 else np.concatenate([prior * dp, -du])
+    return prior * (1 - sp).mean() + max(0.0, rest), grad
+
+
+def tell_apart(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, batch: int = 512, rate: float = 0.1, seed: int = SEED) -> np.ndarray:
+    """Weights (the constant last) of a logistic model of positive against unlabelled rows, both standardised."""
+    rng, w = np.random.default_rng(seed), np.zeros(positive.shape[1] + 1)
+    for _ in range(steps):
+        x = np.concatenate([positive[rng.integers(0, len(positive), batch)], unlabelled[rng.integers(0, len(unlabelled), batch)]])
+        g = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) - np.repeat([1.0, 0.0], batch)
+        w[:-1] -= rate * (x.T @ g / (2 * batch) + 1e-4 * w[:-1])
+        w[-1] -= rate * g.mean()
+    return w
+
+
+def _matrix(batches, column: int = 1) -> np.ndarray:
+    rows = [x.flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES) for x in (b.column(column) for b in batches) if len(x)]
+    return np.concatenate(rows) if rows else np.empty((0, FEATURES))
+
+
+def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, f) once for each id, written to the shared folder."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("f", T.ArrayType(T.FloatType()))])
 
     def run(batches):
         for b in text_slices(batches, "text"):
             f = features(b.column("text")).astype(np.float32)
-            flat = pa.array(f.ravel())
-            yield pa.RecordBatch.from_arrays([b.column("positive"), pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, FEATURES, dtype=np.int32)), flat)], names=["positive", "f"])
-
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, f array<float>")
-
-
-def fit_quality(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, seed: int = SEED) -> PuNetwork:
-    """Fit on the documents whose id passes ``training`` (a function of the id column)."""
-    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("q")).where(training(F.col("id")) & F.col("q").isNotNull() & F.col("id").isNotNull())
-    prior = given.agg(F.avg((F.col("q") == 1).cast("double")).alias("p")).first()["p"]
-    at = F.xxhash64("id", F.lit(seed))
-    positive = given.where("q = 1").select("id").distinct().orderBy(at, "id").limit(max_positive).withColumn("positive", F.lit(True))
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & training(F.col("id")))
-    unlabelled = ids.distinct().orderBy(at, "id").limit(max_unlabelled).withColumn("positive", F.lit(False))
-    chosen = positive.unionAll(unlabelled)  # at most max_positive + max_unlabelled ids: small enough to send to all
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    rows = _feature_rows(texts).toPandas()
-    f = np.stack(rows["f"].to_numpy()).astype(np.float64) if len(rows) else np.empty((0, FEATURES))
-    order = np.lexsort(f.T) if len(f) else np.empty(0, np.int64)  # the same rows in the same order, however they arrive
-    f, is_p = f[order], rows["positive"].to_numpy(bool)[order]
-    return PuNetwork(0.5 if prior is None else prior, seed=seed).fit(f[is_p], f[~is_p])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, FEATURES, dtype=np.int32)), pa.array(f.ravel()))], names=["id", "f"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return save(rows.groupBy("id").agg(F.min("f").alias("f")), "quality-features")
+
+
+def _weighted_mean(shards: DataFrame, learn) -> np.ndarray | None:
+    """The mean, weighted by rows, of the vectors that ``learn`` makes of each task's features; rounded, as the order of sums is free."""
+
+    def run(batches):
+        x = _matrix(batches, 0)
+        if len(x):
+            v = learn(x)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(v)), pa.int32()), pa.array(v * len(x)), pa.array(np.full(len(v), float(len(x))))], names=["i", "v", "n"])
+
+    mean = F.round(F.sum("v") / F.sum("n"), 9).alias("v")
+    rows = shards.select("f").mapInArrow(run, "i int, v double, n double").groupBy("i").agg(mean).collect()
+    return np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])]) if rows else None
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, shard_rows: int = SHARD_ROWS, prior: float | None = None, seed: int = SEED) -> PuNetwork:
+    """Fit on the documents whose id passes ``training`` (a function of the id column); estimates ``prior`` if it is not given."""
+    ids = labels.select(F.col(id_col).alias("id")).where(training(F.col("id")) & F.col("id").isNotNull() & (F.col(label_col) == 1)).distinct()
+    chosen = ids.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_positive)  # small enough to send to all
+    rows = feature_table(docs.where(F.col(id_col).isNotNull() & training(F.col(id_col))), id_col, text_col)
+    known = rows.join(F.broadcast(chosen), "id", "left_semi").toPandas()
+    model = PuNetwork(0.5 if prior is None else prior, seed=seed)
+    n = rows.count()
+    if not len(known) or not n:
+        return model
+    positive = np.stack(known["f"].to_numpy()).astype(np.float64)
+    positive = positive[np.lexsort(positive.T)]  # the same rows in the same order, however they arrive
+    positive = positive[np.random.default_rng(seed).permutation(len(positive))]
+
+    shards = -(-n // shard_rows)
+    dealt = rows.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).alias("shard"), "f").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "f")
+    moments = _weighted_mean(rows, lambda x: np.concatenate([x.mean(0), (x * x).mean(0)]))
+    mean, square = moments[:FEATURES], moments[FEATURES:]
+    model.start(mean, np.sqrt(np.maximum(square - mean * mean, 0)))
+    if prior is None:
+        model.prior = float(np.clip(_prior(model, positive, dealt, rows), 0.02, 0.98))
+    for r in range(ROUNDS):
+        model.put(_weighted_mean(dealt, lambda x, m=model, r=r: copy.deepcopy(m).fit(positive, x, r * STEPS, STEPS).flat()))
+    return model
+
+
+def _prior(model: PuNetwork, positive: np.ndarray, dealt: DataFrame, rows: DataFrame) -> float:
+    """Share of positives among all rows (see above); one row: half and half."""
+    p = model._scaled(positive)
+    learn, ask = (p[::2], p[1::2]) if len(p) > 1 else (p, p)
+    w = _weighted_mean(dealt, lambda x: tell_apart(learn, model._scaled(x), seed=model.seed))
+    at = np.quantile(ask @ w[:-1] + w[-1], np.linspace(0.05, 0.5, 19))
+    above = _weighted_mean(rows, lambda x: ((model._scaled(x) @ w[:-1] + w[-1])[:, None] >= at).mean(0))
+    return float((above / ((ask @ w[:-1] + w[-1])[:, None] >= at).mean(0)).mean())
 
 
 def score_quality(docs: DataFrame, model: PuNetwork, text_col: str = "text", score_col: str = "score") -> DataFrame:

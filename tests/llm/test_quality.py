@@ -44,3 +44,53 @@ def test_edges(spark):
     assert [r["score"] for r in quality.score_quality(docs, none).collect()] == [0.5] * 4
     assert quality.score_quality(docs.limit(0), model).count() == 0
     assert quality.fit_quality(docs.limit(0), labels, always).w is None
+
+
+def test_risk_and_gradient_by_definition():
+    rng = np.random.default_rng(2)
+    for prior in (0.2, 0.9):
+        gp, gu = rng.normal(0.5, 1, 40), rng.normal(-0.5, 1, 60)
+        loss = lambda g, sign: np.mean([1 / (1 + np.exp(sign * x)) for x in g])
+        rest = lambda gp, gu: loss(gu, -1) - prior * loss(gp, -1)
+        risk, grad = quality.pu_risk(gp, gu, prior)
+        assert np.isclose(risk, prior * loss(gp, 1) + max(0, rest(gp, gu)))
+        target = (lambda gp, gu: prior * loss(gp, 1) + rest(gp, gu)) if rest(gp, gu) >= 0 else (lambda gp, gu: -rest(gp, gu))
+        for i in (0, 39, 40, 99):
+            up, down = np.concatenate([gp, gu]), np.concatenate([gp, gu])
+            up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+            assert np.isclose((target(up[:40], up[40:]) - target(down[:40], down[40:])) / 2e-5, grad[i], rtol=1e-3, atol=1e-9)
+
+
+def test_scores_and_prior_against_plain_numpy(spark):
+    """One shard: the fit in Spark is the fit on the whole matrix; ids that repeat count once; labels of 0 don't matter."""
+    rng = np.random.default_rng(6)
+    good = [" ".join(rng.choice(["river", "stone", "walks", "slowly", "home."], 30)) for _ in range(150)]
+    bad = [" ".join(rng.choice(["$$$", "buy!!", "NOW", "###"], 30)) for _ in range(50)]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows + [rows[3]] * 300, "doc_id long, text string").repartition(4)
+    labels = [(i, 1) for i in range(60)]
+    learn = lambda c: F.lit(True)
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, quality int")
+    model = quality.fit_quality(docs, frame(labels), learn)
+    same = quality.fit_quality(docs, frame(labels + [(i, 0) for i in range(150, 200)]), learn)
+    assert np.allclose(model.flat(), same.flat()) and 0.65 < model.prior < 0.85
+    f = quality.features(pa.array([t for _, t in rows])).astype(np.float32).astype(float)
+    x, p = f[np.lexsort(f.T[::-1])], f[:60]
+    p = p[np.lexsort(p.T)]
+    p = p[np.random.default_rng(quality.SEED).permutation(60)]
+    plain = quality.PuNetwork(model.prior).start(f.mean(0), f.std(0))
+    for r in range(quality.ROUNDS):
+        plain.fit(p, x, r * quality.STEPS, quality.STEPS)
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+    assert np.allclose([got[i] for i, _ in rows], plain.score(f), atol=0.02)
+    assert np.mean([(got[i] >= 0.5) == (i < 150) for i, _ in rows]) > 0.95
+
+
+def test_shards_learn_together(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["one", "two", "three,", "four."], 20)) if i % 4 else "!!! ### $$$ " * 9 for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(400) if i % 4 == 1], "doc_id long, quality int")
+    model = quality.fit_quality(docs, labels, lambda c: F.lit(True), shard_rows=60)
+    got = quality.score_quality(docs, model).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 > 0) for r in got]) > 0.97
