@@ -10,7 +10,9 @@ at the boundary is taken whole if that ends nearer to the rest.
 The walk needs no sort of a whole source: keys fall into ``BUCKETS`` fixed
 ranges, sums per (source, range) are combined before the shuffle, and only
 the one range per source that holds the boundary is put in order. A source
-with a third of all rows is therefore spread over all tasks.
+with a third of all rows is therefore spread over all tasks. Sources may be as many
+as hosts: their order, their turn in the cycle of weights and the sums behind their
+targets come from prefix sums over range partitions, so no task holds them all.
 
 Defined cases: null source is a source of its own and sorts last; null text
 has size 0; null, NaN or non-positive weights count as the least weight;
@@ -22,7 +24,7 @@ which then replace them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coexnet.llm.common import WORD, save, table
@@ -33,6 +35,7 @@ SHARE = 1.5
 CAP = 2.0
 LEAST_WEIGHT = 0.05
 SEED = "mix-1"
+SIGNS = "0123456789!#$%&*|_=~^<>{}[]@\\/+"
 
 
 def sampling_key(id_col, weight, seed: str = SEED):
@@ -43,6 +46,19 @@ def sampling_key(id_col, weight, seed: str = SEED):
     return -F.log(u) / w
 
 
+def running_sums(rows: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sum of each of ``sums`` over all rows before and up to each one in ``order``, which is total.
+
+    Sums run inside range partitions; the partitions' totals, one row each, move them up.
+    """
+    dealt = save(rows.repartitionByRange(*order).withColumns({"part": F.spark_partition_id(), **{f"{k}_one": c for k, c in sums.items()}}), "mix-order")
+    upto = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("part").agg(*(F.sum(f"{k}_one").alias(k) for k in sums))  # a row for each partition
+    offset = totals.select("part", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in sums))
+    return dealt.join(offset, "part").withColumns({k: F.col(f"{k}_before") + F.sum(f"{k}_one").over(upto) for k in sums}).drop("part", *(f"{k}_{x}" for k in sums for x in ("one", "before")))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """(source, source_size, target, epochs, rest) from (source, source_size), one row a source.
 
@@ -51,15 +67,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     the level if the first k are capped rises up to the right k and falls
     after it, so it is the largest of these; no loop over reshares is needed.
     """
-    cycle = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("w", cycle).withColumn("most", cap * F.col("source_size").cast("double"))
-    order = Window.orderBy(F.col("most") / F.col("w"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    s = s.withColumn("budget", share * F.sum("source_size").over(everything).cast("double"))
-    s = s.withColumn("capped_before", F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    s = s.withColumn("w_from", F.sum("w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    level = F.max((F.col("budget") - F.col("capped_before")) / F.col("w_from")).over(everything)
-    s = s.withColumn("target", F.when(F.col("most") == 0, 0.0).otherwise(F.coalesce(F.least("most", F.col("w") * level), F.col("most"))))
+    s = running_sums(sizes, [F.col("source").asc_nulls_last()], {"place": F.lit(1)})
+    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))).withColumn("most", cap * F.col("source_size").cast("double"))
+    s = running_sums(s, [F.col("most") / F.col("w"), F.col("source").asc_nulls_last()], {"capped": F.col("most"), "w_upto": F.col("w")})
+    s = save(s, "mix-sources")
+    everything = s.agg((share * F.sum("source_size").cast("double")).alias("budget"), F.sum("w").alias("w_all"))
+    before, w_from = F.col("capped") - F.col("most"), F.col("w_all") - F.col("w_upto") + F.col("w")
+    level = s.crossJoin(F.broadcast(everything)).agg(F.max((F.col("budget") - before) / w_from).alias("level"))  # both are one row
+    s = s.crossJoin(F.broadcast(level))
+    s = s.withColumn("target", F.when(F.col("most") == 0, 0.0).otherwise(F.coalesce(F.least("most", F.col("w") * F.col("level")), F.col("most"))))
     s = s.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     return s.select("source", "source_size", "target", "epochs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
 
@@ -96,9 +112,15 @@ def mix(docs: DataFrame, weight, id_col: str = "doc_id", text_col: str = "text",
 
 
 def text_weight(text):
-    """Quality weight of a text: the share of its characters that aren't punctuation or digits; 0 if empty."""
-    marks = F.translate(text, "0123456789!#$%&*|_=~^<>{}[]@\\/+", "")
-    return F.when(F.length(text) > 0, F.length(marks) / F.length(text)).otherwise(0.0)
+    """Quality weight of a text, 0 to 1: clean characters times new words times new lines; 0 if empty.
+
+    Clean is the share of characters that aren't digits or signs; new words are the
+    distinct among all, which long texts reach less, so their root counts; new lines are the distinct among all.
+    """
+    clean = F.length(F.translate(text, SIGNS, "")) / F.length(text)
+    words, lines = F.split(text, r"[\x20\x09-\x0D]+"), F.split(text, "\n")
+    fresh = lambda parts: F.size(F.array_distinct(parts)) / F.size(parts)
+    return F.when(F.length(text) > 0, clean * F.sqrt(fresh(words)) * fresh(lines)).otherwise(0.0)
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +133,10 @@ SQL = {
     "op2_mix": r"""
 WITH d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CASE WHEN length(text) > 0 THEN length(translate(text, '0123456789!#$%&*|_=~^<>{}[]@\/+', '')) / CAST(length(text) AS DOUBLE) ELSE 0.0 END AS q,
+         CASE WHEN length(text) > 0 THEN length(translate(text, '0123456789!#$%&*|_=~^<>{}[]@\/+', '')) / CAST(length(text) AS DOUBLE)
+                * sqrt(len(list_distinct(ws)) / CAST(len(ws) AS DOUBLE)) * (len(list_distinct(ls)) / CAST(len(ls) AS DOUBLE)) ELSE 0.0 END AS q,
          (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM documents),
+  FROM (SELECT *, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM documents)),
 k AS (SELECT *, -ln(u) / greatest(q, 0.05) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INT)] AS w,
