@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coexnet.llm.common import WORD, save, table
+from coexnet.llm.common import save, table
 
 BUCKETS = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -35,14 +35,15 @@ SHARE = 1.5
 CAP = 2.0
 LEAST_WEIGHT = 0.05
 SEED = "mix-1"
-SIGNS = "0123456789!#$%&*|_=~^<>{}[]@\\/+"
+SIGNS = r"[0-9!#$%&*|_=~^<>{}\[\]@\\/+]"
+GAP = r"[\x20\x09-\x0D]+"
 
 
 def sampling_key(id_col, weight, seed: str = SEED):
     """Exponential key; 52 hash bits give u, so the order is the same on every engine and run."""
     bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double")
     u = (bits + 0.5) / F.lit(float(1 << 52))
-    w = F.when(weight.isNull() | F.isnan(weight), LEAST_WEIGHT).otherwise(F.greatest(weight, F.lit(LEAST_WEIGHT)))
+    w = F.greatest(F.coalesce(F.nanvl(weight, F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_WEIGHT))
     return -F.log(u) / w
 
 
@@ -83,7 +84,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 def mix(docs: DataFrame, weight, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """``docs`` reduced to (id, size, source, source_size, target, taken); ``weight`` is a column of ``docs``."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"),
         sampling_key(F.col(id_col), weight.cast("double"), seed).alias("key"), F.xxhash64(F.col(text_col)).alias("tie"),
     )
     rows = save(rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") / 4)) * BUCKETS).cast("int")), "mix-rows")
@@ -111,16 +112,21 @@ def mix(docs: DataFrame, weight, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "source", "size", "source_size", "target", ((F.col("epochs") + F.col("extra")) * F.col("size")).alias("taken"))
 
 
+def words_of(text):
+    """The words of a text; written once, so that its users in a plan share it."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
+
+
 def text_weight(text):
     """Quality weight of a text, 0 to 1: clean characters times new words times new lines; 0 if empty.
 
     Clean is the share of characters that aren't digits or signs; new words are the
     distinct among all, which long texts reach less, so their root counts; new lines are the distinct among all.
     """
-    clean = F.length(F.translate(text, SIGNS, "")) / F.length(text)
-    words, lines = F.split(text, r"[\x20\x09-\x0D]+"), F.split(text, "\n")
-    fresh = lambda parts: F.size(F.array_distinct(parts)) / F.size(parts)
-    return F.when(F.length(text) > 0, clean * F.sqrt(fresh(words)) * fresh(lines)).otherwise(0.0)
+    words, lines = words_of(text), F.split(text, "\n")
+    clean = 1 - F.regexp_count(text, F.lit(SIGNS)) / F.nullif(F.length(text), F.lit(0))
+    fresh = lambda parts: F.size(F.array_distinct(parts)) / F.nullif(F.size(parts), F.lit(0))
+    return F.coalesce(clean * F.sqrt(fresh(words)) * fresh(lines), F.lit(0.0))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +139,10 @@ SQL = {
     "op2_mix": r"""
 WITH d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CASE WHEN length(text) > 0 THEN length(translate(text, '0123456789!#$%&*|_=~^<>{}[]@\/+', '')) / CAST(length(text) AS DOUBLE)
-                * sqrt(len(list_distinct(ws)) / CAST(len(ws) AS DOUBLE)) * (len(list_distinct(ls)) / CAST(len(ls) AS DOUBLE)) ELSE 0.0 END AS q,
+         coalesce((1 - len(regexp_extract_all(text, '[0-9!#$%&*|_=~^<>{}\[\]@\\/+]')) / nullif(length(text), 0)::DOUBLE)
+           * sqrt(len(list_distinct(ws)) / nullif(len(ws), 0)::DOUBLE) * (len(list_distinct(ls)) / nullif(len(ls), 0)::DOUBLE), 0.0) AS q,
          (CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-  FROM (SELECT *, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM documents)),
+  FROM (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM documents)),
 k AS (SELECT *, -ln(u) / greatest(q, 0.05) AS key FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INT)] AS w,
