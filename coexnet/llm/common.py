@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder of
-    this process stands in for it; it goes when the process ends.
+    Only where a local session names none (tests, a laptop) a temporary folder of
+    this process stands in for it; it goes when the process ends. Elsewhere a
+    folder of one machine would lose rows, so that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         path = tempfile.mkdtemp(prefix="coexnet-")
@@ -52,6 +57,44 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as make them no columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def if_small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its rows take ``most_bytes`` at most; pass what is written, for it is read to measure it."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.concat_ws(",", *(F.col(f"`{c}`").cast("string") for c in df.columns))) + 16), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= most_bytes else df
+
+
+HOT_ROWS, HOT_KEYS = 1024, 1 << 16
+
+
+def attach(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows.join(keyed, key, how)`` for one row a key in ``keyed``, which says in ``n`` how many rows have the key (dropped).
+
+    Rows of a key with many (1024, or a 65,536th of all, which leaves 65,536 such keys at most)
+    are dealt to several tasks, and the key's one row is sent to each of them.
+    """
+    keyed = save(keyed, "keyed")
+    total, most = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    hot = max(HOT_ROWS, -(-total // HOT_KEYS))
+    if most <= hot:
+        return rows.join(keyed.drop("n"), key, how)
+    salts = F.broadcast(keyed.where(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("__salts")))
+    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c != key)), F.col("__salts")).cast("int")
+    spread = rows.join(salts, key, "left").withColumn("__salt", F.coalesce(salt, F.lit(0))).drop("__salts")
+    copies = keyed.drop("n").join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return spread.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(doc index of each word, code of each word, distinct words) of a batch.
 

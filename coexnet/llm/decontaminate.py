@@ -27,13 +27,15 @@ read.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coexnet.llm.common import table
+from coexnet.llm.common import table, text_slices
 
 Q = 8
 EDIT_RATE = 0.1
@@ -193,6 +195,18 @@ class ItemIndex:
         return hits
 
 
+_built: dict[str, ItemIndex] = {}
+
+
+def _index(block: tuple) -> ItemIndex:
+    """The index of a block of items (token, items, q, edit rate), built once in each Python process, which holds one at a time."""
+    token, *rest = block
+    if token not in _built:
+        _built.clear()
+        _built[token] = ItemIndex(*rest)
+    return _built[token]
+
+
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int):
     """The items in lists of about ``block_chars`` characters each (one long item may exceed it)."""
     named = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
@@ -214,11 +228,11 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in _blocks(items, item_id_col, item_text_col, block_chars):
-        sent = spark.sparkContext.broadcast((block, q, edit_rate))
+        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, block, q, edit_rate))
 
         def search(batches, sent=sent):
-            index = ItemIndex(*sent.value)
-            for b in batches:
+            index = _index(sent.value)
+            for b in text_slices(batches, "text"):
                 ids, found = b.column(0).to_pylist(), []
                 for i, text in enumerate(b.column(1)):
                     t = text.as_py()
@@ -237,11 +251,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
     The pass filters where the text lies, so no text is shuffled.
     """
     for block in _blocks(items, item_id_col, item_text_col, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast((block, q, edit_rate))
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block, q, edit_rate))
 
         def clean(batches, sent=sent):
-            index = ItemIndex(*sent.value)
-            for b in batches:
+            index = _index(sent.value)
+            for b in text_slices(batches, text_col):
                 texts = (t.as_py() for t in b.column(b.schema.get_field_index(text_col)))
                 yield b.filter(pa.array([not t or not index.find(t) for t in texts], pa.bool_()))
 

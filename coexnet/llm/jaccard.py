@@ -24,7 +24,8 @@ are ever computed:
    spanning forest is kept, so a group of g near copies yields g - 1 links.
 6. Components of the links are the result.
 
-Steps 3 and 5 cut runs and blocks of more than ``chunk`` members into chunks
+Steps 3 and 5 cut runs and blocks of more than ``chunk`` members, or of more than CHUNK_ELEMENTS
+elements in their sets, into chunks
 that meet pair by pair, which bounds the memory of a task; the work in a
 group whose members aren't similar to each other is quadratic in the group,
 but no rows are emitted for it. Everything is exact up to collisions
@@ -46,13 +47,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coexnet.llm.common import save, split_words, table, text_slices, word_hashes
+from coexnet.llm.common import attach, if_small, save, split_words, table, text_slices, unused, word_hashes
 from coexnet.llm.graph import connected_components
 
 CHUNK = 4096
 COUNTERS = 1 << 22
 COUNTER_BLOCKS = 256
-BROADCAST_IDS = 1 << 20
+CHUNK_ELEMENTS = 1 << 22
+SEEN_NODES = 1 << 20
+#: A posting whose sketch stands for more elements counts as so many.
+SKETCH_ELEMENTS = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -160,6 +164,8 @@ def set_rows(docs: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataF
                     tokens.append(None)
                     sketches.append(None)
                     continue
+                if len(seen) >= SEEN_NODES:  # later steps drop what repeats
+                    seen.clear()
                 seen.add(node)
                 p = prefix_length(len(s), percent)
                 rank = level[(s >> shift).astype(np.int64)]
@@ -200,10 +206,12 @@ def shared_postings(postings: DataFrame, percent: int, chunk: int) -> DataFrame:
             if len(keep):
                 t = token[keep]
                 start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-                pos = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))
+                weight = 1 + size[keep] // SKETCH_ELEMENTS
+                pos = np.cumsum(weight) - weight
+                pos -= np.repeat(pos[start], np.diff(np.append(start, len(t))))
                 if t[0] == at:
                     pos[t == at] += place
-                at, place = t[-1], int(pos[-1]) + 1
+                at, place = t[-1], int(pos[-1] + weight[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(node[keep]), pa.array((pos // chunk).astype(np.int32))], names=["token", "node", "part"])
             held, partner = [x[-1:] for x in (token, size, node)], bool(near[len(token) - 1])
         if held is not None and partner:
@@ -214,10 +222,9 @@ def shared_postings(postings: DataFrame, percent: int, chunk: int) -> DataFrame:
     return rows.mapInArrow(stream, "token long, node long, part int")
 
 
-def meet(rows: DataFrame, key: str) -> DataFrame:
-    """Rows (key, part, ...) dealt to groups (key, i, j) so that all rows of a key meet, at most two parts a group."""
-    last = rows.groupBy(key).agg(F.max("part").alias("last")).where("last > 0")
-    cut = rows.join(last, key, "left")
+def meet(rows: DataFrame, last: DataFrame, key: str) -> DataFrame:
+    """Rows (key, part, ...) dealt to groups (key, i, j) so that all rows of a key meet, at most two parts a group; (key, last, n) tells the keys with several parts."""
+    cut = attach(rows, last, key, "left")
     other = F.explode(F.when(F.col("last").isNull(), F.array(F.col("part"))).otherwise(F.sequence(F.lit(0), F.col("last"))))
     return cut.select("*", other.alias("other")).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("part", "other", "last")
 
@@ -350,13 +357,12 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, n: int, percent: int, chunk:
     postings = first.select(F.explode("tokens").alias("token"), F.col("n_shingles").cast("int").alias("size"), "node")
     shared = save(shared_postings(postings, percent, chunk), "jaccard-postings")
     sketches = first.select("node", F.col("n_shingles").cast("int").alias("size"), "sketch").join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    candidates = _forest_rows(meet(shared, "token").join(sketches, "node"), "token", "sketch", lambda size, sk: sketch_forest(np.array(size), sk, percent))
+    last = shared.groupBy("token").agg(F.max("part").alias("last"), F.count("*").alias("n")).where("last > 0")
+    candidates = _forest_rows(meet(shared, last, "token").join(sketches, "node"), "token", "sketch", lambda size, sk: sketch_forest(np.array(size), sk, percent))
     blocks = save(connected_components(candidates), "jaccard-blocks")
 
     ids = sets.join(blocks.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct().withColumnRenamed("doc_id", "__id")
-    ids = save(ids, "jaccard-members")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = if_small(save(ids, "jaccard-members"))
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
     def member_sets(batches):
@@ -365,20 +371,22 @@ def linked_nodes(docs: DataFrame, sets: DataFrame, n: int, percent: int, chunk:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["node", "size", "set"])
 
     members = texts.select("text").mapInArrow(member_sets, "node long, size int, set binary")
-    place = _block_parts(blocks, chunk)
-    place = save(meet(place, "root"), "jaccard-places")
-    if place.count() <= BROADCAST_IDS:
-        place = F.broadcast(place)
+    sized = blocks.join(sketches.select("node", "size"), "node")
+    place = if_small(save(_block_places(sized, chunk), "jaccard-places"))
     rows = members.join(place, "node")
     links = _forest_rows(rows, "root", "set", lambda _, sets: link_forest([np.frombuffer(s, np.uint64) for s in sets], percent))
     return save(connected_components(links), "jaccard-components")
 
 
-def _block_parts(blocks: DataFrame, chunk: int) -> DataFrame:
-    """(root, node, part): the nodes of a block in parts of about ``chunk``, by a hash of the node."""
-    sizes = blocks.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > chunk)
-    part = F.when(F.col("members").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / chunk))).cast("int")
-    return blocks.join(sizes, "root", "left").select("root", "node", part.alias("part"))
+def _block_places(blocks: DataFrame, chunk: int) -> DataFrame:
+    """(root, node, i, j): the nodes (node, root, size) of a block in parts of about ``chunk`` members and CHUNK_ELEMENTS elements, by a hash of the node, dealt to pairs of parts."""
+    blocks = save(blocks, "jaccard-sized")
+    parts = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / CHUNK_ELEMENTS)).cast("int")
+    last = save(blocks.groupBy("root").agg((parts - 1).alias("last"), F.count("*").alias("n")).where("last > 0"), "jaccard-large")
+    cut = attach(blocks.select("root", "node"), last, "root", "left")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("other")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("last", F.lit(0)) + 1).cast("int").alias("part")
+    return cut.select("root", "node", part, other).select("root", "node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -392,9 +400,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     sets = set_rows(docs, n, percent, count_levels(docs, n))
     roots = linked_nodes(docs, sets, n, percent, chunk)
     classes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    joined = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    component = save(joined.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-least")
-    named = joined.select("node", "root").join(component, "root").select("node", "root", "component_id")
+    joined = save(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-nodes")
+    component = joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = attach(joined.select("node", "root"), component, "root").select("node", "root", "component_id")
     out = sets.select("doc_id", "tie", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "tie", "n_shingles", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -407,18 +415,18 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_
     found = save(jaccard_components(docs, n, percent, id_col, text_col, chunk).where("node is not null"), "jaccard-found")
     # ids may be null or repeat in other components, so the root tells components apart and the least (id, text) pair decides
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("k"))
-    kept = save(kept.select(F.col("k.doc_id").alias("__id"), F.col("k.tie").alias("__tie")), "jaccard-kept")
-    gone = found.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).distinct().join(kept.select(F.col("__id").alias("__kid"), F.col("__tie").alias("__ktie")), F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__tie") == F.col("__ktie")), "left_anti")
-    gone = save(gone, "jaccard-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    out = docs.withColumn("__tie2", F.xxhash64(text_col))
-    out = out.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__tie2") == F.col("__tie")), "left_anti")
+    kept = save(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.tie").alias("kept_tie")), "jaccard-kept")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tie") == F.col("kept_tie"))
+    a, b, t = unused(docs, "__id", "__tie", "__text_tie")
+    gone = found.select("doc_id", "tie").distinct().join(kept, same, "left_anti").select(F.col("doc_id").alias(a), F.col("tie").alias(b))
+    gone = if_small(save(gone, "jaccard-gone"))
+    out = docs.withColumn(t, F.xxhash64(text_col))
+    out = out.join(gone, F.col(id_col).eqNullSafe(F.col(a)) & (F.col(t) == F.col(b)), "left_anti")
     again = found.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count()
     if again:  # equal rows: one of each stays
         worded = F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-        out = out.where(worded).dropDuplicates([id_col, "__tie2"]).unionAll(out.where(~worded))
-    return out.drop("__tie2")
+        out = out.where(worded).dropDuplicates([id_col, t]).unionAll(out.where(~worded))
+    return out.drop(t)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

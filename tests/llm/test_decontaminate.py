@@ -80,3 +80,12 @@ def test_short_items_keep_their_edits():
             near[(e + 1) * m // (k + 1)] = "#"
         hits = dc.ItemIndex([(1, item)]).find("%% " + "".join(near) + " %%")
         assert [h[0] for h in hits] and min(h[3] for h in hits) <= k, m
+
+
+def test_very_long_texts_go_in_slices(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(i, "filler words here " * 60_000 + (item if i % 2 else "")) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in dc.find_items(docs, items).collect()) == list(range(1, 20, 2))
+    assert sorted(r["doc_id"] for r in dc.drop_contaminated(docs, items).collect()) == list(range(0, 20, 2))

@@ -113,3 +113,25 @@ def test_connected_components(spark):
                 root[x] = both
     assert {r["node"]: r["root"] for r in connected_components(df).collect()} == {k: min(v) for k, v in root.items()}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_small_parts_give_the_same_groups(spark, monkeypatch):
+    """Blocks cut by members and by elements, postings by the weight of their sketches, against the uncut run."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: 190 + rng.randrange(10)] + [f"own{i}"])) for i in range(60)] + [(100 + i, f"a b c d{i // 3} e f g") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, jaccard.jaccard_components(df, 3, 90).select("doc_id", "n_shingles", "component_id").collect()))
+    monkeypatch.setattr(jaccard, "CHUNK_ELEMENTS", 2000)
+    monkeypatch.setattr(jaccard, "SKETCH_ELEMENTS", 50)
+    monkeypatch.setattr(jaccard, "SEEN_NODES", 5)
+    assert sorted(map(tuple, jaccard.jaccard_components(df, 3, 90, chunk=16).select("doc_id", "n_shingles", "component_id").collect())) == whole
+    assert len({c for i, _, c in whole if i < 60}) < 5
+
+
+def test_keep_one_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (3, "x y z", 7, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int, __tie int, __text_tie int")
+    assert sorted(map(tuple, jaccard.keep_one(df).collect())) == [rows[0], rows[2]]
