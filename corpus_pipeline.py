@@ -12,19 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coexnet.llm.common import save, table
+from coexnet.llm.common import save, table, unused
 from coexnet.llm.decontaminate import drop_contaminated
 from coexnet.llm.jaccard import keep_one
 from coexnet.llm.mix import mix
-from coexnet.llm.quality import fit_quality, held_out, score_quality
+from coexnet.llm.quality import PuNetwork, fit_quality, held_out, score_quality
 
-SCORE, TEXT_SCORE = "__quality", 0.5
+LEAST_SCORE = 0.5
+
+
+def classifier(spark: SparkSession, sf_dir: str) -> PuNetwork:
+    """Learned from the training fold of ``labels`` and the whole ``documents`` table, whatever a stage is given; so it is the same in all stages."""
+    return fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts (score of at least 0.5); it learns from the training fold of ``labels``."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
-    return score_quality(docs, model, score_col=SCORE).where(F.col(SCORE) >= TEXT_SCORE).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Documents that the classifier accepts (score of at least 0.5)."""
+    [score] = unused(docs, "__quality")
+    return score_quality(docs, classifier(spark, sf_dir), score_col=score).where(F.col(score) >= LEAST_SCORE).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: every document with the words that are taken of it, weighted by its quality score."""
-    model = fit_quality(docs, table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
-    scored = score_quality(docs.select("doc_id", "text", "source"), model, score_col=SCORE)
-    return mix(scored, F.col(SCORE)).select("doc_id", "source", "size", "source_size", "target", "taken")
+    scored = score_quality(docs.select("doc_id", "text", "source"), classifier(spark, sf_dir), score_col="weight")
+    return mix(scored, F.col("weight")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("source_mix", source_mix)]
