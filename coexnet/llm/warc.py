@@ -1,7 +1,7 @@
 """WARC archives through a chunked record table.
 
-A payload never travels as one value: it is a run of rows ``(row_no, chunk_no,
-data)`` of at most ``chunk_bytes`` each, and every row carries the SHA-256 of
+A payload never leaves the scan as one value: there it is cut into a run of rows ``(row_no, chunk_no,
+data)`` of at most ``chunk_bytes`` each, which stream through a task that adds to every row the SHA-256 of
 the payload up to and including its chunk. Writing sorts those rows and
 streams them into gzip members; reading inflates an archive block by block
 and yields such rows again. Neither side allocates a whole record.
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from coexnet.llm.common import new_path, save, table
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 16
 BATCH_BYTES = 4 << 20
 ARCHIVE_BYTES = 256 << 20
 MIN_REVISIT_BYTES = 100
@@ -47,77 +47,41 @@ ID_SCHEME = "urn:x-record:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _digests(payload: memoryview, chunk_bytes: int) -> list[bytes]:
-    """SHA-256 after each chunk; an empty payload has one empty chunk."""
-    h, out = hashlib.sha256(), []
-    for at in range(0, max(1, len(payload)), chunk_bytes):
-        h.update(payload[at : at + chunk_bytes])
-        out.append(h.copy().digest())
-    return out
+def _payload(column):
+    return F.coalesce(column.cast("binary"), F.lit(bytearray()))
 
 
-def _payloads(batch: pa.RecordBatch, k: int) -> Iterator[memoryview]:
-    for x in batch.column(k):
-        yield memoryview(x.as_buffer()) if x.is_valid else memoryview(b"")
-
-
-def _arrow_type(spark_type: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(spark_type)
-
-
-def payload_facts(df: DataFrame, id_col: str, payload_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(rid, payload_bytes, digest) of every row, digested chunk by chunk."""
-    rid = T.StructField("rid", df.schema[id_col].dataType)
-    schema = T.StructType([rid, T.StructField("payload_bytes", T.LongType()), T.StructField("digest", T.BinaryType())])
-    rid_type = _arrow_type(rid.dataType)
-
-    def facts(batches):
-        for b in batches:
-            sizes, ends = [], []
-            for p in _payloads(b, 1):
-                sizes.append(len(p))
-                ends.append(_digests(p, chunk_bytes)[-1])
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(rid_type), pa.array(sizes, pa.int64()), pa.array(ends, pa.binary())], names=["rid", "payload_bytes", "digest"])
-
-    return df.select(F.col(id_col).alias("rid"), F.col(payload_col)).mapInArrow(facts, schema)
+def payload_facts(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
+    """(rid, payload_bytes, digest) of every row."""
+    payload = _payload(F.col(payload_col))
+    return df.select(F.col(id_col).alias("rid"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.unhex(F.sha2(payload, 256)).alias("digest"))
 
 
 def chunk_table(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The chunked record table of ``df``.
 
     Columns: row_no (tells rows apart), rid, uri, chunk_no (from 0), data,
-    running_digest (SHA-256 up to this chunk), payload_bytes and digest (of
-    the whole payload).
+    payload_bytes and digest (of the whole payload), running_digest (SHA-256 up to this chunk).
+    An empty payload has one empty chunk.
     """
-    schema = T.StructType(
-        [T.StructField("row_no", T.LongType()), T.StructField("rid", df.schema[id_col].dataType), T.StructField("uri", T.StringType()), T.StructField("chunk_no", T.IntegerType())]
-        + [T.StructField("data", T.BinaryType()), T.StructField("running_digest", T.BinaryType()), T.StructField("payload_bytes", T.LongType()), T.StructField("digest", T.BinaryType())]
-    )
-    types = [_arrow_type(f.dataType) for f in schema]
-
-    def emit(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=schema.names)
+    uri = F.col(uri_col).cast("string") if uri_col else F.lit(None).cast("string")
+    whole = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("rid"), uri.alias("uri"), _payload(F.col(payload_col)).alias("payload"))
+    whole = whole.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "digest": F.unhex(F.sha2("payload", 256))})
+    last = F.greatest(F.ceil(F.col("payload_bytes") / chunk_bytes), F.lit(1)).cast("int") - 1
+    cut = whole.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    cut = cut.select("row_no", "rid", "uri", "chunk_no", F.substring("payload", F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"), "payload_bytes", "digest")
 
-    def chunks(batches):
-        row_no, rows, held = TaskContext.get().partitionId() << 40, [], 0
-        for b in batches:
-            for rid, uri, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _payloads(b, 2), strict=True):
-                running = _digests(payload, chunk_bytes)
-                for k, digest in enumerate(running):
-                    data = bytes(payload[k * chunk_bytes : (k + 1) * chunk_bytes])
-                    rows.append((row_no, rid, uri, k, data, digest, len(payload), running[-1]))
-                    held += len(data) + 200
-                    if held >= BATCH_BYTES:
-                        yield emit(rows)
-                        rows, held = [], 0
-                row_no += 1
-        if rows:
-            yield emit(rows)
+    def running(batches):
+        h = hashlib.sha256()
+        for b in batches:  # chunks follow each other as they were cut
+            out = []
+            for k, data in zip(b.column(3).to_pylist(), b.column(4), strict=True):
+                h = hashlib.sha256() if k == 0 else h
+                h.update(data.as_buffer())
+                out.append(h.digest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "running_digest"])
 
-    uri = F.col(uri_col).cast("string") if uri_col else F.lit(None).cast("string")
-    return df.select(F.col(id_col).alias("rid"), uri.alias("uri"), F.col(payload_col)).mapInArrow(chunks, schema)
+    return cut.mapInArrow(running, T.StructType([*cut.schema, T.StructField("running_digest", T.BinaryType())]))
 
 
 def revisit_plan(facts: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -199,7 +163,7 @@ def write_warc(
     Chunks of responses meet the plan in one shuffle keyed by id and digest,
     which no hot payload skews; revisits send no data at all.
     """
-    plan = revisit_plan(payload_facts(df, id_col, payload_col, chunk_bytes), min_revisit_bytes).select(F.col("rid").alias("p_rid"), F.col("digest").alias("p_digest"), "refers_to")
+    plan = revisit_plan(payload_facts(df, id_col, payload_col), min_revisit_bytes).select(F.col("rid").alias("p_rid"), F.col("digest").alias("p_digest"), "refers_to")
     chunks = chunk_table(df, id_col, payload_col, uri_col, chunk_bytes)
     joined = chunks.join(plan, (F.col("digest") == F.col("p_digest")) & F.col("rid").eqNullSafe(F.col("p_rid")))
     rows = joined.where(F.col("refers_to").isNull() | (F.col("chunk_no") == 0)).select(

@@ -40,6 +40,16 @@ def test_round_trip_in_chunks(spark):
     assert manifest.agg(F.sum("records")).first()[0] == 8
 
 
+def test_chunks_and_running_digests(spark):
+    texts = [None, "", "é" * 700, "x" * 1000, "y" * 1001, "z" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").coalesce(1)
+    rows = warc.chunk_table(df, "page_id", "html", chunk_bytes=1000).collect()
+    for i, t in enumerate(texts):
+        data, mine = (t or "").encode(), [r for r in rows if r["rid"] == i]
+        assert [bytes(r["data"]) for r in mine] == [data[a : a + 1000] for a in range(0, max(1, len(data)), 1000)]
+        assert all(bytes(r["running_digest"]) == hashlib.sha256(data[: 1000 * (r["chunk_no"] + 1)]).digest() and bytes(r["digest"]) == hashlib.sha256(data).digest() and r["payload_bytes"] == len(data) for r in mine)
+
+
 def test_ties_null_ids_and_rotation(spark):
     text = "z" * 300
     rows = [(None, "u", text, "", ""), (9, "u", text, "", ""), (9, "u", text, "", ""), (11, "u", text, "", ""), (None, "u", "w" * 200, "", "")]
