@@ -123,3 +123,10 @@ def mwu_exact_p(u: float, n1: int, n2: int) -> float:
         ways = up
     share = ways / ways.sum()
     return float(min(1.0, 2 * share[math.ceil(max(u, n1 * n2 - u)) :].sum()))
+
+
+@F.pandas_udf(DoubleType())
+def mwu_p(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """``mwu_exact_p`` of each row; equal (u, n1, n2) are worked out once a batch."""
+    known: dict[tuple, float] = {}
+    return pd.Series([known[k] if (k := (float(a), int(b), int(c))) in known else known.setdefault(k, mwu_exact_p(*k)) for a, b, c in zip(u, n1, n2, strict=True)], dtype="float64")

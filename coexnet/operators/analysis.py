@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coexnet.functions.stats import bh, fisher_greater, mwu_exact_p, normal_p, rank_sum, stars, t_p, welch
+from coexnet.functions.stats import bh, fisher_greater, mwu_p, normal_p, rank_sum, stars, t_p, welch
 from coexnet.operators.modules import hub_genes
 
 
@@ -38,11 +38,10 @@ def find_dmes(mes: DataFrame, cells: DataFrame, by: str, test: str = "wilcox", m
     by_pair = ["g1", "g2", "module"]
     effects = dme_effects(paired).where((F.col("n_1") >= min_cells) & (F.col("n_2") >= min_cells))
     if test == "wilcox":
-        exact = F.udf(lambda u, a, b: mwu_exact_p(u, a, b), "double")
         ties = paired.groupBy(*by_pair).agg((F.count("*") != F.count_distinct("me")).alias("tied"))
         s = rank_sum(paired, by_pair, "me", F.col("first")).join(ties, by_pair)
         small = ~F.col("tied") & (F.least("n1", "n2") <= 8)
-        p = s.where(~small).select(*by_pair, normal_p("z").alias("p_val")).unionAll(s.where(small).select(*by_pair, exact("u1", F.col("n1").cast("int"), F.col("n2").cast("int")).alias("p_val")))
+        p = s.where(~small).select(*by_pair, normal_p("z").alias("p_val")).unionAll(s.where(small).select(*by_pair, mwu_p("u1", "n1", "n2").alias("p_val")))
     elif test == "t":
         p = welch(paired, by_pair, "me", F.col("first")).select(*by_pair, t_p("t", "df").alias("p_val"))
     else:
@@ -60,7 +59,7 @@ def trait_correlation(mes: DataFrame, cells: DataFrame, traits: list[str], metho
         both = mean_ranks(mean_ranks(both, ["trait", "module"], "x", "rx"), ["trait", "module"], "me", "ry").select("trait", "module", F.col("rx").alias("x"), F.col("ry").alias("me"))
     n = F.col("n").cast("double")
     centre = both.groupBy("trait", "module").agg(F.avg("x").alias("ax"), F.avg("me").alias("ay"))
-    c = both.join(F.broadcast(centre), ["trait", "module"]).select("trait", "module", (F.col("x") - F.col("ax")).alias("x"), (F.col("me") - F.col("ay")).alias("y"))
+    c = both.join(centre, ["trait", "module"]).select("trait", "module", (F.col("x") - F.col("ax")).alias("x"), (F.col("me") - F.col("ay")).alias("y"))
     s = c.groupBy("trait", "module").agg(F.count("*").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "yy", "xy")))
     r = F.col("xy") / F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))
     return s.where(n >= least).select("trait", "module", "n", F.coalesce(r, F.lit(0.0)).alias("cor"))
@@ -99,30 +98,35 @@ def deg_sets(deg: DataFrame, fc_cutoff: float = 0.5, group_col: str = "cluster")
 def average_expression(expr: DataFrame, tops: DataFrame) -> DataFrame:
     """(cell, module, score): mean over each module's genes in ``tops``, zeros included."""
     size = tops.groupBy("module").agg(F.count("*").alias("size"))
-    s = expr.join(F.broadcast(tops.select("module", "gene")), "gene").groupBy("cell", "module").agg(F.sum("value").alias("s"))
-    return s.join(F.broadcast(size), "module").select("cell", "module", (F.col("s") / F.col("size")).alias("score"))
+    s = expr.join(tops.select("module", "gene"), "gene").groupBy("cell", "module").agg(F.sum("value").alias("s"))
+    return s.join(size, "module").select("cell", "module", (F.col("s") / F.col("size")).alias("score"))
 
 
 def expression_bins(expr: DataFrame, n_cells: int, n_bins: int = 25) -> DataFrame:
-    """(gene, mean, bin): equal-count bins of the gene means (of the positive ones) by quantile."""
-    m = expr.groupBy("gene").agg((F.sum("value") / F.lit(float(n_cells))).alias("mean")).where("mean > 0")
-    w = Window.orderBy(F.round("mean", 9), "gene")
-    return m.withColumn("bin", F.ntile(n_bins).over(w) - 1)
+    """(gene, mean, bin, place): the bin between quantiles of the positive gene means that holds a gene.
+
+    ``bin`` counts a mean on an inner edge to the upper bin, as a control; ``place`` to the lower one, as a feature.
+    """
+    m = expr.groupBy("gene").agg(F.round(F.sum("value") / F.lit(float(n_cells)), 9).alias("mean"))
+    edges = m.where("mean > 0").agg(F.percentile("mean", F.array(*(F.lit(i / n_bins) for i in range(1, n_bins)))).alias("edges"))  # one row
+    below = lambda test: F.coalesce(F.size(F.filter("edges", test)), F.lit(0))
+    return m.crossJoin(F.broadcast(edges)).select("gene", "mean", below(lambda e: e <= F.col("mean")).alias("bin"), below(lambda e: e < F.col("mean")).alias("place"))
 
 
 def module_score(expr: DataFrame, tops: DataFrame, n_cells: int, n_bins: int = 25, seed: str = "42") -> DataFrame:
     """(cell, module, score): mean of a module's top genes less the mean of control genes.
 
-    For each module and bin the controls are as many genes per feature as the module has features,
-    drawn in the order of a hash; each control counts once.
+    For each module and bin of a feature the controls are as many of the bin's other genes as the module has features,
+    drawn in the order of a hash; each control counts once. Modules without a control are left out.
     """
     bins = expression_bins(expr, n_cells, n_bins)
+    tops = tops.select("module", "gene").distinct()
     size = tops.groupBy("module").agg(F.count("*").alias("size"))
-    wanted = tops.select("module", "gene").join(bins.select("gene", "bin"), "gene").select("module", "bin").distinct().join(size, "module")
-    pool = wanted.join(bins.select(F.col("gene").alias("gene"), "bin"), "bin")
+    wanted = tops.join(bins.select("gene", F.col("place").alias("bin")), "gene").select("module", "bin").distinct().join(size, "module")
+    pool = wanted.join(bins.select("gene", "bin"), "bin").join(tops, ["module", "gene"], "left_anti")
     order = Window.partitionBy("module", "bin").orderBy(F.md5(F.concat(F.lit(seed), F.lit("#"), "module", F.lit("#"), "gene")), "gene")
     control = pool.withColumn("r", F.row_number().over(order)).where("r <= size").select("module", "gene").distinct()
-    a, b = average_expression(expr, tops), average_expression(expr, control).withColumnRenamed("score", "base")
+    a, b = average_expression(expr, tops.join(control.select("module").distinct(), "module", "left_semi")), average_expression(expr, control).withColumnRenamed("score", "base")
     return a.join(b, ["cell", "module"], "full").select("cell", "module", (F.coalesce("score", F.lit(0.0)) - F.coalesce("base", F.lit(0.0))).alias("score"))
 
 

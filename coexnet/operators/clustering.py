@@ -1,17 +1,19 @@
 """Average linkage of a gene network and cuts of its tree.
 
-A tree over genes is sequential, so it takes the distances of all genes in one
-task; ``MAX_GENES`` refuses what wouldn't fit. Everything around it is relational.
+The tree grows in rounds over the table of gene pairs: in each, all clusters
+that are each other's nearest merge, and the pairs' summed similarities are added up by the
+new clusters. Average linkage is reducible, so this is the tree that merging one
+pair at a time gives (equal distances are told apart by the clusters' first genes). No task holds the square
+of genes; cuts work on the merges, of which there is one less than genes.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GENES = 8000
+from coexnet.operators.rounds import keep
 
 
 def average_linkage(d: np.ndarray) -> np.ndarray:
@@ -41,16 +43,22 @@ def average_linkage(d: np.ndarray) -> np.ndarray:
         alive[gone] = False
         d[gone], d[:, gone] = np.inf, np.inf
         size[keep] += size[gone]
-    order = sorted(range(n - 1), key=lambda i: merges[i][2])
+    return in_order(merges, n)
+
+
+def in_order(merges: list[tuple[int, int, float]], n: int) -> np.ndarray:
+    """(left, right, height, size) in order of height, from merges of any two members of the clusters."""
+    order = sorted(range(n - 1), key=lambda i: (merges[i][2], merges[i][0], merges[i][1]))
     label, count, out = np.arange(n), np.ones(2 * n - 1, int), np.zeros((n - 1, 4))
     root = {i: i for i in range(n)}
     for k, i in enumerate(order):
         a, b, h = merges[i]
-        ra, rb = root[_top(label, a)], root[_top(label, b)]
+        ta, tb = _top(label, a), _top(label, b)
+        ra, rb = root[ta], root[tb]
         count[n + k] = count[ra] + count[rb]
         out[k] = min(ra, rb), max(ra, rb), h, count[n + k]
-        label[_top(label, b)] = _top(label, a)
-        root[_top(label, a)] = n + k
+        label[tb] = ta
+        root[ta] = n + k
     return out
 
 
@@ -110,38 +118,58 @@ def cut_gap(merges: np.ndarray, n: int, cut_height: float = 0.995, min_size: int
     return out
 
 
-def _square(pdf: pd.DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
-    genes = np.unique(np.concatenate([pdf["g1"].to_numpy().astype(str), pdf["g2"].to_numpy().astype(str)]))
-    if len(genes) > MAX_GENES:
-        raise ValueError(f"{len(genes)} genes exceed the {MAX_GENES} that one tree takes; select genes first")
-    i, j = np.searchsorted(genes, pdf["g1"].to_numpy().astype(str)), np.searchsorted(genes, pdf["g2"].to_numpy().astype(str))
-    m = np.ones((len(genes), len(genes)))
-    m[i, j] = m[j, i] = 1 - pdf[value].to_numpy()
-    return genes, m
+def tree(tom: DataFrame, value: str = "tom") -> tuple[list[str], np.ndarray]:
+    """(genes in order of name, merges) by average linkage on ``1 - value``; pairs that are not listed are at distance 1.
+
+    Collects a row for each gene and for each merge.
+    """
+    spark = tom.sparkSession
+    ends = tom.select(F.col("g1").alias("gene")).unionAll(tom.select("g2")).distinct()
+    named = keep(ends.withColumn("id", F.row_number().over(Window.orderBy("gene")) - 1))  # a row for each gene
+    genes = [r["gene"] for r in named.orderBy("id").collect()]
+    ids = lambda c, to: named.select(F.col("gene").alias(c), F.col("id").alias(to))
+    pairs = tom.join(ids("g1", "a"), "g1").join(ids("g2", "b"), "g2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col(value).alias("s"))
+    size = np.ones(len(genes), np.int64)
+    pairs = keep(pairs.select("a", "b", "s", F.lit(1.0).alias("na"), F.lit(1.0).alias("nb")))
+    merges: list[tuple[int, int, float]] = []
+    alive = set(range(len(genes)))
+    while True:
+        edges = pairs.withColumn("d", 1 - F.col("s") / (F.col("na") * F.col("nb"))).withColumn("e", F.struct("d", "a", "b"))
+        near = edges.select(F.explode(F.array("a", "b")).alias("id"), "e").groupBy("id").agg(F.min("e").alias("e"))
+        found = near.select("e.d", "e.a", "e.b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("d").alias("d")).where("n = 2").collect()  # two clusters that choose the same pair
+        if not found:
+            break
+        for r in found:
+            merges.append((r["a"], r["b"], float(r["d"])))
+            size[r["a"]] += size[r["b"]]
+            alive.discard(r["b"])
+        into = spark.createDataFrame([(r["b"], r["a"]) for r in found], "old int, new int")
+        sizes = spark.createDataFrame([(r["a"], float(size[r["a"]])) for r in found], "top int, n double")
+        x = pairs
+        for c in ("a", "b"):
+            x = x.join(into.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new")), c, "left").withColumn(c, F.coalesce(f"{c}_new", c)).drop(f"{c}_new")
+            x = x.join(sizes.select(F.col("top").alias(c), F.col("n").alias(f"{c}_n")), c, "left").withColumn(f"n{c}", F.coalesce(f"{c}_n", f"n{c}")).drop(f"{c}_n")
+        swap = lambda p, q: F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q))
+        x = x.where("a <> b").select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), "s", swap("na", "nb").alias("na"), swap("nb", "na").alias("nb"))
+        pairs = keep(x.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")))
+    rest = sorted(alive)
+    merges += [(rest[0], x, 1.0) for x in rest[1:]]  # clusters without a pair between them
+    return genes, in_order(merges, len(genes)) if genes else np.zeros((0, 4))
 
 
 def linkage(tom: DataFrame, value: str = "tom") -> DataFrame:
     """(step, left, right, height, size): leaves are numbered in order of gene name, merges after them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = average_linkage(_square(pdf, value)[1])
-        return pd.DataFrame({"step": np.arange(len(z)), "left": z[:, 0].astype(int), "right": z[:, 1].astype(int), "height": z[:, 2], "size": z[:, 3].astype(int)})
-
-    return tom.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(run, "step int, left int, right int, height double, size int")
+    rows = [(k, int(a), int(b), float(h), int(n)) for k, (a, b, h, n) in enumerate(tree(tom, value)[1])]
+    return tom.sparkSession.createDataFrame(rows, "step int, left int, right int, height double, size int")
 
 
 def detect_modules(tom: DataFrame, method: str = "static", height: float = 0.8, cut_height: float = 0.995, min_size: int = 20, value: str = "tom") -> DataFrame:
     """(gene, module): M1.. by size, grey for what stays apart."""
     if method not in ("static", "gap"):
         raise ValueError(f"unknown cut {method!r}")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        genes, d = _square(pdf, value)
-        z = average_linkage(d)
-        label = cut_static(z, len(genes), height, min_size) if method == "static" else cut_gap(z, len(genes), cut_height, min_size)
-        return pd.DataFrame({"gene": genes, "module": [f"M{x}" if x else "grey" for x in label]})
-
-    return tom.withColumn("tree", F.lit(0)).groupBy("tree").applyInPandas(run, "gene string, module string")
+    genes, z = tree(tom, value)
+    label = cut_static(z, len(genes), height, min_size) if method == "static" else cut_gap(z, len(genes), cut_height, min_size)
+    return tom.sparkSession.createDataFrame([(g, f"M{x}" if x else "grey") for g, x in zip(genes, label, strict=True)], "gene string, module string")
 
 
 def merge_close(modules: DataFrame, module_cor: DataFrame, cut_height: float = 0.2) -> DataFrame:

@@ -46,6 +46,12 @@ def pair_products(expr: DataFrame, plan: str = "relational", chunk_cells: int =
     return _products_relational(expr) if plan == "relational" else _products_blocked(expr, chunk_cells)
 
 
+def impute_means(expr: DataFrame, n_cells: int) -> DataFrame:
+    """NaN values replaced by the mean of the gene's other values, absent zeros among them; a gene with nothing else gets 0."""
+    m = expr.groupBy("gene").agg((F.sum(F.when(~F.isnan("value"), F.col("value"))) / F.nullif(F.lit(n_cells) - F.count_if(F.isnan("value")), F.lit(0))).alias("__mean"))
+    return expr.join(m, "gene").select("cell", "gene", F.when(F.isnan("value"), F.coalesce("__mean", F.lit(0.0))).otherwise(F.col("value")).alias("value"))
+
+
 def gene_grid(genes: DataFrame) -> DataFrame:
     """(g1, g2) for all g1 < g2: the size of the result, not of the data."""
     a, b = genes.select(F.col("gene").alias("g1")), genes.select(F.col("gene").alias("g2"))
@@ -90,12 +96,12 @@ def densify(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
 def bicor_values(dense: DataFrame) -> DataFrame:
     """Unit-length biweight scores of each gene, on a matrix with all its zeros."""
     med = dense.groupBy("gene").agg(F.median("value").alias("med"))
-    x = dense.join(F.broadcast(med), "gene").withColumn("c", F.col("value") - F.col("med"))
+    x = dense.join(med, "gene").withColumn("c", F.col("value") - F.col("med"))
     mad = x.groupBy("gene").agg(F.median(F.abs("c")).alias("mad"))
-    x = x.join(F.broadcast(mad), "gene").withColumn("u", F.col("c") / (9 * F.when(F.col("mad") < 1e-15, 1.0).otherwise(F.col("mad"))))
+    x = x.join(mad, "gene").withColumn("u", F.col("c") / (9 * F.when(F.col("mad") < 1e-15, 1.0).otherwise(F.col("mad"))))
     x = x.withColumn("z", F.when(F.abs("u") < 1, F.col("c") * (1 - F.col("u") * F.col("u")) * (1 - F.col("u") * F.col("u"))).otherwise(0.0))
     norm = x.groupBy("gene").agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("norm"))
-    return x.join(F.broadcast(norm), "gene").select("cell", "gene", (F.col("z") / F.when(F.col("norm") < 1e-15, 1.0).otherwise(F.col("norm"))).alias("value"))
+    return x.join(norm, "gene").select("cell", "gene", (F.col("z") / F.when(F.col("norm") < 1e-15, 1.0).otherwise(F.col("norm"))).alias("value"))
 
 
 def bicor(dense: DataFrame, plan: str = "relational") -> DataFrame:
@@ -106,6 +112,8 @@ def bicor(dense: DataFrame, plan: str = "relational") -> DataFrame:
 
 
 def correlate(expr: DataFrame, n_cells: int, method: str = "pearson", plan: str = "relational") -> DataFrame:
+    """(g1, g2, cor) by one of the methods, after ``impute_means``."""
+    expr = impute_means(expr, n_cells)
     if method == "pearson":
         return pearson(expr, n_cells, plan)
     if method == "spearman":

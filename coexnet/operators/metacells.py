@@ -10,37 +10,69 @@ from pyspark.sql import functions as F
 from coexnet.operators.features import log_normalize
 
 
-def knn_within_group(coords: DataFrame, k: int) -> DataFrame:
-    """(group, cell, neighbour, d2, rank): the k nearest other cells of the same group, from (group, cell, coords)."""
-    a = coords.select("group", "cell", F.col("coords").alias("x"))
-    b = coords.select("group", F.col("cell").alias("neighbour"), F.col("coords").alias("y"))
-    d2 = F.round(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v), 9)
-    pairs = a.join(b, "group").where(F.col("cell") != F.col("neighbour")).select("group", "cell", "neighbour", d2.alias("d2"))
+BLOCK_CELLS = 2048
+
+
+def knn_within_group(coords: DataFrame, k: int, block_cells: int = BLOCK_CELLS) -> DataFrame:
+    """(group, cell, neighbour, d2, rank): the k nearest other cells of the same group, from (group, cell, coords).
+
+    A group is dealt into blocks of about ``block_cells``; two blocks meet in a task, which keeps
+    k neighbours of each cell, so a large group is spread over many tasks and no pairs are emitted.
+    """
+    cell_type = coords.schema["cell"].dataType.simpleString()
+    blocks = coords.groupBy("group").agg(F.ceil(F.count("*") / block_cells).cast("int").alias("blocks"))
+    x = coords.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    asks = x.select("group", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("ask"), "cell", "coords")
+    gives = x.select("group", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("ask"), "cell", "coords")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf["ask"].to_numpy(bool)
+        at = np.stack(pdf["coords"].to_numpy()).astype(float)
+        a, b, ids = at[ask], at[~ask], pdf["cell"].to_numpy()
+        mine, others = ids[ask], ids[~ask]
+        out = []
+        order = np.argsort(others, kind="stable")
+        b, others = b[order], others[order]
+        for lo in range(0, len(a), 256):
+            d = np.zeros((len(a[lo : lo + 256]), len(b)))
+            for c in range(a.shape[1]):
+                d += (a[lo : lo + 256, c][:, None] - b[None, :, c]) ** 2
+            d = np.round(d, 9)
+            d[mine[lo : lo + 256][:, None] == others[None, :]] = np.inf
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            for row, cell in enumerate(mine[lo : lo + 256]):
+                keep = best[row][np.isfinite(d[row, best[row]])]
+                out.append(pd.DataFrame({"group": pdf["group"].iloc[0], "cell": cell, "neighbour": others[keep], "d2": d[row, keep]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["group", "cell", "neighbour", "d2"])
+
+    group_type = coords.schema["group"].dataType.simpleString()
+    found = asks.unionAll(gives).groupBy("group", "i", "j").applyInPandas(near, f"`group` {group_type}, cell {cell_type}, neighbour {cell_type}, d2 double")
     w = Window.partitionBy("group", "cell").orderBy("d2", "neighbour")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def metacell_members(coords: DataFrame, k: int = 25, max_shared: int = 15, target: int | None = 1000, max_iter: int = 5000, seed: str = "0") -> DataFrame:
     """(group, metacell, cell): greedily chosen neighbourhoods that share at most ``max_shared`` cells pairwise.
 
-    Centres are visited in the order of a hash. A group of at most ``k`` cells is one metacell. The choice is
-    sequential, so the neighbour lists (k integers a cell) of one group meet in one task; groups are independent.
+    Centres are visited in the order of a hash, ``max_iter`` at most. A group of at most ``k`` cells is one metacell. The choice is
+    sequential: the neighbour lists of the ``max_iter`` centres of a group, and no others, meet in one task.
     """
-    own = coords.select("group", "cell", F.col("cell").alias("neighbour"), F.lit(0).alias("rank"))
-    lists = knn_within_group(coords, k - 1).select("group", "cell", "neighbour", "rank").unionAll(own)
+    own = coords.select("group", "cell", F.col("cell").alias("neighbour"))
+    sizes = coords.groupBy("group").agg(F.count_distinct("cell").alias("n"))
+    first = Window.partitionBy("group").orderBy(F.md5(F.concat_ws("#", F.col("cell").cast("string"), F.lit(seed))), "cell")
+    centres = coords.select("group", "cell").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_iter)
+    lists = knn_within_group(coords, k - 1).select("group", "cell", "neighbour").unionAll(own).join(centres, ["group", "cell"]).join(sizes, "group")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        group, cells = pdf["group"].iloc[0], np.unique(pdf["cell"].to_numpy())
-        n = len(cells)
+        group, cells, n = pdf["group"].iloc[0], np.unique(pdf["cell"].to_numpy()), int(pdf["n"].iloc[0])
         if n <= k:
             return pd.DataFrame({"group": group, "metacell": f"{group}_1", "cell": cells})
         hoods = {c: set(x) for c, x in pdf.groupby("cell")["neighbour"]}
-        import hashlib
-
-        order = sorted(cells.tolist(), key=lambda c: hashlib.md5(f"{c}#{seed}".encode()).hexdigest())
+        order = pdf[["place", "cell"]].drop_duplicates().sort_values("place")["cell"].tolist()
         want, taken = target or max(n // k, 1), []
         holders: dict[object, list[int]] = {}
-        for c in order[:max_iter]:
+        for c in order:
             if len(taken) >= want:
                 break
             shared: dict[int, int] = {}

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coexnet.operators.correlation import pair_products
+from coexnet.operators.correlation import bicor_values, pair_products
 
 CLIP = 10.0
 
@@ -17,48 +17,82 @@ def module_order(module):
     return F.coalesce(F.regexp_extract(module, r"(\d+)", 1).try_cast("int"), F.lit(1 << 30))
 
 
-def standardise(expr: DataFrame, n_cells: int, clip: float | None = CLIP, floor: float = 1e-8) -> DataFrame:
-    """z-scores (sample deviation, at least ``floor``) over all cells, for a dense matrix."""
+def scale_moments(expr: DataFrame, n_cells: int, ddof: int = 1, floor: float = 1e-8, add: float = 0.0) -> DataFrame:
+    """(gene, mean, sd) over all cells, absent values being zeros; a deviation below ``floor`` counts as 1, ``add`` is added to it."""
     n = F.lit(float(n_cells))
     m = expr.groupBy("gene").agg((F.sum("value") / n).alias("mean"), F.sum(F.col("value") * F.col("value")).alias("ss"))
-    sd = F.sqrt(F.greatest((F.col("ss") - n * F.col("mean") * F.col("mean")) / (n - 1), F.lit(0.0)))
-    m = m.select("gene", "mean", F.when(sd < floor, 1.0).otherwise(sd).alias("sd"))
-    z = (F.col("value") - F.col("mean")) / F.col("sd")
-    if clip is not None:
-        z = F.greatest(F.lit(-clip), F.least(F.lit(clip), z))
-    return expr.join(F.broadcast(m), "gene").select("cell", "gene", z.alias("value"))
+    sd = F.sqrt(F.greatest((F.col("ss") - n * F.col("mean") * F.col("mean")) / (n - ddof), F.lit(0.0)))
+    return m.select("gene", "mean", (F.when(sd < floor, 1.0).otherwise(sd) + add).alias("sd"))
 
 
-def loadings(z: DataFrame, modules: DataFrame) -> DataFrame:
+def standardise(expr: DataFrame, n_cells: int, clip: float | None = CLIP, **how) -> tuple[DataFrame, DataFrame]:
+    """(cell, gene, value) and (gene, zero): z-scores less the z-score of a zero, so that absent values stay absent, and that score.
+
+    A sum of z-scores over genes is then the sum of the values there are, plus the sum of ``zero``.
+    """
+    m = scale_moments(expr, n_cells, **how)
+    bound = lambda z: z if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), z))
+    m = m.select("gene", "mean", "sd", bound(-F.col("mean") / F.col("sd")).alias("zero"))
+    z = bound((F.col("value") - F.col("mean")) / F.col("sd")) - F.col("zero")
+    return expr.join(m, "gene").select("cell", "gene", z.alias("value")), m.select("gene", "zero")
+
+
+def module_products(x: DataFrame, chunk_cells: int = 4096) -> DataFrame:
+    """(module, g1, g2, p) of (cell, gene, module, value): products summed over cells for g1 <= g2, a chunk of cells of a module multiplied at once."""
+    n = max(1, -(-x.select("cell").distinct().count() // chunk_cells))
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        genes, gi = np.unique(pdf["gene"].to_numpy(), return_inverse=True)
+        cells, ci = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
+        v = np.zeros((len(genes), len(cells)))
+        np.add.at(v, (gi, ci), pdf["value"].to_numpy(float))
+        i, j = np.triu_indices(len(genes))
+        return pd.DataFrame({"module": pdf["module"].iloc[0], "g1": genes[i], "g2": genes[j], "p": (v @ v.T)[i, j]})
+
+    dealt = x.withColumn("chunk", F.pmod(F.xxhash64("cell"), F.lit(n)))
+    return dealt.groupBy("module", "chunk").applyInPandas(multiply, "module string, g1 string, g2 string, p double").groupBy("module", "g1", "g2").agg(F.sum("p").alias("p"))
+
+
+def loadings(z: DataFrame, zeros: DataFrame, modules: DataFrame, n_cells: int) -> DataFrame:
     """(module, gene, loading): first right singular vector of each module's z-scores.
 
-    Only the module's gene by gene products reach a task (genes squared, whatever the number of cells).
+    Only the module's gene by gene products reach a task (genes squared, whatever the number of cells);
+    what absent values add to them comes from the sums of the genes.
     """
-    named = z.join(F.broadcast(modules.where("module <> 'grey'").select("gene", "module")), "gene")
-    square = named.groupBy("module", "gene").agg(F.sum(F.col("value") * F.col("value")).alias("p"))
-    cross = named.select("cell", "module", F.col("gene").alias("g1"), F.col("value").alias("v1")).join(named.select("cell", "module", F.col("gene").alias("g2"), F.col("value").alias("v2")), ["cell", "module"])
-    cross = cross.where("g1 < g2").groupBy("module", "g1", "g2").agg(F.sum(F.col("v1") * F.col("v2")).alias("p"))
-    gram = cross.unionByName(square.select("module", F.col("gene").alias("g1"), F.col("gene").alias("g2"), "p"))
+    named = z.join(modules.where("module <> 'grey'").select("gene", "module"), "gene")
+    sums = named.groupBy("module", "gene").agg(F.sum("value").alias("s")).join(zeros, "gene")
+    gram = module_products(named).unionByName(sums.select("module", F.col("gene").alias("g1"), "s", "zero"), allowMissingColumns=True)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        genes = np.unique(pdf["g1"].to_numpy().tolist() + pdf["g2"].to_numpy().tolist())
-        i, j = np.searchsorted(genes, pdf["g1"].to_numpy().astype(str)), np.searchsorted(genes, pdf["g2"].to_numpy().astype(str))
+        own = pdf[pdf["g2"].isna()].sort_values("g1")
+        pairs = pdf[pdf["g2"].notna()]
+        genes, s, zero = own["g1"].to_numpy().astype(str), own["s"].to_numpy(float), own["zero"].to_numpy(float)
+        i, j = np.searchsorted(genes, pairs["g1"].to_numpy().astype(str)), np.searchsorted(genes, pairs["g2"].to_numpy().astype(str))
         m = np.zeros((len(genes), len(genes)))
-        m[i, j] = m[j, i] = pdf["p"].to_numpy()
+        m[i, j] = m[j, i] = pairs["p"].to_numpy()
+        m += np.outer(s, zero) + np.outer(zero, s) + n_cells * np.outer(zero, zero)
         v = np.linalg.eigh(m)[1][:, -1]
         return pd.DataFrame({"module": pdf["module"].iloc[0], "gene": genes, "loading": v * (1 if v[np.argmax(np.abs(v))] >= 0 else -1)})
 
     return gram.groupBy("module").applyInPandas(first, "module string, gene string, loading double")
 
 
-def eigengenes(expr: DataFrame, modules: DataFrame, n_cells: int, clip: float | None = CLIP) -> DataFrame:
-    """(cell, module, me): scores on the first component of each module, with the sign of its mean expression."""
-    z = standardise(expr, n_cells, clip)
-    me = z.join(F.broadcast(loadings(z, modules)), "gene").groupBy("cell", "module").agg(F.sum(F.col("value") * F.col("loading")).alias("me"))
-    mean = expr.join(F.broadcast(modules.select("gene", "module")), "gene").groupBy("cell", "module").agg(F.avg("value").alias("mean"))
-    both = me.join(mean, ["cell", "module"])
-    sign = both.groupBy("module").agg(F.when(F.covar_samp("me", "mean") < 0, -1.0).otherwise(1.0).alias("sign"))
-    return me.join(F.broadcast(sign), "module").select("cell", "module", (F.col("me") * F.col("sign")).alias("me"))
+def weighted_scores(z: DataFrame, zeros: DataFrame, loads: DataFrame, cells: DataFrame, name: str = "me") -> DataFrame:
+    """(cell, module, score): loadings times z-scores, summed for every cell, also for those without a value."""
+    rest = loads.join(zeros, "gene").groupBy("module").agg(F.sum(F.col("zero") * F.col("loading")).alias("rest"))
+    some = z.join(loads.select("gene", "module", "loading"), "gene").groupBy("cell", "module").agg(F.sum(F.col("value") * F.col("loading")).alias("s"))
+    grid = cells.select("cell").crossJoin(F.broadcast(rest))  # the rows of the result; a row for each module
+    return grid.join(some, ["cell", "module"], "left").select("cell", "module", (F.coalesce("s", F.lit(0.0)) + F.col("rest")).alias(name))
+
+
+def eigengenes(expr: DataFrame, modules: DataFrame, n_cells: int, clip: float | None = CLIP, cells: DataFrame | None = None) -> DataFrame:
+    """(cell, module, me): scores on the first component of each module, with the sign of its mean expression, for all ``cells`` (those in ``expr`` if not given)."""
+    cells = expr.select("cell").distinct() if cells is None else cells
+    z, zeros = standardise(expr, n_cells, clip)
+    me = weighted_scores(z, zeros, loadings(z, zeros, modules, n_cells), cells)
+    both = me.join(mean_expression(expr, modules).withColumnRenamed("me", "mean"), ["cell", "module"], "left")
+    sign = both.groupBy("module").agg(F.when(F.covar_samp("me", F.coalesce("mean", F.lit(0.0))) < 0, -1.0).otherwise(1.0).alias("sign"))
+    return me.join(sign, "module").select("cell", "module", (F.col("me") * F.col("sign")).alias("me"))
 
 
 def harmonize(mes: DataFrame, cells: DataFrame, batch: list[str]) -> DataFrame:
@@ -75,7 +109,7 @@ def mean_expression(expr: DataFrame, modules: DataFrame) -> DataFrame:
     """(cell, module, me): mean expression of a module's genes, zeros included."""
     size = modules.groupBy("module").agg(F.count("*").alias("size"))
     x = expr.join(F.broadcast(modules.select("gene", "module")), "gene").groupBy("cell", "module").agg(F.sum("value").alias("s"))
-    return x.join(F.broadcast(size), "module").select("cell", "module", (F.col("s") / F.col("size")).alias("me"))
+    return x.join(size, "module").select("cell", "module", (F.col("s") / F.col("size")).alias("me"))
 
 
 def kme(expr: DataFrame, mes: DataFrame, n_cells: int) -> DataFrame:
@@ -87,12 +121,21 @@ def kme(expr: DataFrame, mes: DataFrame, n_cells: int) -> DataFrame:
     g = expr.groupBy("gene").agg(F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"))
     m = mes.groupBy("module").agg(F.sum("me").alias("sy"), F.sum(F.col("me") * F.col("me")).alias("syy"))
     xy = expr.join(mes, "cell").groupBy("gene", "module").agg(F.sum(F.col("value") * F.col("me")).alias("sxy"))
-    x = xy.join(F.broadcast(g), "gene").join(F.broadcast(m), "module")
+    x = xy.join(g, "gene").join(m, "module")
     d = (n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))
     r = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.sqrt(F.greatest(d, F.lit(0.0))), F.lit(0.0))
     return x.select("gene", "module", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))).alias("kme"))
 
 
+def kme_bicor(dense: DataFrame, mes: DataFrame) -> DataFrame:
+    """(gene, module, kme): biweight midcorrelation of every gene with every module's score; ``dense`` has all zeros, and NaN counts as zero."""
+    sound = lambda c: F.when(F.isnan(c), 0.0).otherwise(F.col(c))
+    x = bicor_values(dense.select("cell", "gene", sound("value").alias("value")))
+    y = bicor_values(mes.select("cell", F.col("module").alias("gene"), sound("me").alias("value"))).select("cell", F.col("gene").alias("module"), F.col("value").alias("y"))
+    r = x.join(y, "cell").groupBy("gene", "module").agg(F.sum(F.col("value") * F.col("y")).alias("r"))
+    return r.select("gene", "module", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))).alias("kme"))
+
+
 def hub_genes(modules: DataFrame, kmes: DataFrame, n_hubs: int = 10) -> DataFrame:
     """(module, gene, kme, rank): the top genes of each module by their own module's connectivity."""
     own = modules.where("module <> 'grey'").select("gene", "module").join(kmes, ["gene", "module"])

@@ -105,14 +105,23 @@ def topological_overlap(adj: DataFrame, denominator: str = "min", plan: str = "r
 
 def palette(modules: DataFrame) -> DataFrame:
     """(module, color): one colour name per module in natural order; grey stays grey, and so does what exceeds the list."""
-    n = F.regexp_extract("module", r"(\d+)", 1).cast("int")
+    n = F.regexp_extract("module", r"(\d+)", 1).try_cast("int")
     named = modules.where("module <> 'grey'").select("module").distinct().withColumn("r", F.row_number().over(Window.orderBy(n, "module")))
     color = F.coalesce(F.try_element_at(F.array(*map(F.lit, COLORS)), F.col("r").cast("int")), F.lit("grey"))
     grey = modules.where("module = 'grey'").select("module").distinct().withColumn("color", F.lit("grey"))
     return named.select("module", color.alias("color")).unionAll(grey)
 
 
-#: Plain colour names in the usual order of module colours (fixed values).
-COLORS = ("turquoise", "blue", "brown", "yellow", "green", "red", "black", "pink", "magenta", "purple", "greenyellow", "tan", "salmon", "cyan", "midnightblue", "lightcyan", "lightgreen", "lightyellow", "royalblue", "darkred")
+def color_of(module, colors: dict[str, str]):
+    """The colour of a module for plots; ``#0072B2`` if it has none."""
+    known = F.create_map(*(F.lit(x) for kv in colors.items() for x in kv)) if colors else F.lit(None).cast("map<string,string>")
+    return F.coalesce(F.try_element_at(known, module), F.lit("#0072B2"))
 
 
+#: Names of module colours (fixed values).
+COLORS = (
+    "turquoise", "blue", "brown", "yellow", "green", "red", "black", "pink", "magenta", "purple", "greenyellow", "tan", "cyan", "salmon", "skyblue", "gold", "violet", "orange", "midnightblue", "lightcyan", "saddlebrown", "darkolivegreen",
+    "coral", "orchid", "ivory", "darksalmon", "aquamarine", "lightsteelblue", "navajowhite", "beige", "limegreen", "darkturquoise", "khaki", "darkred", "darkmagenta", "chocolate", "crimson", "darkviolet", "powderblue", "seagreen",
+    "forestgreen", "slategray", "darkgoldenrod", "indianred", "mediumpurple", "thistle", "plum", "mistyrose", "darkblue", "lightpink", "burlywood", "lightgoldenrod", "paleturquoise", "springgreen", "olivedrab", "sienna", "lightskyblue",
+    "peachpuff", "steelblue", "firebrick", "cadetblue", "rosybrown", "chocolate1", "palevioletred",
+)

@@ -41,14 +41,14 @@ def corr_network_data(mes: DataFrame, cells: DataFrame, by: str, module_cor: Dat
 def volcano_data(dmes: DataFrame, p: str = "p_val") -> DataFrame:
     """Adds neg_log10_p and label; p of 0 takes the smallest other p."""
     x = dmes.where(F.col(p).isNotNull() & ~F.isnan(p))
-    least = F.min(F.when(F.col(p) > 0, F.col(p))).over(Window.partitionBy(F.lit(0)))
-    x = x.withColumn("__p", F.when(F.col(p) > 0, F.col(p)).otherwise(F.coalesce(least, F.lit(1e-300))))
-    return x.withColumns({"neg_log10_p": -F.log10("__p"), "label": F.when(F.col("p_val_adj") < 0.05, F.col("module")).otherwise("")}).drop("__p")
+    least = x.agg(F.coalesce(F.min(F.when(F.col(p) > 0, F.col(p))), F.lit(1e-300)).alias("__least"))  # one row
+    x = x.crossJoin(F.broadcast(least)).withColumn("__p", F.when(F.col(p) > 0, F.col(p)).otherwise(F.col("__least")))
+    return x.withColumns({"neg_log10_p": -F.log10("__p"), "label": F.when(F.col("p_val_adj") < 0.05, F.col("module")).otherwise("")}).drop("__p", "__least")
 
 
 def network_edges(tom: DataFrame, modules: DataFrame, hubs: DataFrame, n_edges: int = 500) -> DataFrame:
     """(g1, g2, module, weight): the strongest links among a module's hub genes, scaled to the largest."""
-    h = F.broadcast(hubs.select("gene", "module"))
+    h = hubs.select("gene", "module")
     x = tom.join(h.select(F.col("gene").alias("g1"), "module"), "g1").join(h.select(F.col("gene").alias("g2"), F.col("module").alias("other")), "g2").where("module = other")
     w = Window.partitionBy("module")
     x = x.withColumn("r", F.row_number().over(w.orderBy(F.desc(F.round("tom", 9)), "g1", "g2"))).where(F.col("r") <= n_edges)
@@ -57,7 +57,7 @@ def network_edges(tom: DataFrame, modules: DataFrame, hubs: DataFrame, n_edges:
 
 def umap_features(tom: DataFrame, hubs: DataFrame) -> DataFrame:
     """(gene, hub, tom): overlap of every gene with every hub; 1 with itself."""
-    h = F.broadcast(hubs.select(F.col("gene").alias("hub")))
+    h = hubs.select(F.col("gene").alias("hub"))
     x = both_ways(tom, "tom").join(h, F.col("j") == F.col("hub")).select(F.col("i").alias("gene"), "hub", "tom")
     return x.unionAll(hubs.select("gene", F.col("gene").alias("hub"), F.lit(1.0).alias("tom")))
 
@@ -65,7 +65,7 @@ def umap_features(tom: DataFrame, hubs: DataFrame) -> DataFrame:
 def topology_heatmap(tom: DataFrame, kmes: DataFrame, modules: DataFrame, module: str, clip: float = 0.95) -> DataFrame:
     """(r1, r2, g1, g2, tom): one module's overlaps with its genes ranked by connectivity, clipped at a quantile."""
     own = hub_genes(modules.where(F.col("module") == module), kmes, 1 << 30).select("gene", "rank")
-    x = tom.join(F.broadcast(own.select(F.col("gene").alias("g1"), F.col("rank").alias("r1"))), "g1").join(F.broadcast(own.select(F.col("gene").alias("g2"), F.col("rank").alias("r2"))), "g2")
+    x = tom.join(own.select(F.col("gene").alias("g1"), F.col("rank").alias("r1")), "g1").join(own.select(F.col("gene").alias("g2"), F.col("rank").alias("r2")), "g2")
     cap = x.agg(F.percentile("tom", F.lit(clip)).alias("cap"))
     return x.join(F.broadcast(cap), F.lit(True), "cross").select("r1", "r2", "g1", "g2", F.least("tom", "cap").alias("tom"))
 
@@ -74,7 +74,8 @@ def hub_heatmap(expr: DataFrame, cells: DataFrame, by: str, hubs: DataFrame, per
     """(group, cell, gene, z): hub expression of up to ``per_group`` cells per group (a plot's sample, by hash), standardised and clipped."""
     order = Window.partitionBy("group").orderBy(F.md5(F.concat_ws("#", F.lit(seed), "cell")), "cell")
     some = cells.select("cell", F.col(by).cast("string").alias("group")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_group)
-    x = expr.join(F.broadcast(hubs.select("gene").distinct()), "gene").join(some.select("cell", "group"), "cell")
+    grid = some.select("cell", "group").crossJoin(F.broadcast(hubs.select("gene").distinct()))  # the rows of the plot, zeros among them
+    x = grid.join(expr, ["cell", "gene"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     w = Window.partitionBy("gene")
     sd = F.stddev_samp("value").over(w)
     z = F.when(sd > 0, (F.col("value") - F.avg("value").over(w)) / sd).otherwise(0.0)

@@ -331,6 +331,27 @@ def eigengenes(spark, d):
     return r6(modules.eigengenes(x, emb_modules(spark, d), features.count_cells(x)), "me")
 
 
+SPE = """ld AS (SELECT gene, split_part(gene, '/', 1) AS module, (1 + length(gene) % 5) / 10.0 AS l FROM (SELECT DISTINCT gene FROM cnt)),
+sm AS (SELECT gene, sum(value) / n AS mean, sqrt((sum(value * value) - sum(value) * sum(value) / n) / (n - 1)) AS sd FROM cnt, (SELECT count(*)::DOUBLE AS n FROM customer) GROUP BY gene, n),
+zs AS (SELECT c_custkey AS cell, gene, greatest(-10.0, least(10.0, (coalesce(value, 0) - mean) / sd)) AS z FROM customer CROSS JOIN sm LEFT JOIN cnt ON cnt.cell = c_custkey AND cnt.gene = sm.gene)"""
+
+
+@query("sparse_scores", sql(CNT, SPE.replace("sm.gene)", "sm.gene)").replace("SELECT c_custkey AS cell, gene,", "SELECT c_custkey AS cell, sm.gene,"), "SELECT cell, module, round(sum(z * l), 5) + 0.0 AS me FROM zs JOIN ld USING (gene) GROUP BY 1, 2"))
+def sparse_scores(spark, d):
+    """Scores of given loadings on the sparse view, for all customers, also those without an order."""
+    x, c = views.customer_items(spark, d), views.customers(spark, d)
+    loads = x.select("gene").distinct().select("gene", F.split("gene", "/")[0].alias("module"), ((1 + F.length("gene") % 5) / 10.0).alias("loading"))
+    out = modules.weighted_scores(*modules.standardise(x, c.count()), loads, c)
+    return out.withColumn("me", F.round("me", 5) + F.lit(0.0))
+
+
+@query("sparse_eigengenes")
+def sparse_eigengenes(spark, d):
+    x, c = views.customer_items(spark, d), views.customers(spark, d)
+    m = x.select("gene").distinct().select("gene", F.split("gene", "/")[0].alias("module"))
+    return r6(modules.eigengenes(x, m, c.count(), cells=c), "me")
+
+
 @query("harmonized_eigengenes", sql(EMB, FIX, MES, GRP, "SELECT cell, module, round(me - avg(me) OVER (PARTITION BY module, g) + avg(me) OVER (PARTITION BY module), 6) + 0.0 AS me FROM mes JOIN grp USING (cell)"))
 def harmonized(spark, d):
     return r6(modules.harmonize(emb_mes(spark, d), emb_cells(spark, d), ["label"]), "me")
@@ -341,6 +362,15 @@ def kme(spark, d):
     return r6(emb_kme(spark, d), "kme")
 
 
+@query("kme_bicor", sql(EMB, FIX, MES, """al AS (SELECT cell, 'x' AS side, gene AS k, value AS v FROM emb UNION ALL SELECT cell, 'y', module, me FROM mes),
+md AS (SELECT side, k, median(v) AS med FROM al GROUP BY 1, 2), ad AS (SELECT side, k, med, median(abs(v - med)) AS mad FROM al JOIN md USING (side, k) GROUP BY 1, 2, 3),
+uu AS (SELECT cell, side, k, v - med AS c, (v - med) / (9 * CASE WHEN mad < 1e-15 THEN 1 ELSE mad END) AS u FROM al JOIN ad USING (side, k)),
+zz AS (SELECT cell, side, k, CASE WHEN abs(u) < 1 THEN c * (1 - u * u) * (1 - u * u) ELSE 0 END AS z FROM uu),
+nz AS (SELECT cell, side, k, z / sqrt(sum(z * z) OVER (PARTITION BY side, k)) AS z FROM zz)""", "SELECT a.k AS gene, b.k AS module, round(sum(a.z * b.z), 6) + 0.0 AS kme FROM nz a JOIN nz b ON a.cell = b.cell AND a.side = 'x' AND b.side = 'y' GROUP BY 1, 2"))
+def kme_bicor(spark, d):
+    return r6(modules.kme_bicor(emb(spark, d), emb_mes(spark, d)), "kme")
+
+
 @query("hub_genes", sql(EMB, FIX, MES, KME, HUB, "SELECT module, gene, round(kme, 6) AS kme, CAST(rank AS INT) AS rank FROM hub"))
 def hubs(spark, d):
     return r6(emb_hubs(spark, d), "kme")
@@ -363,12 +393,14 @@ def avg_expr(spark, d):
     return r6(analysis.average_expression(emb(spark, d), emb_hubs(spark, d)), "score")
 
 
-MSC = """mn AS (SELECT gene, sum(value) / (SELECT count(DISTINCT cell) FROM cnt) AS mean FROM cnt GROUP BY 1 HAVING sum(value) > 0),
-bi AS (SELECT gene, ntile(25) OVER (ORDER BY round(mean, 9), gene) - 1 AS bin FROM mn),
+MSC = """mn AS (SELECT gene, round(sum(value) / (SELECT count(DISTINCT cell) FROM cnt), 9) AS mean FROM cnt GROUP BY 1),
+ed AS (SELECT quantile_cont(mean, [i / 25.0 FOR i IN range(1, 25)]) AS e FROM mn WHERE mean > 0),
+bi AS (SELECT gene, len([x FOR x IN e IF x <= mean]) AS bin, len([x FOR x IN e IF x < mean]) AS place FROM mn, ed),
 tp AS (SELECT DISTINCT gene, split_part(gene, '/', 1) AS module FROM cnt),
-wt AS (SELECT DISTINCT module, bin, size FROM tp JOIN bi USING (gene) JOIN (SELECT module, count(*) AS size FROM tp GROUP BY 1) USING (module)),
-ct AS (SELECT DISTINCT module, gene FROM (SELECT module, b.gene, size, row_number() OVER (PARTITION BY module, bin ORDER BY md5('42#' || module || '#' || b.gene), b.gene) AS r FROM wt JOIN bi b USING (bin)) WHERE r <= size),
-sa AS (SELECT cell, module, sum(value) / max(size) AS s FROM cnt JOIN (SELECT *, count(*) OVER (PARTITION BY module) AS size FROM tp) USING (gene) GROUP BY 1, 2),
+wt AS (SELECT DISTINCT module, place AS bin, size FROM tp JOIN bi USING (gene) JOIN (SELECT module, count(*) AS size FROM tp GROUP BY 1) USING (module)),
+ct AS (SELECT DISTINCT module, gene FROM (SELECT module, b.gene, size, row_number() OVER (PARTITION BY module, bin ORDER BY md5('42#' || module || '#' || b.gene), b.gene) AS r
+  FROM wt JOIN bi b USING (bin) WHERE (module, b.gene) NOT IN (SELECT (module, gene) FROM tp)) WHERE r <= size),
+sa AS (SELECT cell, module, sum(value) / max(size) AS s FROM cnt JOIN (SELECT *, count(*) OVER (PARTITION BY module) AS size FROM tp) USING (gene) WHERE module IN (SELECT module FROM ct) GROUP BY 1, 2),
 sb AS (SELECT cell, module, sum(value) / max(size) AS s FROM cnt JOIN (SELECT *, count(*) OVER (PARTITION BY module) AS size FROM ct) USING (gene) GROUP BY 1, 2)"""
 
 
@@ -508,7 +540,7 @@ def preservation_observed(spark, d):
 
 @query("module_preservation")
 def preservation(spark, d):
-    return r6(projection.preservation(emb_tom(spark, d), emb_modules(spark, d), 20), "observed", "mean", "sd", "z_summary")
+    return r6(projection.preservation(emb_tom(spark, d), emb_modules(spark, d)), "observed", "mean", "sd", "z_summary", "median_rank")
 
 
 # --- regulation -------------------------------------------------------------------------
@@ -526,7 +558,7 @@ def tf_gene_cor(spark, d):
 
 @query("tf_network")
 def tf_network(spark, d):
-    return r6(regulation.boosted_links(emb(spark, d), motif_table(spark, d), 5), "gain", "cover", "frequency")
+    return r6(regulation.boosted_links(emb(spark, d), motif_table(spark, d)), "gain", "cover", "frequency")
 
 
 def _reg(letter, key, other, n):

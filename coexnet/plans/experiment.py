@@ -51,22 +51,29 @@ class Experiment:
         return self.put("genes", chosen, gene_select=select).set_dat_expr(use_metacells=False)
 
     def set_dat_expr(self, group_by: str | None = None, groups: list[str] | None = None, use_metacells: bool = True) -> Experiment:
-        expr = self.get("metacell_expr") if use_metacells and "metacell_expr" in self.slots else self.get("expr")
-        if group_by and groups and not (use_metacells and "metacell_expr" in self.slots):
-            expr = expr.join(self.get("cells").where(F.col(group_by).isin(groups)).select("cell"), "cell", "left_semi")
-        expr = expr.join(self.get("genes"), "gene", "left_semi")
-        n = features.count_cells(expr)
+        """The working matrix: chosen genes of cells, or of metacells if there are any; ``groups`` of the column ``group_by``, or of the metacells' groups."""
+        if use_metacells and "metacell_expr" in self.slots:
+            expr, cells = self.get("metacell_expr"), self.get("metacell_members").select(F.col("metacell").alias("cell"), "group").distinct()
+            if groups:
+                cells = cells.where(F.col("group").isin(groups) if group_by is None else F.split("group", "#")[self.params["metacell_by"].index(group_by)].isin(groups))
+        else:
+            expr, cells = self.get("expr"), self.get("cells")
+            if group_by and groups:
+                cells = cells.where(F.col(group_by).isin(groups))
+        cells = cells.select("cell")
+        expr = expr.join(cells, "cell", "left_semi").join(self.get("genes"), "gene", "left_semi")
+        n = cells.count()
         good = features.good_genes(expr, n).select("gene")
         if good.limit(2).count() < 2:
             raise ValueError("fewer than two usable genes")
-        return self.put("dat_expr", expr.join(good, "gene", "left_semi"), n_dat=n)
+        return self.put("dat_expr", expr.join(good, "gene", "left_semi"), n_dat=n).put("dat_cells", cells)
 
     def normalize(self) -> Experiment:
         return self.put("expr", features.log_normalize(self.get("expr")))
 
     def metacells_by_groups(self, by: list[str], coords: DataFrame, k: int = 25, max_shared: int = 15, min_cells: int = 100, target: int | None = 1000) -> Experiment:
         expr, members = metacells.metacells_by_groups(self.get("expr"), self.get("cells"), coords, by, k, max_shared, min_cells, target)
-        return self.put("metacell_expr", expr).put("metacell_members", members)
+        return self.put("metacell_expr", expr, metacell_by=list(by)).put("metacell_members", members)
 
     def pairs(self, method: str = "pearson", plan: str = "blocked") -> Experiment:
         return self.put("pairs", correlation.correlate(self.get("dat_expr"), self.params["n_dat"], method, plan), cor_method=method)
@@ -82,22 +89,42 @@ class Experiment:
         adj = network.adjacency(self.get("pairs"), power or self.params.get("power", 6), network_type)
         self.put("degrees", network.degrees(adj)).put("tom", network.topological_overlap(adj, denominator, "blocked"))
         found = clustering.detect_modules(self.get("tom"), cut, height, cut_height, min_size)
-        scores = modules.eigengenes(self.get("dat_expr"), found, self.params["n_dat"])
+        scores = modules.eigengenes(self.get("dat_expr"), found, self.params["n_dat"], cells=self.get("dat_cells"))
         return self.put("modules", clustering.merge_close(found, modules.module_correlation(scores), merge_height))
 
     def module_eigengenes(self, batch: list[str] | None = None) -> Experiment:
         expr = self.get("expr").join(self.get("genes"), "gene", "left_semi")
-        me = modules.eigengenes(expr, self.get("modules"), self._cells())
+        me = modules.eigengenes(expr, self.get("modules"), self._cells(), cells=self.get("cells"))
         self.put("mes", me)
         return self.put("hmes", modules.harmonize(me, self.get("cells"), batch)) if batch else self
 
     def get_mes(self, harmonized: bool = True) -> DataFrame:
         return self.slots["hmes"] if harmonized and "hmes" in self.slots else self.get("mes")
 
-    def module_connectivity(self) -> Experiment:
+    def module_connectivity(self, method: str = "pearson") -> Experiment:
         expr = self.get("expr").join(self.get("genes"), "gene", "left_semi")
+        if method == "bicor":
+            return self.put("kme", modules.kme_bicor(correlation.densify(expr, self.get("cells"), self.get("genes")), self.get_mes()))
+        if method != "pearson":
+            raise ValueError(f"unknown method {method!r}")
         return self.put("kme", modules.kme(expr, self.get_mes(), self._cells()))
 
+    def project(self, target: DataFrame, target_cells: DataFrame) -> DataFrame:
+        expr = self.get("expr").join(self.get("genes"), "gene", "left_semi")
+        return projection.project_modules(expr, target, self.get("modules"), self._cells(), target_cells.count(), cells=target_cells)
+
+    def regulon_scores(self, sign: str = "positive", least_cor: float = 0.05) -> Experiment:
+        dense = correlation.densify(self.get("expr"), self.get("cells"), self.get("genes"))
+        return self.put(f"regulon_scores_{sign}", regulation.regulon_scores(dense, self.get("tf_regulons"), sign, least_cor))
+
+    def find_differential_regulons(self, groups: DataFrame) -> DataFrame:
+        pos, neg = self.get("regulon_scores_positive"), self.get("regulon_scores_negative")
+        return regulation.differential_regulons(pos, neg, self.get("expr"), groups, self.get("modules"), self.get("kme"))
+
+    def overlap_modules_motifs(self, motifs: DataFrame) -> DataFrame:
+        m = self.get("modules")
+        return analysis.overlap_test(analysis.overlap_counts(m, motifs, "tf"), m.count())
+
     def get_hub_genes(self, n_hubs: int = 10) -> DataFrame:
         return modules.hub_genes(self.get("modules"), self.get("kme"), n_hubs)
 

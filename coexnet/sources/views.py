@@ -50,7 +50,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def read_wide_matrix(spark: SparkSession, matrix: str, metadata: str, key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(expr, cells) of a CSV with genes in rows and cells in columns, and a CSV of cell metadata.
 
-    The metadata's key is ``cell``, else ``barcode``; cells in only one of the files are left out.
+    The metadata's key is ``cell``, else ``barcode``; cells in only one of the files are left out, those without counts stay.
     """
     wide = spark.read.csv(matrix, header=True, inferSchema=True)
     gene = wide.columns[0]
@@ -61,7 +61,7 @@ def read_wide_matrix(spark: SparkSession, matrix: str, metadata: str, key: str |
     cells = cells.withColumnRenamed(key, "cell").withColumn("cell", F.col("cell").cast("string"))
     long = wide.select(F.col(f"`{gene}`").alias("gene"), *(F.col(f"`{c}`").cast("double").alias(c) for c in wide.columns[1:])).unpivot("gene", [f"`{c}`" for c in wide.columns[1:]], "cell", "value")
     expr = long.where((F.col("value") != 0) & F.col("value").isNotNull()).join(cells.select("cell"), "cell", "left_semi")
-    return expr.select("cell", "gene", "value"), cells.join(expr.select("cell").distinct(), "cell", "left_semi")
+    return expr.select("cell", "gene", "value"), cells.where(F.col("cell").isin(*wide.columns[1:]))
 
 
 def read_result_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

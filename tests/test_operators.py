@@ -126,6 +126,131 @@ def test_linkage_against_plain_loops():
     assert len(set(clustering.cut_static(z, 25, heights[15] + 1e-9, 1))) == 25 - 16
 
 
+def test_linkage_in_rounds_is_the_same_tree(spark):
+    rng = np.random.default_rng(11)
+    d = rng.random((22, 22))
+    d = (d + d.T) / 2
+    rows = [(f"g{i:02d}", f"g{j:02d}", float(1 - d[i, j])) for i in range(22) for j in range(i + 1, 22)]
+    tom = spark.createDataFrame(rows, "g1 string, g2 string, tom double").repartition(3)
+    genes, z = clustering.tree(tom)
+    want = clustering.average_linkage(d)
+    assert genes == sorted(genes) and np.allclose(z, want)
+    assert clustering.linkage(tom).count() == 21
+    apart = spark.createDataFrame([("a", "b", 0.9), ("c", "d", 0.8)], "g1 string, g2 string, tom double")
+    assert clustering.tree(apart)[1][:, 2].round(6).tolist() == [0.1, 0.2, 1.0]
+    assert clustering.detect_modules(tom.limit(0)).count() == 0 and clustering.linkage(tom.limit(0)).count() == 0
+
+
+def test_absent_zeros_are_zeros(spark):
+    """Scores of sparse and dense input agree, also for cells and genes that are mostly zero."""
+    rng = np.random.default_rng(4)
+    x = rng.poisson(0.5, (9, 70)).astype(float)
+    x[:, 60:] = 0  # cells without a count
+    cells = spark.createDataFrame([(f"c{j:03d}",) for j in range(70)], "cell string")
+    dense = spark.createDataFrame([(f"c{j:03d}", f"g{i}", float(x[i, j])) for i in range(9) for j in range(70)], "cell string, gene string, value double")
+    sparse = dense.where("value <> 0")
+    mods = spark.createDataFrame([(f"g{i}", f"M{1 + i % 2}") for i in range(9)], "gene string, module string")
+    table = lambda df, v: np.array([[r[v] for r in df.where(f"module = 'M{m}'").orderBy("cell").collect()] for m in (1, 2)])
+    a, b = table(modules.eigengenes(dense, mods, 70, cells=cells), "me"), table(modules.eigengenes(sparse, mods, 70, cells=cells), "me")
+    assert a.shape == b.shape == (2, 70) and np.allclose(a, b, atol=1e-8)
+    z = (x - x.mean(1, keepdims=True)) / x.std(1, ddof=1, keepdims=True)
+    u, s, _ = np.linalg.svd(np.clip(z[::2], -10, 10).T, full_matrices=False)
+    assert np.allclose(np.abs(u[:, 0] * s[0]), np.abs(a[0]), atol=1e-6)
+    p, q = (table(projection.project_modules(dense, t, mods, 70, 70, least_shared=5, cells=cells), "score") for t in (dense, sparse))
+    assert np.allclose(p, q, atol=1e-8)
+    few = mods.where("gene in ('g0', 'g2', 'g1')")
+    assert projection.project_modules(dense, sparse, few, 70, 70, least_shared=3, least_genes=2, cells=cells).select("module").distinct().count() == 1
+    nan = spark.createDataFrame([("a", "g", float("nan")), ("b", "g", 3.0)], "cell string, gene string, value double")
+    assert {r["cell"]: r["value"] for r in correlation.impute_means(nan, 4).collect()} == {"a": 1.0, "b": 3.0}
+
+
+def test_bicor_connectivity(spark):
+    x, _ = planted()
+    me = x[:10].mean(0)
+    cells = [f"c{j:03d}" for j in range(120)]
+    mes = spark.createDataFrame([(c, "M1", float(v)) for c, v in zip(cells, me, strict=True)], "cell string, module string, me double")
+
+    def weights(v):
+        c = v - np.median(v)
+        u = c / (9 * np.median(np.abs(c)))
+        z = np.where(np.abs(u) < 1, c * (1 - u * u) ** 2, 0)
+        return z / np.linalg.norm(z)
+
+    got = {r["gene"]: r["kme"] for r in modules.kme_bicor(long(spark, x[:12]), mes).collect()}
+    want = [weights(v) @ weights(me) for v in x[:12]]
+    assert np.allclose([got[k] for k in sorted(got)], want)
+
+
+def test_module_score_leaves_out_its_own_genes(spark):
+    rng = np.random.default_rng(2)
+    x = rng.poisson(3, (40, 30)).astype(float)
+    expr = long(spark, x)
+    every = expr.select("gene").distinct().withColumn("module", F.lit("M1"))
+    assert analysis.module_score(expr, every, 30).count() == 0  # nothing is left to compare with
+    some = every.where("gene < 'g020'")
+    control = {r["cell"]: r["score"] for r in analysis.module_score(expr, some, 30, n_bins=1).collect()}
+    assert np.allclose([control[k] for k in sorted(control)], x[:20].mean(0) - x[20:].mean(0))
+
+
+def test_preservation_levels(spark):
+    x, truth = planted()
+    mods = spark.createDataFrame([(f"g{i:03d}", f"M{t}" if t else "grey") for i, t in enumerate(truth)], "gene string, module string")
+    expr = long(spark, x)
+    tom = network.topological_overlap(network.adjacency(correlation.pearson(expr, 120, "blocked"), 6), "min", "blocked")
+    r = {p["module"]: p for p in projection.preservation(tom, mods, 20).collect()}
+    t = square(tom, 150, "tom")
+    np.fill_diagonal(t, 1)
+    assert all(r[f"M{m}"]["preservation"] == "highly preserved" and math.isclose(r[f"M{m}"]["median_rank"], np.median(np.median(t[np.ix_(truth == m, truth == m)], 1))) for m in (1, 2, 3, 4))
+    with pytest.raises(ValueError, match="common genes"):
+        projection.preservation(tom, mods.limit(20))
+
+
+def test_large_groups_of_cells_are_dealt_into_blocks(spark):
+    rng = np.random.default_rng(8)
+    pts = rng.normal(size=(90, 3)).round(2)
+    coords = spark.createDataFrame([("a" if i < 80 else None if i > 86 else "b", i, pts[i].tolist()) for i in range(90)], "group string, cell long, coords array<double>").where("group is not null")
+    got = {}
+    for r in metacells.knn_within_group(coords, 4, block_cells=15).collect():
+        got.setdefault(r["cell"], []).append((r["rank"], r["neighbour"]))
+    for i in range(87):
+        lo, hi = (0, 80) if i < 80 else (80, 87)
+        d = np.round(((pts[lo:hi] - pts[i]) ** 2).sum(1), 9)
+        want = [j + lo for j in np.lexsort((np.arange(hi - lo), d)) if j + lo != i][:4]
+        assert [n for _, n in sorted(got[i])] == want
+
+
+def test_boosted_trees_against_plain_loops(spark):
+    """One tree of depth 2, by trying every split of every node; then that the regulator that matters has the gain."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, (3, 60)).astype(float)
+    y = 3 * (x[0] > 2) + (x[1] > 1) + rng.normal(0, 0.05, 60)
+    expr = long(spark, np.concatenate([x, y[None]])).where("value <> 0")
+    motifs = spark.createDataFrame([(f"g00{i}", "g003") for i in range(3)], "tf string, gene string")
+
+    def best(rows, g):
+        out = (0.0, None, None)
+        part = lambda v: v.sum() ** 2 / (len(v) + 1)
+        for f in range(3):
+            for c in np.unique(x[f, rows])[:-1]:
+                low = rows[x[f, rows] <= c]
+                high = rows[x[f, rows] > c]
+                out = max(out, (round(part(g[low]) + part(g[high]) - part(g[rows]), 9), f, c), key=lambda o: o[0])
+        return out
+
+    g, todo, gain = y - y.mean(), [(np.arange(60), 0)], np.zeros(3)
+    while todo:
+        rows, level = todo.pop()
+        w, f, c = best(rows, g) if level < 2 else (0.0, None, None)
+        if f is not None:
+            gain[f] += w
+            todo += [(rows[x[f, rows] <= c], level + 1), (rows[x[f, rows] > c], level + 1)]
+    got = {r["tf"]: r["gain"] for r in regulation.boosted_links(expr, motifs, rounds=1, depth=2).collect()}
+    assert all(math.isclose(got.get(f"g00{i}", 0), gain[i] / gain.sum(), abs_tol=1e-6) for i in range(3))
+    more = {r["tf"]: r for r in regulation.boosted_links(expr, motifs, rounds=3).collect()}
+    assert more["g000"]["gain"] > 0.7 and math.isclose(sum(r["cover"] for r in more.values()), 1)
+    assert regulation.boosted_links(expr, motifs.limit(0), rounds=1).count() == 0
+
+
 def test_eigengenes_and_kme(spark):
     x, truth = planted()
     expr = long(spark, x)
