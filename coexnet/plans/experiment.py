@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coexnet.operators import analysis, clustering, correlation, features, metacells, modules, network, projection, regulation
+from coexnet.operators.rounds import keep
 
 
 class Experiment:
@@ -86,8 +87,9 @@ class Experiment:
     def construct_network(self, power: int | None = None, network_type: str = "signed", denominator: str = "min", min_size: int = 20, cut: str = "gap", height: float = 0.8, cut_height: float = 0.995, merge_height: float = 0.2) -> Experiment:
         if "pairs" not in self.slots:
             self.pairs()
+        self.put("pairs", keep(self.get("pairs")))  # read by every step from here on
         adj = network.adjacency(self.get("pairs"), power or self.params.get("power", 6), network_type)
-        self.put("degrees", network.degrees(adj)).put("tom", network.topological_overlap(adj, denominator, "blocked"))
+        self.put("degrees", network.degrees(adj)).put("tom", keep(network.topological_overlap(adj, denominator, "blocked")))
         found = clustering.detect_modules(self.get("tom"), cut, height, cut_height, min_size)
         scores = modules.eigengenes(self.get("dat_expr"), found, self.params["n_dat"], cells=self.get("dat_cells"))
         return self.put("modules", clustering.merge_close(found, modules.module_correlation(scores), merge_height))
