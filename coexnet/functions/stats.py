@@ -25,6 +25,13 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("")
 
 
+def scale01(df: DataFrame, by: list[str], value: str, out: str, constant: float) -> DataFrame:
+    """Adds ``value`` scaled to 0 to 1 within ``by``; ``constant`` where all values of a group are equal."""
+    w = Window.partitionBy(*by)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    return df.withColumn(out, F.coalesce((F.col(value) - low) / F.nullif(high - low, F.lit(0.0)), F.lit(constant)))
+
+
 def mean_ranks(df: DataFrame, by: list[str], value: str, out: str = "rk") -> DataFrame:
     """Average ranks within ``by``, with ``ties``, the size of each row's tie."""
     w = Window.partitionBy(*by)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coexnet.functions.stats import bh, fisher_greater, mwu_p, normal_p, rank_sum, stars, t_p, welch
@@ -81,11 +81,14 @@ def overlap_counts(modules: DataFrame, sets: DataFrame, set_col: str = "group")
 
 
 def overlap_test(counts: DataFrame, universe: int) -> DataFrame:
-    """Adds odds_ratio, jaccard, pval (Fisher, greater), fdr and stars."""
+    """Adds odds_ratio, odds_ratio_marginal, jaccard, pval (Fisher, greater), fdr and stars.
+
+    The marginal ratio takes the sizes of module and set for the discordant counts.
+    """
     a = F.col("size_intersection").cast("double")
     b, c = F.col("size_module") - a, F.col("size_set") - a
     d = F.lit(float(universe)) - a - b - c
-    x = counts.withColumns({"odds_ratio": a * d / F.nullif(b * c, F.lit(0.0)), "jaccard": a / F.nullif(a + b + c, F.lit(0.0)), "pval": fisher_greater(F.col("size_intersection"), F.col("size_module"), F.col("size_set"), F.lit(universe))})
+    x = counts.withColumns({"odds_ratio": a * d / F.nullif(b * c, F.lit(0.0)), "odds_ratio_marginal": a * d / F.nullif((a + b) * (a + c), F.lit(0.0)), "jaccard": a / F.nullif(a + b + c, F.lit(0.0)), "pval": fisher_greater(F.col("size_intersection"), F.col("size_module"), F.col("size_set"), F.lit(universe))})
     return bh(x, "pval", [], ["module", "group"]).withColumn("significance", stars(F.col("fdr")))
 
 
@@ -134,11 +137,41 @@ def top_genes(modules: DataFrame, kmes: DataFrame, n_genes: int | str = 25) -> D
     return modules.where("module <> 'grey'").select("module", "gene") if n_genes == "all" else hub_genes(modules, kmes, int(n_genes)).select("module", "gene")
 
 
+def combined_score() -> Column:
+    """-ln(p) times the odds ratio of an overlap row; where a discordant count is 0, a half is added to all four."""
+    a = F.col("size_intersection").cast("double")
+    b, c = F.col("size_module") - a, F.col("size_set") - a
+    d = F.col("universe") - a - b - c
+    odds = F.when(b * c > 0, a * d / F.nullif(b * c, F.lit(0.0))).otherwise((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5)))
+    return -F.ln(F.greatest("pval", F.lit(1e-300))) * odds
+
+
 def enrichment(modules: DataFrame, gene_sets: DataFrame) -> DataFrame:
-    """Over-representation of (library, term, gene) sets in modules: (library, term, module, ..., pval, fdr)."""
+    """Over-representation of (library, term, gene) sets in modules: (library, term, module, ..., pval, fdr, combined_score)."""
     key = F.concat_ws("\u0001", "library", "term")
     counts = overlap_counts(modules, gene_sets.select("gene", key.alias("group")))
     universe = modules.select("gene").distinct().count()
     x = overlap_test(counts, universe)
     parts = F.split("group", "\u0001")
+    x = x.withColumn("universe", F.lit(universe)).withColumn("combined_score", combined_score()).drop("universe")
     return x.where("size_intersection > 0").select(parts[0].alias("library"), parts[1].alias("term"), *[c for c in x.columns if c != "group"])
+
+
+def enrich_regulons(regs: DataFrame, genes: DataFrame, gene_sets: DataFrame, least_genes: int = 5) -> DataFrame:
+    """Over-representation of gene sets among the positive and the negative targets of every regulator.
+
+    (tf, target_type, library, term, size_module, size_set, size_intersection, pval, fdr, combined_score); ``size_module`` is the number of
+    targets. ``genes`` is the universe; target lists of under ``least_genes`` are left out, as are links of correlation 0. The fdr is taken
+    within a regulator's side and library.
+    """
+    side = F.when(F.col("cor") > 0, "positive").when(F.col("cor") < 0, "negative")
+    known = genes.select("gene").distinct()
+    targets = regs.select("tf", side.alias("target_type"), "gene").where("target_type is not null").distinct().join(known, "gene", "left_semi")
+    size = targets.groupBy("tf", "target_type").agg(F.count("*").alias("size_module")).where(F.col("size_module") >= least_genes)
+    sets = gene_sets.select("library", "term", "gene").distinct().join(known, "gene", "left_semi")
+    total = sets.groupBy("library", "term").agg(F.count("*").alias("size_set"))
+    both = targets.join(sets, "gene").groupBy("tf", "target_type", "library", "term").agg(F.count("*").alias("size_intersection"))
+    x = both.join(size, ["tf", "target_type"]).join(total, ["library", "term"]).withColumn("universe", F.lit(known.count()))
+    x = x.withColumn("pval", fisher_greater("size_intersection", "size_module", "size_set", "universe"))
+    x = bh(x.withColumn("combined_score", combined_score()), "pval", ["tf", "target_type", "library"], ["term"])
+    return x.select("tf", "target_type", "library", "term", "size_module", "size_set", "size_intersection", "pval", "fdr", "combined_score")

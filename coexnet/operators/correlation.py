@@ -1,20 +1,26 @@
 """All-pairs correlation of genes over cells.
 
 Two physical plans give the same sums of products. ``relational`` joins the
-matrix to itself by cell. ``blocked`` packs the cells into chunks and multiplies
-each chunk's sparse rows as one matrix, then adds up the tiles: the rows between stages
-grow with chunks times gene pairs instead of with cells times pairs.
+matrix to itself by cell. ``blocked`` cuts genes into blocks and cells into chunks; a task
+owns a tile (two blocks), adds up the matrix products of its chunks one after the other and emits each
+pair once. Few tiles are cut by cells as well, and their sums added. A value is sent once for each
+block of genes, and no group holds more than a chunk of two blocks.
 Moments count absent values as zeros, and pairs that never meet are in the result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_CELLS = 4096
+BLOCK_GENES = 512
+LEAST_TASKS = 64
+MOST_TASKS = 4096
 
 
 def _products_relational(expr: DataFrame) -> DataFrame:
@@ -23,20 +29,70 @@ def _products_relational(expr: DataFrame) -> DataFrame:
     return a.join(b, "cell").where("g1 < g2").groupBy("g1", "g2").agg(F.sum(F.col("v1") * F.col("v2")).alias("sxy"))
 
 
-def _products_blocked(expr: DataFrame, chunk_cells: int) -> DataFrame:
-    n = max(1, -(-expr.select("cell").distinct().count() // chunk_cells))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        genes, gi = np.unique(pdf["gene"].to_numpy(), return_inverse=True)
-        cells, ci = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
-        x = np.zeros((len(genes), len(cells)))
-        np.add.at(x, (gi, ci), pdf["value"].to_numpy(float))
-        i, j = np.triu_indices(len(genes), 1)
-        p = (x @ x.T)[i, j]
-        return pd.DataFrame({"g1": genes[i], "g2": genes[j], "sxy": p})
-
-    dealt = expr.withColumn("chunk", F.pmod(F.xxhash64("cell"), F.lit(n)))
-    return dealt.groupBy("chunk").applyInPandas(multiply, "g1 string, g2 string, sxy double").groupBy("g1", "g2").agg(F.sum("sxy").alias("sxy"))
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Stretches of equal keys of sorted rows, also across batches."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for pdf in batches:
+        for key, rows in pdf.groupby(keys, sort=True):
+            if held and key != last:
+                yield last, pd.concat(held)
+                held = []
+            held.append(rows)
+            last = key
+    if held:
+        yield last, pd.concat(held)
+
+
+def _multiply_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of products of two blocks of genes; one chunk of cells and one tile of sums are held at a time."""
+    names: list[np.ndarray] = []
+    total = np.zeros((0, 0))
+
+    def grown(old: np.ndarray, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        new = np.union1d(old, np.unique(rows["gene"].to_numpy().astype(str)))
+        return new, np.searchsorted(new, old)
+
+    def finish(tile: tuple) -> pd.DataFrame:
+        (left, right), same = names, tile[0] == tile[1]
+        i, j = np.triu_indices(len(left), 1) if same else (np.repeat(np.arange(len(left)), len(right)), np.tile(np.arange(len(right)), len(left)))
+        a, b = left[i], right[j]
+        swap = a > b
+        return pd.DataFrame({"g1": np.where(swap, b, a), "g2": np.where(swap, a, b), "sxy": total[i, j]})
+
+    tile = None
+    for key, rows in _runs(batches, ["bi", "bj", "part", "chunk"]):
+        if key[:3] != tile:
+            if tile is not None:
+                yield finish(tile)
+            tile, names, total = key[:3], [np.array([], str)] * 2, np.zeros((0, 0))
+        sides = [rows[rows["b"] == tile[0]], rows[rows["b"] == tile[1]]]
+        (left, at_left), (right, at_right) = (grown(old, side) for old, side in zip(names, sides, strict=True))
+        bigger = np.zeros((len(left), len(right)))
+        bigger[np.ix_(at_left, at_right)] = total
+        both = pd.unique(rows["cell"])
+        if len(both):
+            everywhere = rows.assign(cell=pd.Categorical(rows["cell"], categories=both).codes)
+            x, y = np.zeros((len(left), len(both))), np.zeros((len(right), len(both)))
+            for out, genes, block in ((x, left, tile[0]), (y, right, tile[1])):
+                own = everywhere[everywhere["b"] == block]
+                np.add.at(out, (np.searchsorted(genes, own["gene"].to_numpy().astype(str)), own["cell"].to_numpy()), own["value"].to_numpy(float))
+            bigger += x @ y.T
+        names, total = [left, right], bigger
+    if tile is not None:
+        yield finish(tile)
+
+
+def _products_blocked(expr: DataFrame, chunk_cells: int, block_genes: int = BLOCK_GENES) -> DataFrame:
+    size = expr.agg(F.count_distinct("cell").alias("cells"), F.count_distinct("gene").alias("genes")).first()
+    chunks, blocks = max(1, -(-size["cells"] // chunk_cells)), max(1, -(-size["genes"] // block_genes))
+    tiles = blocks * (blocks + 1) // 2
+    parts = min(chunks, -(-LEAST_TASKS // tiles))  # few tiles are also cut by cells
+    place = expr.select("cell", "gene", "value", F.pmod(F.xxhash64("cell"), F.lit(chunks)).cast("int").alias("chunk"), F.pmod(F.xxhash64("gene"), F.lit(blocks)).cast("int").alias("b"))
+    met = place.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("cell", "gene", "value", "chunk", "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), (F.col("chunk") % parts).alias("part"))
+    dealt = met.repartition(min(tiles * parts, MOST_TASKS), "bi", "bj", "part").sortWithinPartitions("bi", "bj", "part", "chunk")
+    sums = dealt.mapInPandas(_multiply_tiles, "g1 string, g2 string, sxy double")
+    return sums if parts == 1 else sums.groupBy("g1", "g2").agg(F.sum("sxy").alias("sxy"))
 
 
 def pair_products(expr: DataFrame, plan: str = "relational", chunk_cells: int = CHUNK_CELLS) -> DataFrame:

@@ -16,6 +16,11 @@ def gene_fraction(expr: DataFrame, n_cells: int, fraction: float = 0.05) -> Data
     return g.where(F.col("frac") >= fraction)
 
 
+def gene_flagged(expr: DataFrame, flags: DataFrame, flag: str = "highly_variable") -> DataFrame:
+    """(gene) of the expressed genes that a (gene, flag) table marks; a null flag is no mark."""
+    return expr.select("gene").distinct().join(flags.where(F.coalesce(F.col(flag), F.lit(False))).select("gene"), "gene", "left_semi")
+
+
 def gene_cv2(expr: DataFrame, n_cells: int, n_genes: int) -> DataFrame:
     """(gene, cv2) of the most variable genes: population variance over squared mean; absent zeros count."""
     n = F.lit(float(n_cells))

@@ -150,7 +150,7 @@ def differential_regulons(pos: DataFrame, neg: DataFrame, expr: DataFrame, group
     """Wilcoxon tests of regulon scores and regulator expression between the cells of (cell, first); changes are first less second."""
 
     def test(scores: DataFrame, tag: str) -> DataFrame:
-        x = scores.join(groups, "cell")
+        x = scores.join(groups, "cell").withColumn("score", F.round("score", 12))  # sums in another order tie all the same
         s = rank_sum(x, ["tf"], "score", F.col("first"))
         p = s.select("tf", F.when(F.least("n1", "n2") < 3, 1.0).otherwise(normal_p("z")).alias(f"p_val_{tag}"))
         fold = x.groupBy("tf").agg((F.avg(F.when(F.col("first"), F.col("score"))) - F.avg(F.when(~F.col("first"), F.col("score")))).alias(f"avg_log2fc_{tag}"))

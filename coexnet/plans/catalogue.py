@@ -513,7 +513,7 @@ def fisher_exact(spark, d):
 @query("ora_enrichment")
 def ora(spark, d):
     sets = gene_sets(spark, d).select(F.lit("hash").alias("library"), F.col("group").alias("term"), "gene")
-    return r6(analysis.enrichment(emb_modules(spark, d), sets), "odds_ratio", "jaccard", "pval", "fdr")
+    return r6(analysis.enrichment(emb_modules(spark, d), sets), "odds_ratio", "odds_ratio_marginal", "jaccard", "pval", "fdr", "combined_score")
 
 
 # --- projection and preservation ------------------------------------------------------

@@ -42,10 +42,13 @@ class Experiment:
             self.params["n_cells"] = self.get("cells").count()
         return self.params["n_cells"]
 
-    def setup(self, select: str = "fraction", fraction: float = 0.05, n_genes: int = 3000, genes: list[str] | None = None) -> Experiment:
-        """Choose genes; the working matrix ``dat_expr`` holds them, without constant ones."""
+    def setup(self, select: str = "fraction", fraction: float = 0.05, n_genes: int = 3000, genes: list[str] | None = None, flags: DataFrame | None = None) -> Experiment:
+        """Choose genes; the working matrix ``dat_expr`` holds them, without constant ones.
+
+        ``variable`` takes those marked in ``flags`` (gene, highly_variable), without it the ``n_genes`` most variable.
+        """
         expr, n = self.get("expr"), self._cells()
-        pick = {"fraction": lambda: features.gene_fraction(expr, n, fraction), "variable": lambda: features.gene_cv2(expr, n, n_genes), "custom": lambda: features.gene_custom(expr, genes or [])}
+        pick = {"fraction": lambda: features.gene_fraction(expr, n, fraction), "variable": lambda: features.gene_cv2(expr, n, n_genes) if flags is None else features.gene_flagged(expr, flags), "custom": lambda: features.gene_custom(expr, genes or [])}
         if select not in pick:
             raise ValueError(f"unknown selection {select!r}")
         chosen = pick[select]().select("gene")
@@ -157,6 +160,9 @@ class Experiment:
     def enrichment(self, gene_sets: DataFrame) -> DataFrame:
         return analysis.enrichment(self.get("modules"), gene_sets)
 
+    def enrich_regulons(self, gene_sets: DataFrame, least_genes: int = 5) -> Experiment:
+        return self.put("regulon_enrichment", analysis.enrich_regulons(self.get("tf_regulons"), self.get("modules"), gene_sets, least_genes))
+
     def module_preservation(self, tom: DataFrame | None = None, n_permutations: int = 100) -> DataFrame:
         return projection.preservation(tom or self.get("tom"), self.get("modules"), n_permutations)
 
