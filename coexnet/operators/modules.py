@@ -53,7 +53,7 @@ def module_products(x: DataFrame, chunk_cells: int = 4096) -> DataFrame:
     return dealt.groupBy("module", "chunk").applyInPandas(multiply, "module string, g1 string, g2 string, p double").groupBy("module", "g1", "g2").agg(F.sum("p").alias("p"))
 
 
-def loadings(z: DataFrame, zeros: DataFrame, modules: DataFrame, n_cells: int) -> DataFrame:
+def loadings(z: DataFrame, zeros: DataFrame, modules: DataFrame, n_cells: int, n_components: int = 1) -> DataFrame:
     """(module, gene, loading): first right singular vector of each module's z-scores.
 
     Only the module's gene by gene products reach a task (genes squared, whatever the number of cells);
@@ -71,8 +71,10 @@ def loadings(z: DataFrame, zeros: DataFrame, modules: DataFrame, n_cells: int) -
         m = np.zeros((len(genes), len(genes)))
         m[i, j] = m[j, i] = pairs["p"].to_numpy()
         m += np.outer(s, zero) + np.outer(zero, s) + n_cells * np.outer(zero, zero)
-        v = np.linalg.eigh(m)[1][:, -1]
-        return pd.DataFrame({"module": pdf["module"].iloc[0], "gene": genes, "loading": v * (1 if v[np.argmax(np.abs(v))] >= 0 else -1)})
+        vectors, name = np.linalg.eigh(m)[1][:, ::-1][:, :n_components], pdf["module"].iloc[0]
+        signed = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] >= 0, 1, -1)
+        names = [name] if n_components == 1 else [f"{name}\u0001{i:03d}" for i in range(signed.shape[1])]
+        return pd.concat([pd.DataFrame({"module": at, "gene": genes, "loading": v}) for at, v in zip(names, signed.T, strict=True)])
 
     return gram.groupBy("module").applyInPandas(first, "module string, gene string, loading double")
 
@@ -95,10 +97,24 @@ def eigengenes(expr: DataFrame, modules: DataFrame, n_cells: int, clip: float |
     return me.join(sign, "module").select("cell", "module", (F.col("me") * F.col("sign")).alias("me"))
 
 
+def component_scores(expr: DataFrame, modules: DataFrame, n_cells: int, n_components: int = 30, clip: float | None = CLIP, cells: DataFrame | None = None) -> DataFrame:
+    """(cell, module, z): scores on a module's first components (as many as it has genes, ``n_components`` at most), the first with the sign of its eigengene."""
+    cells = expr.select("cell").distinct() if cells is None else cells
+    z, zeros = standardise(expr, n_cells, clip)
+    # one more than wanted keeps the components' numbers in the names, also where one is wanted
+    x = weighted_scores(z, zeros, loadings(z, zeros, modules, n_cells, n_components + 1), cells)
+    parts = F.split("module", "\u0001")
+    x = x.select("cell", parts[0].alias("module"), parts[1].cast("int").alias("i"), "me").where(F.col("i") < n_components)
+    both = x.where("i = 0").join(mean_expression(expr, modules).withColumnRenamed("me", "mean"), ["cell", "module"], "left")
+    sign = both.groupBy("module").agg(F.when(F.covar_samp("me", F.coalesce("mean", F.lit(0.0))) < 0, -1.0).otherwise(1.0).alias("sign"))
+    x = x.join(sign, "module").groupBy("cell", "module").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("me") * F.col("sign")).alias("v")))).alias("x"))
+    return x.select("cell", "module", F.transform("x", lambda e: e["v"]).alias("z"))
+
+
 def harmonize(mes: DataFrame, cells: DataFrame, batch: list[str]) -> DataFrame:
     """(cell, module, me): batch means moved to the overall mean of each module.
 
-    The linear part of a batch correction; iterated soft clustering is not done.
+    The linear part of a batch correction alone; ``harmony.harmony`` clusters softly in rounds.
     """
     x = mes.join(cells.select("cell", *batch), "cell")
     by_batch, by_module = Window.partitionBy("module", *batch), Window.partitionBy("module")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coexnet.operators import analysis, clustering, correlation, features, metacells, modules, network, projection, regulation
+from coexnet.operators import analysis, clustering, correlation, features, harmony, metacells, modules, network, projection, regulation
 from coexnet.operators.rounds import keep
 
 
@@ -97,11 +97,20 @@ class Experiment:
         scores = modules.eigengenes(self.get("dat_expr"), found, self.params["n_dat"], cells=self.get("dat_cells"))
         return self.put("modules", clustering.merge_close(found, modules.module_correlation(scores), merge_height))
 
-    def module_eigengenes(self, batch: list[str] | None = None) -> Experiment:
+    def module_eigengenes(self, batch: list[str] | None = None, correction: str = "harmony", n_runs: int = 1, n_components: int = 30) -> Experiment:
+        """Scores of all cells, with ``batch`` also corrected: by ``harmony`` (the mean of ``n_runs`` of them) or by ``means``."""
+        if correction not in ("harmony", "means"):
+            raise ValueError(f"unknown correction {correction!r}")
         expr = self.get("expr").join(self.get("genes"), "gene", "left_semi")
         me = modules.eigengenes(expr, self.get("modules"), self._cells(), cells=self.get("cells"))
         self.put("mes", me)
-        return self.put("hmes", modules.harmonize(me, self.get("cells"), batch)) if batch else self
+        if not batch:
+            return self
+        if correction == "means":
+            return self.put("hmes", modules.harmonize(me, self.get("cells"), batch))
+        z = modules.component_scores(expr, self.get("modules"), self._cells(), n_components, cells=self.get("cells"))
+        fixed = harmony.harmony_consensus(z, self.get("cells"), batch, n_runs)
+        return self.put("hmes", fixed.select("cell", "module", F.col("z")[0].alias("me")))
 
     def get_mes(self, harmonized: bool = True) -> DataFrame:
         return self.slots["hmes"] if harmonized and "hmes" in self.slots else self.get("mes")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from coexnet.operators import analysis, features, network, plotdata, plottables, projection, regulation
+from coexnet.operators import analysis, features, harmony, modules, network, plotdata, plottables, projection, regulation
 from coexnet.plans import catalogue as c
 from coexnet.plans.catalogue import EDG, EMB, FIX, FSH, GRP, HUB, KME, MES, MOT, OVL, PRD, PWR, BIN, FIT, REG, RSU, SQL, SUP, TCO, TOME, TRT, pairs_sql, query, r6, sql
 
@@ -279,3 +279,10 @@ def gene_flagged(spark, d):
 @query("feature_plot_data", sql(EMB, FIX, MES, "SELECT module, cell, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS x, round(CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS y, round(me, 6) + 0.0 AS value, round(max(abs(me)) OVER (PARTITION BY module), 6) AS \"limit\" FROM mes JOIN (SELECT vec_id AS cell, embedding FROM embeddings) USING (cell)"))
 def feature_plot(spark, d):
     return r6(plotdata.feature_plot_data(c.emb_mes(spark, d), c.emb_coords(spark, d)), "x", "y", "value", "limit")
+
+
+@query("harmony_eigengenes")
+def harmony_eigengenes(spark, d):
+    """No SQL: rounds of soft clustering, tested against plain numpy."""
+    z = modules.component_scores(c.emb(spark, d), c.emb_modules(spark, d), features.count_cells(c.emb(spark, d)))
+    return r6(harmony.harmony(z, c.emb_cells(spark, d), ["label"]).select("cell", "module", F.col("z")[0].alias("me")), "me")
