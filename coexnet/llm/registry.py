@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coexnet.llm import decontaminate, fill_middle, html_text, jaccard, license_scan, line_dedup, lm_score, mix, quality, topk, warc, wordpiece
+from coexnet.llm import collocations, decontaminate, fill_middle, html_text, jaccard, license_scan, line_dedup, lm_score, mix, quality, topk, warc, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": wordpiece.op8_token_counts,
         "op9_html": html_text.op9_html,
         "op10_jaccard": jaccard.op10_jaccard,
+        "op11_collocations": collocations.op11_collocations,
         "op12_line_dedup": line_dedup.op12_line_dedup,
         "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**warc.SQL, **mix.SQL, **topk.SQL, **jaccard.SQL, **line_dedup.SQL, **fill_middle.SQL}
+    return {**warc.SQL, **mix.SQL, **topk.SQL, **jaccard.SQL, **collocations.SQL, **line_dedup.SQL, **fill_middle.SQL}
