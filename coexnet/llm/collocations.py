@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from coexnet.llm.common import attach, map_bytes, save, table, text_slices
 
 MAX_WORDS, MIN_COUNT, TOP, SUBSUMED_PERCENT = 4, 30, 2000, 80
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 RANGE_ROWS, MOST_RANGES = 1 << 20, 1 << 14
 SAMPLE_TEXTS, KEYS_PER_RANGE = 4096, 64
 OUT_ROWS = 1 << 16
