@@ -23,10 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coexnet.llm.common import attach, map_bytes, save, table, text_slices
+from coexnet.llm.mix import running_sums
 
 MAX_WORDS, MIN_COUNT, TOP, SUBSUMED_PERCENT = 4, 30, 2000, 80
 SLICE_BYTES = 2 << 20
@@ -327,8 +328,9 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     kept = scored.where(F.col("longest").isNull() | (100 * F.col("longest") < subsumed_percent * F.col("a")))
     phrase = F.replace(F.expr("substr(key, locate('\t', key) + 1)"), F.lit("\t"), F.lit(" "))
     kept = kept.select(F.substring_index("key", "\t", 1).alias("code"), _unescape(phrase).alias("phrase"), "a", "l", "r", "score")
-    place = Window.partitionBy("code").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)  # each task sends its best only
+    placed = save(running_sums(kept, ["code", F.desc("score"), F.desc("a"), "phrase"], {"place": F.lit(1)}), "phrases-placed")  # no task holds a language
+    ahead = placed.groupBy("code").agg((F.min("place") - 1).alias("ahead"))
+    best = placed.join(ahead, "code").withColumn("rank", F.col("place") - F.col("ahead")).where(F.col("rank") <= top)
     words = counts.where("words = 0").select(F.col("key").alias("code"), "n")
     return best.join(words, "code").select(_unescape(F.col("code")).alias("lang"), F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
