@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coexnet.operators import tree_cut
 from coexnet.operators.rounds import keep
 
 
@@ -163,11 +164,18 @@ def linkage(tom: DataFrame, value: str = "tom") -> DataFrame:
     return tom.sparkSession.createDataFrame(rows, "step int, left int, right int, height double, size int")
 
 
-def detect_modules(tom: DataFrame, method: str = "static", height: float = 0.8, cut_height: float = 0.995, min_size: int = 20, value: str = "tom") -> DataFrame:
-    """(gene, module): M1.. by size, grey for what stays apart."""
-    if method not in ("static", "gap"):
+def detect_modules(tom: DataFrame, method: str = "static", height: float = 0.8, cut_height: float | None = 0.995, min_size: int = 20, value: str = "tom", deep_split: int = 4, pam: bool = True, within_branch: bool = False) -> DataFrame:
+    """(gene, module): M1.. by size, grey for what stays apart.
+
+    ``hybrid`` cuts by shape and distance (``tree_cut``), once more at its own height if all is grey; ``static`` at ``height``; ``gap`` by one gap for all branches.
+    """
+    if method not in ("static", "gap", "hybrid"):
         raise ValueError(f"unknown cut {method!r}")
     genes, z = tree(tom, value)
+    if method == "hybrid":
+        cut = lambda at: keep(tree_cut.hybrid_cut(tom, genes, z, deep_split, at, min_size, pam, within_branch, value))
+        found = cut(cut_height)
+        return cut(None) if cut_height is not None and not found.where("module <> 'grey'").head(1) else found
     label = cut_static(z, len(genes), height, min_size) if method == "static" else cut_gap(z, len(genes), cut_height, min_size)
     return tom.sparkSession.createDataFrame([(g, f"M{x}" if x else "grey") for g, x in zip(genes, label, strict=True)], "gene string, module string")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coexnet.functions import stats
-from coexnet.operators import analysis, clustering, correlation, features, metacells, modules, network, plotdata, projection, regulation
+from coexnet.operators import analysis, clustering, correlation, features, metacells, modules, network, plotdata, projection, regulation, tree_cut
 from coexnet.sources import views
 from coexnet.streaming import moments
 
@@ -289,6 +289,24 @@ def module_detect(spark, d):
     return clustering.detect_modules(emb_tom(spark, d), "gap", min_size=5)
 
 
+@query("module_hybrid")
+def module_hybrid(spark, d):
+    return clustering.detect_modules(emb_tom(spark, d), "hybrid", min_size=5)
+
+
+@query("module_assign", sql(EMB, FIX, pairs_sql("emb"), adj_sql(), tom_sql(), """
+lb AS (SELECT gene, CASE WHEN module = 'grey' THEN 0 ELSE CAST(substr(module, 2) AS INT) END AS cluster FROM fix),
+ln AS (SELECT g1 AS gene, g2 AS other, tom FROM tom UNION ALL SELECT g2, g1, tom FROM tom),
+fa AS (SELECT ln.gene, o.cluster AS goal, avg(1 - tom) AS far FROM ln JOIN lb o ON o.gene = ln.other WHERE o.cluster > 0 GROUP BY 1, 2),
+di AS (SELECT goal, max(far) AS diameter FROM fa JOIN lb USING (gene) WHERE cluster = goal GROUP BY 1),
+ne AS (SELECT gene, arg_min(goal, (far, goal)) AS goal, min(far) AS far FROM fa JOIN lb USING (gene) WHERE cluster = 0 GROUP BY 1)""", """
+SELECT gene, CASE WHEN cluster > 0 THEN cluster WHEN far < greatest(diameter, 0.98) THEN goal ELSE 0 END AS cluster FROM lb LEFT JOIN ne USING (gene) LEFT JOIN di USING (goal)"""))
+def module_assign(spark, d):
+    """The step by distance of the hybrid cut: grey genes meet the mean distance to the seven given modules."""
+    given = emb_modules(spark, d).select("gene", F.coalesce(F.regexp_extract("module", r"(\d+)", 1).try_cast("int"), F.lit(0)).alias("cluster"), F.lit(0).alias("small"), F.lit(0).alias("root"))
+    return tree_cut.assign_by_distance(emb_tom(spark, d), given, 0.98)
+
+
 @query("module_merge")
 def module_merge(spark, d):
     return clustering.merge_close(emb_modules(spark, d), modules.module_correlation(emb_mes(spark, d)), 0.9)

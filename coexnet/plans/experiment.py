@@ -87,13 +87,13 @@ class Experiment:
         self.params["power"] = network.select_power(self.get("power_table"))
         return self
 
-    def construct_network(self, power: int | None = None, network_type: str = "signed", denominator: str = "min", min_size: int = 20, cut: str = "gap", height: float = 0.8, cut_height: float = 0.995, merge_height: float = 0.2) -> Experiment:
+    def construct_network(self, power: int | None = None, network_type: str = "signed", denominator: str = "min", min_size: int = 20, cut: str = "hybrid", height: float = 0.8, cut_height: float | None = 0.995, merge_height: float = 0.2, deep_split: int = 4, pam: bool = True, within_branch: bool = False) -> Experiment:
         if "pairs" not in self.slots:
             self.pairs()
         self.put("pairs", keep(self.get("pairs")))  # read by every step from here on
         adj = network.adjacency(self.get("pairs"), power or self.params.get("power", 6), network_type)
         self.put("degrees", network.degrees(adj)).put("tom", keep(network.topological_overlap(adj, denominator, "blocked")))
-        found = clustering.detect_modules(self.get("tom"), cut, height, cut_height, min_size)
+        found = clustering.detect_modules(self.get("tom"), cut, height, cut_height, min_size, deep_split=deep_split, pam=pam, within_branch=within_branch)
         scores = modules.eigengenes(self.get("dat_expr"), found, self.params["n_dat"], cells=self.get("dat_cells"))
         return self.put("modules", clustering.merge_close(found, modules.module_correlation(scores), merge_height))
 

@@ -102,7 +102,7 @@ def planted():
     return x, np.repeat([1, 2, 3, 4, 0], 30)
 
 
-@pytest.mark.parametrize("method", ["static", "gap"])
+@pytest.mark.parametrize("method", ["static", "gap", "hybrid"])
 def test_planted_modules(spark, method):
     x, truth = planted()
     expr = long(spark, x)
