@@ -10,15 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from coexnet.operators import ranges
 
-def bh(df: DataFrame, p: str, by: list[str], tie: list[str], out: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg values of ``p`` within ``by``; a null p counts as 1."""
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    order = part.orderBy(F.coalesce(p, F.lit(1.0)), *tie)
-    x = df.withColumn("__r", F.row_number().over(order)).withColumn("__m", F.count("*").over(part))
-    up = part.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.least(F.lit(1.0), F.min(F.coalesce(p, F.lit(1.0)) * F.col("__m") / F.col("__r")).over(up))
-    return x.withColumn(out, value).drop("__r", "__m")
+
+def bh(df: DataFrame, p: str, by: list[str], out: str = "fdr") -> DataFrame:
+    """Benjamini-Hochberg values of ``p`` within ``by``; a null p counts as 1.
+
+    Equal p have the value of the last of them, so distinct ones are counted, in ranges: no family meets a task whole.
+    """
+    x = df.withColumn("__q", F.coalesce(p, F.lit(1.0)))
+    t = ranges.tally(x, by, "__q")
+    t = _with_keys(t, t.groupBy(*by).agg(F.sum("ties").alias("__m")), by)
+    t = ranges.deal(t.withColumn("__v", F.col("__q") * F.col("__m") / F.col("upto")), by, "__q")
+    t = ranges.running(t, by, "__q", "__v", "__least", least=True, backwards=True)
+    return _with_keys(x, t.select(*by, "__q", F.least(F.lit(1.0), "__least").alias(out)), [*by, "__q"]).drop("__q")
+
+
+def _with_keys(df: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the columns of the one row that ``keyed`` has for its keys, null keys too."""
+    right = keyed.select(*(F.col(c).alias(f"__key{i}") for i, c in enumerate(keys)), *(c for c in keyed.columns if c not in keys))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__key{i}"))
+    return df.join(right, same).drop(*(f"__key{i}" for i in range(len(keys))))
 
 
 def stars(p: Column) -> Column:
@@ -33,18 +47,20 @@ def scale01(df: DataFrame, by: list[str], value: str, out: str, constant: float)
 
 
 def mean_ranks(df: DataFrame, by: list[str], value: str, out: str = "rk") -> DataFrame:
-    """Average ranks within ``by``, with ``ties``, the size of each row's tie."""
-    w = Window.partitionBy(*by)
-    t = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn("ties", t).withColumn(out, F.rank().over(w.orderBy(value)) + (F.col("ties") - 1) / 2.0)
+    """Average ranks within ``by``, with ``ties``, the size of each row's tie; ranks come from counts of distinct values in ranges."""
+    t = ranges.tally(df, by, value).withColumn(out, ranges.mean_rank()).drop("upto")
+    return _with_keys(df, t, [*by, value])
 
 
 def rank_sum(df: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
-    """(by..., n1, n2, u1, z): Mann-Whitney U of the rows where ``first`` holds against the others, z with ties and continuity."""
-    r = mean_ranks(df.withColumn("__one", first), by, value)
+    """(by..., n1, n2, u1, z): Mann-Whitney U of the rows where ``first`` holds against the others, z with ties and continuity.
+
+    All of it comes from counts of distinct values; rows are never put in order.
+    """
+    r = ranges.tally(df.withColumn("__one", first), by, value, ones=F.count_if("__one"))
     g = r.groupBy(*by).agg(
-        F.count_if("__one").alias("n1"), F.count_if(~F.col("__one")).alias("n2"), F.sum(F.when(F.col("__one"), F.col("rk")).otherwise(0.0)).alias("r1"),
-        F.sum((F.col("ties") * F.col("ties") - 1).cast("double")).alias("t"),
+        F.sum("ones").alias("n1"), F.sum(F.col("ties") - F.col("ones")).alias("n2"), F.sum(F.col("ones") * ranges.mean_rank()).alias("r1"),
+        F.sum(F.col("ties").cast("double") * (F.col("ties").cast("double") * F.col("ties") - 1)).alias("t"),
     )
     n1, n2, n = F.col("n1").cast("double"), F.col("n2").cast("double"), (F.col("n1") + F.col("n2")).cast("double")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coexnet.functions.stats import bh, fisher_greater, mwu_p, normal_p, rank_sum, stars, t_p, welch
+from coexnet.functions.stats import bh, fisher_greater, mean_ranks, mwu_p, normal_p, rank_sum, stars, t_p, welch
 from coexnet.operators.modules import hub_genes
 
 
@@ -16,7 +16,7 @@ def group_pairs(mes: DataFrame, cells: DataFrame, by: str) -> DataFrame:
     pairs = names.select(F.col("group").alias("g1")).join(names.select(F.col("group").alias("g2")), F.col("g1") < F.col("g2"))
     side = F.explode(F.array(F.struct(F.col("g1").alias("group"), F.lit(True).alias("first")), F.struct(F.col("g2").alias("group"), F.lit(False).alias("first"))))
     sides = pairs.select("g1", "g2", side.alias("s")).select("g1", "g2", "s.group", "s.first")
-    return mes.join(named, "cell").join(F.broadcast(sides), "group").select("g1", "g2", "module", "cell", "me", "first")
+    return mes.join(named, "cell").join(sides, "group").select("g1", "g2", "module", "cell", "me", "first")
 
 
 def dme_effects(paired: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def find_dmes(mes: DataFrame, cells: DataFrame, by: str, test: str = "wilcox", m
         p = welch(paired, by_pair, "me", F.col("first")).select(*by_pair, t_p("t", "df").alias("p_val"))
     else:
         p = effects.select(*by_pair, F.lit(1.0).alias("p_val"))
-    return bh(effects.join(p, by_pair, "left"), "p_val", ["g1", "g2"], ["module"], "p_val_adj")
+    return bh(effects.join(p, by_pair, "left"), "p_val", ["g1", "g2"], "p_val_adj")
 
 
 def trait_correlation(mes: DataFrame, cells: DataFrame, traits: list[str], method: str = "pearson", least: int = 10) -> DataFrame:
@@ -54,8 +54,6 @@ def trait_correlation(mes: DataFrame, cells: DataFrame, traits: list[str], metho
     long = cells.select("cell", *(F.col(t).cast("double").alias(t) for t in traits)).unpivot("cell", traits, "trait", "x").where("x is not null and not isnan(x)")
     both = long.join(mes.where("me is not null"), "cell")
     if method == "spearman":
-        from coexnet.functions.stats import mean_ranks
-
         both = mean_ranks(mean_ranks(both, ["trait", "module"], "x", "rx"), ["trait", "module"], "me", "ry").select("trait", "module", F.col("rx").alias("x"), F.col("ry").alias("me"))
     n = F.col("n").cast("double")
     centre = both.groupBy("trait", "module").agg(F.avg("x").alias("ax"), F.avg("me").alias("ay"))
@@ -68,7 +66,7 @@ def trait_correlation(mes: DataFrame, cells: DataFrame, traits: list[str], metho
 def trait_p_values(cor: DataFrame) -> DataFrame:
     """Adds pval (Student's t) and fdr within each trait."""
     t = F.col("cor") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("cor") * F.col("cor"), F.lit(1e-300)))
-    return bh(cor.withColumn("pval", t_p(t, (F.col("n") - 2).cast("double"))), "pval", ["trait"], ["module"])
+    return bh(cor.withColumn("pval", t_p(t, (F.col("n") - 2).cast("double"))), "pval", ["trait"])
 
 
 def overlap_counts(modules: DataFrame, sets: DataFrame, set_col: str = "group") -> DataFrame:
@@ -89,7 +87,7 @@ def overlap_test(counts: DataFrame, universe: int) -> DataFrame:
     b, c = F.col("size_module") - a, F.col("size_set") - a
     d = F.lit(float(universe)) - a - b - c
     x = counts.withColumns({"odds_ratio": a * d / F.nullif(b * c, F.lit(0.0)), "odds_ratio_marginal": a * d / F.nullif((a + b) * (a + c), F.lit(0.0)), "jaccard": a / F.nullif(a + b + c, F.lit(0.0)), "pval": fisher_greater(F.col("size_intersection"), F.col("size_module"), F.col("size_set"), F.lit(universe))})
-    return bh(x, "pval", [], ["module", "group"]).withColumn("significance", stars(F.col("fdr")))
+    return bh(x, "pval", []).withColumn("significance", stars(F.col("fdr")))
 
 
 def deg_sets(deg: DataFrame, fc_cutoff: float = 0.5, group_col: str = "cluster") -> DataFrame:
@@ -173,5 +171,5 @@ def enrich_regulons(regs: DataFrame, genes: DataFrame, gene_sets: DataFrame, lea
     both = targets.join(sets, "gene").groupBy("tf", "target_type", "library", "term").agg(F.count("*").alias("size_intersection"))
     x = both.join(size, ["tf", "target_type"]).join(total, ["library", "term"]).withColumn("universe", F.lit(known.count()))
     x = x.withColumn("pval", fisher_greater("size_intersection", "size_module", "size_set", "universe"))
-    x = bh(x.withColumn("combined_score", combined_score()), "pval", ["tf", "target_type", "library"], ["term"])
+    x = bh(x.withColumn("combined_score", combined_score()), "pval", ["tf", "target_type", "library"])
     return x.select("tf", "target_type", "library", "term", "size_module", "size_set", "size_intersection", "pval", "fdr", "combined_score")

@@ -9,6 +9,8 @@ of genes; cuts work on the merges, of which there is one less than genes.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,20 +138,21 @@ def tree(tom: DataFrame, value: str = "tom") -> tuple[list[str], np.ndarray]:
     alive = set(range(len(genes)))
     while True:
         edges = pairs.withColumn("d", 1 - F.col("s") / (F.col("na") * F.col("nb"))).withColumn("e", F.struct("d", "a", "b"))
-        near = edges.select(F.explode(F.array("a", "b")).alias("id"), "e").groupBy("id").agg(F.min("e").alias("e"))
-        found = near.select("e.d", "e.a", "e.b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("d").alias("d")).where("n = 2").collect()  # two clusters that choose the same pair
+        near = edges.select(F.explode(F.array("a", "b")).alias("id"), "e").groupBy("id").agg(F.min("e").alias("e")).select("id", "e.d", "e.a", "e.b").collect()  # a row for each cluster
+        chosen = Counter((r["a"], r["b"]) for r in near)
+        found = [r for r in near if r["id"] == r["a"] and chosen[r["a"], r["b"]] == 2]  # two clusters that choose the same pair
         if not found:
             break
         for r in found:
             merges.append((r["a"], r["b"], float(r["d"])))
             size[r["a"]] += size[r["b"]]
             alive.discard(r["b"])
-        into = spark.createDataFrame([(r["b"], r["a"]) for r in found], "old int, new int")
-        sizes = spark.createDataFrame([(r["a"], float(size[r["a"]])) for r in found], "top int, n double")
+        new = [(x, r["a"], float(size[r["a"]])) for r in found for x in (r["a"], r["b"])]
+        renamed = F.broadcast(spark.createDataFrame(new, "old int, new int, n double"))  # at most a row for each cluster
         x = pairs
         for c in ("a", "b"):
-            x = x.join(into.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new")), c, "left").withColumn(c, F.coalesce(f"{c}_new", c)).drop(f"{c}_new")
-            x = x.join(sizes.select(F.col("top").alias(c), F.col("n").alias(f"{c}_n")), c, "left").withColumn(f"n{c}", F.coalesce(f"{c}_n", f"n{c}")).drop(f"{c}_n")
+            x = x.join(renamed.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new"), F.col("n").alias(f"{c}_n")), c, "left")
+            x = x.withColumns({c: F.coalesce(f"{c}_new", c), f"n{c}": F.coalesce(f"{c}_n", f"n{c}")}).drop(f"{c}_new", f"{c}_n")
         swap = lambda p, q: F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q))
         x = x.where("a <> b").select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), "s", swap("na", "nb").alias("na"), swap("nb", "na").alias("nb"))
         pairs = keep(x.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")))

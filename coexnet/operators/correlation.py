@@ -14,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coexnet.operators import ranges
+from coexnet.operators.rounds import keep
+
 CHUNK_CELLS = 4096
 BLOCK_GENES = 512
 LEAST_TASKS = 64
@@ -128,15 +131,16 @@ def pearson(expr: DataFrame, n_cells: int, plan: str = "relational", chunk_cells
 
 
 def rank_values(expr: DataFrame, n_cells: int) -> DataFrame:
-    """The matrix with average ranks per gene, less the rank of its zeros: still sparse, and Pearson on it is Spearman."""
-    w = Window.partitionBy("gene").orderBy("value")
-    tie = Window.partitionBy("gene", "value")
-    gene = Window.partitionBy("gene")
+    """The matrix with average ranks per gene, less the rank of its zeros: still sparse, and Pearson on it is Spearman.
+
+    Ranks come from counts of each gene's distinct values, in ranges, so that no task holds a gene.
+    """
     x = expr.where("value <> 0")
-    x = x.withColumns({"r": F.rank().over(w) + (F.count("*").over(tie) - 1) / 2.0, "zeros": F.lit(n_cells) - F.count("*").over(gene), "negative": F.count_if(F.col("value") < 0).over(gene)})
-    at_zero = F.col("negative") + (F.col("zeros") + 1) / 2.0
-    full = F.col("r") + F.when(F.col("value") > 0, F.col("zeros")).otherwise(0)
-    return x.select("cell", "gene", (full - at_zero).alias("value"))
+    counts = ranges.tally(x, ["gene"], "value")
+    of = counts.groupBy("gene").agg((F.lit(n_cells) - F.sum("ties")).alias("zeros"), F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("ties"))), F.lit(0)).alias("negative"))
+    full = ranges.mean_rank() + F.when(F.col("value") > 0, F.col("zeros")).otherwise(0)
+    ranked = counts.join(of, "gene").select("gene", F.col("value").alias("__v"), (full - F.col("negative") - (F.col("zeros") + 1) / 2.0).alias("rank"))
+    return x.withColumnRenamed("value", "__v").join(ranked, ["gene", "__v"]).select("cell", "gene", F.col("rank").alias("value"))
 
 
 def spearman(expr: DataFrame, n_cells: int, plan: str = "relational") -> DataFrame:
@@ -149,22 +153,48 @@ def densify(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
     return grid.join(expr, ["cell", "gene"], "left").select("cell", "gene", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def bicor_values(dense: DataFrame) -> DataFrame:
-    """Unit-length biweight scores of each gene, on a matrix with all its zeros."""
-    med = dense.groupBy("gene").agg(F.median("value").alias("med"))
-    x = dense.join(med, "gene").withColumn("c", F.col("value") - F.col("med"))
-    mad = x.groupBy("gene").agg(F.median(F.abs("c")).alias("mad"))
-    x = x.join(mad, "gene").withColumn("u", F.col("c") / (9 * F.when(F.col("mad") < 1e-15, 1.0).otherwise(F.col("mad"))))
-    x = x.withColumn("z", F.when(F.abs("u") < 1, F.col("c") * (1 - F.col("u") * F.col("u")) * (1 - F.col("u") * F.col("u"))).otherwise(0.0))
-    norm = x.groupBy("gene").agg(F.sqrt(F.sum(F.col("z") * F.col("z"))).alias("norm"))
-    return x.join(norm, "gene").select("cell", "gene", (F.col("z") / F.when(F.col("norm") < 1e-15, 1.0).otherwise(F.col("norm"))).alias("value"))
-
-
-def bicor(dense: DataFrame, plan: str = "relational") -> DataFrame:
-    """(g1, g2, cor): biweight midcorrelation; 0 where a gene's scores vanish."""
-    z = bicor_values(dense)
-    out = gene_grid(dense.select("gene").distinct()).join(pair_products(z, plan), ["g1", "g2"], "left")
-    return out.select("g1", "g2", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("sxy", F.lit(0.0)))).alias("cor"))
+def column_medians(counts: DataFrame, n_cells: int, value: str, out: str) -> DataFrame:
+    """(gene, out): the median of each gene's ``n_cells`` values, from (gene, value, ties)."""
+    total = ranges.running(ranges.deal(counts, ["gene"], value), ["gene"], value, "ties", "upto")
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col(value)))
+    return total.groupBy("gene").agg(((at((n_cells + 1) // 2) + at(n_cells // 2 + 1)) / 2.0).alias(out))
+
+
+def biweight(expr: DataFrame, n_cells: int) -> tuple[DataFrame, DataFrame]:
+    """(cell, gene, value) and (gene, base, total): unit-length biweight scores of each gene, without making zeros explicit.
+
+    An absent value scores ``base``, a present one ``value + base``; ``total`` is the sum of the values. Medians and deviations come
+    from counts of each gene's distinct values and of its zeros.
+    """
+    x = expr.where("value <> 0 and not isnan(value)")
+    every = expr.select("gene").distinct()
+    counts = x.groupBy("gene", "value").agg(F.count("*").alias("ties"))
+    zeros = every.join(counts.groupBy("gene").agg(F.sum("ties").alias("n")), "gene", "left").select("gene", F.lit(0.0).alias("value"), (F.lit(n_cells) - F.coalesce("n", F.lit(0))).alias("ties"))
+    counts = keep(counts.unionAll(zeros.where("ties > 0")))  # a row for each gene and distinct value
+    away = counts.join(column_medians(counts, n_cells, "value", "med"), "gene").withColumn("away", F.abs(F.col("value") - F.col("med")))
+    mad = column_medians(away.groupBy("gene", "away").agg(F.sum("ties").alias("ties")), n_cells, "away", "mad")
+    c = F.col("value") - F.col("med")
+    u = c / (9 * F.when(F.col("mad") < 1e-15, 1.0).otherwise(F.col("mad")))
+    scored = keep(away.join(mad, "gene").withColumn("z", F.when(F.abs(u) < 1, c * (1 - u * u) * (1 - u * u)).otherwise(0.0)).select("gene", "value", "ties", "z"))
+    length = F.sqrt(F.sum(F.col("ties") * F.col("z") * F.col("z")))
+    norm = scored.groupBy("gene").agg(F.when(length < 1e-15, 1.0).otherwise(length).alias("norm"), F.coalesce(F.max(F.when(F.col("value") == 0, F.col("z"))), F.lit(0.0)).alias("z0"))
+    scored = scored.where("value <> 0").join(norm, "gene").withColumn("s", (F.col("z") - F.col("z0")) / F.col("norm"))
+    total = scored.groupBy("gene").agg(F.sum(F.col("s") * F.col("ties")).alias("total"))
+    base = norm.join(total, "gene", "left").select("gene", (F.col("z0") / F.col("norm")).alias("base"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    values = x.withColumnRenamed("value", "__v").join(scored.select("gene", F.col("value").alias("__v"), "s"), ["gene", "__v"])
+    return values.select("cell", "gene", F.col("s").alias("value")), keep(base)
+
+
+def bicor(expr: DataFrame, n_cells: int, plan: str = "relational") -> DataFrame:
+    """(g1, g2, cor): biweight midcorrelation, absent values being zeros; 0 where a gene's scores vanish.
+
+    The product of two genes is that of their sparse scores and rank-one terms of their bases.
+    """
+    z, base = biweight(expr, n_cells)
+    a, b = (base.select(F.col("gene").alias(f"g{i}"), F.col("base").alias(f"b{i}"), F.col("total").alias(f"s{i}")) for i in (1, 2))
+    out = a.join(b, F.col("g1") < F.col("g2")).join(pair_products(z, plan), ["g1", "g2"], "left")
+    r = F.coalesce("sxy", F.lit(0.0)) + F.col("b1") * F.col("s2") + F.col("b2") * F.col("s1") + n_cells * F.col("b1") * F.col("b2")
+    return out.select("g1", "g2", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("cor"))
 
 
 def correlate(expr: DataFrame, n_cells: int, method: str = "pearson", plan: str = "relational") -> DataFrame:
@@ -175,5 +205,5 @@ def correlate(expr: DataFrame, n_cells: int, method: str = "pearson", plan: str
     if method == "spearman":
         return spearman(expr, n_cells, plan)
     if method == "bicor":
-        return bicor(densify(expr, expr.select("cell").distinct(), expr.select("gene").distinct()), plan)
+        return bicor(expr, n_cells, plan)
     raise ValueError(f"unknown method {method!r}")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coexnet.operators.correlation import bicor_values, pair_products
+from coexnet.operators.correlation import biweight, pair_products
 
 CLIP = 10.0
 
@@ -143,13 +143,14 @@ def kme(expr: DataFrame, mes: DataFrame, n_cells: int) -> DataFrame:
     return x.select("gene", "module", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))).alias("kme"))
 
 
-def kme_bicor(dense: DataFrame, mes: DataFrame) -> DataFrame:
-    """(gene, module, kme): biweight midcorrelation of every gene with every module's score; ``dense`` has all zeros, and NaN counts as zero."""
-    sound = lambda c: F.when(F.isnan(c), 0.0).otherwise(F.col(c))
-    x = bicor_values(dense.select("cell", "gene", sound("value").alias("value")))
-    y = bicor_values(mes.select("cell", F.col("module").alias("gene"), sound("me").alias("value"))).select("cell", F.col("gene").alias("module"), F.col("value").alias("y"))
-    r = x.join(y, "cell").groupBy("gene", "module").agg(F.sum(F.col("value") * F.col("y")).alias("r"))
-    return r.select("gene", "module", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))).alias("kme"))
+def kme_bicor(expr: DataFrame, mes: DataFrame, n_cells: int) -> DataFrame:
+    """(gene, module, kme): biweight midcorrelation of every gene with every module's score; absent values and NaN count as zero."""
+    x, bx = biweight(expr, n_cells)
+    y, by = biweight(mes.select("cell", F.col("module").alias("gene"), F.col("me").alias("value")), n_cells)
+    xy = x.join(y.select("cell", F.col("gene").alias("module"), F.col("value").alias("y")), "cell").groupBy("gene", "module").agg(F.sum(F.col("value") * F.col("y")).alias("xy"))
+    both = bx.join(by.select(F.col("gene").alias("module"), F.col("base").alias("base_y"), F.col("total").alias("total_y")), F.lit(True))  # the result's rows
+    r = F.coalesce("xy", F.lit(0.0)) + F.col("base") * F.col("total_y") + F.col("base_y") * F.col("total") + n_cells * F.col("base") * F.col("base_y")
+    return both.join(xy, ["gene", "module"], "left").select("gene", "module", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("kme"))
 
 
 def hub_genes(modules: DataFrame, kmes: DataFrame, n_hubs: int = 10) -> DataFrame:

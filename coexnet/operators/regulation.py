@@ -154,7 +154,7 @@ def differential_regulons(pos: DataFrame, neg: DataFrame, expr: DataFrame, group
         s = rank_sum(x, ["tf"], "score", F.col("first"))
         p = s.select("tf", F.when(F.least("n1", "n2") < 3, 1.0).otherwise(normal_p("z")).alias(f"p_val_{tag}"))
         fold = x.groupBy("tf").agg((F.avg(F.when(F.col("first"), F.col("score"))) - F.avg(F.when(~F.col("first"), F.col("score")))).alias(f"avg_log2fc_{tag}"))
-        return bh(p.join(fold, "tf"), f"p_val_{tag}", [], ["tf"], f"p_val_adj_{tag}")
+        return bh(p.join(fold, "tf"), f"p_val_{tag}", [], f"p_val_adj_{tag}")
 
     tfs = pos.select("tf").distinct()
     own = tfs.join(groups.select("cell"), F.lit(True), "cross").join(expr.select("cell", F.col("gene").alias("tf"), "value"), ["cell", "tf"], "left").select("cell", "tf", F.coalesce("value", F.lit(0.0)).alias("score"))

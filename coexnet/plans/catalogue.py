@@ -219,6 +219,13 @@ def corr_bicor(spark, d):
     return r6(correlation.correlate(x, features.count_cells(x), "bicor"), "cor")
 
 
+@query("corr_bicor_sparse", sql(CNT, "cells AS (SELECT DISTINCT cell FROM cnt)", "genes AS (SELECT DISTINCT gene FROM cnt)", "f AS (SELECT c.cell, g.gene, coalesce(value, 0) AS value FROM cells c CROSS JOIN genes g LEFT JOIN cnt USING (cell, gene))", "md AS (SELECT gene, median(value) AS med FROM f GROUP BY 1)", "ad AS (SELECT gene, median(abs(value - med)) AS mad FROM f JOIN md USING (gene) GROUP BY 1)", "u AS (SELECT cell, gene, value - med AS c, (value - med) / (9 * CASE WHEN mad < 1e-15 THEN 1 ELSE mad END) AS u FROM f JOIN md USING (gene) JOIN ad USING (gene))", "z AS (SELECT cell, gene, CASE WHEN abs(u) < 1 THEN c * (1 - u * u) * (1 - u * u) ELSE 0 END AS z FROM u)", "nz AS (SELECT cell, gene, z / nullif(sqrt(sum(z * z) OVER (PARTITION BY gene)), 0) AS z FROM z)", "SELECT a.gene AS g1, b.gene AS g2, round(coalesce(sum(a.z * b.z), 0), 6) AS cor FROM nz a JOIN nz b ON a.cell = b.cell AND a.gene < b.gene GROUP BY 1, 2"))
+def corr_bicor_sparse(spark, d):
+    """On the sparse view, where most values are absent zeros."""
+    x = views.customer_items(spark, d)
+    return r6(correlation.correlate(x, features.count_cells(x), "bicor", "blocked"), "cor")
+
+
 def _adj(name, kind, expr):
     query(name, sql(SUP, pairs_sql("sup"), adj_sql(6, expr), "SELECT g1, g2, round(adj, 6) AS adj FROM adj"))(lambda spark, d: r6(network.adjacency(sup_pairs(spark, d), 6, kind), "adj"))
 
@@ -386,7 +393,7 @@ uu AS (SELECT cell, side, k, v - med AS c, (v - med) / (9 * CASE WHEN mad < 1e-1
 zz AS (SELECT cell, side, k, CASE WHEN abs(u) < 1 THEN c * (1 - u * u) * (1 - u * u) ELSE 0 END AS z FROM uu),
 nz AS (SELECT cell, side, k, z / sqrt(sum(z * z) OVER (PARTITION BY side, k)) AS z FROM zz)""", "SELECT a.k AS gene, b.k AS module, round(sum(a.z * b.z), 6) + 0.0 AS kme FROM nz a JOIN nz b ON a.cell = b.cell AND a.side = 'x' AND b.side = 'y' GROUP BY 1, 2"))
 def kme_bicor(spark, d):
-    return r6(modules.kme_bicor(emb(spark, d), emb_mes(spark, d)), "kme")
+    return r6(modules.kme_bicor(emb(spark, d), emb_mes(spark, d), features.count_cells(emb(spark, d))), "kme")
 
 
 @query("hub_genes", sql(EMB, FIX, MES, KME, HUB, "SELECT module, gene, round(kme, 6) AS kme, CAST(rank AS INT) AS rank FROM hub"))
@@ -471,7 +478,7 @@ def bh_fdr(spark, d):
     x = views.read(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_suppkey").distinct()
     h = F.md5(F.concat(F.col("l_suppkey").cast("string"), "l_returnflag", "l_linestatus"))
     x = x.select(F.concat("l_returnflag", "l_linestatus").alias("family"), F.col("l_suppkey").alias("key"), (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)).alias("p"))
-    return r6(stats.bh(x, "p", ["family"], ["key"]), "p", "fdr")
+    return r6(stats.bh(x, "p", ["family"]), "p", "fdr")
 
 
 def trait_cells(spark, d):

@@ -118,7 +118,7 @@ class Experiment:
     def module_connectivity(self, method: str = "pearson") -> Experiment:
         expr = self.get("expr").join(self.get("genes"), "gene", "left_semi")
         if method == "bicor":
-            return self.put("kme", modules.kme_bicor(correlation.densify(expr, self.get("cells"), self.get("genes")), self.get_mes()))
+            return self.put("kme", modules.kme_bicor(expr, self.get_mes(), self._cells()))
         if method != "pearson":
             raise ValueError(f"unknown method {method!r}")
         return self.put("kme", modules.kme(expr, self.get_mes(), self._cells()))
