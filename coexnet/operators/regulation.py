@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coexnet.functions.stats import bh, normal_p, rank_sum
-from coexnet.operators.rounds import keep
 
 
 def hash_share(*cols) -> F.Column:
@@ -35,61 +34,6 @@ def tf_gene_cor(motifs: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.join(pairs, ["g1", "g2"]).select("tf", "gene", "cor")
 
 
-def boosted_links(expr: DataFrame, motifs: DataFrame, rounds: int = 30, depth: int = 3, eta: float = 0.3, least_tfs: int = 2, n_bins: int = 32) -> DataFrame:
-    """(tf, gene, gain, cover, frequency): importance of a target's regulators in boosted regression trees, on all cells.
-
-    The trees of all targets grow together, a level at a time: sums of the gradient and counts by
-    (target, node, regulator, bin) are combined before the shuffle, the best split of each node is
-    the largest gain over them, and cells move to the child it sends them to. Bins are cut at
-    ``n_bins`` quantiles of a regulator's values other than 0, which have a bin of their own. Each tree is written
-    to the shared folder. Regularisation is 1; a leaf moves by ``eta`` times its mean gradient. No
-    cross-validation: the number of rounds is the caller's.
-    """
-    good = motifs.where("tf <> gene").groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") >= least_tfs).select("gene")
-    links = motifs.where("tf <> gene").select("tf", "gene").join(good, "gene", "left_semi").join(expr.select("gene").distinct(), "gene", "left_semi")
-    share = F.array(*(F.lit(i / n_bins) for i in range(1, n_bins)))
-    cuts = expr.where("value <> 0").groupBy(F.col("gene").alias("tf")).agg(F.array_sort(F.array_distinct(F.array_union(F.percentile_approx("value", share, F.lit(10_000)), F.array(F.lit(0.0))))).alias("cuts"))
-    # a bin counts the cuts that a value exceeds, and half of it tells values at a cut apart
-    place = lambda v: F.size(F.filter("cuts", lambda c: c < v)) + F.size(F.filter("cuts", lambda c: c <= v))
-    tfs = expr.withColumnRenamed("gene", "tf").join(links.select("tf").distinct(), "tf", "left_semi").join(cuts, "tf")
-    binned = tfs.select("cell", "tf", place(F.col("value")).alias("bin"))
-    zero = cuts.select("tf", place(F.lit(0.0)).alias("zero"))
-    cells = expr.select("cell").distinct()
-    # the regulators of a cell as a map, for all cells: a value that is absent is in the bin of zero
-    maps = keep(cells.join(binned.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("tf", "bin"))).alias("bins")), "cell", "left"))
-    known = links.join(zero, "tf").groupBy("gene").agg(F.map_from_entries(F.collect_list(F.struct("tf", "zero"))).alias("own"))
-    start = expr.join(known.select("gene"), "gene", "left_semi").groupBy("gene").agg((F.sum("value") / F.lit(float(cells.count()))).alias("f"))
-    y = expr.withColumnRenamed("value", "y")
-    state = cells.join(known.select("gene").join(start, "gene"), F.lit(True), "cross").join(y, ["cell", "gene"], "left")  # targets by cells: what is fitted
-    state = keep(state.select("cell", "gene", F.coalesce("y", F.lit(0.0)).alias("y"), "f"))
-    stats = None
-    bin_of = lambda tf: F.coalesce(F.try_element_at("bins", tf), F.element_at("own", tf))
-    for _ in range(rounds):
-        now = state.withColumns({"g": F.col("y") - F.col("f"), "node": F.lit(1)}).join(maps, "cell").join(known, "gene")
-        for _ in range(depth):
-            seen = now.where("node > 0").select("gene", "node", "g", F.explode(F.map_keys("own")).alias("tf"), "bins", "own").select("gene", "node", "tf", bin_of(F.col("tf")).alias("bin"), "g")
-            sums = seen.groupBy("gene", "node", "tf", "bin").agg(F.sum("g").alias("g"), F.count("*").alias("n"))
-            upto, all_ = Window.partitionBy("gene", "node", "tf").orderBy("bin"), Window.partitionBy("gene", "node", "tf")
-            s = sums.select("gene", "node", "tf", "bin", F.sum("g").over(upto).alias("gl"), F.sum("n").over(upto).alias("nl"), F.sum("g").over(all_).alias("ga"), F.sum("n").over(all_).alias("na"))
-            part = lambda g, n: g * g / (n + 1)
-            gain = part(F.col("gl"), F.col("nl")) + part(F.col("ga") - F.col("gl"), F.col("na") - F.col("nl")) - part(F.col("ga"), F.col("na"))
-            s = s.where("nl < na").withColumn("gain", F.round(gain, 9)).where("gain > 1e-9")
-            best = s.groupBy("gene", "node").agg(F.max_by(F.struct("tf", "bin", "gain", "na"), F.struct("gain", F.col("tf"), F.col("bin"))).alias("b"))
-            best = keep(best.select("gene", "node", "b.*"))
-            used = best.select("gene", "tf", "gain", F.col("na").alias("cover"))
-            stats = used if stats is None else stats.unionAll(used)
-            split = best.select("gene", "node", F.col("tf").alias("by"), F.col("bin").alias("at"))
-            child = F.when(F.col("by").isNull(), -F.abs("node")).otherwise(2 * F.col("node") + (bin_of(F.col("by")) > F.col("at")).cast("int"))
-            now = now.join(split, ["gene", "node"], "left").withColumn("node", child).drop("by", "at")
-        leaf = now.groupBy("gene", "node").agg((eta * F.sum("g") / (F.count("*") + 1)).alias("step"))
-        state = keep(now.join(leaf, ["gene", "node"]).select("cell", "gene", "y", (F.col("f") + F.col("step")).alias("f")))
-    if stats is None:
-        return links.where("false").select("tf", "gene", *(F.lit(0.0).alias(c) for c in ("gain", "cover", "frequency")))
-    each = stats.groupBy("gene", "tf").agg(F.sum("gain").alias("gain"), F.sum("cover").cast("double").alias("cover"), F.count("*").cast("double").alias("frequency"))
-    w = Window.partitionBy("gene")
-    return each.select("tf", "gene", *((F.col(c) / F.sum(c).over(w)).alias(c) for c in ("gain", "cover", "frequency")))
-
-
 def regulons(edges: DataFrame, strategy: str = "A", least_gain: float = 0.01, n_tfs: int = 10, n_genes: int = 50) -> DataFrame:
     """(tf, gene, gain, cor, reg_score): A top regulators of each gene, B top genes of each regulator, C all."""
     x = edges.where(F.col("gain") >= least_gain)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coexnet.functions import stats
-from coexnet.operators import analysis, clustering, correlation, features, metacells, modules, network, plotdata, projection, regulation, tree_cut
+from coexnet.operators import analysis, boosting, clustering, correlation, features, metacells, modules, network, plotdata, projection, regulation, tree_cut
 from coexnet.sources import views
 from coexnet.streaming import moments
 
@@ -583,7 +583,7 @@ def tf_gene_cor(spark, d):
 
 @query("tf_network")
 def tf_network(spark, d):
-    return r6(regulation.boosted_links(emb(spark, d), motif_table(spark, d)), "gain", "cover", "frequency")
+    return r6(boosting.boost(emb(spark, d), motif_table(spark, d))[0], "gain", "cover", "frequency")
 
 
 def _reg(letter, key, other, n):

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coexnet.operators import analysis, clustering, correlation, features, harmony, metacells, modules, network, projection, regulation
+from coexnet.operators import analysis, boosting, clustering, correlation, features, harmony, metacells, modules, network, projection, regulation
 from coexnet.operators.rounds import keep
 
 
@@ -175,9 +175,10 @@ class Experiment:
     def module_preservation(self, tom: DataFrame | None = None, n_permutations: int = 100) -> DataFrame:
         return projection.preservation(tom or self.get("tom"), self.get("modules"), n_permutations)
 
-    def construct_tf_network(self, motifs: DataFrame, rounds: int = 30) -> Experiment:
-        links = regulation.boosted_links(self.get("dat_expr"), motifs, rounds)
-        return self.put("tf_network", links.join(regulation.tf_gene_cor(motifs, self.get("pairs")), ["tf", "gene"]))
+    def construct_tf_network(self, motifs: DataFrame, rounds: int = 100, folds: int = 5, patience: int = 10) -> Experiment:
+        """Regulators of every gene by boosted trees, as many as cross-validation tells; its errors are in ``tf_eval``."""
+        links, errors = boosting.boost(self.get("dat_expr"), motifs, rounds, folds=folds, patience=patience)
+        return self.put("tf_network", links.join(regulation.tf_gene_cor(motifs, self.get("pairs")), ["tf", "gene"])).put("tf_eval", errors)
 
     def assign_tf_regulons(self, strategy: str = "A", least_gain: float = 0.01, n_tfs: int = 10, n_genes: int = 50) -> Experiment:
         return self.put("tf_regulons", regulation.regulons(self.get("tf_network"), strategy, least_gain, n_tfs, n_genes))

@@ -219,38 +219,6 @@ def test_large_groups_of_cells_are_dealt_into_blocks(spark):
         assert [n for _, n in sorted(got[i])] == want
 
 
-def test_boosted_trees_against_plain_loops(spark):
-    """One tree of depth 2, by trying every split of every node; then that the regulator that matters has the gain."""
-    rng = np.random.default_rng(5)
-    x = rng.integers(0, 5, (3, 60)).astype(float)
-    y = 3 * (x[0] > 2) + (x[1] > 1) + rng.normal(0, 0.05, 60)
-    expr = long(spark, np.concatenate([x, y[None]])).where("value <> 0")
-    motifs = spark.createDataFrame([(f"g00{i}", "g003") for i in range(3)], "tf string, gene string")
-
-    def best(rows, g):
-        out = (0.0, None, None)
-        part = lambda v: v.sum() ** 2 / (len(v) + 1)
-        for f in range(3):
-            for c in np.unique(x[f, rows])[:-1]:
-                low = rows[x[f, rows] <= c]
-                high = rows[x[f, rows] > c]
-                out = max(out, (round(part(g[low]) + part(g[high]) - part(g[rows]), 9), f, c), key=lambda o: o[0])
-        return out
-
-    g, todo, gain = y - y.mean(), [(np.arange(60), 0)], np.zeros(3)
-    while todo:
-        rows, level = todo.pop()
-        w, f, c = best(rows, g) if level < 2 else (0.0, None, None)
-        if f is not None:
-            gain[f] += w
-            todo += [(rows[x[f, rows] <= c], level + 1), (rows[x[f, rows] > c], level + 1)]
-    got = {r["tf"]: r["gain"] for r in regulation.boosted_links(expr, motifs, rounds=1, depth=2).collect()}
-    assert all(math.isclose(got.get(f"g00{i}", 0), gain[i] / gain.sum(), abs_tol=1e-6) for i in range(3))
-    more = {r["tf"]: r for r in regulation.boosted_links(expr, motifs, rounds=3).collect()}
-    assert more["g000"]["gain"] > 0.7 and math.isclose(sum(r["cover"] for r in more.values()), 1)
-    assert regulation.boosted_links(expr, motifs.limit(0), rounds=1).count() == 0
-
-
 def test_eigengenes_and_kme(spark):
     x, truth = planted()
     expr = long(spark, x)
