@@ -258,7 +258,7 @@ def boost(expr: DataFrame, motifs: DataFrame, rounds: int = 100, depth: int = 3,
     for r in range(1, rounds + 1):
         splits = spark.createDataFrame([], SPLIT)
         for level in range(depth):
-            sums = with_plan(state, splits).mapInArrow(_histograms(models, level, width, eta), "gene string, model int, tf string, node int, bin int, g double, n long")
+            sums = with_plan(state, splits).mapInArrow(_histograms(models, level, width, eta), "gene string, model int, tf string, node int, bin int, g double, n long").repartition("gene")  # the one shuffle of a level
             found = best_splits(sums.groupBy("gene", "model", "tf", "node", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n")))
             splits = splits.unionByName(keep(found.where("tf is not null or node = 1")))
         grown.append(splits.where("model = 0 and tf is not null").withColumn("round", F.lit(r)))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coexnet.operators.features import log_normalize
+from coexnet.operators.rounds import keep
 
 
 BLOCK_CELLS = 2048
 
 
-def knn_within_group(coords: DataFrame, k: int, block_cells: int = BLOCK_CELLS) -> DataFrame:
-    """(group, cell, neighbour, d2, rank): the k nearest other cells of the same group, from (group, cell, coords).
+def knn_within_group(coords: DataFrame, k: int, block_cells: int = BLOCK_CELLS, asking: DataFrame | None = None) -> DataFrame:
+    """(group, cell, neighbour, d2, rank): the k nearest other cells of the same group, from (group, cell, coords), for all cells or those of ``asking`` (group, cell).
 
     A group is dealt into blocks of about ``block_cells``; two blocks meet in a task, which keeps
     k neighbours of each cell, so a large group is spread over many tasks and no pairs are emitted.
@@ -23,7 +24,7 @@ def knn_within_group(coords: DataFrame, k: int, block_cells: int = BLOCK_CELLS)
     blocks = coords.groupBy("group").agg(F.ceil(F.count("*") / block_cells).cast("int").alias("blocks"))
     x = coords.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("cell"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asks = x.select("group", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("ask"), "cell", "coords")
+    asks = (x if asking is None else x.join(asking, ["group", "cell"], "left_semi")).select("group", F.col("own").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("ask"), "cell", "coords")
     gives = x.select("group", F.explode(every).alias("i"), F.col("own").alias("j"), F.lit(False).alias("ask"), "cell", "coords")
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -41,10 +42,12 @@ def knn_within_group(coords: DataFrame, k: int, block_cells: int = BLOCK_CELLS)
             d = np.round(d, 9)
             d[mine[lo : lo + 256][:, None] == others[None, :]] = np.inf
             best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for row, cell in enumerate(mine[lo : lo + 256]):
-                keep = best[row][np.isfinite(d[row, best[row]])]
-                out.append(pd.DataFrame({"group": pdf["group"].iloc[0], "cell": cell, "neighbour": others[keep], "d2": d[row, keep]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["group", "cell", "neighbour", "d2"])
+            far = np.take_along_axis(d, best, 1)
+            row, at_ = np.nonzero(np.isfinite(far))
+            out.append((mine[lo + row], others[best[row, at_]], far[row, at_]))
+        cell, neighbour, d2 = (np.concatenate(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+        name = lambda v: pd.Series(v, dtype=object)
+        return pd.DataFrame({"group": name([pdf["group"].iloc[0]] * len(d2)), "cell": name(cell), "neighbour": name(neighbour), "d2": pd.Series(d2, dtype=float)})
 
     group_type = coords.schema["group"].dataType.simpleString()
     found = asks.unionAll(gives).groupBy("group", "i", "j").applyInPandas(near, f"`group` {group_type}, cell {cell_type}, neighbour {cell_type}, d2 double")
@@ -52,42 +55,51 @@ def knn_within_group(coords: DataFrame, k: int, block_cells: int = BLOCK_CELLS)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(group, place) of the nodes that a walk in order of ``place`` takes, each unless it has an edge to one taken before.
+
+    ``edges`` is (group, a, b) with a before b. In each round all nodes are taken whose earlier neighbours are decided,
+    and the later neighbours of those fall out; for an order by hash the rounds grow with the logarithm of the nodes.
+    """
+    open_nodes, open_edges = keep(nodes.select("group", "place")), keep(edges)
+    taken = None
+    while open_nodes.head(1):
+        later = open_edges.select("group", F.col("b").alias("place"))
+        now = keep(open_nodes.join(later, ["group", "place"], "left_anti"))
+        taken = now if taken is None else taken.unionAll(now)
+        gone = open_edges.join(now.withColumnRenamed("place", "a"), ["group", "a"], "left_semi").select("group", F.col("b").alias("place")).unionAll(now).distinct()
+        gone = keep(gone)
+        open_nodes = keep(open_nodes.join(gone, ["group", "place"], "left_anti"))
+        for end in ("a", "b"):
+            open_edges = open_edges.join(gone.withColumnRenamed("place", end), ["group", end], "left_anti")
+        open_edges = keep(open_edges)
+    return nodes.select("group", "place").where("false") if taken is None else taken
+
+
 def metacell_members(coords: DataFrame, k: int = 25, max_shared: int = 15, target: int | None = 1000, max_iter: int = 5000, seed: str = "0") -> DataFrame:
     """(group, metacell, cell): greedily chosen neighbourhoods that share at most ``max_shared`` cells pairwise.
 
-    Centres are visited in the order of a hash, ``max_iter`` at most. A group of at most ``k`` cells is one metacell. The choice is
-    sequential: the neighbour lists of the ``max_iter`` centres of a group, and no others, meet in one task.
+    Centres are visited in the order of a hash, ``max_iter`` at most, until a group has ``target`` of them. A group of at most ``k`` cells is
+    one metacell. The choice is that of the walk but made in rounds over the table of centres that share too much, so no
+    task sees a group.
     """
-    own = coords.select("group", "cell", F.col("cell").alias("neighbour"))
     sizes = coords.groupBy("group").agg(F.count_distinct("cell").alias("n"))
     first = Window.partitionBy("group").orderBy(F.md5(F.concat_ws("#", F.col("cell").cast("string"), F.lit(seed))), "cell")
-    centres = coords.select("group", "cell").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_iter)
-    lists = knn_within_group(coords, k - 1).select("group", "cell", "neighbour").unionAll(own).join(centres, ["group", "cell"]).join(sizes, "group")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        group, cells, n = pdf["group"].iloc[0], np.unique(pdf["cell"].to_numpy()), int(pdf["n"].iloc[0])
-        if n <= k:
-            return pd.DataFrame({"group": group, "metacell": f"{group}_1", "cell": cells})
-        hoods = {c: set(x) for c, x in pdf.groupby("cell")["neighbour"]}
-        order = pdf[["place", "cell"]].drop_duplicates().sort_values("place")["cell"].tolist()
-        want, taken = target or max(n // k, 1), []
-        holders: dict[object, list[int]] = {}
-        for c in order:
-            if len(taken) >= want:
-                break
-            shared: dict[int, int] = {}
-            for x in hoods[c]:
-                for t in holders.get(x, ()):
-                    shared[t] = shared.get(t, 0) + 1
-            if max(shared.values(), default=0) <= max_shared:
-                for x in hoods[c]:
-                    holders.setdefault(x, []).append(len(taken))
-                taken.append(c)
-        rows = [(group, f"{group}_{i}", x) for i, c in enumerate(taken, 1) for x in sorted(hoods[c])]
-        return pd.DataFrame(rows if len(taken) > 1 else [], columns=["group", "metacell", "cell"])
-
-    cell_type = coords.schema["cell"].dataType.simpleString()
-    return lists.groupBy("group").applyInPandas(choose, f"group string, metacell string, cell {cell_type}")
+    large = sizes.where(F.col("n") > k).select("group", F.lit(target).cast("long").alias("want") if target else F.floor(F.col("n") / k).alias("want"))
+    centres = coords.select("group", "cell").distinct().join(large, "group").withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_iter)
+    centres = keep(centres)
+    near = knn_within_group(coords, k - 1, asking=centres).select("group", "cell", "neighbour")
+    hoods = near.unionAll(centres.select("group", "cell", F.col("cell").alias("neighbour"))).join(centres.select("group", "cell", "place"), ["group", "cell"])
+    hoods = keep(hoods.select("group", "place", "neighbour"))
+    both = hoods.select("group", "neighbour", F.col("place").alias("a")).join(hoods.select("group", "neighbour", F.col("place").alias("b")), ["group", "neighbour"]).where("a < b")
+    edges = both.groupBy("group", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") > max_shared).select("group", "a", "b")
+    order = Window.partitionBy("group").orderBy("place")
+    taken = first_independent(centres, edges).withColumn("i", F.row_number().over(order)).join(large, "group").where(F.col("i") <= F.col("want"))
+    more = taken.groupBy("group").agg(F.count("*").alias("chosen")).where("chosen > 1").select("group")
+    name = lambda i: F.concat(F.col("group").cast("string"), F.lit("_"), i)
+    found = taken.join(more, "group").join(hoods, ["group", "place"]).select("group", name(F.col("i").cast("string")).alias("metacell"), F.col("neighbour").alias("cell"))
+    whole = coords.select("group", "cell").distinct().join(sizes.where(F.col("n") <= k).select("group"), "group").select("group", name(F.lit("1")).alias("metacell"), "cell")
+    return found.unionAll(whole)
 
 
 def aggregate_members(expr: DataFrame, members: DataFrame, k: int) -> DataFrame:

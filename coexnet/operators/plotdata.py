@@ -83,9 +83,9 @@ def hub_heatmap(expr: DataFrame, cells: DataFrame, by: str, hubs: DataFrame, per
 
 
 def regulon_bars(regs: DataFrame, tf: str, top: int = 10, least: float = 0.0) -> DataFrame:
-    """(side, gene, gain): the strongest positive and negative targets of a regulator."""
+    """(side, gene, gain): the positive targets of a regulator with the largest gain and the negative ones with the smallest."""
     x = regs.where((F.col("tf") == tf) & (F.abs("reg_score") > least)).withColumn("side", F.when(F.col("reg_score") > 0, "positive").otherwise("negative"))
-    w = Window.partitionBy("side").orderBy(F.desc("gain"), "gene")
+    w = Window.partitionBy("side").orderBy(F.when(F.col("side") == "positive", -F.col("gain")).otherwise(F.col("gain")), "gene")
     return x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select("side", "gene", "gain")
 
 

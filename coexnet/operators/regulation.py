@@ -79,8 +79,14 @@ def module_regulation(regs: DataFrame, modules: DataFrame, tfs_only: bool = True
     return x.select("source", "target", n("n_pos").alias("n_pos"), total("sum_pos").alias("sum_pos"), n("n_neg").alias("n_neg"), total("sum_neg").alias("sum_neg"), (n("n_pos") / F.coalesce("n_tf", F.lit(1))).alias("score_pos"), (n("n_neg") / F.coalesce("n_tf", F.lit(1))).alias("score_neg"))
 
 
-def regulon_scores(dense: DataFrame, regs: DataFrame, sign: str = "positive", least_cor: float = 0.05) -> DataFrame:
-    """(cell, tf, score): one less the scaled mean rank of a regulon's targets among all genes of the cell (largest value first)."""
+def regulon_scores(dense: DataFrame, regs: DataFrame, sign: str = "positive", least_cor: float = 0.05, modules: DataFrame | None = None) -> DataFrame:
+    """(cell, tf, score): one less the scaled mean rank of a regulon's targets among all genes of the cell (largest value first).
+
+    With ``modules`` (gene, module), links that start or end at a grey gene are left out.
+    """
+    if modules is not None:
+        grey = modules.where("module = 'grey'").select("gene")
+        regs = regs.join(grey, "gene", "left_anti").join(grey.withColumnRenamed("gene", "tf"), "tf", "left_anti")
     if sign not in ("positive", "negative", "both"):
         raise ValueError(f"unknown target type {sign!r}")
     keep = {"positive": F.col("cor") > least_cor, "negative": F.col("cor") < -least_cor, "both": F.abs("cor") > least_cor}[sign]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coexnet.functions import stats
 from coexnet.operators import analysis, boosting, clustering, correlation, features, metacells, modules, network, plotdata, projection, regulation, tree_cut
+from coexnet.operators.rounds import keep
 from coexnet.sources import views
 from coexnet.streaming import moments
 
@@ -336,7 +337,14 @@ def knn_within_group(spark, d):
     return r6(metacells.knn_within_group(emb_coords(spark, d), 5), "d2")
 
 
-@query("metacells")
+@query("metacells", sql(KNN.replace("rank <= 5", "rank <= 9"), """
+hood AS (SELECT g, cell, list_append(list(neighbour), cell) AS hood FROM knn GROUP BY 1, 2),
+ord AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5(CAST(cell AS VARCHAR) || '#0'), cell) AS place FROM hood),
+walk AS (SELECT g, 0 AS place, CAST([] AS BIGINT[][]) AS taken FROM (SELECT DISTINCT g FROM hood)
+  UNION ALL SELECT w.g, o.place, CASE WHEN coalesce(list_max([len(list_intersect(t, o.hood)) FOR t IN w.taken]), 0) <= 5 THEN list_append(w.taken, o.hood) ELSE w.taken END
+  FROM walk w JOIN ord o ON o.g = w.g AND o.place = w.place + 1),
+fin AS (SELECT g, arg_max(taken, place) AS taken FROM walk GROUP BY 1),
+num AS (SELECT g, taken, unnest(range(1, len(taken) + 1)) AS i FROM fin WHERE len(taken) > 1)""", """SELECT g AS "group", g || '_' || i AS metacell, unnest(taken[i]) AS cell FROM num""").replace("WITH ", "WITH RECURSIVE ", 1))
 def metacell_query(spark, d):
     return metacells.metacell_members(emb_coords(spark, d), 10, 5)
 
@@ -583,7 +591,12 @@ def tf_gene_cor(spark, d):
 
 @query("tf_network")
 def tf_network(spark, d):
-    return r6(boosting.boost(emb(spark, d), motif_table(spark, d))[0], "gain", "cover", "frequency")
+    """Links of the cross-validated trees with their correlations, and the score of those that make the regulons (strategy A)."""
+    motifs = motif_table(spark, d)
+    links = boosting.boost(emb(spark, d), motifs)[0].join(regulation.tf_gene_cor(motifs, emb_pairs(spark, d)), ["tf", "gene"])
+    links = keep(links)
+    chosen = regulation.regulons(links, "A").select("tf", "gene", "reg_score")
+    return r6(links.join(chosen, ["tf", "gene"], "left"), "gain", "cover", "frequency", "cor", "reg_score")
 
 
 def _reg(letter, key, other, n):
@@ -612,6 +625,11 @@ def regulon_scores(spark, d):
     return r6(regulation.regulon_scores(emb(spark, d), regs(spark, d)), "score")
 
 
+@query("regulon_scores_without_grey", sql(EMB, FIX, MOT, pairs_sql("emb"), EDG, REG, "rk AS (SELECT cell, gene, (row_number() OVER (PARTITION BY cell ORDER BY value DESC, gene) - 1) / 63.0 AS r FROM emb)", "gr AS (SELECT gene FROM fix WHERE module = 'grey')", "SELECT cell, tf, round(1 - avg(r), 6) AS score FROM rk JOIN reg USING (gene) WHERE cor > 0.05 AND gene NOT IN (SELECT gene FROM gr) AND tf NOT IN (SELECT gene FROM gr) GROUP BY 1, 2"))
+def regulon_scores_without_grey(spark, d):
+    return r6(regulation.regulon_scores(emb(spark, d), regs(spark, d), modules=emb_modules(spark, d)), "score")
+
+
 @query("differential_regulons")
 def differential_regulons(spark, d):
     x, r = emb(spark, d), regs(spark, d)
@@ -679,7 +697,7 @@ def hub_heatmap(spark, d):
     return r6(plotdata.hub_heatmap(emb(spark, d), emb_cells(spark, d), "label", emb_hubs(spark, d), 20), "z")
 
 
-@query("regulon_bars", sql(EMB, MOT, pairs_sql("emb"), EDG, REG, "x AS (SELECT CASE WHEN reg_score > 0 THEN 'positive' ELSE 'negative' END AS side, gene, gain FROM reg WHERE tf = 'g03' AND abs(reg_score) > 0)", "SELECT side, gene, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY gain DESC, gene) AS r FROM x) WHERE r <= 3"))
+@query("regulon_bars", sql(EMB, MOT, pairs_sql("emb"), EDG, REG, "x AS (SELECT CASE WHEN reg_score > 0 THEN 'positive' ELSE 'negative' END AS side, gene, gain FROM reg WHERE tf = 'g03' AND abs(reg_score) > 0)", "SELECT side, gene, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY CASE WHEN side = 'positive' THEN -gain ELSE gain END, gene) AS r FROM x) WHERE r <= 3"))
 def regulon_bars(spark, d):
     return r6(plotdata.regulon_bars(regs(spark, d), "g03", 3), "gain")
 

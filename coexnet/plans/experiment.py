@@ -127,9 +127,9 @@ class Experiment:
         expr = self.get("expr").join(self.get("genes"), "gene", "left_semi")
         return projection.project_modules(expr, target, self.get("modules"), self._cells(), target_cells.count(), cells=target_cells)
 
-    def regulon_scores(self, sign: str = "positive", least_cor: float = 0.05) -> Experiment:
+    def regulon_scores(self, sign: str = "positive", least_cor: float = 0.05, exclude_grey_genes: bool = True) -> Experiment:
         dense = correlation.densify(self.get("expr"), self.get("cells"), self.get("genes"))
-        return self.put(f"regulon_scores_{sign}", regulation.regulon_scores(dense, self.get("tf_regulons"), sign, least_cor))
+        return self.put(f"regulon_scores_{sign}", regulation.regulon_scores(dense, self.get("tf_regulons"), sign, least_cor, self.maybe("modules") if exclude_grey_genes else None))
 
     def find_differential_regulons(self, groups: DataFrame) -> DataFrame:
         pos, neg = self.get("regulon_scores_positive"), self.get("regulon_scores_negative")

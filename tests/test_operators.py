@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -295,6 +296,27 @@ def test_metacells(spark):
     assert sets["b_1"] == {f"c{i}" for i in range(50, 60)}
 
 
+@pytest.mark.parametrize("k,most,target", [(12, 3, None), (8, 2, 1000), (8, 5, 4), (5, 0, 1000)])
+def test_metacells_equal_the_sequential_choice(spark, k, most, target):
+    rng = np.random.default_rng(k)
+    pts = np.concatenate([rng.normal(size=(70, 2)), 5 + 0.01 * rng.normal(size=(20, 2)), rng.normal(size=(6, 2))])
+    rows = [("a" if i < 90 else "b", i, pts[i].tolist()) for i in range(96)]
+    coords = spark.createDataFrame(rows, "group string, cell long, coords array<double>")
+    hoods = {i: {i} for i in range(90)}
+    for r in metacells.knn_within_group(coords.where("group = 'a'"), k - 1, block_cells=40).collect():
+        hoods[r["cell"]].add(r["neighbour"])
+    order, taken = sorted(range(90), key=lambda i: (hashlib.md5(f"{i}#0".encode()).hexdigest(), i))[:60], []
+    for c in order:
+        if len(taken) < (target or 90 // k) and all(len(hoods[c] & t) <= most for t in taken):
+            taken.append(hoods[c])
+    got = {}
+    for r in metacells.metacell_members(coords, k, most, target, max_iter=60).collect():
+        got.setdefault(r["metacell"], set()).add(r["cell"])
+    small = {m: s for m, s in got.items() if m.startswith("b")}
+    assert {m: s for m, s in got.items() if m not in small} == {f"a_{i}": t for i, t in enumerate(taken, 1)}
+    assert small == ({"b_1": set(range(90, 96))} if k >= 6 else small)
+
+
 def test_overlap_projection_regulation(spark):
     mods = spark.createDataFrame([(f"g{i}", "M1" if i < 5 else "M2" if i < 12 else "grey") for i in range(20)], "gene string, module string")
     sets = spark.createDataFrame([(f"g{i}", "s") for i in (0, 1, 2, 19)] + [("absent", "s")], "gene string, group string")
