@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from coexnet.operators import spectra
 from coexnet.operators.correlation import biweight, pair_products
 
 CLIP = 10.0
@@ -37,46 +36,14 @@ def standardise(expr: DataFrame, n_cells: int, clip: float | None = CLIP, **how)
     return expr.join(m, "gene").select("cell", "gene", z.alias("value")), m.select("gene", "zero")
 
 
-def module_products(x: DataFrame, chunk_cells: int = 4096) -> DataFrame:
-    """(module, g1, g2, p) of (cell, gene, module, value): products summed over cells for g1 <= g2, a chunk of cells of a module multiplied at once."""
-    n = max(1, -(-x.select("cell").distinct().count() // chunk_cells))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        genes, gi = np.unique(pdf["gene"].to_numpy(), return_inverse=True)
-        cells, ci = np.unique(pdf["cell"].to_numpy(), return_inverse=True)
-        v = np.zeros((len(genes), len(cells)))
-        np.add.at(v, (gi, ci), pdf["value"].to_numpy(float))
-        i, j = np.triu_indices(len(genes))
-        return pd.DataFrame({"module": pdf["module"].iloc[0], "g1": genes[i], "g2": genes[j], "p": (v @ v.T)[i, j]})
-
-    dealt = x.withColumn("chunk", F.pmod(F.xxhash64("cell"), F.lit(n)))
-    return dealt.groupBy("module", "chunk").applyInPandas(multiply, "module string, g1 string, g2 string, p double").groupBy("module", "g1", "g2").agg(F.sum("p").alias("p"))
-
-
 def loadings(z: DataFrame, zeros: DataFrame, modules: DataFrame, n_cells: int, n_components: int = 1) -> DataFrame:
-    """(module, gene, loading): first right singular vector of each module's z-scores.
+    """(module, gene, loading): first right singular vector of each module's z-scores; with more components, their numbers follow the module's name.
 
-    Only the module's gene by gene products reach a task (genes squared, whatever the number of cells);
-    what absent values add to them comes from the sums of the genes.
+    By passes over the sparse matrix (``spectra``): no task holds the square of a module's genes.
     """
-    named = z.join(modules.where("module <> 'grey'").select("gene", "module"), "gene")
-    sums = named.groupBy("module", "gene").agg(F.sum("value").alias("s")).join(zeros, "gene")
-    gram = module_products(named).unionByName(sums.select("module", F.col("gene").alias("g1"), "s", "zero"), allowMissingColumns=True)
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["g2"].isna()].sort_values("g1")
-        pairs = pdf[pdf["g2"].notna()]
-        genes, s, zero = own["g1"].to_numpy().astype(str), own["s"].to_numpy(float), own["zero"].to_numpy(float)
-        i, j = np.searchsorted(genes, pairs["g1"].to_numpy().astype(str)), np.searchsorted(genes, pairs["g2"].to_numpy().astype(str))
-        m = np.zeros((len(genes), len(genes)))
-        m[i, j] = m[j, i] = pairs["p"].to_numpy()
-        m += np.outer(s, zero) + np.outer(zero, s) + n_cells * np.outer(zero, zero)
-        vectors, name = np.linalg.eigh(m)[1][:, ::-1][:, :n_components], pdf["module"].iloc[0]
-        signed = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])] >= 0, 1, -1)
-        names = [name] if n_components == 1 else [f"{name}\u0001{i:03d}" for i in range(signed.shape[1])]
-        return pd.concat([pd.DataFrame({"module": at, "gene": genes, "loading": v}) for at, v in zip(names, signed.T, strict=True)])
-
-    return gram.groupBy("module").applyInPandas(first, "module string, gene string, loading double")
+    found = spectra.leading(z, zeros, modules.where("module <> 'grey'"), n_cells, n_components)
+    name = F.col("module") if n_components == 1 else F.concat("module", F.lit("\u0001"), F.lpad(F.col("component").cast("string"), 3, "0"))
+    return found.select(name.alias("module"), "gene", "loading")
 
 
 def weighted_scores(z: DataFrame, zeros: DataFrame, loads: DataFrame, cells: DataFrame, name: str = "me") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coexnet.functions import stats
-from coexnet.operators import analysis, boosting, clustering, correlation, features, metacells, modules, network, plotdata, projection, regulation, tree_cut
+from coexnet.operators import analysis, boosting, clustering, correlation, features, metacells, modules, network, plotdata, projection, regulation, spectra, tree_cut
 from coexnet.operators.rounds import keep
 from coexnet.sources import views
 from coexnet.streaming import moments
@@ -682,6 +682,12 @@ def network_edges(spark, d):
     return r6(plotdata.network_edges(emb_tom(spark, d), emb_modules(spark, d), emb_hubs(spark, d), 6), "weight")
 
 
+@query("module_embedding")
+def module_embedding(spark, d):
+    """Genes in the plane of the two leading components of their overlaps with the hubs."""
+    return r6(spectra.embed(plotdata.umap_features(emb_tom(spark, d), emb_hubs(spark, d))), "c0", "c1")
+
+
 @query("umap_features", sql(EMB, FIX, MES, KME, HUB, *TOME, "SELECT g1 AS gene, g2 AS hub, round(tom, 6) AS tom FROM tom WHERE g2 IN (SELECT gene FROM hub) UNION ALL SELECT g2, g1, round(tom, 6) FROM tom WHERE g1 IN (SELECT gene FROM hub) UNION ALL SELECT gene, gene, 1.0 FROM hub"))
 def umap_features(spark, d):
     return r6(plotdata.umap_features(emb_tom(spark, d), emb_hubs(spark, d)), "tom")
