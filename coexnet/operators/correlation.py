@@ -119,6 +119,8 @@ def gene_grid(genes: DataFrame) -> DataFrame:
 
 def pearson(expr: DataFrame, n_cells: int, plan: str = "relational", chunk_cells: int = CHUNK_CELLS) -> DataFrame:
     """(g1, g2, cor) for all g1 < g2; 0 where a gene is constant; clipped to [-1, 1]."""
+    if plan == "blocked":
+        expr = keep(expr.select("cell", "gene", "value"))  # read for its size, moments and products
     n = F.lit(float(n_cells))
     m = expr.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
     m = m.select("gene", "s", (n * F.col("ss") - F.col("s") * F.col("s")).alias("d"))
@@ -135,7 +137,7 @@ def rank_values(expr: DataFrame, n_cells: int) -> DataFrame:
 
     Ranks come from counts of each gene's distinct values, in ranges, so that no task holds a gene.
     """
-    x = expr.where("value <> 0")
+    x = keep(expr.where("value <> 0").select("cell", "gene", "value"))
     counts = ranges.tally(x, ["gene"], "value")
     of = counts.groupBy("gene").agg((F.lit(n_cells) - F.sum("ties")).alias("zeros"), F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("ties"))), F.lit(0)).alias("negative"))
     full = ranges.mean_rank() + F.when(F.col("value") > 0, F.col("zeros")).otherwise(0)
@@ -166,6 +168,7 @@ def biweight(expr: DataFrame, n_cells: int) -> tuple[DataFrame, DataFrame]:
     An absent value scores ``base``, a present one ``value + base``; ``total`` is the sum of the values. Medians and deviations come
     from counts of each gene's distinct values and of its zeros.
     """
+    expr = keep(expr.select("cell", "gene", "value"))
     x = expr.where("value <> 0 and not isnan(value)")
     every = expr.select("gene").distinct()
     counts = x.groupBy("gene", "value").agg(F.count("*").alias("ties"))

@@ -61,19 +61,16 @@ def first_independent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ``edges`` is (group, a, b) with a before b. In each round all nodes are taken whose earlier neighbours are decided,
     and the later neighbours of those fall out; for an order by hash the rounds grow with the logarithm of the nodes.
     """
-    open_nodes, open_edges = keep(nodes.select("group", "place")), keep(edges)
-    taken = None
-    while open_nodes.head(1):
-        later = open_edges.select("group", F.col("b").alias("place"))
-        now = keep(open_nodes.join(later, ["group", "place"], "left_anti"))
-        taken = now if taken is None else taken.unionAll(now)
-        gone = open_edges.join(now.withColumnRenamed("place", "a"), ["group", "a"], "left_semi").select("group", F.col("b").alias("place")).unionAll(now).distinct()
-        gone = keep(gone)
-        open_nodes = keep(open_nodes.join(gone, ["group", "place"], "left_anti"))
-        for end in ("a", "b"):
-            open_edges = open_edges.join(gone.withColumnRenamed("place", end), ["group", end], "left_anti")
-        open_edges = keep(open_edges)
-    return nodes.select("group", "place").where("false") if taken is None else taken
+    state = keep(nodes.select("group", "place", F.lit(0).alias("state")))  # 0 open, 1 taken, 2 out
+    edges = keep(edges)
+    while state.where("state = 0").head(1):
+        free = state.where("state = 0").select("group", "place")
+        waits = edges.join(free.withColumnRenamed("place", "a"), ["group", "a"], "left_semi").select("group", F.col("b").alias("place"))
+        now = free.join(waits, ["group", "place"], "left_anti")
+        out = edges.join(now.withColumnRenamed("place", "a"), ["group", "a"], "left_semi").select("group", F.col("b").alias("place"), F.lit(2).alias("new"))
+        new = now.select("group", "place", F.lit(1).alias("new")).unionAll(out).groupBy("group", "place").agg(F.min("new").alias("new"))
+        state = keep(state.join(new, ["group", "place"], "left").select("group", "place", F.when(F.col("state") == 0, F.coalesce("new", F.lit(0))).otherwise(F.col("state")).alias("state")))
+    return state.where("state = 1").select("group", "place")
 
 
 def metacell_members(coords: DataFrame, k: int = 25, max_shared: int = 15, target: int | None = 1000, max_iter: int = 5000, seed: str = "0") -> DataFrame:

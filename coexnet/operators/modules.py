@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coexnet.operators import spectra
 from coexnet.operators.correlation import biweight, pair_products
+from coexnet.operators.rounds import keep
 
 CLIP = 10.0
 
@@ -56,6 +57,7 @@ def weighted_scores(z: DataFrame, zeros: DataFrame, loads: DataFrame, cells: Dat
 
 def eigengenes(expr: DataFrame, modules: DataFrame, n_cells: int, clip: float | None = CLIP, cells: DataFrame | None = None) -> DataFrame:
     """(cell, module, me): scores on the first component of each module, with the sign of its mean expression, for all ``cells`` (those in ``expr`` if not given)."""
+    expr = keep(expr.select("cell", "gene", "value"))
     cells = expr.select("cell").distinct() if cells is None else cells
     z, zeros = standardise(expr, n_cells, clip)
     me = weighted_scores(z, zeros, loadings(z, zeros, modules, n_cells), cells)
@@ -66,6 +68,7 @@ def eigengenes(expr: DataFrame, modules: DataFrame, n_cells: int, clip: float |
 
 def component_scores(expr: DataFrame, modules: DataFrame, n_cells: int, n_components: int = 30, clip: float | None = CLIP, cells: DataFrame | None = None) -> DataFrame:
     """(cell, module, z): scores on a module's first components (as many as it has genes, ``n_components`` at most), the first with the sign of its eigengene."""
+    expr = keep(expr.select("cell", "gene", "value"))
     cells = expr.select("cell").distinct() if cells is None else cells
     z, zeros = standardise(expr, n_cells, clip)
     # one more than wanted keeps the components' numbers in the names, also where one is wanted

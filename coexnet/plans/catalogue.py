@@ -151,13 +151,13 @@ def regs(spark, d):
 
 @query("gene_fraction", sql(CNT, "SELECT gene, round(count(*) FILTER (value > 0) / CAST((SELECT count(DISTINCT cell) FROM cnt) AS DOUBLE), 6) AS frac FROM cnt GROUP BY 1 HAVING count(*) FILTER (value > 0) / CAST((SELECT count(DISTINCT cell) FROM cnt) AS DOUBLE) >= 0.05"))
 def gene_fraction(spark, d):
-    x = views.customer_items(spark, d)
+    x = keep(views.customer_items(spark, d))
     return r6(features.gene_fraction(x, features.count_cells(x)), "frac")
 
 
 @query("gene_cv2", sql(CNT, "n AS (SELECT CAST(count(DISTINCT cell) AS DOUBLE) AS n FROM cnt)", "v AS (SELECT gene, sum(value) / max(n) AS mean, sum(value * value) / max(n) AS sq FROM cnt, n GROUP BY 1)", "c AS (SELECT gene, (sq - mean * mean) / (mean * mean + 1e-8) AS cv2 FROM v)", "SELECT gene, round(cv2, 6) AS cv2 FROM c ORDER BY round(cv2, 9) DESC, gene DESC LIMIT 40"))
 def gene_cv2(spark, d):
-    x = views.customer_items(spark, d)
+    x = keep(views.customer_items(spark, d))
     return r6(features.gene_cv2(x, features.count_cells(x), 40), "cv2")
 
 
@@ -171,7 +171,7 @@ def gene_custom(spark, d):
 
 @query("good_genes", sql(CNT, "n AS (SELECT CAST(count(DISTINCT cell) AS DOUBLE) AS n FROM cnt)", "SELECT gene, round((sum(value * value) - sum(value) * sum(value) / max(n)) / (max(n) - 1), 6) AS variance FROM cnt, n GROUP BY 1"))
 def good_genes(spark, d):
-    x = views.customer_items(spark, d)
+    x = keep(views.customer_items(spark, d))
     return r6(features.good_genes(x, features.count_cells(x)), "variance")
 
 
@@ -199,7 +199,7 @@ def min_cells_groups(spark, d):
 
 @query("corr_pearson", sql(CNT, pairs_sql("cnt"), "SELECT g1, g2, round(cor, 6) AS cor FROM pairs"))
 def corr_pearson(spark, d):
-    x = views.customer_items(spark, d)
+    x = keep(views.customer_items(spark, d))
     return r6(correlation.pearson(x, features.count_cells(x), "blocked"), "cor")
 
 
@@ -210,7 +210,7 @@ def corr_pearson_relational(spark, d):
 
 @query("corr_spearman", sql(CNT, "cells AS (SELECT DISTINCT cell FROM cnt)", "genes AS (SELECT DISTINCT gene FROM cnt)", "full_ AS (SELECT c.cell, g.gene, coalesce(value, 0) AS value FROM cells c CROSS JOIN genes g LEFT JOIN cnt USING (cell, gene))", "rk AS (SELECT cell, gene, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2.0 AS value FROM full_)", pairs_sql("rk"), "SELECT g1, g2, round(cor, 6) AS cor FROM pairs"))
 def corr_spearman(spark, d):
-    x = views.customer_items(spark, d)
+    x = keep(views.customer_items(spark, d))
     return r6(correlation.spearman(x, features.count_cells(x), "blocked"), "cor")
 
 
@@ -223,7 +223,7 @@ def corr_bicor(spark, d):
 @query("corr_bicor_sparse", sql(CNT, "cells AS (SELECT DISTINCT cell FROM cnt)", "genes AS (SELECT DISTINCT gene FROM cnt)", "f AS (SELECT c.cell, g.gene, coalesce(value, 0) AS value FROM cells c CROSS JOIN genes g LEFT JOIN cnt USING (cell, gene))", "md AS (SELECT gene, median(value) AS med FROM f GROUP BY 1)", "ad AS (SELECT gene, median(abs(value - med)) AS mad FROM f JOIN md USING (gene) GROUP BY 1)", "u AS (SELECT cell, gene, value - med AS c, (value - med) / (9 * CASE WHEN mad < 1e-15 THEN 1 ELSE mad END) AS u FROM f JOIN md USING (gene) JOIN ad USING (gene))", "z AS (SELECT cell, gene, CASE WHEN abs(u) < 1 THEN c * (1 - u * u) * (1 - u * u) ELSE 0 END AS z FROM u)", "nz AS (SELECT cell, gene, z / nullif(sqrt(sum(z * z) OVER (PARTITION BY gene)), 0) AS z FROM z)", "SELECT a.gene AS g1, b.gene AS g2, round(coalesce(sum(a.z * b.z), 0), 6) AS cor FROM nz a JOIN nz b ON a.cell = b.cell AND a.gene < b.gene GROUP BY 1, 2"))
 def corr_bicor_sparse(spark, d):
     """On the sparse view, where most values are absent zeros."""
-    x = views.customer_items(spark, d)
+    x = keep(views.customer_items(spark, d))
     return r6(correlation.correlate(x, features.count_cells(x), "bicor", "blocked"), "cor")
 
 
@@ -282,7 +282,7 @@ def tom_max(spark, d):
 @query("topological_overlap", sql(CNT, pairs_sql("cnt"), adj_sql(), tom_sql(), "SELECT g1, g2, round(tom, 6) AS tom FROM tom"))
 def topological_overlap(spark, d):
     """Flagship: correlation, adjacency and overlap of the sparse view, all by the blocked plan."""
-    x = views.customer_items(spark, d)
+    x = keep(views.customer_items(spark, d))
     adj = network.adjacency(correlation.pearson(x, features.count_cells(x), "blocked"), 6)
     return r6(network.topological_overlap(adj, "min", "blocked"), "tom")
 
@@ -372,7 +372,7 @@ zs AS (SELECT c_custkey AS cell, gene, greatest(-10.0, least(10.0, (coalesce(val
 @query("sparse_scores", sql(CNT, SPE.replace("sm.gene)", "sm.gene)").replace("SELECT c_custkey AS cell, gene,", "SELECT c_custkey AS cell, sm.gene,"), "SELECT cell, module, round(sum(z * l), 5) + 0.0 AS me FROM zs JOIN ld USING (gene) GROUP BY 1, 2"))
 def sparse_scores(spark, d):
     """Scores of given loadings on the sparse view, for all customers, also those without an order."""
-    x, c = views.customer_items(spark, d), views.customers(spark, d)
+    x, c = keep(views.customer_items(spark, d)), views.customers(spark, d)
     loads = x.select("gene").distinct().select("gene", F.split("gene", "/")[0].alias("module"), ((1 + F.length("gene") % 5) / 10.0).alias("loading"))
     out = modules.weighted_scores(*modules.standardise(x, c.count()), loads, c)
     return out.withColumn("me", F.round("me", 5) + F.lit(0.0))
@@ -380,7 +380,7 @@ def sparse_scores(spark, d):
 
 @query("sparse_eigengenes")
 def sparse_eigengenes(spark, d):
-    x, c = views.customer_items(spark, d), views.customers(spark, d)
+    x, c = keep(views.customer_items(spark, d)), views.customers(spark, d)
     m = x.select("gene").distinct().select("gene", F.split("gene", "/")[0].alias("module"))
     return r6(modules.eigengenes(x, m, c.count(), cells=c), "me")
 
@@ -439,7 +439,7 @@ sb AS (SELECT cell, module, sum(value) / max(size) AS s FROM cnt JOIN (SELECT *,
 
 @query("module_expr_score", sql(CNT, MSC, "SELECT cell, module, round(coalesce(sa.s, 0) - coalesce(sb.s, 0), 6) + 0.0 AS score FROM sa FULL JOIN sb USING (cell, module)"))
 def module_expr_score(spark, d):
-    x = views.customer_items(spark, d)
+    x = keep(views.customer_items(spark, d))
     tops = x.select("gene").distinct().select(F.split("gene", "/")[0].alias("module"), "gene")
     return r6(analysis.module_score(x, tops, features.count_cells(x)), "score")
 
