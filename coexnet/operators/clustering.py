@@ -167,6 +167,36 @@ def linkage(tom: DataFrame, value: str = "tom") -> DataFrame:
     return tom.sparkSession.createDataFrame(rows, "step int, left int, right int, height double, size int")
 
 
+def leaf_places(merges: np.ndarray, n: int) -> np.ndarray:
+    """Each leaf's place from left to right: the leaves that stand before it, counted from the sizes of the branches."""
+    size = lambda x: 1 if x < n else int(merges[x - n, 3])
+    start = np.zeros(2 * n - 1 if n else 0, int)
+    for k in range(len(merges) - 1, -1, -1):
+        left, right = int(merges[k, 0]), int(merges[k, 1])
+        start[left], start[right] = start[n + k], start[n + k] + size(left)
+    return start[:n]
+
+
+def dendrogram(tom: DataFrame, hang: float = 0.03, value: str = "tom") -> tuple[DataFrame, DataFrame]:
+    """(gene, place) and (step, part, x0, y0, x1, y1): the order of leaves, and the left leg, bar and right leg that draw each merge.
+
+    Leaves stand at whole numbers and hang a share of the largest height below their merge, not below 0; with a negative ``hang`` all reach 0.
+    Works on the merges, a row less than genes.
+    """
+    spark = tom.sparkSession
+    genes, z = tree(tom, value)
+    n, place = len(genes), leaf_places(z, len(genes))
+    x = np.zeros(n + len(z))
+    x[:n] = place
+    rows = []
+    for k, (a, b, h, _) in enumerate(z):
+        left, right = int(a), int(b)
+        foot = lambda i: float(z[i - n, 2]) if i >= n else max(0.0, float(h - hang * z[-1, 2])) if hang >= 0 else 0.0  # noqa: B023, E731
+        x[n + k] = (x[left] + x[right]) / 2
+        rows += [(k, "left", float(x[left]), foot(left), float(x[left]), float(h)), (k, "bar", float(x[left]), float(h), float(x[right]), float(h)), (k, "right", float(x[right]), float(h), float(x[right]), foot(right))]
+    return spark.createDataFrame([(g, int(p)) for g, p in zip(genes, place, strict=True)], "gene string, place int"), spark.createDataFrame(rows, "step int, part string, x0 double, y0 double, x1 double, y1 double")
+
+
 def detect_modules(tom: DataFrame, method: str = "static", height: float = 0.8, cut_height: float | None = 0.995, min_size: int = 20, value: str = "tom", deep_split: int = 4, pam: bool = True, within_branch: bool = False) -> DataFrame:
     """(gene, module): M1.. by size, grey for what stays apart.
 

@@ -148,6 +148,12 @@ def reassign_manual(modules: DataFrame, genes: dict[str, str], ignore: bool = Fa
     return x.select("gene", F.coalesce("new_module", "module").alias("module"))
 
 
+def first_appearance(modules: DataFrame, places: DataFrame) -> DataFrame:
+    """(module, first, ord): modules in the order in which they appear among genes, from (gene, place)."""
+    first = modules.join(places, "gene").groupBy("module").agg(F.min("place").alias("first"))
+    return first.withColumn("ord", F.row_number().over(Window.orderBy("first")))  # a row for each module
+
+
 def rename_modules(modules: DataFrame, prefix: str = "M") -> DataFrame:
     """(gene, module, new_module): names numbered anew in natural order; grey stays."""
     names = modules.where("module <> 'grey'").select("module").distinct()

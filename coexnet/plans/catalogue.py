@@ -292,6 +292,17 @@ def linkage(spark, d):
     return r6(clustering.linkage(sup_tom(spark, d)), "height")
 
 
+@query("dendrogram")
+def dendrogram(spark, d):
+    return r6(clustering.dendrogram(sup_tom(spark, d))[1], "x0", "y0", "x1", "y1")
+
+
+@query("module_first_appearance", sql(EMB, FIX, 'SELECT module, "first", CAST(row_number() OVER (ORDER BY "first") AS INT) AS ord FROM (SELECT module, min(CAST(substr(gene, 2) AS INT) * 37 % 64) AS "first" FROM fix GROUP BY 1)'))
+def module_first_appearance(spark, d):
+    m = emb_modules(spark, d)
+    return modules.first_appearance(m, m.select("gene", (F.substring("gene", 2, 9).cast("int") * 37 % 64).alias("place")))
+
+
 @query("module_detect")
 def module_detect(spark, d):
     return clustering.detect_modules(emb_tom(spark, d), "gap", min_size=5)

@@ -97,6 +97,9 @@ class Experiment:
         scores = modules.eigengenes(self.get("dat_expr"), found, self.params["n_dat"], cells=self.get("dat_cells"))
         return self.put("modules", clustering.merge_close(found, modules.module_correlation(scores), merge_height))
 
+    def dendrogram(self, hang: float = 0.03) -> tuple[DataFrame, DataFrame]:
+        return clustering.dendrogram(self.get("tom"), hang)
+
     def module_eigengenes(self, batch: list[str] | None = None, correction: str = "harmony", n_runs: int = 1, n_components: int = 30) -> Experiment:
         """Scores of all cells, with ``batch`` also corrected: by ``harmony`` (the mean of ``n_runs`` of them) or by ``means``."""
         if correction not in ("harmony", "means"):

@@ -167,3 +167,27 @@ def test_again_at_its_own_height_if_all_is_grey(spark):
     t, _ = planted((0.3,), 8, 60)
     tom = table(spark, t[:30, :30])
     assert clustering.detect_modules(tom, "hybrid", cut_height=0.01, min_size=10).where("module = 'M1'").count() >= 10
+
+
+def test_dendrogram_equals_plain_recursion(spark):
+    rng = np.random.default_rng(12)
+    d = rng.random((9, 9))
+    d = (d + d.T) / 2
+    np.fill_diagonal(d, 0)
+    z = clustering.average_linkage(d)
+
+    def leaves(x):
+        return [x] if x < 9 else leaves(int(z[x - 9, 0])) + leaves(int(z[x - 9, 1]))
+
+    order = leaves(16)
+    middle = lambda x: float(order.index(x)) if x < 9 else (middle(int(z[x - 9, 0])) + middle(int(z[x - 9, 1]))) / 2
+    for hang in (0.1, -1):
+        places, lines = (t.collect() for t in clustering.dendrogram(table(spark, 1 - d), hang))
+        assert [r["gene"] for r in sorted(places, key=lambda r: r["place"])] == [names(9)[x] for x in order]
+        got = {(r["step"], r["part"]): (r["x0"], r["y0"], r["x1"], r["y1"]) for r in lines}
+        for k, (a, b, h, _) in enumerate(z):
+            foot = lambda x, h=h: z[x - 9, 2] if x >= 9 else max(0, h - hang * z[-1, 2]) if hang >= 0 else 0  # noqa: B023, E731
+            xa, xb = middle(int(a)), middle(int(b))
+            assert np.allclose(got[k, "left"], (xa, foot(int(a)), xa, h)) and np.allclose(got[k, "bar"], (xa, h, xb, h)) and np.allclose(got[k, "right"], (xb, h, xb, foot(int(b))))
+    empty = spark.createDataFrame([], "g1 string, g2 string, tom double")
+    assert all(t.count() == 0 for t in clustering.dendrogram(empty))
