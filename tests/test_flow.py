@@ -52,3 +52,19 @@ def test_csv_readers(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text(text)
     t = views.read_result_tables(spark, str(tmp_path))
     assert t["power_table"].columns[1:4] == ["sft_r_sq", "slope", "truncated_r_sq"] and {r["module"] for r in t["kme"].collect()} == {"M1", "M2"} and t["mes"].count() == 2
+
+
+def test_default_cut_and_regulons_of_an_experiment(spark):
+    """The hybrid cut, cross-validated links, regulons and scores without grey genes, one after the other."""
+    e = Experiment(spark, *planted(spark)).setup("custom", genes=[f"g{i:02d}" for i in (*range(8), *range(25, 33), 80)])
+    e.pairs().construct_network(6, min_size=5)
+    modules = {r["gene"]: r["module"] for r in e.get("modules").collect()}
+    assert len({modules[f"g{i:02d}"] for i in range(8)}) == len({modules[f"g{i:02d}"] for i in range(25, 33)}) == 1 and modules["g00"] != modules["g25"]
+    motifs = spark.createDataFrame([(t, "g03") for t in ("g00", "g01", "g26")], "tf string, gene string")
+    e.construct_tf_network(motifs, rounds=4, folds=2).assign_tf_regulons("A").regulon_scores("positive")
+    links, errors = e.get("tf_network").collect(), e.get("tf_eval").collect()
+    assert {r["tf"] for r in links} <= {"g00", "g01", "g26"} and abs(sum(r["gain"] for r in links) - 1) < 1e-9
+    assert sorted(r["round"] for r in errors) == [1, 2, 3, 4] and sum(r["best"] for r in errors) == 1
+    assert e.get("regulon_scores_positive").where("score < 0 or score > 1").count() == 0
+    lines = e.dendrogram()[1]
+    assert lines.count() == 3 * 16
