@@ -8,13 +8,18 @@ part as a whole and it isn't the text: a name made of such words alone, or that
 ``cookie-notice``), unless the part holds an article or main element; one of such words and
 words for a box or a list (``related-posts``), unless it holds those or half of the page's paragraph
 points; parts that are mostly links are cut in both cases, and where a name has such a word among others
-(``related-work``) only those are. Where nothing would
-be left, names cut nothing. Every paragraph then scores 1, plus 1 for
+(``related-work``) only those are. Names that also are titles (``discussion``, ``social-comment``) count as the
+second kind, if the points come from paragraphs of the part itself and it holds no part with such a name. Where nothing would
+be left, names cut nothing. A form is cut unless it holds an article or main element or half of the paragraph
+points (pages of some servers are one form); labels and legends in a form always are. Lists of links are cut as menus, but
+not inside an article, or the main element of a page without one. Every paragraph then scores 1 (a ``p``, ``pre``,
+``blockquote`` or ``dd`` of under 25 characters its part of that), plus 1 for
 each comma and for each 100 characters (3 at most), and passes that to its
 parent, half to its grandparent, a third, a fourth and a fifth further up. An
 ancestor's score is discounted by its link density; the best one, widened to
 the article or main element around it, is the container. Its siblings are
-kept where they score at least a fifth of it or are paragraphs of prose.
+kept where they score at least a fifth of it, are paragraphs of prose or, beside a section, sections with
+a title and text.
 
 Parsing takes time in proportion to the page: the ends of tags are looked up
 in a list of quotes and angles made once, and the depths of open elements are kept by name, so
@@ -49,8 +54,8 @@ SPECIAL, ANGLE = re.compile("[\"'>]"), re.compile("[<>]")
 ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|\Z)""", re.I | re.S)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-CUT = frozenset("head nav footer aside form button select option datalist dialog menu object canvas audio video".split()) | RAW
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
+CUT = frozenset("head nav footer aside annotation annotation-xml button select option datalist dialog menu object canvas audio video".split()) | RAW
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -63,39 +68,44 @@ ENDS = {
 }
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form status".split())
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay comment comments commentlist disqus discussion replies reply respond sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip hidden".split()
+    "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay comment comments commentlist disqus discussion replies reply respond sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended newsletter subscribe subscription signup login search pagination pager skip hidden tags tagcloud taglist toc".split()
 )
 HEADER_WORDS = frozenset(("header", "siteheader", "pageheader"))
 #: Of an article or main element only these say that it isn't the text itself.
 INNER = frozenset("comment comments reply replies ad ads advert advertisement sponsored promo related recommended".split())
 #: Names that end in these among other words are names of layouts.
 WHOLE = frozenset("hidden sidebar widget share sharing social skip".split())
+#: Names that end in these may be titles of a text, unless they say whose comment it is.
+TITLES, WHOSE = frozenset(("discussion", "comment")), frozenset("user users reader readers guest visitor customer".split())
 #: Words for boxes and lists, which add nothing to what a name says.
 BOXES = frozenset("area articles bar block body box bottom button buttons col column container content entries feed form group head heading holder icons inner items left links list main media module outer page panel post posts right row section site slot stories thread top unit wrap wrapper zone".split())
 #: A name with one of these says what a part has, not what it is.
 TELLS = frozenset("has no not with without show allow enabled disabled open closed".split())
-HARD, IS, LIKELY, MENTIONS = 4, 3, 2, 1
+HARD, IS, LIKELY, TITLE, MENTIONS = 5, 4, 3, 2, 1
 SHARE, DENSE, SIBLING = 0.5, 0.5, 0.2
 COMMAS = re.compile("[,،、，﹐﹑]")
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 def _named(names: set[str], words: frozenset[str]) -> int:
-    """IS, LIKELY, MENTIONS or 0: whether one of the names says that a part is, may be, or has to do with, one of the words."""
+    """IS, LIKELY, TITLE, MENTIONS or 0: whether one of the names says that a part is, may be, may be called or has to do with, one of the words."""
     level = 0
     for name in names:
         pieces = [w.lower() for w in PIECES.findall(name)]
         if words.isdisjoint(pieces) or not TELLS.isdisjoint(pieces):
             continue
+        if pieces[-1] in TITLES and pieces != ["comment"] and WHOSE.isdisjoint(pieces):
+            level = max(level, TITLE)
+            continue
         if all(w in words for w in pieces) or pieces[-1] in words - WHOLE:
             return IS
         level = max(level, LIKELY if all(w in words or w in BOXES for w in pieces) else MENTIONS)
     return level
 
 
-def _cut(tag: str, attrs: str, in_article: bool) -> int:
-    """HARD, IS, LIKELY, MENTIONS or 0."""
-    if tag in CUT:
+def _cut(tag: str, attrs: str, in_article: bool, in_form: bool) -> int:
+    """HARD, IS, LIKELY, TITLE, MENTIONS or 0."""
+    if tag in CUT or in_form and tag in ("label", "legend"):
         return HARD
     if tag == "header" and not in_article:
         return HARD
@@ -104,7 +114,7 @@ def _cut(tag: str, attrs: str, in_article: bool) -> int:
     names: set[str] = set()
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "role" and value.strip().lower() in ROLES and tag not in ("html", "body", "main", "article"):
+        if name == "role" and value.strip().lower() in ROLES and tag not in ("html", "body", "main", "article") and (tag, value.strip().lower()) != ("form", "form"):
             return HARD
         if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return HARD if tag not in ("html", "body") else 0
@@ -168,6 +178,7 @@ def tokens(page: str):
 def parse(page: str) -> tuple[list[str], list[int], list[bool], list[int], list[tuple[int, str | None]]]:
     """(tags, parents, cut, named, events) of a page; an event is (node, text), or (node, None) at a block's edge."""
     tags, parents, cut, named, inside = ["#root"], [-1], [False], [0], [False]
+    in_form = [False]
     events: list[tuple[int, str | None]] = []
     stack, at = [0], 0
     depths: dict[str, list[int]] = {}  # where the open elements of a name are in the stack
@@ -217,12 +228,13 @@ def parse(page: str) -> tuple[list[str], list[int], list[bool], list[int], list[
             tags.append(tag)
             parents.append(up)
             inside.append(inside[up] or tag in ("article", "main"))
-            level = HARD if cut[up] else _cut(tag, attrs, inside[up])
+            in_form.append(in_form[up] or tag == "form")
+            level = HARD if cut[up] else _cut(tag, attrs, inside[up], in_form[up])
             cut.append(level == HARD)
             named.append(0 if level == HARD else level)
             if tag in BLOCK:
                 events.append((node, None))
-            if tag in VOID or attrs.endswith("/") and tag in ("svg", "math"):
+            if tag in VOID or attrs.endswith("/") and (tag in ("svg", "math") or depths.get("math")):
                 pass
             elif tag in RAW:
                 shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -240,7 +252,7 @@ def parse(page: str) -> tuple[list[str], list[int], list[bool], list[int], list[
 
 
 def _measure(tags, parents, cut, block, linked, texts):
-    """(cut, own, gains, points, size, links, density) of the nodes; lists of links join ``cut``."""
+    """(cut, own, gains, points, size, links, density) of the nodes; lists of links outside the article join ``cut``."""
     n, cut = len(tags), cut[:]
     own, commas, size, links, n_links = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
     for i, t in texts:
@@ -254,14 +266,16 @@ def _measure(tags, parents, cut, block, linked, texts):
         n_links[i] += tags[i] == "a"
         for x in (size, links, n_links):
             x[parents[i]] += x[i]
-    for i in range(1, n):  # lists of links are menus, whatever they are called
+    article, within = "article" if any(t == "article" and not c for t, c in zip(tags, cut)) else "main", [False] * n
+    for i in range(1, n):  # lists of links elsewhere are menus, whatever they are called
+        within[i] = within[parents[i]] or tags[i] == article
         if not cut[i]:
-            cut[i] = cut[parents[i]] or tags[i] in ("ul", "ol", "table", "div", "dl") and n_links[i] >= 3 and links[i] > 0.8 * size[i]
+            cut[i] = cut[parents[i]] or not within[i] and tags[i] in ("ul", "ol", "table", "div", "dl") and n_links[i] >= 3 and links[i] > 0.8 * size[i]
     density = [links[i] / size[i] if size[i] else 0.0 for i in range(n)]
     points, gains = [0.0] * n, [0.0] * n
     for i in range(1, n):
-        if own[i] >= 25 and tags[i] in PARAGRAPH and not cut[i]:
-            gain, up = (1 + commas[i] + min(own[i] // 100, 3)) * (1 - density[i]), parents[i]
+        if (own[i] >= 25 and tags[i] in PARAGRAPH or own[i] and tags[i] in ("p", "pre", "blockquote", "dd")) and not cut[i]:
+            gain, up = (min(own[i] / 25, 1) + commas[i] + min(own[i] // 100, 3)) * (1 - density[i]), parents[i]
             gains[i] = gain
             if tags[i] in ("div", "section", "article", "main", "body"):
                 up = i
@@ -273,19 +287,40 @@ def _measure(tags, parents, cut, block, linked, texts):
     return cut, own, gains, points, size, links, density
 
 
+def _totals(tags, parents, cut, named, gains) -> tuple[list[float], list[bool]]:
+    """Paragraph points below each node, and whether it holds an article or main element."""
+    total, holds = gains[:], [False] * len(tags)
+    for i in range(len(tags) - 1, 0, -1):
+        total[parents[i]] += total[i]
+        if holds[i] or tags[i] in ("article", "main") and not cut[i] and named[i] == 0:
+            holds[parents[i]] = True
+    return total, holds
+
+
+def _cut_forms(tags, parents, cut, named, gains) -> list[bool]:
+    """``cut`` with the forms that are not the page itself."""
+    total, holds = _totals(tags, parents, cut, named, gains)
+    out = cut[:]
+    for i in range(1, len(tags)):
+        out[i] = cut[i] or out[parents[i]] or tags[i] == "form" and not holds[i] and not (total[i] > 0 and total[i] >= SHARE * total[0])
+    return out
+
+
 def _cut_named(tags, parents, cut, named, gains, size, density) -> list[bool]:
     """``cut`` with the parts that their names cut."""
     n = len(tags)
-    total, holds = gains[:], [False] * n
+    total, holds = _totals(tags, parents, cut, named, gains)
+    direct, thread = [0.0] * n, [False] * n
     for i in range(n - 1, 0, -1):
-        total[parents[i]] += total[i]
-        if holds[i] or tags[i] in ("article", "main") and not cut[i] and named[i] == 0:
-            holds[parents[i]] = True
+        if tags[i] in ("p", "pre", "blockquote"):
+            direct[parents[i]] += gains[i]
+        thread[parents[i]] = thread[parents[i]] or thread[i] or named[i] > MENTIONS
     if total[0] <= 0:
         total = size
     out = cut[:]
     for i in range(1, n):
-        text = named[i] == MENTIONS or holds[i] or named[i] == LIKELY and total[i] > 0 and total[i] >= SHARE * total[0]
+        likely = named[i] == LIKELY or named[i] == TITLE and not thread[i] and direct[i] > SHARE * total[i]
+        text = named[i] == MENTIONS or holds[i] or likely and total[i] > 0 and total[i] >= SHARE * total[0]
         out[i] = cut[i] or out[parents[i]] or named[i] > 0 and (not text or density[i] > DENSE)
     return out
 
@@ -303,6 +338,8 @@ def main_text(page: str | None) -> str:
         block[i] = i if tags[i] in BLOCK else block[parents[i]]
         linked[i] = tags[i] == "a" or linked[parents[i]]
     cut, own, gains, points, size, links, density = _measure(tags, parents, cut, block, linked, texts)
+    if "form" in tags:
+        cut, own, gains, points, size, links, density = _measure(tags, parents, _cut_forms(tags, parents, cut, named, gains), block, linked, texts)
     if any(named):
         part = _measure(tags, parents, _cut_named(tags, parents, cut, named, gains, size, density), block, linked, texts)
         if part[4][0]:
@@ -322,11 +359,13 @@ def main_text(page: str | None) -> str:
             around = parents[around]
         keep[top] = True
         whole = tags[top] in ("article", "main")  # what stands beside one has to be prose by its length
+        titled = {parents[i] for i in range(1, n) if tags[i] in ("h1", "h2", "h3", "h4", "h5", "h6") and not cut[i] and not links[i]}
         for i in range(1, n):
             if parents[i] == parents[top] and i != top and not cut[i]:
                 prose = tags[i] == "p" and (own[i] > 80 and density[i] < 0.25 or not whole and own[i] > 0 and not links[i])
                 title = tags[i] in ("h1", "h2", "h3") and i < top and not links[i]
-                keep[i] = rank[i] > 0 and rank[i] >= SIBLING * rank[best] or prose or title
+                section = tags[i] == tags[top] == "section" and i in titled and rank[i] > 0 and density[i] < 0.25
+                keep[i] = rank[i] > 0 and rank[i] >= SIBLING * rank[best] or prose or title or section
     for i in range(1, n):
         keep[i] = keep[i] or keep[parents[i]]
     blocks, part, last = [], [], -1

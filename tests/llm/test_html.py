@@ -94,6 +94,50 @@ def test_titles_and_short_paragraphs_beside_the_best_part():
     assert main_text(f"<body><div class=wrap>{page}</div></body>").split("\n\n") == ["Title", *main_text(f"<div>{TEXT}{TEXT}{MORE}</div>").split("\n\n"), "Tiny."]
 
 
+def test_page_wide_form_keeps_its_article_and_other_forms_go():
+    body = f"<div>{TEXT}{MORE}</div>"
+    controls = "<label>Your name, please, as it is on the card</label><input name=q><button>Send it</button>"
+    for inner in (body, f"<article>{TEXT}{MORE}</article>"):
+        assert main_text(f"<body><form id=form1 action=x>{inner}{controls}</form></body>") == main_text(f"<body>{body}</body>")
+    contact = f"<form><fieldset><legend>Write to us</legend><p>{controls}</p><p>Tell us, what you think.</p></fieldset></form>"
+    assert main_text(f"<body>{body}{contact}</body>") == main_text(f"<body>{body}</body>")
+    assert main_text("<body><form><label>User</label><input><label>Password</label><input><a href=x>Forgotten?</a></form></body>") == ""
+
+
+def test_lists_of_links_in_an_article_stay():
+    refs = "<ul><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ul>"
+    assert main_text(f"<body>{refs}<article>{TEXT}<h2>References</h2>{refs}</article></body>").endswith("References\n\nFirst source\n\nSecond source\n\nThird source")
+    assert "First" in main_text(f"<main>{TEXT}{refs}</main>")
+    assert "First" not in main_text(f"<main>{refs}<article>{TEXT}</article></main>")
+    assert "First" not in main_text(f"<article>{TEXT}<div class=tags>{refs}</div><nav>{refs}</nav><div class=related-posts>{refs}</div></article>")
+
+
+def test_short_paragraphs_beside_an_imprint():
+    lines = "".join(f"<p>Short line {i}.</p>" for i in range(30))
+    got = main_text(f"<body><div>{lines}</div><div>Published by the society, at home, since 1900.</div></body>").split("\n\n")
+    assert got == [f"Short line {i}." for i in range(30)]
+
+
+def test_closing_section_is_kept():
+    end = "<section><h2>Conclusion</h2><p>It works, and is kept.</p></section>"
+    page = f"<body><div><section>{TEXT * 8}</section>{end}<section><h2>More</h2><p><a href=x>Only a link, to some other page.</a></p></section></div></body>"
+    assert main_text(page).endswith("Conclusion\n\nIt works, and is kept.")
+
+
+def test_discussion_as_a_title():
+    for name in ("discussion", "social-comment"):
+        part = f"<section class='{name}'>{(TEXT + MORE) * 3}</section>"
+        assert main_text(f"<body><div><p>A line, that leads in, to what follows.</p>{part}</div></body>").count("\n\n") == 6, name
+    said = "<p>A reader says, with many words, and commas, that it is good, or bad.</p>" * 9
+    for part in (f"<div class=discussion><div class=comment>{said}</div></div>", f"<div class=discussion><ul><li>{said}</li></ul></div>", f"<div class=comment>{said}</div>", f"<div class=reader-comment>{said}</div>"):
+        assert main_text(f"<body><div>{TEXT}</div>{part}</body>") == main_text(f"<body><div>{TEXT}</div></body>"), part
+
+
+def test_formulas_are_text():
+    page = f"<p>The sum, as we know, is <math><mi>a</mi><mspace/><mo>+</mo><mi>b</mi><annotation encoding=tex>a+b</annotation></math>, and so on.</p>{TEXT}"
+    assert main_text(page).startswith("The sum, as we know, is a+b, and so on.\n\nA paragraph")
+
+
 @pytest.mark.parametrize(
     "page",
     ["<div>" * 200_000, "<div>" * 90_000 + "</div>" * 90_000, "<a '" * 250_000, "<a <a " * 150_000 + "'", "<a<a<a " * 140_000 + "'<>", "<a x='\"" * 140_000 + ">", "<b><table>" + "<i>" * 150_000 + "</b>" * 100_000, "<p><td>" * 140_000, "<li>" * 250_000, "<tr><td>" * 120_000, "<!-- " * 200_000, "</p>" * 250_000, "<" * 1_000_000, "<span>" * 80_000 + "<p>" * 150_000],
@@ -120,8 +164,8 @@ def brute(tree, html=False):
     walk(tree, [])
     score = {id(n): 0.0 for n, _ in nodes}
     for n, path in nodes:
-        if n[0] == "p" and len(n[1]) >= 25:
-            gain = 1 + n[1].count(",") + min(len(n[1]) // 100, 3)
+        if n[0] == "p" and n[1]:
+            gain = min(len(n[1]) / 25, 1) + n[1].count(",") + min(len(n[1]) // 100, 3)
             for share, up in enumerate(reversed(path), 1):
                 if share <= 5:
                     score[id(up)] += gain / share
