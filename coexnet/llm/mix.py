@@ -7,9 +7,10 @@ takes every document ``e`` times (complete epochs), then walks that order and
 takes documents while their summed sizes stay within the rest; the document
 at the boundary is taken whole if that ends nearer to the rest.
 
-The walk needs no sort of a whole source: keys fall into ``BUCKETS`` fixed
-ranges, sums per (source, range) are combined before the shuffle, and only
-the one range per source that holds the boundary is put in order. A source
+The walk needs no sort of a whole source: keys fall into ranges of equal ratio,
+``RANGES`` for each factor e. Whatever the weights, the logarithm of an exponential key has a density of at most 1/e, so
+a range is expected to hold no more than ``1 / (e * RANGES)`` of the rows, 0.15 %. Sums per (source, range) are combined
+before the shuffle, and only the one range per source that holds the boundary is put in order. A source
 with a third of all rows is therefore spread over all tasks. Sources may be as many
 as hosts: their order, their turn in the cycle of weights and the sums behind their
 targets come from prefix sums over range partitions, so no task holds them all.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from coexnet.llm.common import save, table
 
-BUCKETS = 4096
+RANGES = 256
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
@@ -47,6 +48,11 @@ def sampling_key(id_col, weight, seed: str = SEED):
     return -F.log(u) / w
 
 
+def key_range(key):
+    """Number of a key's range; ranges are in the order of keys."""
+    return F.floor(F.log(key) * RANGES).cast("int")
+
+
 def running_sums(rows: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
     """``rows`` with the sum of each of ``sums`` over all rows before and up to each one in ``order``, which is total.
 
@@ -87,7 +93,7 @@ def mix(docs: DataFrame, weight, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words_of(F.col(text_col))).cast("long").alias("size"),
         sampling_key(F.col(id_col), weight.cast("double"), seed).alias("key"), F.xxhash64(F.col(text_col)).alias("tie"),
     )
-    rows = save(rows.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") / 4)) * BUCKETS).cast("int")), "mix-rows")
+    rows = save(rows.withColumn("bucket", key_range(F.col("key"))), "mix-rows")
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     named = targets.select(F.col("source").alias("t_source"), "source_size", "target", "epochs", "rest")

@@ -80,3 +80,9 @@ def test_query(spark, sf):
     text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in mix.op2_mix(spark, sf).collect():
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", text[r["doc_id"]] or "")) and 0 <= r["taken"] <= 2 * r["size"]
+
+
+def test_ranges_of_keys_are_small_for_all_weights(spark):
+    for weight in (0.0, 0.05, 0.3, 1.0, 40.0):
+        ids = spark.range(100_000).withColumn("r", mix.key_range(mix.sampling_key(F.col("id"), F.lit(weight))))
+        assert ids.groupBy("r").count().agg(F.max("count")).first()[0] < 300, weight
