@@ -211,7 +211,7 @@ def neighbour_counts(texts: DataFrame, vocabulary: str, symbols: Symbols) -> np.
 
 
 def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROUNDS, shards: int = 1, rate: float = RATE, batch: int = 128, least_steps: int = LEAST_STEPS) -> Attention:
-    """Rounds of local training with averaged parameters. Reruns agree: shards and their order are fixed by hashes."""
+    """Rounds of local training with averaged parameters. Reruns agree: a task is a shard, and shards and their order are fixed by hashes."""
     spark = texts.sparkSession
     model = Attention.fresh(balanced_classes(neighbour_counts(texts, vocabulary, symbols)), symbols.counts)
     for r in range(rounds):
@@ -254,7 +254,7 @@ def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROU
                 shard = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array(range(PARAM_BLOCKS), pa.int32()), pa.array([shard] * PARAM_BLOCKS), pa.array([weight] * PARAM_BLOCKS), pa.array(parts)], names=["block", "shard", "weight", "params"])
 
-        part = texts.where(F.col("round") == r).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "at", "text")
+        part = texts.where(F.col("round") == r).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "at", "text")
         got = save(part.mapInArrow(learn, "block int, shard long, weight long, params binary"), "lm-params")
         rows = got.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_add_up, "block int, weight long, params binary").collect()
         if rows:

@@ -222,6 +222,12 @@ def _weighted_mean(shards: DataFrame, learn) -> np.ndarray | None:
     return np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])]) if rows else None
 
 
+def deal(rows: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+    """(shard, f): a task holds one shard, the same rows in the same order in every run."""
+    shard = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int").alias("shard")
+    return rows.select(shard, "f").repartitionById(shards, F.col("shard")).sortWithinPartitions("f")
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_positive: int = MAX_POSITIVE, shard_rows: int = SHARD_ROWS, prior: float | None = None, seed: int = SEED) -> PuNetwork:
     """Fit on the documents whose id passes ``training`` (a function of the id column); estimates ``prior`` if it is not given."""
     ids = labels.select(F.col(id_col).alias("id")).where(training(F.col("id")) & F.col("id").isNotNull() & (F.col(label_col) == 1)).distinct()
@@ -237,7 +243,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc
     positive = positive[np.random.default_rng(seed).permutation(len(positive))]
 
     shards = -(-n // shard_rows)
-    dealt = rows.select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).alias("shard"), "f").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "f")
+    dealt = deal(rows, shards, seed)
     moments = _weighted_mean(rows, lambda x: np.concatenate([x.mean(0), (x * x).mean(0)]))
     mean, square = moments[:FEATURES], moments[FEATURES:]
     model.start(mean, np.sqrt(np.maximum(square - mean * mean, 0)))

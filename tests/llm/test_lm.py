@@ -189,3 +189,14 @@ def test_model_beats_the_base_on_held_out_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = lm.score_texts(df, lambda c: c < 150, rounds=2).where("doc_id >= 150").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert out["s"] > 0.7 * out["b"]
+
+
+def test_networks_of_several_shards_agree(spark):
+    words = F.array(*(F.lit(w) for w in "the cat sat on a mat and then some more".split()))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda k: F.element_at(words, (F.pmod(F.xxhash64("id", k), F.lit(10)) + 1).cast("int"))), " ")
+    docs = spark.range(0, 12_000, 1, 6).select(F.col("id").alias("doc_id"), text.alias("text"))
+    texts, shards = lm.training_texts(docs, 1, 40_000)
+    assert shards > 4
+    symbols = lm.Symbols(lm.subword_counts(lm.word_counts(docs), lm.VOCABULARY, 12_000))
+    models = [lm.train(t, lm.VOCABULARY, symbols, 1, shards, least_steps=1) for t in (texts, texts.repartition(5))]
+    assert models[0].to_bytes() == models[1].to_bytes()

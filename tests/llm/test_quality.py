@@ -94,3 +94,19 @@ def test_shards_learn_together(spark):
     model = quality.fit_quality(docs, labels, lambda c: F.lit(True), shard_rows=60)
     got = quality.score_quality(docs, model).collect()
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 > 0) for r in got]) > 0.97
+
+
+def test_a_task_is_a_shard(spark):
+    rows = spark.range(0, 300_000, 1, 6).select("id", F.array(F.col("id").cast("float")).alias("f"))
+    for shards in (1, 2, 16, 37):
+        tasks = quality.deal(rows, shards).groupBy(F.spark_partition_id().alias("task")).agg(F.min("shard").alias("a"), F.max("shard").alias("b"), F.count("*").alias("n")).collect()
+        assert sorted(t["a"] for t in tasks) == list(range(shards)) and all(t["a"] == t["b"] for t in tasks) and sum(t["n"] for t in tasks) == 300_000
+
+
+def test_fits_agree_on_more_rows_than_a_sampled_range_sees(spark):
+    id, n = F.col("id"), 60_000
+    text = F.concat(F.repeat(F.lit("word "), (F.xxhash64("id") % 40 + 45).cast("int")), F.when(id % 5 == 0, F.lit("$$$ 12345 |||")).otherwise(F.lit("end, of it.")))
+    docs = spark.range(0, n, 1, 7).select(id.alias("doc_id"), text.alias("text"))
+    labels = spark.range(0, n, 50).select((id + 1).alias("doc_id"), F.lit(1).alias("quality"))
+    fits = [quality.fit_quality(docs.repartition(k), labels, lambda c: F.lit(True), shard_rows=8_000, prior=0.8) for k in (7, 5, 9)]
+    assert all(np.array_equal(f.flat(), fits[0].flat()) for f in fits)
