@@ -21,9 +21,23 @@ from coexnet.llm.quality import PuNetwork, fit_quality, held_out, score_quality
 LEAST_SCORE = 0.5
 
 
+_fitted: dict[tuple, PuNetwork] = {}
+
+
 def classifier(spark: SparkSession, sf_dir: str) -> PuNetwork:
-    """Learned from the training fold of ``labels`` and the whole ``documents`` table, whatever a stage is given; so it is the same in all stages."""
-    return fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
+    """Learned from the training fold of ``labels`` and the whole ``documents`` table, whatever a stage is given; so it is the same in all stages.
+
+    Both stages that score share one fit: the last network is held, and used again as long as the rows of both tables are
+    the same by the sums of their hashes.
+    """
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    digest = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38)")), F.sum(F.hash(*df.columns).cast("long"))).first())
+    key = (sf_dir, digest(docs), digest(labels))
+    if key not in _fitted:
+        model = fit_quality(docs, labels, lambda c: ~held_out(c))
+        _fitted.clear()
+        _fitted[key] = model
+    return _fitted[key]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
