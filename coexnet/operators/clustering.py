@@ -1,21 +1,24 @@
-"""Average linkage of a gene network and cuts of its tree.
+"""Average linkage of a gene network, Ward linkage of square tables, and cuts of the tree.
 
 The tree grows in rounds over the table of gene pairs: in each, all clusters
 that are each other's nearest merge, and the pairs' summed similarities are added up by the
 new clusters. Average linkage is reducible, so this is the tree that merging one
-pair at a time gives (equal distances are told apart by the clusters' first genes). No task holds the square
+pair at a time gives (equal distances are told apart by the clusters' first genes). Ward's distance grows from the same
+sums: that of centres is the mean square between two clusters less the squares within each. No task holds the square
 of genes; cuts work on the merges, of which there is one less than genes.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coexnet.operators import tree_cut
+from coexnet.operators.correlation import pair_products
 from coexnet.operators.rounds import keep
 
 
@@ -121,24 +124,39 @@ def cut_gap(merges: np.ndarray, n: int, cut_height: float = 0.995, min_size: int
     return out
 
 
-def tree(tom: DataFrame, value: str = "tom") -> tuple[list[str], np.ndarray]:
-    """(genes in order of name, merges) by average linkage on ``1 - value``; pairs that are not listed are at distance 1.
+def _distance(method: str) -> Column:
+    """Of two clusters, from the sum ``s`` over their pairs, their sizes ``na``, ``nb`` and the sums ``wa``, ``wb`` within each."""
+    s, na, nb = F.col("s"), F.col("na"), F.col("nb")
+    if method == "average":
+        return 1 - s / (na * nb)
+    centres = s / (na * nb) - F.col("wa") / (na * na) - F.col("wb") / (nb * nb)
+    return F.sqrt(F.round(2 * na * nb / (na + nb) * F.greatest(F.lit(0.0), centres), 12))
 
-    Collects a row for each gene and for each merge.
+
+def tree(table: DataFrame, value: str = "tom", method: str = "average") -> tuple[list[str], np.ndarray]:
+    """(genes in order of name, merges) of a table (g1, g2, value) of pairs.
+
+    ``average``: linkage on ``1 - value``; pairs that are not listed are at distance 1. ``ward``: ``value`` is a squared Euclidean
+    distance and every pair must be listed; squares of heights are rounded to 12 decimals, so that equal ones tie. Collects a row for each gene and for each merge.
     """
-    spark = tom.sparkSession
-    ends = tom.select(F.col("g1").alias("gene")).unionAll(tom.select("g2")).distinct()
+    if method not in ("average", "ward"):
+        raise ValueError(f"unknown linkage {method!r}")
+    spark = table.sparkSession
+    ends = table.select(F.col("g1").alias("gene")).unionAll(table.select("g2")).distinct()
     named = keep(ends.withColumn("id", F.row_number().over(Window.orderBy("gene")) - 1))  # a row for each gene
     genes = [r["gene"] for r in named.orderBy("id").collect()]
     ids = lambda c, to: named.select(F.col("gene").alias(c), F.col("id").alias(to))
-    pairs = tom.join(ids("g1", "a"), "g1").join(ids("g2", "b"), "g2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col(value).alias("s"))
-    size = np.ones(len(genes), np.int64)
-    pairs = keep(pairs.select("a", "b", "s", F.lit(1.0).alias("na"), F.lit(1.0).alias("nb")))
+    pairs = table.join(ids("g1", "a"), "g1").join(ids("g2", "b"), "g2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col(value).alias("s"))
+    size, within = np.ones(len(genes), np.int64), np.zeros(len(genes))
+    sides = {"n": 1.0} if method == "average" else {"n": 1.0, "w": 0.0}
+    pairs = keep(pairs.select("a", "b", "s", *(F.lit(x).alias(c + e) for c, x in sides.items() for e in "ab")))
+    if method == "ward" and pairs.count() != len(genes) * (len(genes) - 1) // 2:
+        raise ValueError("Ward linkage needs each pair once")
     merges: list[tuple[int, int, float]] = []
     alive = set(range(len(genes)))
     while True:
-        edges = pairs.withColumn("d", 1 - F.col("s") / (F.col("na") * F.col("nb"))).withColumn("e", F.struct("d", "a", "b"))
-        near = edges.select(F.explode(F.array("a", "b")).alias("id"), "e").groupBy("id").agg(F.min("e").alias("e")).select("id", "e.d", "e.a", "e.b").collect()  # a row for each cluster
+        edges = pairs.withColumn("d", _distance(method)).withColumn("e", F.struct("d", "a", "b", "s"))
+        near = edges.select(F.explode(F.array("a", "b")).alias("id"), "e").groupBy("id").agg(F.min("e").alias("e")).select("id", "e.*").collect()  # a row for each cluster
         chosen = Counter((r["a"], r["b"]) for r in near)
         found = [r for r in near if r["id"] == r["a"] and chosen[r["a"], r["b"]] == 2]  # two clusters that choose the same pair
         if not found:
@@ -146,25 +164,44 @@ def tree(tom: DataFrame, value: str = "tom") -> tuple[list[str], np.ndarray]:
         for r in found:
             merges.append((r["a"], r["b"], float(r["d"])))
             size[r["a"]] += size[r["b"]]
+            within[r["a"]] += within[r["b"]] + r["s"]
             alive.discard(r["b"])
-        new = [(x, r["a"], float(size[r["a"]])) for r in found for x in (r["a"], r["b"])]
-        renamed = F.broadcast(spark.createDataFrame(new, "old int, new int, n double"))  # at most a row for each cluster
+        new = [(x, r["a"], float(size[r["a"]]), float(within[r["a"]])) for r in found for x in (r["a"], r["b"])]
+        renamed = F.broadcast(spark.createDataFrame(new, "old int, new int, n double, w double"))  # at most a row for each cluster
         x = pairs
-        for c in ("a", "b"):
-            x = x.join(renamed.select(F.col("old").alias(c), F.col("new").alias(f"{c}_new"), F.col("n").alias(f"{c}_n")), c, "left")
-            x = x.withColumns({c: F.coalesce(f"{c}_new", c), f"n{c}": F.coalesce(f"{c}_n", f"n{c}")}).drop(f"{c}_new", f"{c}_n")
+        for e in "ab":
+            x = x.join(renamed.select(F.col("old").alias(e), F.col("new").alias("to"), *(F.col(c).alias(f"{c}_new") for c in sides)), e, "left")
+            x = x.withColumns({e: F.coalesce("to", e), **{c + e: F.coalesce(f"{c}_new", c + e) for c in sides}}).drop("to", *(f"{c}_new" for c in sides))
         swap = lambda p, q: F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q))
-        x = x.where("a <> b").select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), "s", swap("na", "nb").alias("na"), swap("nb", "na").alias("nb"))
-        pairs = keep(x.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb")))
+        x = x.where("a <> b").select(swap("a", "b").alias("a"), swap("b", "a").alias("b"), "s", *(swap(c + p, c + q).alias(c + p) for c in sides for p, q in ("ab", "ba")))
+        pairs = keep(x.groupBy("a", "b").agg(F.sum("s").alias("s"), *(F.max(c + e).alias(c + e) for c in sides for e in "ab")))
     rest = sorted(alive)
     merges += [(rest[0], x, 1.0) for x in rest[1:]]  # clusters without a pair between them
     return genes, in_order(merges, len(genes)) if genes else np.zeros((0, 4))
 
 
-def linkage(tom: DataFrame, value: str = "tom") -> DataFrame:
+def linkage(table: DataFrame, value: str = "tom", method: str = "average") -> DataFrame:
     """(step, left, right, height, size): leaves are numbered in order of gene name, merges after them."""
-    rows = [(k, int(a), int(b), float(h), int(n)) for k, (a, b, h, n) in enumerate(tree(tom, value)[1])]
-    return tom.sparkSession.createDataFrame(rows, "step int, left int, right int, height double, size int")
+    rows = [(k, int(a), int(b), float(h), int(n)) for k, (a, b, h, n) in enumerate(tree(table, value, method)[1])]
+    return table.sparkSession.createDataFrame(rows, "step int, left int, right int, height double, size int")
+
+
+def row_distances(x: DataFrame, plan: str = "relational") -> DataFrame:
+    """(g1, g2, square) of all g1 < g2: squared Euclidean distances between the rows of a matrix (gene, cell, value); absent and null values are zeros.
+
+    By norms and products over shared cells, so a sparse matrix stays sparse until the square of its rows, which is the result.
+    """
+    x = x.select("cell", "gene", F.coalesce("value", F.lit(0.0)).cast("double").alias("value"))
+    norm = x.groupBy("gene").agg(F.sum(F.col("value") * F.col("value")).alias("q"))
+    both = norm.select(F.col("gene").alias("g1"), F.col("q").alias("q1")).join(norm.select(F.col("gene").alias("g2"), F.col("q").alias("q2")), F.col("g1") < F.col("g2"))
+    square = F.col("q1") + F.col("q2") - 2 * F.coalesce("sxy", F.lit(0.0))
+    return both.join(pair_products(x, plan), ["g1", "g2"], "left").select("g1", "g2", F.greatest(F.lit(0.0), square).alias("square"))
+
+
+def leaf_order(table: DataFrame, value: str = "tom", method: str = "average") -> DataFrame:
+    """(gene, place): the order of the tree's leaves from left to right."""
+    genes, z = tree(table, value, method)
+    return table.sparkSession.createDataFrame([(g, int(p)) for g, p in zip(genes, leaf_places(z, len(genes)), strict=True)], "gene string, place int")
 
 
 def leaf_places(merges: np.ndarray, n: int) -> np.ndarray:
@@ -230,3 +267,19 @@ def merge_close(modules: DataFrame, module_cor: DataFrame, cut_height: float = 0
     first = {x: names[int(np.flatnonzero(label == x)[0])] for x in set(label)}
     new = modules.sparkSession.createDataFrame([(m, first[label[at[m]]]) for m in names], "module string, merged string")
     return modules.join(F.broadcast(new), "module", "left").select("gene", F.coalesce("merged", "module").alias("module"))
+
+
+def merge_modules(modules: DataFrame, scores_of: Callable[[DataFrame], DataFrame], cor_of: Callable[[DataFrame], DataFrame], cut_height: float = 0.2, rounds: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(modules, their scores) after at most ``rounds`` merges of close modules; scores are computed anew of the merged modules.
+
+    ``scores_of`` gives the scores of modules, ``cor_of`` the correlations of scores. Ends at the first round that merges none.
+    """
+    count = lambda m: m.select("module").distinct().count()
+    scores, n = keep(scores_of(modules)), count(modules)
+    for _ in range(rounds):
+        merged = keep(merge_close(modules, cor_of(scores), cut_height))
+        left = count(merged)
+        if left == n:
+            break
+        modules, scores, n = merged, keep(scores_of(merged)), left
+    return modules, scores

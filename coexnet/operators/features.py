@@ -16,9 +16,16 @@ def gene_fraction(expr: DataFrame, n_cells: int, fraction: float = 0.05) -> Data
     return g.where(F.col("frac") >= fraction)
 
 
-def gene_flagged(expr: DataFrame, flags: DataFrame, flag: str = "highly_variable") -> DataFrame:
-    """(gene) of the expressed genes that a (gene, flag) table marks; a null flag is no mark."""
-    return expr.select("gene").distinct().join(flags.where(F.coalesce(F.col(flag), F.lit(False))).select("gene"), "gene", "left_semi")
+def gene_flagged(expr: DataFrame, flags: DataFrame, flag: str = "highly_variable", n_genes: int | None = None, place: str | None = None) -> DataFrame:
+    """(gene) of the expressed genes that a (gene, flag) table marks; a null flag is no mark.
+
+    With ``n_genes`` the first of them by the column ``place`` of ``flags``, nulls last, or by name if there is none.
+    """
+    marked = flags.where(F.coalesce(F.col(flag), F.lit(False)))
+    if n_genes is None:
+        return expr.select("gene").distinct().join(marked.select("gene"), "gene", "left_semi")
+    at = marked.groupBy("gene").agg(F.min(F.col(place) if place else F.lit(0)).alias("at"))
+    return at.join(expr.select("gene").distinct(), "gene", "left_semi").orderBy(F.col("at").asc_nulls_last(), "gene").limit(n_genes).select("gene")
 
 
 def gene_cv2(expr: DataFrame, n_cells: int, n_genes: int) -> DataFrame:

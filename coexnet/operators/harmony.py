@@ -66,13 +66,89 @@ def _sums(table: DataFrame, shape: dict[str, tuple], work: Callable) -> dict[str
     return {m: x.reshape(shape[m]) for m, x in out.items()}
 
 
-def harmony(scores: DataFrame, cells: DataFrame, batch: list[str], rounds: int = 5, inner: int = 5, max_clusters: int = 100, seed: str = "0", tolerance: float = 1e-4) -> DataFrame:
+def _nearest(z: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centre and squared distance to it, on the unit sphere."""
+    d = 2 - 2 * unit(z) @ centres.T
+    at = d.argmin(1)
+    return at, np.maximum(d[np.arange(len(z)), at], 0.0)
+
+
+def cost(table: DataFrame, centres: dict[str, np.ndarray]) -> dict[str, float]:
+    """Sum of squared distances of a module's cells to their nearest centre."""
+    got = _sums(table, {m: (1,) for m in centres}, lambda m, z, zc, b: np.array([_nearest(zc, centres[m])[1].sum()]))
+    return {m: float(x[0]) for m, x in got.items()}
+
+
+def reduce_centres(points: np.ndarray, weight: np.ndarray, k: int, most: int = 25) -> np.ndarray:
+    """At most ``k`` unit centres of weighted points: each next one is the point with the largest weighted distance, then Lloyd's passes.
+
+    The points are candidates, a few for each centre, whatever the number of cells.
+    """
+    chosen = [int(np.argmax(weight))]
+    d = _nearest(points, points[chosen])[1]
+    while len(chosen) < k and (weight * d).max() > 1e-12:
+        chosen.append(int(np.argmax(weight * d)))
+        d = np.minimum(d, _nearest(points, points[chosen[-1:]])[1])
+    centres = points[chosen]
+    for _ in range(most):
+        at, _ = _nearest(points, centres)
+        total = np.zeros_like(centres)
+        np.add.at(total, at, weight[:, None] * points)
+        new = np.where(np.linalg.norm(total, axis=1, keepdims=True) > 1e-12, unit(total), centres)
+        if np.abs(new - centres).max() < 1e-9:
+            break
+        centres = new
+    return centres
+
+
+def parallel_start(table: DataFrame, k: int, seed: str = "0", rounds: int = 3) -> dict[str, np.ndarray]:
+    """First centres of every module by oversampling rounds (k-means||, Bahmani et al. 2012).
+
+    The first candidate is the cell that is first by a hash; in each round a cell becomes one with a chance of 2k times its share of
+    all squared distances, by a hash of cell and round, so about 2k a module and round reach the driver, whatever the number of cells.
+    Candidates weigh as many cells as they are nearest to. Fewer than ``k`` centres come back where cells differ in fewer directions.
+    """
+    key = F.md5(F.concat_ws("#", F.lit(seed), F.col("cell").cast("string")))
+    first = table.groupBy("module").agg(F.min(F.struct(key.alias("h"), F.col("cell").cast("string").alias("c"), F.col("zc").alias("z"))).alias("x")).collect()  # a row for each module
+    found = {r["module"]: unit(np.array([r["x"]["z"]], float)) for r in first}
+    for i in range(rounds):
+        total = cost(table, found)
+        draw = F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(f"{seed}/{i}"), F.col("cell").cast("string"), "module")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+        def pick(batches: Iterator[pd.DataFrame], found=found, total=total) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for module, rows in pdf.groupby("module"):
+                    z = np.array(rows["zc"].tolist(), float)
+                    d = _nearest(z, found[module])[1]
+                    taken = (rows["draw"].to_numpy(float) * total[module] < 2 * k * d) & (d > 1e-12)
+                    yield pd.DataFrame({"module": rows["module"].to_numpy()[taken], "cell": rows["cell"].to_numpy()[taken], "z": pd.Series(list(unit(z[taken])), dtype=object)})
+
+        new = sorted(table.select("module", F.col("cell").cast("string").alias("cell"), "zc", draw.alias("draw")).mapInPandas(pick, "module string, cell string, z array<double>").collect(), key=lambda r: (r["module"], r["cell"]))
+        for m in found:
+            more = [r["z"] for r in new if r["module"] == m]
+            found[m] = np.vstack([found[m], np.array(more, float)]) if more else found[m]
+    weight = _sums(table, {m: (len(c),) for m, c in found.items()}, lambda m, z, zc, b: np.bincount(_nearest(zc, found[m])[0], minlength=len(found[m])).astype(float))
+    return {m: reduce_centres(c, weight[m], k) for m, c in found.items()}
+
+
+def hash_start(table: DataFrame, k: int, n: int, seed: str = "0") -> dict[str, np.ndarray]:
+    """First centres of every module: its first ``k`` cells in the order of a hash."""
+    key = F.md5(F.concat_ws("#", F.lit(seed), "cell"))
+    near = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32) < min(1.0, (4 * k + 40) / n)  # about 4k + 40 cells
+    first = table.where(near).groupBy("module").agg(F.slice(F.array_sort(F.collect_list(F.struct(key.alias("h"), F.col("cell").cast("string").alias("c"), "z"))), 1, k).alias("top")).collect()
+    return {r["module"]: unit(np.array([x["z"] for x in r["top"]], float)) for r in first}
+
+
+def harmony(scores: DataFrame, cells: DataFrame, batch: list[str], rounds: int = 5, inner: int = 5, max_clusters: int = 100, seed: str = "0", tolerance: float = 1e-4, start: str = "hash") -> DataFrame:
     """(cell, module, z): scores (cell, module, z array) with the batches' offsets within soft clusters taken out.
 
-    There are a tenth as many clusters as cells, ``max_clusters`` at most; their first centres are cells in the order of a hash.
+    There are a tenth as many clusters as cells, ``max_clusters`` at most; their first centres are cells in the order of a hash, or with
+    ``start="parallel"`` found by ``parallel_start`` in seven more passes.
     A null batch is a batch of its own; batches are the combinations of all columns. Rounds end early where centres move by less than ``tolerance``.
     With a single batch the scores come back as they are.
     """
+    if start not in ("hash", "parallel"):
+        raise ValueError(f"unknown start {start!r}")
     label = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in batch))
     named = cells.select("cell", label.alias("label"))
     sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}  # a row for each batch
@@ -82,10 +158,7 @@ def harmony(scores: DataFrame, cells: DataFrame, batch: list[str], rounds: int =
     ids = scores.sparkSession.createDataFrame([(x, i) for i, x in enumerate(sorted(sizes))], "label string, b int")
     table = keep(scores.join(named.join(ids, "label").select("cell", "b"), "cell").select("cell", "module", "z", F.col("z").alias("zc"), "b"))
     k = max(2, min(round(n / 10), max_clusters))
-    key = F.md5(F.concat_ws("#", F.lit(seed), "cell"))
-    near = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32) < min(1.0, (4 * k + 40) / n)  # about 4k + 40 cells
-    first = table.where(near).groupBy("module").agg(F.slice(F.array_sort(F.collect_list(F.struct(key.alias("h"), F.col("cell").cast("string").alias("c"), "z"))), 1, k).alias("top")).collect()
-    centres = {r["module"]: unit(np.array([x["z"] for x in r["top"]], float)) for r in first}
+    centres = parallel_start(table, k, seed) if start == "parallel" else hash_start(table, k, n, seed)
     counted: dict[str, np.ndarray] = {m: None for m in centres}
 
     def gather(use_original: bool, y: dict, seen: dict) -> tuple[dict, dict]:

@@ -55,12 +55,15 @@ def scale_free_bins(k: DataFrame, n_breaks: int = 10) -> DataFrame:
     return out.select("power", "bin", F.when(F.coalesce("mean", F.lit(0.0)) == 0, middle).otherwise(F.col("mean")).alias("dk"), (F.coalesce("c", F.lit(0)) / F.col("n")).alias("p_dk"), "n")
 
 
-def scale_free_fit(k: DataFrame, n_breaks: int = 10) -> DataFrame:
+def scale_free_fit(k: DataFrame, n_breaks: int = 10, remove_first: bool = False) -> DataFrame:
     """(power, sft_r_sq, slope, truncated_r_sq) of log10 p(k) on log10 k, and on log10 k with k; zeros below four genes.
 
+    ``remove_first`` leaves the bin of the least connectivity out of both fits; with under three bins left all are zeros.
+
     The second fit solves its normal equations on centred sums.
     """
-    b = scale_free_bins(k, n_breaks).select("power", "n", F.log10(F.greatest("dk", F.lit(1e-9))).alias("x"), F.log10(F.col("p_dk") + 1e-9).alias("y"))
+    bins = scale_free_bins(k, n_breaks)
+    b = (bins.where("bin > 0") if remove_first and n_breaks > 1 else bins).select("power", "n", F.log10(F.greatest("dk", F.lit(1e-9))).alias("x"), F.log10(F.col("p_dk") + 1e-9).alias("y"))
     b = b.withColumn("z", F.pow(F.lit(10.0), "x"))
     mean = b.groupBy("power").agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
     c = b.join(F.broadcast(mean), "power").select("power", "n", *((F.col(v) - F.col(f"m{v}")).alias(v) for v in "xyz"))
@@ -70,7 +73,7 @@ def scale_free_fit(k: DataFrame, n_breaks: int = 10) -> DataFrame:
     det = F.nullif(F.col("xx") * F.col("zz") - F.col("xz") * F.col("xz"), F.lit(0.0))
     explained = ((F.col("xy") * F.col("zz") - F.col("zy") * F.col("xz")) * F.col("xy") + (F.col("zy") * F.col("xx") - F.col("xy") * F.col("xz")) * F.col("zy")) / det
     adjusted = 1 - (1 - explained / F.nullif("yy", F.lit(0.0))) * (F.col("m") - 1) / (F.col("m") - 3)
-    few = F.col("n") < 4
+    few = (F.col("n") < 4) | (F.col("m") < 3)
     zero = lambda e: F.when(few, 0.0).otherwise(e)
     return s.select("power", zero(r2).alias("sft_r_sq"), zero(slope).alias("slope"), zero(F.greatest(F.lit(0.0), F.coalesce(adjusted, F.lit(0.0)))).alias("truncated_r_sq"))
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coexnet.functions.stats import scale01, stars
-from coexnet.operators.modules import hub_genes
+from coexnet.functions.stats import scale01, stars, t_p
+from coexnet.operators import clustering
+from coexnet.operators.modules import hub_genes, module_correlation, module_order
 from coexnet.operators.network import both_ways
 from coexnet.operators.regulation import targets_by_depth
+from coexnet.operators.rounds import keep
 
 
 def soft_power_plot(table: DataFrame, selected: int | None = None, least: float = 0.85) -> DataFrame:
@@ -157,6 +159,39 @@ def regulatory_heat(net: DataFrame, feature: str = "delta", limit: float = 1.0,
     return net.select("source", "target", _feature(net, feature, limit).alias("score"), F.when(n >= least_label, n.cast("string")).otherwise("").alias("label"))
 
 
+def regulatory_heat_order(heat: DataFrame) -> DataFrame:
+    """(gene, place): modules in the order of Ward's tree over the rows (targets) of ``regulatory_heat``; one or two stay in natural order."""
+    rows = heat.select(F.col("target").alias("gene"), F.col("source").alias("cell"), F.col("score").alias("value"))
+    names = rows.select("gene").distinct()
+    if names.limit(3).count() < 3:
+        return names.select("gene", (F.row_number().over(Window.orderBy(module_order(F.col("gene")), "gene")) - 1).alias("place"))  # a row for each module
+    return clustering.leaf_order(clustering.row_distances(rows), "square", "ward")
+
+
+def correlogram(mes: DataFrame, order: str = "original", exclude_grey: bool = True) -> DataFrame:
+    """(m1, m2, cor, p, place1, place2) of module scores for m1 < m2: Pearson, its two-sided p by Student's t, and the places to draw at.
+
+    ``original`` is the natural order of names, ``alphabet`` that of strings, ``hclust`` the leaves of average linkage on ``1 - cor``. p is null below three cells.
+    """
+    if order not in ("original", "alphabet", "hclust"):
+        raise ValueError(f"unknown order {order!r}")
+    x = mes.where("module <> 'grey'") if exclude_grey else mes
+    cor = module_correlation(x)
+    n = x.groupBy("module").agg(F.count("*").alias("n"))
+    if order == "hclust":
+        cor = keep(cor)
+        places = clustering.leaf_order(cor.toDF("g1", "g2", "cor"), "cor").withColumnRenamed("gene", "module")
+    else:
+        by = [module_order(F.col("module")), F.col("module")] if order == "original" else [F.col("module")]
+        places = n.select("module", (F.row_number().over(Window.orderBy(*by)) - 1).alias("place"))  # a row for each module
+    dof = (F.col("n") - 2).cast("double")
+    t = F.abs("cor") * F.sqrt(dof / F.greatest(1 - F.col("cor") * F.col("cor"), F.lit(1e-300)))
+    x = cor.join(n.withColumnRenamed("module", "m1"), "m1").withColumn("p", F.when(dof > 0, t_p(t, dof)))
+    for e in "12":
+        x = x.join(places.select(F.col("module").alias(f"m{e}"), F.col("place").alias(f"place{e}")), f"m{e}")
+    return x.select("m1", "m2", "cor", "p", "place1", "place2")
+
+
 def differential_regulon_plot(dregs: DataFrame, least_change: float = 0.1, n_label: int = 10) -> DataFrame:
     """``dregs`` with ``significant`` (both scores change, against each other, one of them significantly), ``is_deg``, ``quadrant`` and ``labelled``.
 

@@ -45,10 +45,10 @@ class Experiment:
     def setup(self, select: str = "fraction", fraction: float = 0.05, n_genes: int = 3000, genes: list[str] | None = None, flags: DataFrame | None = None) -> Experiment:
         """Choose genes; the working matrix ``dat_expr`` holds them, without constant ones.
 
-        ``variable`` takes those marked in ``flags`` (gene, highly_variable), without it the ``n_genes`` most variable.
+        ``variable`` takes the first ``n_genes`` marked in ``flags`` (gene, highly_variable, and place if there is an order), without it the most variable.
         """
         expr, n = self.get("expr"), self._cells()
-        pick = {"fraction": lambda: features.gene_fraction(expr, n, fraction), "variable": lambda: features.gene_cv2(expr, n, n_genes) if flags is None else features.gene_flagged(expr, flags), "custom": lambda: features.gene_custom(expr, genes or [])}
+        pick = {"fraction": lambda: features.gene_fraction(expr, n, fraction), "variable": lambda: features.gene_cv2(expr, n, n_genes) if flags is None else features.gene_flagged(expr, flags, n_genes=n_genes, place="place" if "place" in flags.columns else None), "custom": lambda: features.gene_custom(expr, genes or [])}
         if select not in pick:
             raise ValueError(f"unknown selection {select!r}")
         chosen = pick[select]().select("gene")
@@ -87,15 +87,17 @@ class Experiment:
         self.params["power"] = network.select_power(self.get("power_table"))
         return self
 
-    def construct_network(self, power: int | None = None, network_type: str = "signed", denominator: str = "min", min_size: int = 20, cut: str = "hybrid", height: float = 0.8, cut_height: float | None = 0.995, merge_height: float = 0.2, deep_split: int = 4, pam: bool = True, within_branch: bool = False) -> Experiment:
+    def construct_network(self, power: int | None = None, network_type: str = "signed", denominator: str = "min", min_size: int = 20, cut: str = "hybrid", height: float = 0.8, cut_height: float | None = 0.995, merge_height: float = 0.2, deep_split: int = 4, pam: bool = True, within_branch: bool = False, merge_rounds: int = 1) -> Experiment:
+        """Modules of the working matrix; ``network_mes`` are their scores in it, computed anew where modules were merged."""
         if "pairs" not in self.slots:
             self.pairs()
         self.put("pairs", keep(self.get("pairs")))  # read by every step from here on
         adj = network.adjacency(self.get("pairs"), power or self.params.get("power", 6), network_type)
         self.put("degrees", network.degrees(adj)).put("tom", keep(network.topological_overlap(adj, denominator, "blocked")))
         found = clustering.detect_modules(self.get("tom"), cut, height, cut_height, min_size, deep_split=deep_split, pam=pam, within_branch=within_branch)
-        scores = modules.eigengenes(self.get("dat_expr"), found, self.params["n_dat"], cells=self.get("dat_cells"))
-        return self.put("modules", clustering.merge_close(found, modules.module_correlation(scores), merge_height))
+        scores_of = lambda m: modules.eigengenes(self.get("dat_expr"), m, self.params["n_dat"], cells=self.get("dat_cells"))
+        merged, scores = clustering.merge_modules(found, scores_of, modules.module_correlation, merge_height, merge_rounds)
+        return self.put("modules", merged).put("network_mes", scores)
 
     def dendrogram(self, hang: float = 0.03) -> tuple[DataFrame, DataFrame]:
         return clustering.dendrogram(self.get("tom"), hang)
@@ -112,7 +114,7 @@ class Experiment:
         if correction == "means":
             return self.put("hmes", modules.harmonize(me, self.get("cells"), batch))
         z = modules.component_scores(expr, self.get("modules"), self._cells(), n_components, cells=self.get("cells"))
-        fixed = harmony.harmony_consensus(z, self.get("cells"), batch, n_runs)
+        fixed = harmony.harmony_consensus(z, self.get("cells"), batch, n_runs, start="parallel")
         return self.put("hmes", fixed.select("cell", "module", F.col("z")[0].alias("me")))
 
     def get_mes(self, harmonized: bool = True) -> DataFrame:

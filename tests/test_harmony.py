@@ -59,3 +59,33 @@ def test_component_scores(spark):
     first = np.array([r["me"] for r in modules.eigengenes(expr, named, 40).orderBy("cell").collect()])
     s = np.linalg.svd((x - x.mean(1, keepdims=True)) / x.std(1, ddof=1, keepdims=True))[1]
     assert np.allclose(z[:, 0], first) and np.allclose(np.linalg.norm(z, axis=0), s[:3])
+
+
+def test_parallel_start(spark):
+    """Twelve groups of cells, most of them small: the oversampled start finds each, a start by hash misses some."""
+    rng = np.random.default_rng(7)
+    sizes = [400, 300] + [6] * 10
+    axes = harmony.unit(rng.normal(size=(12, 8)))
+    z = np.vstack([axes[i] * 5 + rng.normal(0, 0.15, (s, 8)) for i, s in enumerate(sizes)])
+    table = spark.createDataFrame([(i, "M1", x.tolist(), x.tolist(), i % 2) for i, x in enumerate(z)], "cell long, module string, z array<double>, zc array<double>, b int").repartition(5)
+    found = harmony.parallel_start(table, 12)
+    assert found["M1"].shape == (12, 8) and np.allclose(np.linalg.norm(found["M1"], axis=1), 1)
+    assert (found["M1"] @ axes.T).max(0).min() > 0.99
+    by_hash = harmony.hash_start(table, 12, len(z))
+    good, poor = harmony.cost(table, found)["M1"], harmony.cost(table, by_hash)["M1"]
+    best = sum(2 - 2 * (harmony.unit(z[a:b]) @ harmony.unit(harmony.unit(z[a:b]).mean(0))).sum() / (b - a) for a, b in [(0, 400)])
+    assert good < 0.25 * poor and best < good
+    again = harmony.parallel_start(table.repartition(3), 12)
+    assert np.allclose(found["M1"], again["M1"])
+    same = table.withColumn("zc", F.array(*(F.lit(1.0) for _ in range(8))))
+    assert harmony.parallel_start(same, 5)["M1"].shape == (1, 8)  # one direction, one centre
+
+
+def test_parallel_start_corrects(spark):
+    rng = np.random.default_rng(5)
+    group, batch, z = planted(rng)
+    scores = spark.createDataFrame([(i, "M1", z[i].tolist()) for i in range(120)], "cell long, module string, z array<double>")
+    cells = spark.createDataFrame([(i, f"b{batch[i]}") for i in range(120)], "cell long, batch string")
+    have = np.array([r["z"] for r in harmony.harmony(scores, cells, ["batch"], rounds=3, inner=3, start="parallel").orderBy("cell").collect()])
+    apart = lambda x: np.mean([np.linalg.norm(x[(group == g) & (batch == 0)].mean(0) - x[(group == g) & (batch == 1)].mean(0)) for g in (0, 1)])
+    assert apart(have) < 0.4 * apart(z) and np.linalg.norm(have[group == 0].mean(0) - have[group == 1].mean(0)) > 4
