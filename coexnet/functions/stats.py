@@ -16,14 +16,14 @@ from coexnet.operators import ranges
 def bh(df: DataFrame, p: str, by: list[str], out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg values of ``p`` within ``by``; a null p counts as 1.
 
-    Equal p have the value of the last of them, so distinct ones are counted, in ranges: no family meets a task whole.
+    No value is below its p, not even by rounding. Equal p have the value of the last of them, so distinct ones are counted, in ranges: no family meets a task whole.
     """
     x = df.withColumn("__q", F.coalesce(p, F.lit(1.0)))
     t = ranges.tally(x, by, "__q")
     t = _with_keys(t, t.groupBy(*by).agg(F.sum("ties").alias("__m")), by)
     t = ranges.deal(t.withColumn("__v", F.col("__q") * F.col("__m") / F.col("upto")), by, "__q")
     t = ranges.running(t, by, "__q", "__v", "__least", least=True, backwards=True)
-    return _with_keys(x, t.select(*by, "__q", F.least(F.lit(1.0), "__least").alias(out)), [*by, "__q"]).drop("__q")
+    return _with_keys(x, t.select(*by, "__q", F.least(F.lit(1.0), F.greatest("__least", "__q")).alias(out)), [*by, "__q"]).drop("__q")
 
 
 def _with_keys(df: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
