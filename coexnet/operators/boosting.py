@@ -3,9 +3,10 @@
 Cells are dealt to chunks, targets to blocks; a row of the state holds a chunk of a block: the bins of its regulators (a byte a cell), what is to
 be fitted, each cell's fold and the predictions of all models. A target has a model for all cells and one for each fold, which
 leaves that fold's cells out; they grow together, a level at a time. A level is one pass over the state: every task adds up
-its histograms of (target, model, node, regulator, bin) and emits each once a block, so what is shuffled has the size of the models
-and of the tasks, not of the cells. Leaves come from the sums of the splits. The state is written once a round, with the held-out
-squared errors.
+its histograms of (target, model, node, regulator, bin) and emits each once (once a block, if all are more than ``HELD_BYTES``), and there are
+no more tasks than twice the cluster's cores, so what is shuffled has the size of the models, not of the cells. Leaves come from the sums
+of the splits. Trees are sent to the tasks, which add those since the last written state to its predictions; the state itself is never shuffled, and
+is written only every ``WRITE_ROUNDS`` rounds, without the predictions of targets that have stopped. Held-out squared errors are another pass.
 
 The best round of a target is the first with the least mean over folds of the held-out root mean squared error; a target stops, and
 is passed over from then on, when ``patience`` rounds in a row were no better. The first rounds of the model of all cells are
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 
 from coexnet.operators.rounds import keep
 
-CHUNK_CELLS, BLOCK_TARGETS, CHECK_ROUNDS = 4096, 32, 4
+CHUNK_CELLS, BLOCK_TARGETS, CHECK_ROUNDS, WRITE_ROUNDS, HELD_BYTES = 4096, 32, 4, 10, 1 << 26
 HEAD, BINS, VALUES = range(3)
-STATE = "chunk int, block int, info string, folds binary, bins binary, y binary, f binary, errors array<double>"
+STATE = "chunk int, block int, info string, folds binary, bins binary, y binary, f binary"
 SPLIT = "gene string, model int, node int, tf string, at int, gain double, cover long, gl double, nl long, ga double, na long"
+HISTOGRAM = "gene string, model int, tf string, node int, bin int, g double, n long"
 
 
 def regulator_bins(expr: DataFrame, links: DataFrame, n_bins: int) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +57,7 @@ def _row(chunk: int, block: int, info: str, values: dict[int, dict[str, tuple]])
             at, v = given.get(x["name"], ((), ()))
             out[i, at] = v
     f = np.repeat([x["start"] for x in told["targets"]], len(folds)).reshape(len(y), -1)
-    return {"chunk": chunk, "block": block, "info": info, "folds": folds.tobytes(), "bins": bins.tobytes(), "y": y.tobytes(), "f": f.tobytes(), "errors": []}
+    return {"chunk": chunk, "block": block, "info": info, "folds": folds.tobytes(), "bins": bins.tobytes(), "y": y.tobytes(), "f": f.tobytes()}
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +80,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _schema() -> pa.Schema:
-    return pa.schema([("chunk", pa.int32()), ("block", pa.int32()), ("info", pa.string()), *((c, pa.binary()) for c in ("folds", "bins", "y", "f")), ("errors", pa.list_(pa.float64()))])
+    return pa.schema([("chunk", pa.int32()), ("block", pa.int32()), ("info", pa.string()), *((c, pa.binary()) for c in ("folds", "bins", "y", "f"))])
 
 
 def packed_state(expr: DataFrame, links: DataFrame, n_bins: int, folds: int, chunk_cells: int = CHUNK_CELLS) -> DataFrame:
@@ -110,40 +113,91 @@ def packed_state(expr: DataFrame, links: DataFrame, n_bins: int, folds: int, chu
     return keep(every.repartition("chunk", "block").sortWithinPartitions("block", "chunk", "kind", "name").mapInArrow(_pack, STATE))
 
 
+class Trees:
+    """Splits of a round's trees, by target; has the size of the models."""
+
+    def __init__(self, splits: pa.Table):
+        t = splits.sort_by([(c, "ascending") for c in ("gene", "model", "node")])
+        genes = t["gene"].to_pylist()
+        first = [i for i in range(len(genes)) if i == 0 or genes[i] != genes[i - 1]] + [len(genes)]
+        self.span = {genes[i]: (i, j) for i, j in zip(first, first[1:], strict=False)}
+        self.model, self.node, self.gl, self.ga = (t[c].to_numpy() for c in ("model", "node", "gl", "ga"))
+        self.nl, self.na, self.at = (t[c].to_numpy() for c in ("nl", "na", "at"))
+        self.tf = t["tf"].to_pylist()
+        self.plans: dict[tuple[str, int], tuple] = {}
+
+    def of(self, gene: str, model: int) -> range:
+        low, high = self.span.get(gene, (0, 0))
+        a, b = np.searchsorted(self.model[low:high], (model, model + 1))
+        return range(low + int(a), low + int(b))
+
+    def plan(self, gene: str, model: int, eta: float) -> tuple:
+        """(a tree as nested (tf, at, low side, high side) with the numbers of its leaves, the step of each leaf)."""
+        if (gene, model) not in self.plans:
+            at_node, steps = {int(self.node[i]): i for i in self.of(gene, model)}, []
+
+            def grow(node: int, step: float):
+                i = at_node.get(node)
+                if i is None or self.tf[i] is None:
+                    steps.append(step)
+                    return np.uint16(len(steps) - 1)
+                low, high = eta * self.gl[i] / (self.nl[i] + 1), eta * (self.ga[i] - self.gl[i]) / (self.na[i] - self.nl[i] + 1)
+                return self.tf[i], int(self.at[i]), grow(2 * node, low), grow(2 * node + 1, high)
+
+            root = at_node.get(1)
+            tree = grow(1, 0.0 if root is None else eta * self.ga[root] / (self.na[root] + 1))
+            self.plans[gene, model] = tree, np.array(steps)
+        return self.plans[gene, model]
+
+
 class _Block:
-    """One row of the state with what is known of the round's trees."""
+    """One row of the state with the trees since it was written; ``over`` has the targets that have stopped."""
 
-    def __init__(self, row: dict, models: int):
+    def __init__(self, row: dict, models: int, past: list[Trees] = (), over: frozenset = frozenset()):
         told = json.loads(row["info"])
         self.targets, self.tfs = [x["name"] for x in told["targets"]], [x["name"] for x in told["tfs"]]
-        self.own = [[self.tfs.index(t) for t in x["own"] if t in self.tfs] for x in told["targets"]]
+        self.own = [[i for i, t in enumerate(self.tfs) if t in x["own"]] for x in told["targets"]]
         self.folds = np.frombuffer(row["folds"], np.uint8)
         m = len(self.folds)
         self.bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, m)
         self.y = np.frombuffer(row["y"]).reshape(-1, m)
         f = np.frombuffer(row["f"]).reshape(-1, len(self.y), m)
-        self.f = (np.repeat(f, models, axis=0) if len(f) < models else f).copy()
-        self.trees: dict[tuple, list[dict]] = {}
-        for s in json.loads(row["splits"] or "[]"):
-            self.trees.setdefault((s["gene"], s["model"]), []).append(s)
-        self.done = set(json.loads(row["stopped"] or "[]"))
-
-    def nodes(self, gene: str, model: int, eta: float) -> tuple[np.ndarray, dict[int, float]]:
-        """The node each cell is in, and the step of each leaf."""
-        node, steps = np.ones(len(self.folds), np.int64), {}
-        for s in sorted(self.trees.get((gene, model), []), key=lambda s: s["node"]):
-            if s["node"] == 1:
-                steps[1] = eta * s["ga"] / (s["na"] + 1)
-            if "tf" in s:
-                here = node == s["node"]
-                node[here] = 2 * s["node"] + (self.bins[self.tfs.index(s["tf"])][here] > s["at"])
-                steps[2 * s["node"]] = eta * s["gl"] / (s["nl"] + 1)
-                steps[2 * s["node"] + 1] = eta * (s["ga"] - s["gl"]) / (s["na"] - s["nl"] + 1)
-        return node, steps
-
-
-def _histograms(models: int, level: int, width: int, eta: float):
+        self.f = np.repeat(f, models, axis=0) if len(f) < models else f
+        self.place = {tf: i for i, tf in enumerate(self.tfs)}
+        self.past, self.done = past, over
+
+    def nodes(self, trees: Trees | None, gene: str, model: int) -> np.ndarray:
+        """The node each cell is in."""
+        node = np.ones(len(self.folds), np.int64)
+        for i in trees.of(gene, model) if trees else ():
+            at = int(trees.node[i])
+            if trees.tf[i] is not None:
+                here = np.flatnonzero(node == at) if at > 1 else slice(None)
+                node[here] = 2 * at + (self.bins[self.place[trees.tf[i]]][here] > trees.at[i])
+        return node
+
+    def fitted(self, t: int, model: int, eta: float, cells=slice(None)) -> np.ndarray:
+        """Predictions after the trees so far, of all cells or some."""
+        bins = {tf: self.bins[self.place[tf]][cells] for tf in (self.tfs[j] for j in self.own[t])}
+        f = self.f[model, t][cells].copy()
+
+        def leaf(tree):
+            if not isinstance(tree, tuple):
+                return tree
+            tf, at, low, high = tree
+            return np.where(bins[tf] > at, leaf(high), leaf(low))
+
+        for trees in self.past:
+            tree, steps = trees.plan(self.targets[t], model, eta)
+            f += steps[leaf(tree)]
+        return f
+
+
+def _histograms(models: int, level: int, width: int, eta: float, sent=None):
+    """``sent`` is a broadcast of (the past trees, the round's tree so far, the targets that have stopped)."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past, now, over = sent.value if sent else ((), None, frozenset())
         last, sums = None, {}
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -156,19 +210,20 @@ def _histograms(models: int, level: int, width: int, eta: float):
 
         for batch in batches:
             for row in batch.to_pylist():
-                if row["block"] != last:
+                if row["block"] != last and len(sums) * (width << level) * 16 > HELD_BYTES:
                     yield from flush()
-                    last, sums = row["block"], {}
-                b = _Block(row, models)
+                    sums = {}
+                last = row["block"]
+                b = _Block(row, models, past, over)
                 for t, gene in enumerate(b.targets):
                     if gene in b.done:
                         continue
                     for k in range(models):
-                        node, _ = b.nodes(gene, k, eta)
+                        node = b.nodes(now, gene, k)
                         use = np.flatnonzero((node >= 1 << level) & (b.folds != k))  # no cell is in fold 0
                         if not len(use):
                             continue
-                        at, g = (node[use] - (1 << level)) * width, (b.y[t] - b.f[k, t])[use]
+                        at, g = (node[use] - (1 << level)) * width, (b.y[t] - b.fitted(t, k, eta))[use]
                         for j in b.own[t]:
                             key, total = (gene, k, b.tfs[j]), width << level
                             i = at + b.bins[j, use]
@@ -180,23 +235,38 @@ def _histograms(models: int, level: int, width: int, eta: float):
     return work
 
 
-def _step(models: int, eta: float):
+def _errors(models: int, eta: float, sent):
+    """Held-out squared errors of each target and fold, once a task."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past, over = sent.value
+        sums: dict[tuple[str, int], float] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row, models)
-                errors = np.zeros((models, len(b.targets)))
+                b = _Block(row, models, past, over)
+                for k in range(1, models):
+                    out = np.flatnonzero(b.folds == k)
+                    for t, gene in enumerate(b.targets):
+                        if gene not in b.done:
+                            sums[gene, k] = sums.get((gene, k), 0.0) + float(np.square(b.y[t][out] - b.fitted(t, k, eta, out)).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array(list(sums.values()), pa.float64())], names=["gene", "model", "error"])
+
+    return work
+
+
+def _step(models: int, eta: float, sent):
+    """The state with the predictions after the trees so far."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        past, over = sent.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _Block(row, models, past, over)
+                f = np.zeros((models, *b.y.shape))
                 for t, gene in enumerate(b.targets):
                     for k in range(models if gene not in b.done else 0):
-                        node, steps = b.nodes(gene, k, eta)
-                        table = np.zeros(node.max(initial=1) + 1)
-                        for i, v in steps.items():
-                            if i < len(table):
-                                table[i] = v
-                        b.f[k, t] += table[node]
-                        out = b.folds == k
-                        errors[k, t] = np.square((b.y[t] - b.f[k, t])[out]).sum()
-                new = {c: row[c] for c in ("chunk", "block", "info", "folds", "bins", "y")} | {"f": b.f.tobytes(), "errors": errors.ravel().tolist()}
+                        f[k, t] = b.fitted(t, k, eta)
+                new = {c: row[c] for c in ("chunk", "block", "info", "folds", "bins", "y")} | {"f": f.tobytes()}
                 yield pa.RecordBatch.from_pylist([new], schema=_schema())
 
     return work
@@ -241,38 +311,45 @@ def boost(expr: DataFrame, motifs: DataFrame, rounds: int = 100, depth: int = 3,
     if not links.head(1):
         return no_links, no_errors
     state = packed_state(expr, links, n_bins, folds, chunk_cells)
-    of_block = keep(state.select("block", "info").distinct().select("block", F.explode(F.from_json("info", "targets array<struct<name string>>")["targets"]["name"]).alias("gene")))
+    n_targets = links.select("gene").distinct().count()
     fold_sizes = None
     if folds:
         cells = expr.select("cell").distinct()
         fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("cell").cast("string")), F.lit(folds)).cast("int") + 1
         fold_sizes = keep(cells.groupBy(fold.alias("model")).agg(F.count("*").alias("n")))
-    stopped = spark.createDataFrame([], "gene string")
     grown, losses = [], []
-
-    def with_plan(now: DataFrame, splits: DataFrame) -> DataFrame:
-        told = splits.join(of_block, "gene").groupBy("block").agg(F.to_json(F.collect_list(F.struct("gene", "model", "node", "tf", "at", "gl", "nl", "ga", "na"))).alias("splits"))
-        over = stopped.join(of_block, "gene").groupBy("block").agg(F.to_json(F.collect_list("gene")).alias("stopped"))
-        return now.join(told, "block", "left").join(over, "block", "left")
+    context = spark.sparkContext
+    tasks = 2 * context.defaultParallelism
+    sent = []
+    past, over = [], frozenset()  # trees that the written predictions lack, targets that have stopped
+
+    def run(function, schema: str, *told) -> DataFrame:
+        """A pass, which the caller writes before the next one."""
+        if sent:
+            sent.pop().unpersist()
+        sent.append(context.broadcast(told))
+        return state.coalesce(tasks).mapInArrow(function(sent[0]), schema)
 
     for r in range(1, rounds + 1):
-        splits = spark.createDataFrame([], SPLIT)
+        splits, now = spark.createDataFrame([], SPLIT), None
         for level in range(depth):
-            sums = with_plan(state, splits).mapInArrow(_histograms(models, level, width, eta), "gene string, model int, tf string, node int, bin int, g double, n long").repartition("gene")  # the one shuffle of a level
+            sums = run(partial(_histograms, models, level, width, eta), HISTOGRAM, past, now, over).repartition("gene")  # the one shuffle of a level
             found = best_splits(sums.groupBy("gene", "model", "tf", "node", "bin").agg(F.sum("g").alias("g"), F.sum("n").alias("n")))
             splits = splits.unionByName(keep(found.where("tf is not null or node = 1")))
+            now = Trees(splits.select("gene", "model", "node", "tf", "at", "gl", "nl", "ga", "na").toArrow())
         grown.append(splits.where("model = 0 and tf is not null").withColumn("round", F.lit(r)))
-        state = keep(with_plan(state, splits).mapInArrow(_step(models, eta), STATE))
+        past = [*past, now]
+        if r % WRITE_ROUNDS == 0 and r < rounds:
+            state, past = keep(run(partial(_step, models, eta), STATE, past, over)), []
         if not folds:
             continue
-        each = state.select(F.from_json("info", "targets array<struct<name string>>")["targets"]["name"].alias("names"), F.posexplode("errors").alias("i", "error"))
-        n = F.size("names")
-        sse = each.select(F.element_at("names", F.col("i") % n + 1).alias("gene"), F.floor(F.col("i") / n).cast("int").alias("model"), "error").where("model > 0").groupBy("gene", "model").agg(F.sum("error").alias("sse"))
+        sse = run(partial(_errors, models, eta), "gene string, model int, error double", past, over).groupBy("gene", "model").agg(F.sum("error").alias("sse"))
         rmse = sse.join(fold_sizes, "model").groupBy("gene").agg(F.avg(F.sqrt(F.col("sse") / F.col("n"))).alias("rmse"))
-        losses.append(keep(rmse.join(stopped, "gene", "left_anti").select("gene", F.lit(r).alias("round"), "rmse")))
+        losses.append(keep(rmse.select("gene", F.lit(r).alias("round"), "rmse")))
         if r % CHECK_ROUNDS == 0 and r < rounds:
-            stopped = keep(best_rounds(_union(losses), patience).where("stopped").select("gene"))
-            if stopped.count() == of_block.count():
+            stopped = best_rounds(_union(losses), patience).where("stopped").select("gene")
+            over = frozenset(x["gene"] for x in stopped.collect())
+            if len(over) == n_targets:
                 break
     stats, ends = _union(grown), no_errors
     if folds:

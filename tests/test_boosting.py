@@ -106,3 +106,27 @@ def test_what_a_level_emits_does_not_grow_with_cells(spark):
         sums = state.withColumns({"splits": F.lit(None).cast("string"), "stopped": F.lit(None).cast("string")}).mapInArrow(boosting._histograms(6, 0, 17, 0.3), "gene string, model int, tf string, node int, bin int, g double, n long")
         rows.append(sums.count())
     assert rows[0] == rows[1] == 6 * 2 * 4
+
+
+def test_the_state_is_neither_shuffled_nor_written_in_each_round(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 5, (3, 80)).astype(float)
+    expr = long(spark, [*x, 2 * (x[0] > 2) + rng.normal(0, 0.3, 80), x[1] + rng.normal(0, 2, 80)])
+    motifs = spark.createDataFrame([(f"g{i}", g) for g in ("g3", "g4") for i in range(3)], "tf string, gene string")
+    plans, kept = [], boosting.keep
+
+    def keep(df):
+        plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return kept(df)
+
+    def told():
+        links, errors = boosting.boost(expr, motifs, rounds=5, patience=2, chunk_cells=20)
+        return sorted((r["tf"], r["gene"], round(r["gain"], 9), round(r["cover"], 9)) for r in links.collect()), sorted((r["gene"], r["round"], round(r["rmse"], 9), r["best"]) for r in errors.collect())
+
+    monkeypatch.setattr(boosting, "keep", keep)
+    often = told()
+    assert sum("f" in columns for columns, _ in plans) == 1
+    assert len([1 for columns, _ in plans if "gl" in columns]) == 15 and not any("Join" in plan for columns, plan in plans if "gl" in columns)
+    monkeypatch.setattr(boosting, "WRITE_ROUNDS", 2)
+    plans.clear()
+    assert told() == often and sum("f" in columns for columns, _ in plans) == 3
