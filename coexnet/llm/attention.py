@@ -50,6 +50,17 @@ class Attention:
         self.slot, self.p = slot, params
         i, j = np.arange(STRIDE)[:, None] + SPAN - STRIDE, np.arange(SPAN)[None, :]
         self.distance, self.seen = np.clip(i - j, 0, SPAN - 1), j <= i
+        self._held: dict[tuple, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_held": {}}
+
+    def _space(self, name: str, shape: tuple[int, ...], dtype=np.float32) -> np.ndarray:
+        """An array of this name and shape, the same one at each call: new pages for each step would cost as much as a third of it."""
+        key = name, shape, np.dtype(dtype)
+        if key not in self._held:
+            self._held[key] = np.empty(shape, dtype)
+        return self._held[key]
 
     @classmethod
     def fresh(cls, slot: np.ndarray, counts: np.ndarray, seed: int = 11) -> Attention:
@@ -113,35 +124,36 @@ class Attention:
         """
         if not hasattr(self, "_near"):
             self.frozen()
-        p, n = self.p, len(ids)
-        memory = self._memory[ids]
-        local = self._local[ids[:, SPAN - STRIDE :].ravel()]
-        a = np.matmul(local[:, :WIDTH].reshape(n, STRIDE, WIDTH), memory[..., :WIDTH].transpose(0, 2, 1))
+        p, n, kind = self.p, len(ids), self._memory.dtype
+        new = lambda name, *shape: self._space(name, shape, kind)
+        pick = lambda name, table, at: np.take(table, at, 0, new(name, len(at), table.shape[1]), "clip")
+        memory = pick("memory", self._memory, ids.ravel()).reshape(n, SPAN, -1)
+        local = pick("local", self._local, ids[:, SPAN - STRIDE :].ravel())
+        a = np.matmul(local[:, :WIDTH].reshape(n, STRIDE, WIDTH), memory[..., :WIDTH].transpose(0, 2, 1), out=new("a", n, STRIDE, SPAN))
         a += self._near
         pad = ids == PAD
-        if pad.any():
-            some = np.flatnonzero(pad.any(1))
+        some = np.flatnonzero(pad.any(1))
+        if len(some):
             a[some] += np.where(pad[some], np.float32(-1e9), np.float32(0))[:, None, :]
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
             np.exp(a, out=a)
-            total = a.sum(-1).ravel()[:, None]
-            h = np.matmul(a, memory[..., WIDTH:]).reshape(-1, WIDTH)
+            total = a.reshape(-1, SPAN) @ np.ones((SPAN, 1), kind)
+            h = np.matmul(a, memory[..., WIDTH:], out=new("h", n, STRIDE, WIDTH)).reshape(-1, WIDTH)
             h /= total
             h += local[:, WIDTH:]
             np.tanh(h, out=h)
-            slot = self.slot[target.ravel()]
-            c, m = slot // SIDE, slot % SIDE
-            at = np.arange(len(slot))
-            choice = self._choice[c]
-            lc = h @ p["to_class"]
+            c, m = np.divmod(self.slot.take(target.ravel()), SIDE)
+            choice = pick("choice", self._choice, c)
+            lc = np.matmul(h, p["to_class"], out=new("lc", len(c), SIDE))
             lc += p["class"]
             h *= choice[:, :WIDTH]
-            lm = h @ p["to_member"]
+            lm = np.matmul(h, p["to_member"], out=new("lm", len(c), SIDE))
             lm += choice[:, WIDTH:]
-            out = (lc[at, c] + lm[at, m]).astype(np.float64)
+            at, one = np.arange(len(c)) * SIDE, np.ones(SIDE, kind)
+            out = (lc.reshape(-1).take(at + c) + lm.reshape(-1).take(at + m)).astype(np.float64)
             np.exp(lc, out=lc)
             np.exp(lm, out=lm)
-            out -= np.log(lc.sum(1).astype(np.float64)) + np.log(lm.sum(1).astype(np.float64))
+            out -= np.log((lc @ one).astype(np.float64)) + np.log((lm @ one).astype(np.float64))
         if not np.isfinite(out).all():
             return self._stable(ids, target)
         return out.reshape(n, STRIDE)
@@ -156,58 +168,108 @@ class Attention:
         return out
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean negative log probability over the ``real`` targets."""
-        p = self.p
-        q_ids, q, k, v, a, h, c, m, lc, u, lm = self._forward(ids, target)
-        scale = (real / max(1, real.sum())).astype(np.float32)[..., None]
-
-        def slope(x, at):
-            x = np.exp(x - x.max(-1, keepdims=True))
-            x /= x.sum(-1, keepdims=True)
-            np.put_along_axis(x, at[..., None], np.take_along_axis(x, at[..., None], -1) - 1, -1)
-            return x * scale
-
-        dc, dm = slope(lc, c), slope(lm, m)
-        fl = lambda x: x.reshape(-1, x.shape[-1])
-        du = (fl(dm) @ p["to_member"].T).reshape(u.shape)
-        dh = (fl(dc) @ p["to_class"].T).reshape(h.shape) + du * p["gate"][c]
-        ds = dh * (1 - h * h)
-        da = ds @ v.transpose(0, 2, 1)
-        da = a * (da - (da * a).sum(-1, keepdims=True))
-        root = np.float32(WIDTH**-0.5)
-        g = {"to_class": fl(h).T @ fl(dc), "to_member": fl(u).T @ fl(dm), "class": fl(dc).sum(0)}
-        g["bias"] = np.bincount(self.distance.ravel(), da.sum(0).ravel(), minlength=SPAN).astype(np.float32)
-        g["embed"], g["query"] = _scatter(q_ids, (ds, (da @ k) * root), SYMBOLS + 2)
-        g["key"], g["value"] = _scatter(ids, ((da.transpose(0, 2, 1) @ q) * root, a.transpose(0, 2, 1) @ ds), SYMBOLS + 2)
-        g["member"], g["gate"] = _scatter(c, (dm, du * h), SIDE)
-        return g
+        """Of the mean negative log probability over the ``real`` targets; the next call writes over them.
 
+        Logits are shifted by their largest only where they leave the range in which exponentials are safe.
+        """
+        p, n, kind = self.p, len(ids), self.p["key"].dtype
+        every = n * STRIDE
+        root, one = WIDTH**-0.5, np.ones(max(SIDE, SPAN, every), kind)
+        all_ids, q_ids = ids.ravel(), ids[:, SPAN - STRIDE :].ravel()
+        new = lambda name, *shape: self._space(name, shape, kind)
+        pick = lambda name, at, *shape: np.take(p[name], at, 0, new(name, len(at), p[name].shape[1]), "clip").reshape(*shape, -1)
+        calm = lambda x: x.max() < 60 and x.min() > -60
+        q, k, v = pick("query", q_ids, n, STRIDE), pick("key", all_ids, n, SPAN), pick("value", all_ids, n, SPAN)
+        q *= root
+
+        a = np.matmul(q, k.transpose(0, 2, 1), out=new("a", n, STRIDE, SPAN))
+        level = calm(a) and calm(p["bias"])
+        a += np.where(self.seen, p["bias"][self.distance], -1e9).astype(kind)
+        pad = ids == PAD
+        some = np.flatnonzero(pad.any(1))
+        if len(some):
+            a[some] += np.where(pad[some], kind.type(-1e9), kind.type(0))[:, None, :]
+        if not level:
+            a -= a.max(-1, keepdims=True)
+        np.exp(a, out=a)
+        a /= (a.reshape(-1, SPAN) @ one[:SPAN]).reshape(n, STRIDE, 1)
+        h = np.matmul(a, v, out=new("h", n, STRIDE, WIDTH)).reshape(-1, WIDTH)
+        h += pick("embed", q_ids, every)
+        np.tanh(h, out=h)
+
+        c, m = np.divmod(self.slot.take(target.ravel()), SIDE)
+        gate = pick("gate", c, every)
+        lc = np.matmul(h, p["to_class"], out=new("lc", every, SIDE))
+        lc += p["class"]
+        u = np.multiply(h, gate, out=new("u", every, WIDTH))
+        both = new("both", every, SIDE + WIDTH)  # slopes of members and of gates, which are added up by class
+        lm = np.matmul(u, p["to_member"], out=new("lm", every, SIDE))
+        lm += pick("member", c, every)
+        scale = (real.ravel() / max(1, real.sum())).astype(kind)
+        for x, at in ((lc, c), (lm, m)):
+            if not calm(x):
+                x -= x.max(1, keepdims=True)
+            np.exp(x, out=x)
+            x *= (scale / (x @ one[:SIDE]))[:, None]
+            x.reshape(-1)[np.arange(every) * SIDE + at] -= scale
+
+        g = {"to_class": h.T @ lc, "to_member": u.T @ lm, "class": one[:every] @ lc}
+        du = np.matmul(lm, p["to_member"].T, out=new("du", every, WIDTH))
+        both[:, :SIDE] = lm
+        np.multiply(du, h, out=both[:, SIDE:])
+        ds = np.matmul(lc, p["to_class"].T, out=new("ds", every, WIDTH))
+        du *= gate
+        ds += du
+        h *= h
+        np.subtract(1, h, out=h)
+        ds *= h
+        ds = ds.reshape(n, STRIDE, WIDTH)
+        da = np.matmul(ds, v.transpose(0, 2, 1), out=new("da", n, STRIDE, SPAN))
+        da *= a
+        da -= np.multiply(a, (da.reshape(-1, SPAN) @ one[:SPAN]).reshape(n, STRIDE, 1), out=new("part", n, STRIDE, SPAN))
+        g["bias"] = np.bincount(self.distance.ravel(), one[:n] @ da.reshape(n, -1), minlength=SPAN).astype(kind)
+        local, memory = new("d-local", n, STRIDE, 2 * WIDTH), new("d-memory", n, SPAN, 2 * WIDTH)
+        np.matmul(da, k, out=local[..., :WIDTH])
+        local[..., :WIDTH] *= root
+        local[..., WIDTH:] = ds
+        np.matmul(da.transpose(0, 2, 1), q, out=memory[..., :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), ds, out=memory[..., WIDTH:])
+        for names, at, rows, size in ((("query", "embed"), q_ids, local, SYMBOLS + 2), (("key", "value"), all_ids, memory, SYMBOLS + 2), (("member", "gate"), c, both, SIDE)):
+            g[names[0]], g[names[1]] = np.hsplit(self._scatter(names[0], at, rows, size), 2)
+        return g
 
-def _scatter(ids: np.ndarray, parts: tuple[np.ndarray, ...], n: int) -> list[np.ndarray]:
-    """Sums of the rows of each id, for each of the parts."""
-    ids = ids.ravel().astype(np.int16)  # sorted by digits, far quicker
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    outs = []
-    for rows in parts:
-        out = np.zeros((n, rows.shape[-1]), np.float32)
-        out[ids[first]] = np.add.reduceat(rows.reshape(-1, rows.shape[-1])[order], first)
-        outs.append(out)
-    return outs
+    def _scatter(self, name: str, ids: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the rows of each id, two columns at a time as one complex number."""
+        pairs = rows.view(np.result_type(rows.dtype, np.complex64)).reshape(len(ids), -1)
+        out, place = self._space(f"sum-{name}", (n, pairs.shape[1]), pairs.dtype), self._space(f"place-{name}", pairs.shape, np.int64)
+        np.add((ids * pairs.shape[1])[:, None], np.arange(pairs.shape[1]), out=place)
+        out.fill(0)
+        np.add.at(out.reshape(-1), place.reshape(-1), pairs.reshape(-1))
+        return out.view(rows.dtype)
 
 
 class Adam:
     def __init__(self, rate: float):
-        self.rate, self.t, self.m, self.v = rate, 0, {}, {}
+        self.rate, self.t, self.m, self.v, self.part = rate, 0, {}, {}, {}
 
     def step(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray], share: float) -> None:
         self.t += 1
         rate = self.rate * share * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
         for k, g in grads.items():
-            m = self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * g
-            v = self.v[k] = 0.99 * self.v.get(k, 0) + 0.01 * g * g
-            params[k] -= (rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+            if k not in self.m:
+                self.m[k], self.v[k], self.part[k] = (np.zeros(g.shape, g.dtype) for _ in range(3))
+            m, v, x = self.m[k], self.v[k], self.part[k]
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=x)
+            v *= 0.99
+            np.multiply(g, g, out=x)
+            x *= 0.01
+            v += x
+            np.sqrt(v, out=x)
+            x += 1e-8
+            np.divide(m, x, out=x)
+            x *= rate
+            params[k] -= x
 
 
 def windows(length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

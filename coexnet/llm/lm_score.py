@@ -17,6 +17,9 @@ corpus, and the mean of their parameters, weighted by targets, starts the next
 round. The parameters are added up in ``PARAM_BLOCKS`` blocks by tasks of their
 own; one set of them reaches the driver, whatever the number of shards.
 
+Each text is cut once: its run of symbols is written, 16 bits each, and neighbour
+counts, training and scoring read the runs.
+
 A text's score is the network's alone: the sum over the subwords of all its
 words, and its end. A word that the vocabulary cuts into nothing counts as its
 unknown piece.
@@ -35,6 +38,8 @@ table gives no rows. Only id and text are read.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -50,7 +55,7 @@ HOT_BYTES = 64
 CACHED_WORDS = 200_000
 SHARD_CHARS, LEAST_CHARS = 8_000_000, 2_500_000
 PARAM_BLOCKS = 64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, CUT_BYTES = 1 << 20, 4 << 20
 ROUNDS, RATE, LEAST_STEPS = 4, 3e-2, 500
 
 
@@ -74,11 +79,11 @@ class Subwords:
         new = [w for w in names if w not in self.known]
         fresh = dict(zip(new, self.model.encode(new, num_threads=1), strict=True)) if new else {}
         cut = [self.known.get(w) or fresh[w] or self.unknown for w in names]
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known = {}
+        if len(self.known) + len(fresh) > CACHED_WORDS:  # frequent words are in this call, too
+            self.known = {w: x for w in names[:CACHED_WORDS] if (x := self.known.get(w))}
         self.known.update((w, x) for w, x in fresh.items() if x and len(w) <= HOT_BYTES)
         length = np.fromiter(map(len, cut), np.int64, len(cut))
-        return np.fromiter((i for x in cut for i in x), np.int64, int(length.sum())), length
+        return np.fromiter(chain.from_iterable(cut), np.int64, int(length.sum())), length
 
 
 class Symbols:
@@ -172,54 +177,97 @@ def subword_counts(words: DataFrame, vocabulary: str, n_docs: int) -> np.ndarray
 
 def training_texts(docs: DataFrame, rounds: int, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, int]:
     """((round, shard, at, text) of every document, whole, and the number of shards of about ``shard_chars`` characters a round)."""
-    total = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    return dealt(docs.select(*text_facts(), "text"), rounds, shard_chars)
+
+
+def text_facts():
+    """What places a document: a hash and its number of characters."""
+    return F.xxhash64("doc_id", "text").alias("at"), F.coalesce(F.length("text"), F.lit(0)).alias("chars")
+
+
+def dealt(docs: DataFrame, rounds: int, shard_chars: int) -> tuple[DataFrame, int]:
+    """``docs`` (at, chars, ...) with their rounds and shards, and the number of shards a round."""
+    total = docs.agg(F.coalesce(F.sum("chars"), F.lit(0)).alias("n")).first()["n"]
     times = max(1, min(rounds, -(-rounds * LEAST_CHARS // max(1, total))))  # rounds that a document is in
     shards = max(1, -(-total * times // (rounds * shard_chars)))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("at"), "text")
     spread = F.pmod(F.xxhash64("at", F.lit(3)), F.lit(rounds * shards))
     each = F.explode(F.array(*(((spread + k) % rounds).cast("int") for k in range(times)))).alias("round")
-    return save(texts.select(each, F.floor(spread / rounds).cast("int").alias("shard"), "at", "text"), "lm-texts"), shards
+    return docs.select(each, F.floor(spread / rounds).cast("int").alias("shard"), *(c for c in docs.columns if c != "chars")), shards
+
+
+def packed(q: Sequences) -> pa.Array:
+    """The rows' runs of symbols, 16 bits each."""
+    offsets = 2 * np.append(q.start, len(q.flat))
+    return pa.Array.from_buffers(pa.large_binary(), len(q.start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(q.flat.astype(np.uint16))])
+
+
+def unpacked(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, start and length of each row) of such runs."""
+    runs = runs.cast(pa.large_binary())
+    _, offsets, data = runs.buffers()
+    at = np.frombuffer(offsets, np.int64)[runs.offset : runs.offset + len(runs) + 1] // 2
+    flat = np.frombuffer(data, np.uint16)[at[0] : at[-1]] if data is not None else np.zeros(0)
+    return flat.astype(np.int64), at[:-1] - at[0], np.diff(at)
+
+
+def symbol_runs(texts: DataFrame, vocabulary: str, symbols: Symbols) -> DataFrame:
+    """``texts`` with ``run`` in place of ``text``; those that have it are as they are."""
+    if "run" in texts.columns:
+        return texts
+    names = [c for c in texts.columns if c != "text"]
+
+    def cut_all(batches):
+        cut = Subwords(vocabulary)
+        for b in text_slices(batches, "text", CUT_BYTES):
+            run = packed(Sequences(b.column("text"), cut, symbols)).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), run], names=[*names, "run"])
+
+    return save(texts.select(*names, "text").mapInArrow(cut_all, ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names) + ", run binary"), "lm-runs")
 
 
 def _text_windows(batch: pa.RecordBatch, cut: Subwords, symbols: Symbols, most: int):
     """(ids, targets, real) of all windows of the texts, ``most`` windows at once."""
     q = Sequences(batch.column("text"), cut, symbols)
-    x = shifted(q.flat, q.start, q.length, np.full(len(q.start), START))
-    row, at = windows(q.length)
+    yield from _run_windows(q.flat, q.start, q.length, most)
+
+
+def _run_windows(flat: np.ndarray, start: np.ndarray, length: np.ndarray, most: int):
+    x = shifted(flat, start, length, np.full(len(start), START))
+    row, at = windows(length)
     for a in range(0, len(row), most):
-        yield window_ids(x, q.flat, q.start, q.length, row[a : a + most], at[a : a + most])
+        yield window_ids(x, flat, start, length, row[a : a + most], at[a : a + most])
 
 
 def neighbour_counts(texts: DataFrame, vocabulary: str, symbols: Symbols) -> np.ndarray:
     """How often symbol b follows symbol a in the texts (SYMBOLS x 2 SYMBOLS: following and preceding)."""
 
     def count(batches):
-        cut, total = Subwords(vocabulary), np.zeros((SYMBOLS, SYMBOLS), np.int64)
-        for b in text_slices(batches, "text", SLICE_BYTES):
-            q = Sequences(b.column("text"), cut, symbols)
-            flat, start = q.flat, q.start
+        total = np.zeros(SYMBOLS**2, np.int64)
+        for b in text_slices(batches, "run", SLICE_BYTES):
+            flat, start, _ = unpacked(b.column("run"))
             pair = np.ones(max(0, len(flat) - 1), bool)
             pair[start[start > 0] - 1] = False
-            total += np.bincount((flat[:-1] * SYMBOLS + flat[1:])[pair], minlength=SYMBOLS**2).reshape(SYMBOLS, SYMBOLS)
-        a, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], names=["a", "b", "n"])
+            total += np.bincount((flat[:-1] * SYMBOLS + flat[1:])[pair], minlength=SYMBOLS**2)
+        a, b = np.divmod(np.flatnonzero(total), SYMBOLS)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[total > 0])], names=["a", "b", "n"])
 
     out = np.zeros((SYMBOLS, SYMBOLS))
-    rows = texts.select("text").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
+    rows = symbol_runs(texts, vocabulary, symbols).select("run").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()
     out[rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
     return np.concatenate([out, out.T], 1)
 
 
 def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROUNDS, shards: int = 1, rate: float = RATE, batch: int = 128, least_steps: int = LEAST_STEPS) -> Attention:
-    """Rounds of local training with averaged parameters. Reruns agree: a task is a shard, and shards and their order are fixed by hashes."""
+    """Rounds of local training with averaged parameters, on texts or their runs. Reruns agree: a task is a shard, and shards and their order are fixed by hashes."""
     spark = texts.sparkSession
-    model = Attention.fresh(balanced_classes(neighbour_counts(texts, vocabulary, symbols)), symbols.counts)
+    runs = symbol_runs(texts, vocabulary, symbols)
+    model = Attention.fresh(balanced_classes(neighbour_counts(runs, vocabulary, symbols)), symbols.counts)
     for r in range(rounds):
-        sent = spark.sparkContext.broadcast((model.slot, model.to_bytes(), symbols, model))
+        sent = spark.sparkContext.broadcast((model.to_bytes(), model))
 
         def learn(batches, sent=sent, r=r):
-            _, data, sym, shape = sent.value
-            own, cut, opt = shape.from_bytes(data), Subwords(vocabulary), Adam(rate)
+            data, shape = sent.value
+            own, opt = shape.from_bytes(data), Adam(rate)
             held, steps, weight = [], 0, 0
 
             def epoch(parts):
@@ -233,8 +281,8 @@ def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROU
                     steps += 1
 
             small = []
-            for b in text_slices(batches, "text", SLICE_BYTES):
-                for part in _text_windows(b, cut, sym, 64 * batch):
+            for b in text_slices(batches, "run", SLICE_BYTES):
+                for part in _run_windows(*unpacked(b.column("run")), 64 * batch):
                     weight += int(part[2].sum())
                     held.append(part)
                     if sum(len(x[0]) for x in small) < least_steps * batch:
@@ -254,7 +302,7 @@ def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROU
                 shard = TaskContext.get().partitionId()
                 yield pa.RecordBatch.from_arrays([pa.array(range(PARAM_BLOCKS), pa.int32()), pa.array([shard] * PARAM_BLOCKS), pa.array([weight] * PARAM_BLOCKS), pa.array(parts)], names=["block", "shard", "weight", "params"])
 
-        part = texts.where(F.col("round") == r).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "at", "text")
+        part = runs.where(F.col("round") == r).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "at", "run")
         got = save(part.mapInArrow(learn, "block int, shard long, weight long, params binary"), "lm-params")
         rows = got.repartition("block").sortWithinPartitions("block", "shard").mapInArrow(_add_up, "block int, weight long, params binary").collect()
         if rows:
@@ -292,36 +340,32 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows whose id passes ``training``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    learned = docs.where(F.coalesce(training(F.col("doc_id")), F.lit(False)))
-    words = word_counts(learned)
-    n_docs = learned.select("doc_id").count()
+    docs = docs.withColumn("learned", F.coalesce(training(F.col("doc_id")), F.lit(False)))
+    words = word_counts(docs.where("learned"))
+    n_docs = docs.where("learned").select("doc_id").count()
     n_words, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_train, n_distinct = n_words + n_docs, distinct + (n_docs > 0)
     least = float(np.log10(1.0 / (n_train + n_distinct + 1)))
     symbols = Symbols(subword_counts(words, vocabulary, n_docs))
-    texts, shards = training_texts(learned, rounds, shard_chars)
-    model = train(texts, vocabulary, symbols, rounds, shards)
 
     hot_from = max(2, -(-n_train // HOT_WORDS))
     is_hot = (F.col("c") >= hot_from) & (F.octet_length("word") <= HOT_BYTES)
     hot = words.where(is_hot).toArrow()  # at most HOT_WORDS words of HOT_BYTES
     hashes = word_hashes(hot["word"])
     order = np.argsort(hashes)
-    sent = spark.sparkContext.broadcast((model, symbols, hashes[order], hot["c"].to_numpy()[order]))
-    schema = "row long, doc_id long, n_tokens long, known long, base double, score double, word array<string>, times array<int>"
-    schema = schema.replace("doc_id long", f"doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    counted = spark.sparkContext.broadcast((symbols, hashes[order], hot["c"].to_numpy()[order]))
+    kept = ["doc_id", "learned", "at", "chars"]
+    docs = docs.select("doc_id", "learned", *text_facts(), "text")
+    schema = "row long, " + ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept) + ", n_tokens long, known long, base double, rare double, word array<string>, times array<int>, run binary"
 
-    def score(batches):
-        net, sym, hot_words, hot_counts = sent.value
-        net.frozen()
+    def cut_all(batches):
+        sym, hot_words, hot_counts = counted.value
         cut = Subwords(vocabulary)
         log_c = np.append(np.log10(hot_counts + 1.0), 0.0)
         row_no = TaskContext.get().partitionId() << 40
-        for b in text_slices(batches, "text", 3 << 20):
+        for b in text_slices(batches, "text", CUT_BYTES):
             q = Sequences(b.column("text"), cut, sym)
             rows, width = b.num_rows, max(1, len(q.names))
-            pieces = np.repeat(q.owner, q.pieces)
-            s = np.bincount(pieces, symbol_logs(net, q.flat, q.start, q.length), minlength=rows) + np.bincount(q.owner, q.extra[q.codes], minlength=rows)
             own = word_hashes(q.names)
             at = np.searchsorted(hot_words, own)
             hit = at < len(hot_words)
@@ -330,21 +374,36 @@ def score_texts(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
             is_end, sure = q.codes == len(q.names), at < len(hot_counts)
             known = np.bincount(q.owner, sure | is_end & (n_docs > 0), minlength=rows).astype(np.int64)
             base = np.bincount(q.owner, log_c[at], minlength=rows) + np.log10(n_docs + 1.0) + q.n_words * least
+            extra = np.bincount(q.owner, q.extra[q.codes], minlength=rows)
             rare = ~sure & ~is_end
             pair, times = np.unique(q.owner[rare] * width + q.codes[rare], return_counts=True)
             offsets = np.searchsorted(pair // width, np.arange(rows + 1)).astype(np.int32)
             rare_words = q.names.take(pa.array(pair % width)).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(row_no, row_no + rows)), b.column("doc_id"), pa.array(q.n_words.astype(np.int64)), pa.array(known), pa.array(base), pa.array(s)]
-                + [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (rare_words, pa.array(times.astype(np.int32)))],
-                names=["row", "doc_id", "n_tokens", "known", "base", "score", "word", "times"],
+                [pa.array(np.arange(row_no, row_no + rows)), *(b.column(c) for c in kept), pa.array(q.n_words.astype(np.int64)), pa.array(known), pa.array(base), pa.array(extra)]
+                + [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (rare_words, pa.array(times.astype(np.int32)))]
+                + [packed(q).cast(pa.binary())],
+                names=["row", *kept, "n_tokens", "known", "base", "rare", "word", "times", "run"],
             )
             row_no += rows
 
-    scored = save(docs.mapInArrow(score, schema), "lm-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
+    rows = save(docs.mapInArrow(cut_all, schema), "lm-rows")
+    runs, shards = dealt(rows.where("learned").select("at", "chars", "run"), rounds, shard_chars)
+    sent = spark.sparkContext.broadcast(train(runs, vocabulary, symbols, rounds, shards))
+
+    def score(batches):
+        net = sent.value.frozen()
+        for b in text_slices(batches, "run", SLICE_BYTES):
+            flat, start, length = unpacked(b.column("run"))
+            s = np.bincount(np.repeat(np.arange(b.num_rows), length), symbol_logs(net, flat, start, length), minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(s + b.column("rare").to_numpy())], names=[*b.schema.names[:-2], "score"])
+
+    shown = ["row", "doc_id", "n_tokens", "known", "base"]
+    scored = rows.select(*shown, "rare", "run").mapInArrow(score, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in shown) + ", score double")
+    scored = save(scored, "lm-scores")
+    rare = rows.select("row", F.explode(F.arrays_zip("word", "times")).alias("x")).select("row", "x.word", "x.times")
     found = rare.join(words.where(~is_hot), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("gain"))
-    out = scored.drop("word", "times").join(found, "row", "left")
+    out = scored.join(found, "row", "left")
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score")
 
 

@@ -1,4 +1,5 @@
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -200,3 +201,47 @@ def test_networks_of_several_shards_agree(spark):
     symbols = lm.Symbols(lm.subword_counts(lm.word_counts(docs), lm.VOCABULARY, 12_000))
     models = [lm.train(t, lm.VOCABULARY, symbols, 1, shards, least_steps=1) for t in (texts, texts.repartition(5))]
     assert models[0].to_bytes() == models[1].to_bytes()
+
+
+def test_runs_hold_whole_texts_and_train_alike(spark):
+    rows = [(i, f"some plain words {i}, {'again ' * i}zxqj") for i in range(30)] + [(40, None), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cut = lm.Subwords(lm.VOCABULARY)
+    sym = lm.Symbols(np.arange(cut.size + 1.0))
+    texts, _ = lm.training_texts(docs, 1)
+    runs = lm.symbol_runs(texts, lm.VOCABULARY, sym)
+    got = {r["at"]: np.frombuffer(r["run"], np.uint16).tolist() for r in runs.collect()}
+    for r in texts.collect():
+        assert got[r["at"]] == lm.Sequences(pa.array([r["text"]], pa.string()), cut, sym).flat.tolist()
+    q = lm.Sequences(pa.array([t for _, t in rows]), cut, sym)
+    flat, start, length = lm.unpacked(lm.packed(q).slice(5, 20))
+    assert flat.tolist() == q.flat[q.start[5] : q.start[25]].tolist() and length.tolist() == q.length[5:25].tolist() and (start == q.start[5:25] - q.start[5]).all()
+    models = [lm.train(t, lm.VOCABULARY, sym, 1, 1, least_steps=2).to_bytes() for t in (texts, runs)]
+    assert models[0] == models[1]
+
+
+def test_steps_reuse_their_arrays():
+    m, rng = model(7), np.random.default_rng(8)
+    ids, target = rng.integers(0, at.SYMBOLS, (5, at.SPAN)), rng.integers(0, at.SYMBOLS, (5, at.STRIDE))
+    size = len(pickle.dumps(m))
+    first = m.gradients(ids, target, np.ones(target.shape, bool))["key"]
+    assert np.shares_memory(first, m.gradients(ids, target, np.ones(target.shape, bool))["key"])
+    assert len(pickle.dumps(m)) == size
+
+
+def test_gradients_with_large_logits():
+    m, rng = model(6, 60.0), np.random.default_rng(9)
+    ids, target = rng.integers(0, at.SYMBOLS, (4, at.SPAN)), rng.integers(0, at.SYMBOLS, (4, at.STRIDE))
+    real = np.ones(target.shape, bool)
+    got = {k: v.copy() for k, v in m.gradients(ids, target, real).items()}
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    for k, want in m.gradients(ids, target, real).items():
+        assert np.isfinite(got[k]).all() and np.abs(got[k] - want).max() <= 1e-2 * np.abs(want).max() + 1e-6, k
+
+
+def test_frequent_words_stay_known(monkeypatch):
+    monkeypatch.setattr(lm, "CACHED_WORDS", 3)
+    cut = lm.Subwords(lm.VOCABULARY)
+    for words in (["the", "of"], ["the", "river", "opens"]):
+        cut(pa.array(words, pa.large_string()))
+    assert "the" in cut.known and "of" not in cut.known
