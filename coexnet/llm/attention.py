@@ -109,11 +109,15 @@ class Attention:
         return q_ids, q, k, v, a, h, c, m, lc, u, lm
 
     def frozen(self) -> Attention:
-        """Lays the tables out for scoring; call again if parameters change."""
+        """Lays the tables out for scoring; call again if parameters change.
+
+        There are few symbols, so the exponentials of all products of a query and a key are a table; what is not seen weighs 0.
+        """
         p = self.p
-        self._near = np.where(self.seen, p["bias"][self.distance], np.float32(-1e9)).astype(np.float32)
-        self._memory = np.concatenate([p["key"] * np.float32(WIDTH**-0.5), p["value"]], 1)
-        self._local = np.concatenate([p["query"], p["embed"]], 1)
+        with np.errstate(over="ignore"):
+            self._near = np.where(self.seen, np.exp(p["bias"][self.distance]), 0).astype(p["key"].dtype)
+            self._pairs = np.exp(p["query"] @ (p["key"] * p["key"].dtype.type(WIDTH**-0.5)).T)
+        self._pairs[:, PAD] = 0
         self._choice = np.concatenate([p["gate"], p["member"]], 1)
         return self
 
@@ -122,25 +126,21 @@ class Attention:
 
         Sums of exponentials are taken as they are; a batch in which one leaves the range of floats is done again on shifted logits.
         """
-        if not hasattr(self, "_near"):
+        if not hasattr(self, "_pairs"):
             self.frozen()
-        p, n, kind = self.p, len(ids), self._memory.dtype
+        p, n, kind = self.p, len(ids), self._pairs.dtype
         new = lambda name, *shape: self._space(name, shape, kind)
         pick = lambda name, table, at: np.take(table, at, 0, new(name, len(at), table.shape[1]), "clip")
-        memory = pick("memory", self._memory, ids.ravel()).reshape(n, SPAN, -1)
-        local = pick("local", self._local, ids[:, SPAN - STRIDE :].ravel())
-        a = np.matmul(local[:, :WIDTH].reshape(n, STRIDE, WIDTH), memory[..., :WIDTH].transpose(0, 2, 1), out=new("a", n, STRIDE, SPAN))
-        a += self._near
-        pad = ids == PAD
-        some = np.flatnonzero(pad.any(1))
-        if len(some):
-            a[some] += np.where(pad[some], np.float32(-1e9), np.float32(0))[:, None, :]
+        q_ids = ids[:, SPAN - STRIDE :]
+        pair = np.add((q_ids * len(self._pairs))[:, :, None], ids[:, None, :], out=self._space("pair", (n, STRIDE, SPAN), np.int64))
+        a = np.take(self._pairs.reshape(-1), pair, out=new("a", n, STRIDE, SPAN), mode="clip")
+        value = pick("value", p["value"], ids.ravel()).reshape(n, SPAN, WIDTH)
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            np.exp(a, out=a)
+            a *= self._near
             total = a.reshape(-1, SPAN) @ np.ones((SPAN, 1), kind)
-            h = np.matmul(a, memory[..., WIDTH:], out=new("h", n, STRIDE, WIDTH)).reshape(-1, WIDTH)
+            h = np.matmul(a, value, out=new("h", n, STRIDE, WIDTH)).reshape(-1, WIDTH)
             h /= total
-            h += local[:, WIDTH:]
+            h += pick("embed", p["embed"], q_ids.ravel())
             np.tanh(h, out=h)
             c, m = np.divmod(self.slot.take(target.ravel()), SIDE)
             choice = pick("choice", self._choice, c)
@@ -259,14 +259,12 @@ class Adam:
             if k not in self.m:
                 self.m[k], self.v[k], self.part[k] = (np.zeros(g.shape, g.dtype) for _ in range(3))
             m, v, x = self.m[k], self.v[k], self.part[k]
-            m *= 0.9
-            m += np.multiply(g, 0.1, out=x)
+            m *= 0.9  # 10 times the mean of the slopes, and 100 times that of their squares
+            m += g
             v *= 0.99
-            np.multiply(g, g, out=x)
-            x *= 0.01
-            v += x
+            v += np.multiply(g, g, out=x)
             np.sqrt(v, out=x)
-            x += 1e-8
+            x += 1e-7
             np.divide(m, x, out=x)
             x *= rate
             params[k] -= x

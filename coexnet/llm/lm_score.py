@@ -277,7 +277,7 @@ def train(texts: DataFrame, vocabulary: str, symbols: Symbols, rounds: int = ROU
                 for a in range(0, len(ids), batch):
                     pick = order[a : a + batch]
                     share = max(0.05, 1 - (r + min(1.0, steps / least_steps / 2)) / rounds)
-                    opt.step(own.p, own.gradients(ids[pick], target[pick], real[pick]), share)
+                    opt.step(own.p, own.gradients(ids.take(pick, 0), target.take(pick, 0), real.take(pick, 0)), share)
                     steps += 1
 
             small = []
