@@ -8,6 +8,11 @@ no more tasks than twice the cluster's cores, so what is shuffled has the size o
 of the splits. Trees are sent to the tasks, which add those since the last written state to its predictions; the state itself is never shuffled, and
 is written only every ``WRITE_ROUNDS`` rounds, without the predictions of targets that have stopped. Held-out squared errors are another pass.
 
+Cells of one fold with the same bins of all of a target's regulators always get the same prediction: they are one kind of cell. Where a target has few kinds
+(``KIND_SHARE`` cells or more to each, by an estimate that decides on nothing else), its cells are added up once, before the first round: a kind keeps
+its number of cells and the sums of their values and squares, which is all that histograms and errors need. Rounds then cost what
+kinds cost, however many cells there are; the others keep their cells.
+
 The best round of a target is the first with the least mean over folds of the held-out root mean squared error; a target stops, and
 is passed over from then on, when ``patience`` rounds in a row were no better. The first rounds of the model of all cells are
 what a refit with that many would give, so they are kept and the others left out.
@@ -27,8 +32,11 @@ from pyspark.sql import functions as F
 from coexnet.operators.rounds import keep
 
 CHUNK_CELLS, BLOCK_TARGETS, CHECK_ROUNDS, WRITE_ROUNDS, HELD_BYTES = 4096, 32, 4, 10, 1 << 26
+KIND_SHARE, CHUNK_KINDS, SKETCH, HELD_KINDS = 4, 1 << 15, 64, 1 << 21
 HEAD, BINS, VALUES = range(3)
-STATE = "chunk int, block int, info string, folds binary, bins binary, y binary, f binary"
+STATE = "chunk int, block int, info string, folds binary, bins binary, y binary, f binary, n binary, yy binary"
+WITHOUT_F = STATE.replace("f binary, ", "")
+SUMS = "gene string, part int, info string, code binary, n binary, y binary, yy binary"
 SPLIT = "gene string, model int, node int, tf string, at int, gain double, cover long, gl double, nl long, ga double, na long"
 HISTOGRAM = "gene string, model int, tf string, node int, bin int, g double, n long"
 
@@ -39,11 +47,10 @@ def regulator_bins(expr: DataFrame, links: DataFrame, n_bins: int) -> tuple[Data
     Bins are cut at ``n_bins`` quantiles of a regulator's values other than 0 and at 0; values at a cut have a bin of their own.
     """
     share = F.array(*(F.lit(i / n_bins) for i in range(1, n_bins)))
-    cuts = expr.where("value <> 0").groupBy(F.col("gene").alias("tf")).agg(F.array_sort(F.array_distinct(F.array_union(F.percentile_approx("value", share, F.lit(10_000)), F.array(F.lit(0.0))))).alias("cuts"))
-    cuts = cuts.join(links.select("tf").distinct(), "tf", "left_semi")
+    values = expr.where("value <> 0").withColumnRenamed("gene", "tf").join(links.select("tf").distinct(), "tf", "left_semi")
+    cuts = values.groupBy("tf").agg(F.array_sort(F.array_distinct(F.array_union(F.percentile_approx("value", share, F.lit(10_000)), F.array(F.lit(0.0))))).alias("cuts"))
     place = lambda v: F.size(F.filter("cuts", lambda c: c < v)) + F.size(F.filter("cuts", lambda c: c <= v))
-    values = expr.where("value <> 0").withColumnRenamed("gene", "tf").join(cuts, "tf")
-    return values.select("cell", "tf", place(F.col("value")).alias("bin")), cuts.select("tf", place(F.lit(0.0)).alias("zero"))
+    return values.join(F.broadcast(cuts), "tf").select("cell", "tf", place(F.col("value")).alias("bin")), cuts.select("tf", place(F.lit(0.0)).alias("zero"))
 
 
 def _row(chunk: int, block: int, info: str, values: dict[int, dict[str, tuple]]) -> dict:
@@ -79,13 +86,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def _schema() -> pa.Schema:
-    return pa.schema([("chunk", pa.int32()), ("block", pa.int32()), ("info", pa.string()), *((c, pa.binary()) for c in ("folds", "bins", "y", "f"))])
+def _schema(columns: str = STATE) -> pa.Schema:
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in columns.split(", "))])
 
 
-def packed_state(expr: DataFrame, links: DataFrame, n_bins: int, folds: int, chunk_cells: int = CHUNK_CELLS) -> DataFrame:
-    """The state before the first round; predictions are each target's mean. ``links`` is (tf, gene)."""
-    cells = expr.select("cell").distinct()
+def packed_state(expr: DataFrame, links: DataFrame, n_bins: int, folds: int, chunk_cells: int = CHUNK_CELLS, cells: DataFrame | None = None) -> DataFrame:
+    """The state before the first round; predictions are each target's mean. ``links`` is (tf, gene), ``cells`` has each cell of ``expr`` once."""
+    cells = expr.select("cell").distinct() if cells is None else cells
     n_cells = cells.count()
     n_targets = links.select("gene").distinct().count()
     chunks, blocks = max(1, -(-n_cells // chunk_cells)), max(1, -(-n_targets // BLOCK_TARGETS))
@@ -108,11 +116,139 @@ def packed_state(expr: DataFrame, links: DataFrame, n_bins: int, folds: int, chu
     head = placed.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("at", F.col("fold").cast("double").alias("value")))).alias("v"))
     head = head.join(info, F.lit(True)).select("chunk", "block", F.lit(HEAD).alias("kind"), F.lit("").alias("name"), F.col("v.at").alias("at"), F.col("v.value").alias("value"), "info")  # the state's rows
     by_tf = binned.join(placed, "cell").join(links.select("block", "tf").distinct(), "tf")
-    by_gene = expr.join(placed, "cell").join(links.select("block", "gene").distinct(), "gene")
+    by_gene = expr.join(links.select("block", "gene").distinct(), "gene").join(placed, "cell")
     every = head.unionByName(rows(by_tf, BINS, F.col("tf"), "bin")).unionByName(rows(by_gene, VALUES, F.col("gene"), "value"))
     return keep(every.repartition("chunk", "block").sortWithinPartitions("block", "chunk", "kind", "name").mapInArrow(_pack, STATE))
 
 
+def _mixed(code: np.ndarray) -> np.ndarray:
+    """Hashes of 0 to 2^63 - 1."""
+    h = code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def _added(parts: list[tuple]) -> tuple:
+    """(codes, numbers, sums, sums of squares) of several, each code once."""
+    code, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n, y, yy = (np.bincount(at, np.concatenate([p[i] for p in parts]), len(code)) for i in (1, 2, 3))
+    return code, n.astype(np.int64), y, yy
+
+
+def _least_hashes(width: int):
+    """The ``SKETCH`` least hashes of each target's kinds that a task meets."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = _Block(row, 1)
+                for t, gene in enumerate(b.targets):
+                    if (code := b.codes(t, width)) is not None:
+                        least[gene] = np.unique(np.concatenate([least.get(gene, code[:0]), _mixed(code)]))[:SKETCH]
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, h in least.items() for _ in h], pa.string()), pa.array(np.concatenate([*least.values(), np.empty(0, np.int64)]))], names=["gene", "h"])
+
+    return work
+
+
+def _kinds(width: int, sent):
+    """The sums of the kinds of some targets that a task meets; ``sent`` has their numbers of parts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        infos: dict[str, str] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for gene, parts in held.items():
+                sums = _added(parts)
+                part = _mixed(sums[0]) % sent.value[gene]
+                for p in np.unique(part):
+                    own = [x[part == p].tobytes() for x in sums]
+                    yield pa.RecordBatch.from_pylist([{"gene": gene, "part": int(p), "info": infos[gene]} | dict(zip(("code", "n", "y", "yy"), own, strict=True))], schema=_schema(SUMS))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                b, told = _Block(row, 1), json.loads(row["info"])
+                for t, gene in enumerate(b.targets):
+                    if gene not in sent.value:
+                        continue
+                    if gene not in infos:
+                        infos[gene] = json.dumps({"targets": [told["targets"][t] | {"start": 0.0}], "tfs": [told["tfs"][i] for i in b.own[t]]})
+                    v = b.y[t] - told["targets"][t]["start"]
+                    held.setdefault(gene, []).append(_added([(b.codes(t, width), np.ones(len(v), np.int64), v, v * v)]))
+                    size += len(held[gene][-1][0])
+                if size > HELD_KINDS:
+                    held = {gene: [_added(parts)] for gene, parts in held.items()}
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if 2 * size > HELD_KINDS:
+                        yield from flush()
+                        held, size = {}, 0
+        yield from flush()
+
+    return work
+
+
+def _kind_rows(width: int):
+    """Sums in order of target and part to rows of the state."""
+
+    def row(gene: str, part: int, info: str, parts: list[tuple]) -> pa.RecordBatch:
+        code, n, y, yy = _added(parts)
+        bins = []
+        for _ in json.loads(info)["tfs"]:
+            code, last = np.divmod(code, width)
+            bins.insert(0, last.astype(np.uint8))
+        new = {"chunk": part, "block": -1, "info": info, "folds": code.astype(np.uint8).tobytes(), "bins": np.concatenate(bins).tobytes(), "y": y.tobytes(), "n": n.tobytes(), "yy": yy.tobytes()}
+        return pa.RecordBatch.from_pylist([new], schema=_schema(WITHOUT_F))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for batch in batches:
+            for x in batch.to_pylist():
+                if key is not None and key[:2] != (x["gene"], x["part"]):
+                    yield row(*key, parts)
+                    parts = []
+                key = x["gene"], x["part"], x["info"]
+                parts.append(tuple(np.frombuffer(x[c], t) for c, t in (("code", np.int64), ("n", np.int64), ("y", np.float64), ("yy", np.float64))))
+        if key is not None:
+            yield row(*key, parts)
+
+    return work
+
+
+def _without(sent):
+    """The state's rows without the targets in ``sent`` and what only they need."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b, told = _Block(row, 1), json.loads(row["info"])
+                stay = [t for t, gene in enumerate(b.targets) if gene not in sent.value]
+                if not stay:
+                    continue
+                tfs = sorted({i for t in stay for i in b.own[t]})
+                info = json.dumps({"targets": [told["targets"][t] for t in stay], "tfs": [told["tfs"][i] for i in tfs]})
+                new = {c: row[c] for c in ("chunk", "block", "folds")} | {"info": info, "bins": b.bins[tfs].tobytes(), "y": b.y[stay].tobytes()}
+                yield pa.RecordBatch.from_pylist([new], schema=_schema(WITHOUT_F))
+
+    return work
+
+
+def by_kind(state: DataFrame, width: int, tasks: int) -> DataFrame:
+    """The first state with kinds in place of cells for targets that have few of them (see above)."""
+    cells = state.groupBy("block").agg(F.sum(F.length("folds")).alias("n")).agg(F.max("n")).first()[0]
+    least = state.coalesce(tasks).mapInArrow(_least_hashes(width), "gene string, h long").groupBy("gene").agg(F.slice(F.array_sort(F.collect_set("h")), 1, SKETCH).alias("h"))
+    kinds = F.when(F.size("h") < SKETCH, F.size("h")).otherwise(F.lit((SKETCH - 1) * 2.0**63) / (F.array_max("h") + 1))
+    few = least.select("gene", kinds.alias("kinds")).where(F.col("kinds") * KIND_SHARE <= cells).collect()
+    if not few:
+        return state
+    sent = state.sparkSession.sparkContext.broadcast({x["gene"]: -(-int(x["kinds"]) // CHUNK_KINDS) for x in few})
+    sums = state.coalesce(tasks).mapInArrow(_kinds(width, sent), SUMS)
+    rows = sums.repartition("gene", "part").sortWithinPartitions("gene", "part").mapInArrow(_kind_rows(width), WITHOUT_F)
+    return keep(state.mapInArrow(_without(sent), WITHOUT_F).unionByName(rows))
+
+
 class Trees:
     """Splits of a round's trees, by target; has the size of the models."""
 
@@ -151,7 +287,10 @@ class Trees:
 
 
 class _Block:
-    """One row of the state with the trees since it was written; ``over`` has the targets that have stopped."""
+    """One row of the state with the trees since it was written; ``over`` has the targets that have stopped.
+
+    Of kinds of cells, ``n`` and ``yy`` are set, ``y`` are sums, and values count from the target's mean.
+    """
 
     def __init__(self, row: dict, models: int, past: list[Trees] = (), over: frozenset = frozenset()):
         told = json.loads(row["info"])
@@ -161,11 +300,37 @@ class _Block:
         m = len(self.folds)
         self.bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, m)
         self.y = np.frombuffer(row["y"]).reshape(-1, m)
-        f = np.frombuffer(row["f"]).reshape(-1, len(self.y), m)
+        f = np.frombuffer(row["f"]) if row.get("f") is not None else np.repeat([x["start"] for x in told["targets"]], m)
+        f = f.reshape(-1, len(self.y), m)
         self.f = np.repeat(f, models, axis=0) if len(f) < models else f
+        self.n, self.yy = (None if row.get(c) is None else np.frombuffer(row[c], t) for c, t in (("n", np.int64), ("yy", np.float64)))
         self.place = {tf: i for i, tf in enumerate(self.tfs)}
         self.past, self.done = past, over
 
+    def left(self, t: int, model: int, eta: float, cells) -> np.ndarray:
+        """What the trees so far leave of the values of some cells."""
+        f = self.fitted(t, model, eta, cells)
+        return self.y[t][cells] - (f if self.n is None else self.n[cells] * f)
+
+    def squares(self, t: int, model: int, eta: float, cells) -> float:
+        """Sum of the squares of what is left of single cells."""
+        if self.n is None:
+            return float(np.square(self.left(t, model, eta, cells)).sum())
+        f = self.fitted(t, model, eta, cells)
+        return float((self.yy[cells] - f * (2 * self.y[t][cells] - self.n[cells] * f)).sum())
+
+    def count(self, at: np.ndarray, cells, total: int) -> np.ndarray:
+        return np.bincount(at, minlength=total) if self.n is None else np.bincount(at, self.n[cells], total).astype(np.int64)
+
+    def codes(self, t: int, width: int) -> np.ndarray | None:
+        """A number for each kind of cell of a target; None where they would not fit 62 bits."""
+        if 256 * width ** len(self.own[t]) > 1 << 62:
+            return None
+        code = self.folds.astype(np.int64)
+        for i in self.own[t]:
+            code = code * width + self.bins[i]
+        return code
+
     def nodes(self, trees: Trees | None, gene: str, model: int) -> np.ndarray:
         """The node each cell is in."""
         node = np.ones(len(self.folds), np.int64)
@@ -223,11 +388,11 @@ def _histograms(models: int, level: int, width: int, eta: float, sent=None):
                         use = np.flatnonzero((node >= 1 << level) & (b.folds != k))  # no cell is in fold 0
                         if not len(use):
                             continue
-                        at, g = (node[use] - (1 << level)) * width, (b.y[t] - b.fitted(t, k, eta))[use]
+                        at, g = (node[use] - (1 << level)) * width, b.left(t, k, eta, use)
                         for j in b.own[t]:
                             key, total = (gene, k, b.tfs[j]), width << level
                             i = at + b.bins[j, use]
-                            new = np.bincount(i, g, total), np.bincount(i, minlength=total)
+                            new = np.bincount(i, g, total), b.count(i, use, total)
                             old = sums.get(key)
                             sums[key] = new if old is None else (old[0] + new[0], old[1] + new[1])
         yield from flush()
@@ -248,7 +413,7 @@ def _errors(models: int, eta: float, sent):
                     out = np.flatnonzero(b.folds == k)
                     for t, gene in enumerate(b.targets):
                         if gene not in b.done:
-                            sums[gene, k] = sums.get((gene, k), 0.0) + float(np.square(b.y[t][out] - b.fitted(t, k, eta, out)).sum())
+                            sums[gene, k] = sums.get((gene, k), 0.0) + b.squares(t, k, eta, out)
         yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in sums], pa.string()), pa.array([k for _, k in sums], pa.int32()), pa.array(list(sums.values()), pa.float64())], names=["gene", "model", "error"])
 
     return work
@@ -266,7 +431,7 @@ def _step(models: int, eta: float, sent):
                 for t, gene in enumerate(b.targets):
                     for k in range(models if gene not in b.done else 0):
                         f[k, t] = b.fitted(t, k, eta)
-                new = {c: row[c] for c in ("chunk", "block", "info", "folds", "bins", "y")} | {"f": f.tobytes()}
+                new = row | {"f": f.tobytes()}
                 yield pa.RecordBatch.from_pylist([new], schema=_schema())
 
     return work
@@ -303,23 +468,24 @@ def boost(expr: DataFrame, motifs: DataFrame, rounds: int = 100, depth: int = 3,
         raise ValueError("n_bins is 1 to 127")
     spark = expr.sparkSession
     good = motifs.where("tf <> gene").groupBy("gene").agg(F.count("*").alias("n")).where(F.col("n") >= least_tfs).select("gene")
-    some = expr.where("value <> 0").select("gene").distinct()
+    some = keep(expr.where("value <> 0").select("gene").distinct())
     links = keep(motifs.where("tf <> gene").select("tf", "gene").distinct().join(good, "gene", "left_semi").join(some, "gene", "left_semi").join(some.withColumnRenamed("gene", "tf"), "tf", "left_semi"))
     models, width = (folds + 1 if folds else 1), 2 * n_bins + 1
     no_links = spark.createDataFrame([], "tf string, gene string, gain double, cover double, frequency double")
     no_errors = spark.createDataFrame([], "gene string, round int, rmse double, best boolean")
     if not links.head(1):
         return no_links, no_errors
-    state = packed_state(expr, links, n_bins, folds, chunk_cells)
+    cells = keep(expr.select("cell").distinct())
+    state = packed_state(expr, links, n_bins, folds, chunk_cells, cells)
     n_targets = links.select("gene").distinct().count()
     fold_sizes = None
     if folds:
-        cells = expr.select("cell").distinct()
         fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("cell").cast("string")), F.lit(folds)).cast("int") + 1
         fold_sizes = keep(cells.groupBy(fold.alias("model")).agg(F.count("*").alias("n")))
     grown, losses = [], []
     context = spark.sparkContext
     tasks = 2 * context.defaultParallelism
+    state = by_kind(state, width, tasks)
     sent = []
     past, over = [], frozenset()  # trees that the written predictions lack, targets that have stopped
 

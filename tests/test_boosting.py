@@ -130,3 +130,28 @@ def test_the_state_is_neither_shuffled_nor_written_in_each_round(spark, monkeypa
     monkeypatch.setattr(boosting, "WRITE_ROUNDS", 2)
     plans.clear()
     assert told() == often and sum("f" in columns for columns, _ in plans) == 3
+
+
+def test_kinds_of_cells_give_what_cells_give(spark, monkeypatch):
+    """A state of kinds has no more of them when the same cells come again, and the trees are those of all cells."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 4, (3, 60)).astype(float)
+    x = np.concatenate([x, [2 * (x[0] > 2) + rng.normal(0, 0.3, 60), (x[1] > 1) * x[2] + rng.normal(3, 1, 60), rng.random(60)]])
+    motifs = spark.createDataFrame([("g0", "g3"), ("g1", "g3"), ("g0", "g4"), ("g1", "g4"), ("g2", "g4"), ("g3", "g5"), ("g4", "g5")], "tf string, gene string")
+
+    def told(expr):
+        links, errors = boosting.boost(expr, motifs, rounds=6, patience=3, chunk_cells=50)
+        return sorted((r["tf"], r["gene"], round(r["gain"], 9), round(r["cover"], 9), r["frequency"]) for r in links.collect()), sorted((r["gene"], r["round"], round(r["rmse"], 9), r["best"]) for r in errors.collect())
+
+    held = []
+    for copies in (4, 12):
+        state = boosting.packed_state(long(spark, np.tile(x, copies)), motifs, 8, 1, chunk_cells=50)
+        held.append({r["gene"]: r["n"] for r in boosting.by_kind(state, 17, 2).groupBy(F.get_json_object("info", "$.targets[0].name").alias("gene")).agg(F.sum(F.length("folds")).alias("n")).where("gene = 'g3'").collect()})
+    assert held[0] == held[1] and held[0]["g3"] <= 16
+    monkeypatch.setattr(boosting, "CHUNK_KINDS", 7)
+    monkeypatch.setattr(boosting, "KIND_SHARE", 0)  # all targets
+    monkeypatch.setattr(boosting, "WRITE_ROUNDS", 2)
+    kinds = told(long(spark, np.tile(x, 3)))
+    monkeypatch.setattr(boosting, "WRITE_ROUNDS", 10)
+    monkeypatch.setattr(boosting, "KIND_SHARE", 1 << 40)  # none
+    assert kinds == told(long(spark, np.tile(x, 3))) and len(kinds[0]) == 7
