@@ -33,6 +33,7 @@ from coexnet.operators.rounds import keep
 
 CHUNK_CELLS, BLOCK_TARGETS, CHECK_ROUNDS, WRITE_ROUNDS, HELD_BYTES = 4096, 32, 4, 10, 1 << 26
 KIND_SHARE, CHUNK_KINDS, SKETCH, HELD_KINDS = 4, 1 << 15, 64, 1 << 21
+SIDES = [(np.arange(256) >> i & 1).astype(bool) for i in range(8)]  # the sides that a byte of answers tells
 HEAD, BINS, VALUES = range(3)
 STATE = "chunk int, block int, info string, folds binary, bins binary, y binary, f binary, n binary, yy binary"
 WITHOUT_F = STATE.replace("f binary, ", "")
@@ -268,9 +269,10 @@ class Trees:
         return range(low + int(a), low + int(b))
 
     def plan(self, gene: str, model: int, eta: float) -> tuple:
-        """(a tree as nested (tf, at, low side, high side) with the numbers of its leaves, the step of each leaf)."""
+        """(a tree as nested (tf, at, low side, high side) with the numbers of its leaves, the step of each leaf, its splits, the step for each byte of
+        their answers); the last is None where a byte does not hold them."""
         if (gene, model) not in self.plans:
-            at_node, steps = {int(self.node[i]): i for i in self.of(gene, model)}, []
+            at_node, steps, asked = {int(self.node[i]): i for i in self.of(gene, model)}, [], []
 
             def grow(node: int, step: float):
                 i = at_node.get(node)
@@ -278,11 +280,19 @@ class Trees:
                     steps.append(step)
                     return np.uint16(len(steps) - 1)
                 low, high = eta * self.gl[i] / (self.nl[i] + 1), eta * (self.ga[i] - self.gl[i]) / (self.na[i] - self.nl[i] + 1)
+                asked.append((self.tf[i], int(self.at[i])))
                 return self.tf[i], int(self.at[i]), grow(2 * node, low), grow(2 * node + 1, high)
 
+            def answered(tree, sides: Iterator[np.ndarray]):
+                if not isinstance(tree, tuple):
+                    return tree
+                side, low, high = next(sides), answered(tree[2], sides), answered(tree[3], sides)
+                return np.where(side, high, low)
+
             root = at_node.get(1)
             tree = grow(1, 0.0 if root is None else eta * self.ga[root] / (self.na[root] + 1))
-            self.plans[gene, model] = tree, np.array(steps)
+            steps, sides = np.array(steps), (s[: 1 << len(asked)] for s in SIDES)
+            self.plans[gene, model] = tree, steps, asked, steps[answered(tree, sides)] if len(asked) <= len(SIDES) else None
         return self.plans[gene, model]
 
 
@@ -353,8 +363,14 @@ class _Block:
             return np.where(bins[tf] > at, leaf(high), leaf(low))
 
         for trees in self.past:
-            tree, steps = trees.plan(self.targets[t], model, eta)
-            f += steps[leaf(tree)]
+            tree, steps, asked, table = trees.plan(self.targets[t], model, eta)
+            if table is None or not asked:
+                f += steps[leaf(tree)]
+                continue
+            told = np.zeros(len(f), np.uint8)
+            for i, (tf, at) in enumerate(asked):
+                told |= (bins[tf] > at).view(np.uint8) << np.uint8(i)
+            f += table[told]
         return f
 
 

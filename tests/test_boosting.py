@@ -1,6 +1,8 @@
+import json
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from coexnet.operators import boosting
@@ -155,3 +157,25 @@ def test_kinds_of_cells_give_what_cells_give(spark, monkeypatch):
     monkeypatch.setattr(boosting, "WRITE_ROUNDS", 10)
     monkeypatch.setattr(boosting, "KIND_SHARE", 1 << 40)  # none
     assert kinds == told(long(spark, np.tile(x, 3))) and len(kinds[0]) == 7
+
+
+def test_steps_looked_up_by_answers_equal_a_walk_down_the_tree():
+    """Trees of depth 3 have a table of steps by the answers to their splits, larger ones are walked; both give each cell its leaf's step."""
+    rng = np.random.default_rng(10)
+    bins = rng.integers(0, 9, (3, 200)).astype(np.uint8)
+    info = json.dumps({"targets": [{"name": "t", "start": 0.5, "own": ["a", "b", "c"]}], "tfs": [{"name": x, "zero": 0} for x in "abc"]})
+    row = {"info": info, "folds": np.ones(200, np.uint8).tobytes(), "bins": bins.tobytes(), "y": np.zeros(200).tobytes()}
+    for depth in (0, 1, 3, 4):
+        nodes = [n for n in range(1, max(2, 1 << depth)) if n < 4 or n % 3 or depth == 4]
+        splits = [{"gene": "t", "model": 0, "node": n, "tf": "abc"[n % 3] if depth else None, "at": n % 7 + 1 if depth else None, "gl": float(n), "nl": 10, "ga": 30.0 + n, "na": 30} for n in nodes]
+        trees = boosting.Trees(pa.Table.from_pylist(splits, pa.schema([("gene", pa.string()), ("model", pa.int32()), ("node", pa.int32()), ("tf", pa.string()), ("at", pa.int32()), ("gl", pa.float64()), ("nl", pa.int64()), ("ga", pa.float64()), ("na", pa.int64())])))
+        by_node, want = {x["node"]: x for x in splits}, []
+        for cell in bins.T:
+            node, step = 1, 0.3 * by_node[1]["ga"] / 31
+            while (x := by_node.get(node)) and x["tf"]:
+                high = cell["abc".index(x["tf"])] > x["at"]
+                step = 0.3 * (x["ga"] - x["gl"]) / 21 if high else 0.3 * x["gl"] / 11
+                node = 2 * node + int(high)
+            want.append(0.5 + step + step)
+        assert np.allclose(boosting._Block(row, 1, [trees, trees]).fitted(0, 0, 0.3), want, atol=1e-15)
+        assert (trees.plan("t", 0, 0.3)[3] is None) == (depth == 4)
